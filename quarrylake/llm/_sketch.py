@@ -103,5 +103,5 @@ def repeated(maps: list[np.ndarray], log2_cells: int, hashes: np.ndarray) -> np.
 
 
 def width(total: int) -> int:
-    """log2 of cells for about `total` counted things: eight cells for each, 2**20 to 2**30 cells (128 MB of bits a row at most)."""
-    return int(min(30, max(20, np.ceil(np.log2(max(1, total) * 8)))))
+    """log2 of cells for about `total` counted things: four cells for each, 2**20 to 2**29 cells (64 MB of bits a row at most)."""
+    return int(min(29, max(20, np.ceil(np.log2(max(1, total) * 4)))))

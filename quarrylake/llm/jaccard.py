@@ -2,10 +2,11 @@
 
 Documents with equal sets form a class, documents of equal size and prefix a group. Under one total order of shingles (rarely
 seen ones first) two sets of n and m shingles can only reach the threshold if their prefixes, n - ceil(0.8 n) + 1 shingles,
-meet. Shingles of prefixes seen once are left out by a count-min sketch, which never misses one seen twice. First each bucket's
-groups are held against one leader; then, since components are asked for, only pairs of groups that are still in different
-components are expanded to classes and verified by exact set overlap. So a large group of near copies costs a star, not all
-pairs, and no link that could join components is left unverified.
+meet; what lies behind one of the prefixes bounds the rest of the overlap, so the number of shared prefix shingles filters group
+pairs as well. Shingles of prefixes seen once are left out by a count-min sketch, which never misses one seen twice. First each
+bucket's groups are held against one leader; then, since components are asked for, only pairs of groups that are still in
+different components are expanded to classes and verified by exact set overlap. So a large group of near copies costs a star, not
+all pairs, and no link that could join components is left unverified.
 """
 
 from __future__ import annotations
@@ -92,7 +93,7 @@ def prefixes(docs: DataFrame, percent: int, k: int) -> DataFrame:
 
 
 def _buckets(table: DataFrame) -> DataFrame:
-    """(token, gid, n, pos), once for each group, without the tokens seen once."""
+    """(token, gid, n), once for each group, without the tokens seen once."""
     total = table.agg(F.sum(F.size("prefix"))).first()[0] or 0
     bits = _sketch.width(total)
 
@@ -107,19 +108,28 @@ def _buckets(table: DataFrame) -> DataFrame:
             lens = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
             tok = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
             row = np.repeat(np.arange(b.num_rows), lens)
-            pos = np.arange(len(tok)) - np.repeat(np.cumsum(lens) - lens, lens)
             keep = np.flatnonzero(_sketch.repeated(maps.value, bits, tok))
             row = row[keep]
-            yield pa.RecordBatch.from_arrays([_text.longs(tok[keep]), b.column(0).take(pa.array(row)), b.column(1).take(pa.array(row)), pa.array(pos[keep].astype(np.int64))], names=["token", "gid", "n", "pos"])
+            yield pa.RecordBatch.from_arrays([_text.longs(tok[keep]), b.column(0).take(pa.array(row)), b.column(1).take(pa.array(row))], names=["token", "gid", "n"])
 
-    rows = table.where("n > 0").select("gid", "n", "prefix").mapInArrow(run, "token bigint, gid bigint, n bigint, pos bigint")
+    rows = table.where("n > 0").select("gid", "n", "prefix").mapInArrow(run, "token bigint, gid bigint, n bigint")
     return rows.distinct()
 
 
-def _possible(percent: int):
-    """Whether two sets of l.n and r.n shingles that meet at l.pos and r.pos can reach the threshold."""
-    most = F.least("l.pos", "r.pos") + F.lit(1) + F.least(F.col("l.n") - F.col("l.pos"), F.col("r.n") - F.col("r.pos")) - 1
-    return (100 * F.least("l.n", "r.n") >= percent * F.greatest("l.n", "r.n")) & ((100 + percent) * most >= percent * (F.col("l.n") + F.col("r.n")))
+def _near_sizes(percent: int):
+    return 100 * F.least("l.n", "r.n") >= percent * F.greatest("l.n", "r.n")
+
+
+def _enough(pairs: DataFrame, percent: int) -> DataFrame:
+    """Group pairs (g1, g2) of rows that each stand for one shared prefix shingle, where these are enough to reach the threshold.
+
+    Of the overlap, what is not shared in the prefixes lies behind the prefix that ends first.
+    """
+    behind = lambda n: F.floor(n * percent / 100.0 + 0.999999) - 1
+    least = F.ceil(percent * (F.col("n1") + F.col("n2")) / (100 + percent) - 1e-6)
+    pairs = pairs.select(F.col("l.gid").alias("g1"), F.col("r.gid").alias("g2"), F.col("l.n").alias("n1"), F.col("r.n").alias("n2"))
+    shared = pairs.groupBy("g1", "g2", "n1", "n2").agg(F.count("*").alias("shared"))
+    return shared.where(F.col("shared") >= least - F.greatest(behind(F.col("n1")), behind(F.col("n2")))).select("g1", "g2").distinct()
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, reps: DataFrame, percent: int, k: int) -> DataFrame:
@@ -142,7 +152,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, reps: DataFrame, percent: int,
                 yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in ids], pa.int64()), pa.array([x[1] for x in ids], pa.int64()), lists], names=["a", "b", "s"])
 
     sets = docs.select(F.xxhash64(F.col("doc_id").cast("long")).alias("h"), "text").mapInArrow(run, "a bigint, b bigint, s array<bigint>")
-    sets = sets.select(F.struct("a", "b").alias("c"), "s").join(ends, "c", "left_semi").groupBy("c").agg(F.first("s").alias("s"))
+    sets = sets.select(F.struct("a", "b").alias("c"), "s").groupBy("c").agg(F.first("s").alias("s"))
     sets = stored(sets, "jaccard-sets")
     one = sets.select(F.col("c").alias("u"), F.col("s").alias("su"))
     two = sets.select(F.col("c").alias("v"), F.col("s").alias("sv"))
@@ -170,9 +180,8 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, k: int = K) -> Data
         return x.where("c1 != c2").select(F.least("c1", "c2").alias("u"), F.greatest("c1", "c2").alias("v"))
 
     # Stars: each bucket's groups, and each group's classes, against a leader.
-    lead = buckets.groupBy("token").agg(F.min(F.struct("gid", "n", "pos")).alias("m"), F.count("*").alias("size")).where("size > 1").select("token", "m.*")
-    star = buckets.alias("l").join(lead.alias("r"), "token").where("l.gid != r.gid").where(_possible(percent))
-    star = star.select(F.col("l.gid").alias("g1"), F.col("r.gid").alias("g2")).distinct()
+    lead = buckets.groupBy("token").agg(F.min(F.struct("gid", "n")).alias("m"), F.count("*").alias("size")).where("size > 1").select("token", "m.*")
+    star = _enough(buckets.alias("l").join(lead.alias("r"), "token").where("l.gid != r.gid").where(_near_sizes(percent)), percent)
     first = classes.groupBy("gid").agg(F.min("c").alias("m"), F.count("*").alias("size")).where("size > 1").select("gid", "m")
     inner = classes.join(first, "gid").where("c != m").select(F.col("m").alias("u"), F.col("c").alias("v"))
     stars = stored(_verified(stored(expanded(star).union(inner).distinct(), "jaccard-stars"), docs, reps, percent, k), "jaccard-starlinks")
@@ -188,8 +197,8 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, k: int = K) -> Data
     mixed = open_.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("n_all"), F.count("label").alias("n_one"))
     mixed = mixed.where("n_all > 1 and (n_one < n_all or lo != hi)").select("token")
     open_ = stored(open_.join(mixed, "token", "left_semi"), "jaccard-open")
-    rest = open_.alias("l").join(open_.alias("r"), (F.col("l.token") == F.col("r.token")) & (F.col("l.gid") < F.col("r.gid")) & ~F.coalesce(F.col("l.label") == F.col("r.label"), F.lit(False)) & _possible(percent))
-    rest = expanded(rest.select(F.col("l.gid").alias("g1"), F.col("r.gid").alias("g2")).distinct())
+    rest = open_.alias("l").join(open_.alias("r"), (F.col("l.token") == F.col("r.token")) & (F.col("l.gid") < F.col("r.gid")) & ~F.coalesce(F.col("l.label") == F.col("r.label"), F.lit(False)) & _near_sizes(percent))
+    rest = expanded(_enough(rest, percent))
     split = groups.where("label is null").select("gid")
     some = state.join(split, "gid", "left_semi").select("gid", "c", "label")
     within = some.alias("l").join(some.alias("r"), (F.col("l.gid") == F.col("r.gid")) & (F.col("l.c") < F.col("r.c")) & (F.col("l.label") != F.col("r.label")))
