@@ -8,6 +8,7 @@ import uuid
 from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -64,3 +65,26 @@ def hits(bits: np.ndarray, log2_bits: int, hashes: np.ndarray) -> np.ndarray:
     """Which uint64 hashes fall on a set bit of `bitmap`."""
     at = hashes >> np.uint64(64 - log2_bits)
     return (bits[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1) != 0
+
+
+def without(df: DataFrame, key: str, ids: DataFrame, bits: int = 24) -> DataFrame:
+    """Rows of df whose key is not in ids: a bitmap of fixed size clears most rows in place, only the others go to an anti join.
+
+    Rows with a null key stay.
+    """
+    spark = ship(df.sparkSession)
+    ids = ids.select(F.col(key).alias("_gone")).where("_gone is not null").distinct()
+    known = spark.sparkContext.broadcast(bitmap(ids.select(F.xxhash64("_gone").alias("h")), "h", bits))
+    schema, names = df.schema, df.columns
+
+    def part(inside: bool):
+        def run(batches):
+            for b in batches:
+                at = np.flatnonzero(hits(known.value, bits, b.column(b.num_columns - 1).to_numpy().view(np.uint64)) == inside)
+                yield b.take(pa.array(at)).select(names)
+
+        return df.withColumn("_h", F.xxhash64(key)).mapInArrow(run, schema)
+
+    some = part(True)
+    return part(False).unionByName(some.join(ids, some[key] == ids["_gone"], "left_anti"))
+

@@ -1,10 +1,10 @@
 """Operator 8, mixing sources to target weights by weighted fair queueing.
 
 Documents are shuffled within their source by a digest of seed and doc_id, and each is offered up to EPOCHS times. An offer's
-virtual finish time is the words its source has taken up to the offer's middle, divided by the source's target. Offers are put in
-one global order of finish times and cut where the words taken reach the total budget: every source then stands within half a
-document of its target. Running sums are made in two steps, by bucket of the digest and inside each bucket, so that a source
-that holds most rows is no single task's work.
+virtual finish time is the words of its source up to the offer's middle, divided by the source's target. Offers are put in one
+global order of finish times and cut where the words taken reach the total budget, so every source stands within about half a
+document of its target. Running sums, within sources and over all, are made in two steps, by range and inside each range, so a
+source that holds most rows is no single task's work.
 """
 
 from __future__ import annotations
@@ -17,7 +17,7 @@ WEIGHTS = (3, 1, 2)
 SHARE = 1.5
 EPOCHS = 2
 SEED = "mix-1"
-BUCKETS = 4096  # the first three hexadecimal digits of the digest
+RANGES = 4096  # of finish times below 2; the digest's ranges are its first three hexadecimal digits
 
 
 def word_count(text: str = "text") -> Column:
@@ -45,29 +45,79 @@ def targets(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float
     return s.select("source", "source_size", t.cast("double").alias("target"))
 
 
+def scheduled(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, epochs: int = EPOCHS, seed: str = SEED) -> DataFrame:
+    """docs with size, source_size, target, _key (the digest) and _start, the words of the source before the document."""
+    d = docs.withColumn("size", word_count())
+    key = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))).cast("binary"))
+    d = d.withColumn("_key", key).withColumn("_range", F.substring("_key", 1, 3)).withColumn("_tie", F.xxhash64("text"))
+    parts = d.groupBy("source", "_range").agg(F.sum("size").alias("part"))
+    parts = parts.withColumn("_before", F.coalesce(F.sum("part").over(Window.partitionBy("source").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    goal = targets(parts.groupBy("source").agg(F.sum("part").alias("source_size")), weights, share, epochs)
+    goal = goal.withColumnRenamed("source", "_goal")
+    parts = parts.withColumnsRenamed({"source": "_source", "_range": "_r"}).join(goal, F.col("_source").eqNullSafe(F.col("_goal"))).select("_source", "_r", "_before", "source_size", "target")
+    inside = Window.partitionBy("source", "_range").orderBy("_key", "_tie", "size").rowsBetween(Window.unboundedPreceding, -1)
+    d = d.withColumn("_inside", F.coalesce(F.sum("size").over(inside), F.lit(0)))
+    d = d.join(parts, F.col("source").eqNullSafe(F.col("_source")) & (F.col("_range") == F.col("_r")))
+    return d.withColumn("_start", F.col("_before") + F.col("_inside")).drop("_source", "_r", "_before", "_inside", "_range", "_tie")
+
+
+def finish(epoch: int) -> Column:
+    """Virtual finish time, at the document's middle, of its offer in an epoch."""
+    return (F.lit(epoch) * F.col("source_size") + F.col("_start") + F.col("size") / 2) / F.col("target")
+
+
+def cut(plan: DataFrame, epochs: int, share: float) -> tuple[float, str, int] | None:
+    """The first offer, as (finish, _key, epoch), that no longer fits the budget; None if all fit. One row reaches the driver."""
+    offers = plan.where("size > 0").select("size", "_key", F.explode(F.array(*[F.struct(finish(e).alias("f"), F.lit(e).alias("e")) for e in range(epochs)])).alias("o")).select("size", "_key", "o.f", "o.e")
+    offers = offers.withColumn("range", F.least(F.floor(F.col("f") * (RANGES / 2)), F.lit(RANGES)).cast("int"))
+    sums = offers.groupBy("range").agg(F.sum("size").alias("part"))
+    up = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)  # RANGES + 1 rows at most
+    sums = sums.withColumn("before", F.coalesce(F.sum("part").over(up), F.lit(0))).withColumn("budget", F.lit(float(share)) * F.sum("part").over(Window.partitionBy()) / epochs)
+    at = sums.where("before + part >= budget").orderBy("range").first()
+    if at is None:
+        return None
+    run = Window.orderBy("f", "_key", "e").rowsBetween(Window.unboundedPreceding, -1)  # of one range
+    one = offers.where(F.col("range") == at["range"]).withColumn("before", F.lit(at["before"]) + F.coalesce(F.sum("size").over(run), F.lit(0)))
+    first = one.where(F.col("before") + F.col("size") / 2 > F.lit(at["budget"])).orderBy("f", "_key", "e").first()
+    return (first["f"], first["_key"], first["e"]) if first else (2 * (at["range"] + 1) / RANGES, "", 0)
+
+
 def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, epochs: int = EPOCHS, seed: str = SEED) -> DataFrame:
     """For each row of docs: its columns and size, source_size, target (of its source), taken (words the mix takes, repeats counted).
 
     taken is 0 to epochs times size, in whole documents. Null and blank texts have size 0 and are never taken. A null source is a
-    source of its own, after all others. Rows with equal doc_id follow in order of text, and equal rows in any order, so reruns
-    agree. Empty table: no rows. Columns named as the added ones are replaced.
+    source of its own, after all others. Reruns agree: rows of equal doc_id follow by a hash of their text, and equal rows share
+    what is taken in any order. Empty table, or no words at all: nothing is taken. Columns named as the added ones are replaced.
     """
     added = ["size", "source_size", "target", "taken"]
     kept = [c for c in docs.columns if c.lower() not in added]
-    d = docs.select(*kept, word_count().alias("size"))
-    key = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))))
-    d = d.withColumn("_key", key).withColumn("_bucket", F.substring("_key", 1, 3))
-    parts = d.groupBy("source", "_bucket").agg(F.sum("size").alias("part"))
-    parts = parts.withColumn("_before", F.coalesce(F.sum("part").over(Window.partitionBy("source").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    goal = targets(parts.groupBy("source").agg(F.sum("part").alias("source_size")), weights, share, epochs)
-    parts = parts.join(goal, parts["source"].eqNullSafe(goal["source"])).select(parts["source"].alias("_source"), F.col("_bucket").alias("_b"), "_before", "source_size", "target")
-    inside = Window.partitionBy("source", "_bucket").orderBy("_key", "doc_id", "text").rowsBetween(Window.unboundedPreceding, -1)
-    d = d.withColumn("_inside", F.coalesce(F.sum("size").over(inside), F.lit(0)))
-    d = d.join(parts, d["source"].eqNullSafe(parts["_source"]) & (d["_bucket"] == parts["_b"])).drop("_source", "_b")
-    # Finish times, at an offer's middle, of each offer; of those up to 1 the words add up to the budget.
-    start = F.col("_before") + F.col("_inside")
+    plan = scheduled(docs.select(*kept), weights, share, epochs, seed)
+    last = cut(scheduled(docs.select("doc_id", "source", "text"), weights, share, epochs, seed), epochs, share)
     taken = F.lit(0)
     for e in range(epochs):
-        finish = (F.lit(e) * F.col("source_size") + start + F.col("size") / 2) / F.col("target")
-        taken = taken + F.when((F.col("size") > 0) & (finish <= 1), F.col("size")).otherwise(0)
-    return d.withColumn("taken", taken.cast("long")).select(*kept, *added)
+        before = F.lit(True) if last is None else F.struct(finish(e), F.col("_key"), F.lit(e)) < F.struct(F.lit(last[0]), F.lit(last[1]), F.lit(last[2]))
+        taken = taken + F.when((F.col("size") > 0) & before, F.col("size")).otherwise(0)
+    return plan.withColumn("taken", taken.cast("long")).select(*kept, *added)
+
+
+def oracle(weights=WEIGHTS, share: float = SHARE, epochs: int = EPOCHS, seed: str = SEED, docs: str = "documents") -> str:
+    """The same in DuckDB's SQL."""
+    w = " ".join(f"WHEN {i} THEN {x}" for i, x in enumerate(weights))
+    offers = " UNION ALL ".join(f"SELECT size, k, ({e} * source_size + start + size / 2) / target AS f, {e} AS e FROM plan WHERE size > 0" for e in range(epochs))
+    took = " + ".join(f"CASE WHEN size > 0 AND (n.f IS NULL OR (({e} * source_size + start + size / 2) / target, plan.k, {e}) < (n.f, n.k, n.e)) THEN size ELSE 0 END" for e in range(epochs))
+    return f"""
+WITH d AS (SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^ \t\n\x0B\f\r]+')), 0)::BIGINT AS size, md5('{seed}:' || coalesce(doc_id::VARCHAR, 'null')) AS k FROM {docs}),
+s AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
+w AS (SELECT *, CASE (row_number() OVER (ORDER BY source NULLS LAST) - 1) % {len(weights)} {w} END::BIGINT AS w FROM s),
+u AS (SELECT *, coalesce(sum(source_size) OVER o, 0)::BIGINT AS full_, coalesce(sum(w) OVER o, 0)::BIGINT AS done, (sum(w) OVER ())::BIGINT AS all_w, (sum(source_size) OVER ())::BIGINT AS all_size
+  FROM w WINDOW o AS (ORDER BY source_size / w, w, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+v AS (SELECT *, ({share}::DOUBLE * all_size - {epochs}::DOUBLE * full_) / (all_w - done) AS level FROM u),
+x AS (SELECT arg_min(level, (source_size / w, w, done)) AS level FROM v WHERE level * w <= {epochs}::DOUBLE * source_size),
+t AS (SELECT source, source_size, least(coalesce(x.level * w, {epochs}::DOUBLE * source_size), {epochs}::DOUBLE * source_size) AS target FROM v CROSS JOIN x),
+plan AS (SELECT d.doc_id, d.size, d.k, t.source_size, t.target, coalesce(sum(d.size) OVER (PARTITION BY d.source ORDER BY d.k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start
+  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
+o AS ({offers}),
+r AS (SELECT *, coalesce(sum(size) OVER (ORDER BY f, k, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before, {share}::DOUBLE * (sum(size) OVER ()) / {epochs} AS budget FROM o),
+n AS (SELECT min(f) AS f, arg_min(k, (f, k, e)) AS k, arg_min(e, (f, k, e)) AS e FROM r WHERE before + size / 2 > budget)
+SELECT doc_id, size, source_size, target, ({took})::BIGINT AS taken FROM plan CROSS JOIN n
+"""
