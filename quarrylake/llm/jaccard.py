@@ -20,8 +20,8 @@ from quarrylake.llm import _sketch, _text
 from quarrylake.llm._work import bitmap, hits, ship, stored
 from quarrylake.llm.components import components
 
-HOT_LIST = 1 << 17
-HOT_IN_BATCH = 4
+HOT_LIST = 1 << 18
+HOT_IN_BATCH = 2
 DOC_BITS = 24
 PERCENT = 80
 K = 5
@@ -93,7 +93,7 @@ def prefixes(docs: DataFrame, percent: int, k: int) -> DataFrame:
 
 
 def _buckets(table: DataFrame) -> DataFrame:
-    """(token, gid, n), once for each group, without the tokens seen once."""
+    """(token, gid, n, pos), once for each group, without the tokens seen once."""
     total = table.agg(F.sum(F.size("prefix"))).first()[0] or 0
     bits = _sketch.width(total)
 
@@ -108,11 +108,12 @@ def _buckets(table: DataFrame) -> DataFrame:
             lens = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
             tok = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
             row = np.repeat(np.arange(b.num_rows), lens)
+            pos = np.arange(len(tok)) - np.repeat(np.cumsum(lens) - lens, lens)
             keep = np.flatnonzero(_sketch.repeated(maps.value, bits, tok))
             row = row[keep]
-            yield pa.RecordBatch.from_arrays([_text.longs(tok[keep]), b.column(0).take(pa.array(row)), b.column(1).take(pa.array(row))], names=["token", "gid", "n"])
+            yield pa.RecordBatch.from_arrays([_text.longs(tok[keep]), b.column(0).take(pa.array(row)), b.column(1).take(pa.array(row)), pa.array(pos[keep].astype(np.int64))], names=["token", "gid", "n", "pos"])
 
-    rows = table.where("n > 0").select("gid", "n", "prefix").mapInArrow(run, "token bigint, gid bigint, n bigint")
+    rows = table.where("n > 0").select("gid", "n", "prefix").mapInArrow(run, "token bigint, gid bigint, n bigint, pos bigint")
     return rows.distinct()
 
 
@@ -120,16 +121,16 @@ def _near_sizes(percent: int):
     return 100 * F.least("l.n", "r.n") >= percent * F.greatest("l.n", "r.n")
 
 
-def _enough(pairs: DataFrame, percent: int) -> DataFrame:
-    """Group pairs (g1, g2) of rows that each stand for one shared prefix shingle, where these are enough to reach the threshold.
+def _first_shared(percent: int):
+    """What holds of the first shingle that two sets of enough overlap share: all of the overlap is here or further on."""
+    here = F.least(F.col("l.n") - F.col("l.pos"), F.col("r.n") - F.col("r.pos"))
+    return (100 + percent) * here >= percent * (F.col("l.n") + F.col("r.n"))
 
-    Of the overlap, what is not shared in the prefixes lies behind the prefix that ends first.
-    """
+
+def _least_shared(percent: int):
+    """How many prefix shingles two sets of n1 and n2 with enough overlap share: the rest is behind the prefix that ends first."""
     behind = lambda n: F.floor(n * percent / 100.0 + 0.999999) - 1
-    least = F.ceil(percent * (F.col("n1") + F.col("n2")) / (100 + percent) - 1e-6)
-    pairs = pairs.select(F.col("l.gid").alias("g1"), F.col("r.gid").alias("g2"), F.col("l.n").alias("n1"), F.col("r.n").alias("n2"))
-    shared = pairs.groupBy("g1", "g2", "n1", "n2").agg(F.count("*").alias("shared"))
-    return shared.where(F.col("shared") >= least - F.greatest(behind(F.col("n1")), behind(F.col("n2")))).select("g1", "g2").distinct()
+    return F.ceil(percent * (F.col("n1") + F.col("n2")) / (100 + percent) - 1e-6) - F.greatest(behind(F.col("n1")), behind(F.col("n2")))
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, reps: DataFrame, percent: int, k: int) -> DataFrame:
@@ -181,7 +182,9 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, k: int = K) -> Data
 
     # Stars: each bucket's groups, and each group's classes, against a leader.
     lead = buckets.groupBy("token").agg(F.min(F.struct("gid", "n")).alias("m"), F.count("*").alias("size")).where("size > 1").select("token", "m.*")
-    star = _enough(buckets.alias("l").join(lead.alias("r"), "token").where("l.gid != r.gid").where(_near_sizes(percent)), percent)
+    star = buckets.alias("l").join(lead.alias("r"), "token").where("l.gid != r.gid").where(_near_sizes(percent))
+    star = star.groupBy(F.col("l.gid").alias("g1"), F.col("r.gid").alias("g2"), F.col("l.n").alias("n1"), F.col("r.n").alias("n2")).agg(F.count("*").alias("shared"))
+    star = star.where(F.col("shared") >= _least_shared(percent)).select("g1", "g2")
     first = classes.groupBy("gid").agg(F.min("c").alias("m"), F.count("*").alias("size")).where("size > 1").select("gid", "m")
     inner = classes.join(first, "gid").where("c != m").select(F.col("m").alias("u"), F.col("c").alias("v"))
     stars = stored(_verified(stored(expanded(star).union(inner).distinct(), "jaccard-stars"), docs, reps, percent, k), "jaccard-starlinks")
@@ -197,8 +200,11 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, k: int = K) -> Data
     mixed = open_.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("n_all"), F.count("label").alias("n_one"))
     mixed = mixed.where("n_all > 1 and (n_one < n_all or lo != hi)").select("token")
     open_ = stored(open_.join(mixed, "token", "left_semi"), "jaccard-open")
-    rest = open_.alias("l").join(open_.alias("r"), (F.col("l.token") == F.col("r.token")) & (F.col("l.gid") < F.col("r.gid")) & ~F.coalesce(F.col("l.label") == F.col("r.label"), F.lit(False)) & _near_sizes(percent))
-    rest = expanded(_enough(rest, percent))
+    rest = open_.alias("l").join(open_.alias("r"), (F.col("l.token") == F.col("r.token")) & (F.col("l.gid") < F.col("r.gid")) & ~F.coalesce(F.col("l.label") == F.col("r.label"), F.lit(False)) & _near_sizes(percent) & _first_shared(percent))
+    rest = rest.select(F.col("l.gid").alias("g1"), F.col("r.gid").alias("g2"), F.col("l.n").alias("n1"), F.col("r.n").alias("n2")).distinct()
+    heads = buckets.join(open_.select("gid").distinct(), "gid", "left_semi").groupBy("gid").agg(F.collect_list("token").alias("head"))
+    rest = rest.join(heads.select(F.col("gid").alias("g1"), F.col("head").alias("h1")), "g1").join(heads.select(F.col("gid").alias("g2"), F.col("head").alias("h2")), "g2")
+    rest = expanded(rest.where(F.size(F.array_intersect("h1", "h2")) >= _least_shared(percent)).select("g1", "g2"))
     split = groups.where("label is null").select("gid")
     some = state.join(split, "gid", "left_semi").select("gid", "c", "label")
     within = some.alias("l").join(some.alias("r"), (F.col("l.gid") == F.col("r.gid")) & (F.col("l.c") < F.col("r.c")) & (F.col("l.label") != F.col("r.label")))
