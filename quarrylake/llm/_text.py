@@ -11,7 +11,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-PIECE = 1 << 20
+PIECE = 1 << 18
 _U = np.uint64
 
 
@@ -62,7 +62,7 @@ def bytes_of(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return d, o - o[0]
 
 
-def blocks(batch: pa.RecordBatch, text: str = "text", most: int = 2 * PIECE) -> Iterator[pa.RecordBatch]:
+def blocks(batch: pa.RecordBatch, text: str = "text", most: int = 4 * PIECE) -> Iterator[pa.RecordBatch]:
     """Slices of a batch with at most `most` bytes of text each (or one longer document)."""
     _, o = bytes_of(batch.column(batch.schema.get_field_index(text)))
     at = 0

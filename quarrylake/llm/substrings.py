@@ -137,11 +137,15 @@ def dedup_substrings(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, wi
 
     def chosen(bits_of):
         def run(batches):
-            for b in batches:
-                yield b.take(pa.array(np.flatnonzero(hits(bits_of.value, DOC_BITS, b.column(1).to_numpy().view(np.uint64)))))
+            for batch in batches:
+                batch = batch.take(pa.array(np.flatnonzero(hits(bits_of.value, DOC_BITS, batch.column(1).to_numpy().view(np.uint64)))))
+                for b in _text.blocks(batch):
+                    data, offs = _text.bytes_of(b.column(2))
+                    (h,), first = _text.words(data, offs, lower=False)
+                    f1 = [_ids([h[lo:hi]])[0] for lo, hi in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)]
+                    yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(f1, pa.int64())], names=["doc_id", "text", "f1"])
 
-        picked = rows.select("doc_id", "h", "text").mapInArrow(run, "doc_id bigint, h bigint, text string")
-        return picked.mapInArrow(_with_print, "doc_id bigint, text string, f1 bigint")
+        return rows.select("doc_id", "h", "text").mapInArrow(run, "doc_id bigint, text string, f1 bigint")
 
     firsts = chosen(of_copy).join(whole, ["doc_id", "f1"], "left_anti").select("doc_id", F.lit(0).cast("long").alias("h"), "text")
     wins = _windows(rows, maps, bits, window, gram, skip=of_copy).unionByName(_windows(firsts, maps, bits, window, gram))
@@ -181,12 +185,3 @@ def dedup_substrings(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, wi
     matched = chosen(touched).join(gone, ["doc_id", "f1"], "left")
     out = untouched.unionByName(matched.select("doc_id", "text", "starts", "all").mapInArrow(cut, RESULT))
     return out if with_text else out.drop("kept")
-
-
-def _with_print(batches):
-    for batch in batches:
-        for b in _text.blocks(batch):
-            data, offs = _text.bytes_of(b.column(2))
-            (h,), first = _text.words(data, offs, lower=False)
-            f1 = [_ids([h[lo:hi]])[0] for lo, hi in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(f1, pa.int64())], names=["doc_id", "text", "f1"])
