@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quarrylake.llm import decontaminate, jaccard, langid, licenses, mixing, quality, substrings, tokens, topk
+from quarrylake.llm import decontaminate, jaccard, langid, licenses, mixing, pii, quality, substrings, tokens, topk
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,6 +33,10 @@ def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.dedup_substrings(table(spark, sf_dir, "documents"))
 
 
+def op6_pii_sanitisation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.scan(table(spark, sf_dir, "documents"))
+
+
 def op7_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -55,6 +59,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_token_counts": op3_token_counts,
     "op4_language_id": op4_language_id,
     "op5_substring_dedup": op5_substring_dedup,
+    "op6_pii_sanitisation": op6_pii_sanitisation,
     "op7_ngram_jaccard_join": op7_ngram_jaccard_join,
     "op8_source_mixing": op8_source_mixing,
     "op9_exact_topk": op9_exact_topk,

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarrylake.llm import _sketch, _text
-from quarrylake.llm._work import bitmap, hits, ship, stored
+from quarrylake.llm._work import bitmap, hits, ship, stored, without
 from quarrylake.llm.components import components
 
 HOT_LIST = 1 << 18
@@ -219,3 +219,12 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, k: int = K) -> Data
     named = named.join(low, "label").select(F.col("c.a").alias("a"), F.col("c.b").alias("b"), "component_id")
     out = table.join(named, ["a", "b"], "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+
+
+def deduplicated(docs: DataFrame, percent: int = PERCENT, k: int = K) -> DataFrame:
+    """docs with one document, that of the smallest doc_id, of each component of near duplicates; rows without doc_id stay."""
+    links = stored(near_duplicates(docs, percent, k), "jaccard-documents")
+    later = links.where("doc_id != component_id").select("doc_id")
+    twice = links.groupBy("doc_id").count().where("count > 1 and doc_id is not null").select("doc_id").join(later.distinct(), "doc_id", "left_anti")
+    rest = without(docs, "doc_id", later.union(twice))
+    return rest.unionByName(docs.join(twice, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(docs.columns))

@@ -170,14 +170,8 @@ def features(data: np.ndarray, w: np.ndarray, v: np.ndarray, log2_dims: int) ->
     return np.concatenate([at, (1 << log2_dims) + np.append(0, 1 + 3 * voted + v[voted])]), np.concatenate([weighed(at, n, None), [1.0], np.full(len(voted), 0.5)])
 
 
-def classify(docs: DataFrame, labels: DataFrame | None = None, sample: int = SAMPLE, threshold: float = THRESHOLD, log2_dims: int = LOG2_DIMS) -> DataFrame:
-    """For each row of docs: doc_id, score (of not being junk, 0 to 1), toxic_score (0 to 1), keep (score >= 1 - threshold and
-    toxic_score < threshold).
-
-    labels(doc_id, quality 0 or 1, toxic 0 or 1), if given, counts as a labeller of both heads; nulls abstain, and of several rows
-    of a doc_id the worst holds. Texts that are null or blank have score 0, toxic_score 0, and are not kept. Repeated rows are scored each, and equal texts
-    equally. Empty table: no rows. Other columns are not read.
-    """
+def fit(docs: DataFrame, labels: DataFrame | None = None, sample: int = SAMPLE, log2_dims: int = LOG2_DIMS) -> np.ndarray:
+    """The scorer's weights: two columns, good and bad, for each head."""
     spark = ship(docs.sparkSession)
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
 
@@ -226,20 +220,47 @@ def classify(docs: DataFrame, labels: DataFrame | None = None, sample: int = SAM
     for head in HEADS:
         bad = some.column(head).to_numpy()
         fitted.append(Ftrl(dims, 2, l1=0.05).fit(rows, np.stack([1 - bad, bad], axis=1)))
-    w_all = spark.sparkContext.broadcast(np.concatenate(fitted, axis=1).astype(np.float32))
+    return np.concatenate(fitted, axis=1).astype(np.float32)
+
+
+def scored(texts: pa.Array, w: np.ndarray, threshold: float, log2_dims: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(score, toxic_score, keep) of each text."""
+    data, offs = _text.bytes_of(texts)
+    v, ws, has = votes(data, offs)
+    good, toxic = np.zeros(len(texts)), np.zeros(len(texts))
+    for i in np.flatnonzero(has).tolist():
+        at, x = features(data[offs[i] : offs[i + 1]], ws[i], np.concatenate([v[h][i] for h in HEADS]), log2_dims)
+        s = x @ w[at]
+        good[i], toxic[i] = softmax(s[:2])[0], softmax(s[2:])[1]
+    return good, toxic, has & (good >= 1 - threshold) & (toxic < threshold)
+
+
+def classify(docs: DataFrame, labels: DataFrame | None = None, sample: int = SAMPLE, threshold: float = THRESHOLD, log2_dims: int = LOG2_DIMS) -> DataFrame:
+    """For each row of docs: doc_id, score (of not being junk, 0 to 1), toxic_score (0 to 1), keep (score >= 1 - threshold and
+    toxic_score < threshold).
+
+    labels(doc_id, quality 0 or 1, toxic 0 or 1), if given, counts as a labeller of both heads; nulls abstain, and of several rows
+    of a doc_id the worst holds. Texts that are null or blank have score 0, toxic_score 0, and are not kept. Repeated rows are scored each, and equal texts
+    equally. Empty table: no rows. Other columns are not read.
+    """
+    weights = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, sample, log2_dims))
 
     def run(batches):
-        w = w_all.value
         for batch in batches:
             for b in _text.blocks(batch):
-                data, offs = _text.bytes_of(b.column(1))
-                v, ws, has = votes(data, offs)
-                good, toxic = np.zeros(b.num_rows), np.zeros(b.num_rows)
-                for i in np.flatnonzero(has).tolist():
-                    at, x = features(data[offs[i] : offs[i + 1]], ws[i], np.concatenate([v[h][i] for h in HEADS]), log2_dims)
-                    s = x @ w[at]
-                    good[i], toxic[i] = softmax(s[:2])[0], softmax(s[2:])[1]
-                keep = has & (good >= 1 - threshold) & (toxic < threshold)
+                good, toxic, keep = scored(b.column(1), weights.value, threshold, log2_dims)
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array(good), pa.array(toxic), pa.array(keep)], names=["doc_id", "score", "toxic_score", "keep"])
 
-    return d.mapInArrow(run, "doc_id bigint, score double, toxic_score double, keep boolean")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id bigint, score double, toxic_score double, keep boolean")
+
+
+def accepted(docs: DataFrame, labels: DataFrame | None = None, sample: int = SAMPLE, threshold: float = THRESHOLD, log2_dims: int = LOG2_DIMS) -> DataFrame:
+    """The rows of docs that `classify` keeps, with all their columns."""
+    weights = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, sample, log2_dims))
+
+    def run(batches):
+        for batch in batches:
+            for b in _text.blocks(batch):
+                yield b.filter(pa.array(scored(b.column(b.schema.get_field_index("text")), weights.value, threshold, log2_dims)[2]))
+
+    return docs.mapInArrow(run, docs.schema)
