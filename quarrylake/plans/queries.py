@@ -17,7 +17,10 @@ from quarrylake.streaming import sync
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLE: dict[str, str] = {}
-_NOW = F.lit(AS_OF).cast("timestamp")
+
+
+def _now():
+    return F.lit(AS_OF).cast("timestamp")
 
 
 def registered(sql: str | None = None, name: str | None = None):
@@ -96,7 +99,7 @@ def get_concept(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @registered(_docs(f"SELECT count(*) AS total, count(*) FILTER (trust_tier <> 'unverified') AS verified, count(*) FILTER (day::TIMESTAMP < TIMESTAMP '{AS_OF}') AS stale, count(*) FILTER (status = 'deprecated') AS deprecated FROM c"))
 def trust_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return catalog.trust_summary(document_concepts(spark, sf_dir), _NOW)
+    return catalog.trust_summary(document_concepts(spark, sf_dir), _now())
 
 
 @registered(_docs("SELECT trust_tier, count(*) AS n FROM c GROUP BY 1"))
@@ -106,7 +109,7 @@ def trust_tier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @registered(_docs(f"SELECT id, day::TIMESTAMP < TIMESTAMP '{AS_OF}' AS stale, trust_tier <> 'unverified' AS verified FROM c"))
 def is_stale(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return document_concepts(spark, sf_dir).select("id", fn.is_stale("stale_after", _NOW).alias("stale"), fn.is_verified("verified").alias("verified"))
+    return document_concepts(spark, sf_dir).select("id", fn.is_stale("stale_after", _now()).alias("stale"), fn.is_verified("verified").alias("verified"))
 
 
 @registered(_docs("SELECT coalesce(nullif(type, ''), 'Other') AS nav_group, id, title AS label FROM c"))
@@ -170,12 +173,12 @@ UNION ALL SELECT id, 'WARNING', 'concept is stale (stale_after date ''' || day |
 
 @registered(_docs(_ROW_RULES))
 def lint_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return validate.lint(document_concepts(spark, sf_dir), _NOW).select("concept_id", "severity", "message")
+    return validate.lint(document_concepts(spark, sf_dir), _now()).select("concept_id", "severity", "message")
 
 
 @registered(f"WITH {DOCS_SQL}, i AS ({_ROW_RULES}) SELECT count(*) FILTER (severity = 'ERROR') AS errors, count(*) FILTER (severity = 'WARNING') AS warnings FROM i")
 def lint_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return validate.lint_counts(validate.lint(document_concepts(spark, sf_dir), _NOW))
+    return validate.lint_counts(validate.lint(document_concepts(spark, sf_dir), _now()))
 
 
 @registered(_docs("SELECT id AS concept_id, CASE WHEN status = 'deprecated' THEN 'concept is marked as deprecated' ELSE 'unrecognized lifecycle status ''poor'' (expected draft, stable, or deprecated)' END AS message FROM c WHERE status IN ('deprecated', 'poor')"))
@@ -185,7 +188,7 @@ def lint_status(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @registered(_docs(f"SELECT id AS concept_id, 'concept is stale (stale_after date ''' || day || ''' has passed)' AS message FROM c WHERE day::TIMESTAMP < TIMESTAMP '{AS_OF}'"))
 def lint_freshness(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return validate.row_issues(document_concepts(spark, sf_dir), validate.freshness_rules(_NOW)).select("concept_id", "message")
+    return validate.row_issues(document_concepts(spark, sf_dir), validate.freshness_rules(_now())).select("concept_id", "message")
 
 
 @registered(_docs("SELECT id AS concept_id, 'invalid ''verified[0].at'' date format ''' || lang || '''' AS message FROM c WHERE trust_tier = 'human' UNION ALL SELECT id, 'invalid ''generated.at'' date format ''' || source || '''' FROM c"))

@@ -198,13 +198,12 @@ _DEF = "kind string, package string, name string, fqn string, comment string, fi
 
 def parse_proto(text: str) -> list[tuple]:
     """Messages (nested ones too), then services, of a proto file, with their leading comments."""
-    raw, tokens, notes = _TOKEN.findall(text), [], {}
-    pending = []
-    for t in raw:
-        if t.startswith("//"):
-            pending.append(t[2:].strip())
-        elif t.startswith("/*"):
-            pending.append("\n".join(x.strip().lstrip("*").strip() for x in t[2:-2].split("\n")).strip())
+    tokens, notes, pending, end = [], {}, [], 0
+    for m in _TOKEN.finditer(text):
+        t, own_line, end = m[0], "\n" in text[end : m.start()] or not tokens, m.end()
+        if t.startswith(("//", "/*")):
+            if own_line or pending:  # one that follows on the same line belongs to what is before it
+                pending.append(t[2:].strip() if t.startswith("//") else "\n".join(x.strip().lstrip("*").strip() for x in t[2:-2].split("\n")).strip())
         else:
             if pending:
                 notes[len(tokens)] = "\n".join(pending)
@@ -409,7 +408,7 @@ def html_title(html: Column | str) -> Column:
 
 def html_markdown(html: Column | str) -> Column:
     """Headings, links, lists and paragraphs of stripped HTML as Markdown."""
-    out = F.regexp_replace(stripped_html(html), r"(?is)<head\b.*?</head\s*>", "")
+    out = F.regexp_replace(stripped_html(html), r"(?is)<(head|title)\b.*?</\1\s*>", "")
     for n in range(1, 7):
         out = F.regexp_replace(out, rf"(?is)<h{n}\b[^>]*>\s*(.*?)\s*</h{n}\s*>", "\n\n" + "#" * n + " $1\n\n")
     for pattern, by in ((r"""(?is)<a\b[^>]*\bhref\s*=\s*["']([^"']*)["'][^>]*>(.*?)</a\s*>""", "[$2]($1)"), (r"(?is)<li\b[^>]*>\s*", "\n- "), (r"(?is)<(?:strong|b)\b[^>]*>(.*?)</(?:strong|b)\s*>", "**$1**"), (r"(?is)<(?:em|i)\b[^>]*>(.*?)</(?:em|i)\s*>", "_$1_"), (r"(?is)<br\b[^>]*>", "\n"), (r"(?is)</?(?:p|div|ul|ol|section|article|table|tr)\b[^>]*>", "\n\n"), (r"(?s)<[^>]+>", "")):
