@@ -21,8 +21,8 @@ from quarrylake.llm._work import ship
 
 LOG2_DIMS = 14
 ORDERS = (1, 2, 3)
-PER_LANGUAGE = 1500
-SAMPLE = 12_000
+PER_LANGUAGE = 1000
+SAMPLE = 8_000
 UNKNOWN = "und"
 _LETTER = re.compile(r"[^\W\d_]")
 
@@ -75,8 +75,8 @@ def fit(train: DataFrame, per_language: int = PER_LANGUAGE, most: int = SAMPLE,
     names = sorted(set(s.column("lang").to_pylist()))
     rows = []
     for at, n in zip(s.column("at").to_pylist(), s.column("n").to_pylist(), strict=True):
-        a, c = np.frombuffer(at, np.int32).astype(np.int64), np.frombuffer(n, np.int32)
-        rows.append((a, weighed(a, c, idf)))
+        a, c = np.frombuffer(at, np.int32), np.frombuffer(n, np.int32)
+        rows.append((a, weighed(a, c, idf).astype(np.float32)))
     y = np.array([names.index(x) for x in s.column("lang").to_pylist()], np.int64)
     held = np.array([zlib.crc32(f"calibrate:{i}".encode()) % 5 == 0 for i in s.column("doc_id").to_pylist()], bool)
     if held.all() or not len(rows):

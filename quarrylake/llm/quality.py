@@ -20,7 +20,7 @@ from quarrylake.llm._linear import Ftrl, counted, hashed_grams, softmax, weighed
 from quarrylake.llm._work import ship
 
 LOG2_DIMS = 14
-SAMPLE = 12_000
+SAMPLE = 6_000
 THRESHOLD = 0.5
 SHORT = 20  # words below which repetition says nothing
 GOOD, NONE, BAD = 0, 1, 2
@@ -214,7 +214,7 @@ def fit(docs: DataFrame, labels: DataFrame | None = None, sample: int = SAMPLE,
     picked = d.where("doc_id is not null").where(mark * total < sample).join(people, "doc_id", "left")
     picked = picked.select("doc_id", "text", *(F.coalesce(f"p_{h}", F.lit(NONE)).cast("long").alias(f"p_{h}") for h in HEADS))
     some = picked.mapInArrow(vectors, "doc_id bigint, at binary, x binary, junk double, toxic double").limit(2 * sample).toArrow().sort_by([("doc_id", "ascending")])
-    rows = [(np.frombuffer(a, np.int32).astype(np.int64), np.frombuffer(x, np.float32).astype(np.float64)) for a, x in zip(some.column("at").to_pylist(), some.column("x").to_pylist(), strict=True)]
+    rows = [(np.frombuffer(a, np.int32), np.frombuffer(x, np.float32)) for a, x in zip(some.column("at").to_pylist(), some.column("x").to_pylist(), strict=True)]
     dims = (1 << log2_dims) + 1 + 3 * sum(HEADS.values())
     fitted = []
     for head in HEADS:
