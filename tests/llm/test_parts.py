@@ -84,14 +84,14 @@ def test_cover_tree_prunes_and_is_exact():
     rng = np.random.default_rng(4)
     centers = rng.integers(-400, 400, (12, 6))
     x = (centers[rng.integers(0, 12, 3000)] + rng.integers(-3, 4, (3000, 6))).astype(float)
-    q, ids = x[:200], np.arange(3000)
-    best = topk.Best(200, 5, np.full(200, topk.LOW))
+    q, ids = x[:1200], np.arange(3000)
+    best = topk.Best(1200, 5, np.full(1200, topk.LOW))
     trees = topk.CoverTree(q), topk.CoverTree(x)
-    looked = topk.search(trees[0], ids[:200], trees[1], ids, best)
+    looked = topk.search(trees[0], ids[:1200], trees[1], ids, best)
     leaves = [sum(p is not None for p in t.points) for t in trees]
     assert looked < leaves[0] * leaves[1] / 2
     scores = (q @ x.T).astype(np.int64)
-    for i in range(200):
+    for i in range(1200):
         scores[i, i] = topk.LOW
         want = sorted((-int(s), j) for j, s in enumerate(scores[i]))[:5]
         assert [(-int(a), int(b)) for a, b in zip(best.score[i], best.id[i], strict=True)] == want
