@@ -20,7 +20,7 @@ from quarrylake.llm._linear import Ftrl, counted, hashed_grams, softmax, weighed
 from quarrylake.llm._work import ship
 
 LOG2_DIMS = 14
-SAMPLE = 6_000
+SAMPLE = 2_500
 THRESHOLD = 0.5
 SHORT = 20  # words below which repetition says nothing
 GOOD, NONE, BAD = 0, 1, 2
@@ -215,10 +215,11 @@ def fit(docs: DataFrame, labels: DataFrame | None = None, sample: int = SAMPLE,
     picked = picked.select("doc_id", "text", *(F.coalesce(f"p_{h}", F.lit(NONE)).cast("long").alias(f"p_{h}") for h in HEADS))
     some = picked.mapInArrow(vectors, "doc_id bigint, at binary, x binary, junk double, toxic double").limit(2 * sample).toArrow().sort_by([("doc_id", "ascending")])
     rows = [(np.frombuffer(a, np.int32), np.frombuffer(x, np.float32)) for a, x in zip(some.column("at").to_pylist(), some.column("x").to_pylist(), strict=True)]
+    posts = {h: some.column(h).to_numpy() for h in HEADS}
+    del some
     dims = (1 << log2_dims) + 1 + 3 * sum(HEADS.values())
     fitted = []
-    for head in HEADS:
-        bad = some.column(head).to_numpy()
+    for head, bad in posts.items():
         fitted.append(Ftrl(dims, 2, l1=0.05).fit(rows, np.stack([1 - bad, bad], axis=1)))
     return np.concatenate(fitted, axis=1).astype(np.float32)
 
