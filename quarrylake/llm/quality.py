@@ -16,13 +16,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarrylake.llm import _text
-from quarrylake.llm._linear import Ftrl, counted, hashed_grams, softmax, weighed
+from quarrylake.llm._linear import Ftrl, counted, hashed_grams, softmax
 from quarrylake.llm._work import ship
 
 LOG2_DIMS = 14
 SAMPLE = 2_500
 THRESHOLD = 0.5
 SHORT = 20  # words below which repetition says nothing
+SHRINK = 400.0  # in the square of a text's length in features, so that the few features of short texts weigh little
 GOOD, NONE, BAD = 0, 1, 2
 
 # Insults, as nouns and as adjectives.
@@ -135,21 +136,23 @@ def decoded(code: np.ndarray, k: int) -> np.ndarray:
 
 
 def estimate(patterns: np.ndarray, counts: np.ndarray, rounds: int = 60, prior: float = 5.0) -> tuple[float, np.ndarray]:
-    """(share of bad documents, P(vote | good or bad) by labeller) from counted vote patterns.
+    """(share of bad documents, P(vote | good or bad, no abstention) by labeller) from counted vote patterns.
+
+    Abstentions say nothing: labellers abstain together on short texts, so they are no independent evidence.
 
     Starts from the number of bad votes, since each kind of bad document moves its own labellers only. A few pseudo-counts say that labellers are more often right than wrong, which also keeps
     the two classes from changing places.
     """
     k = patterns.shape[1]
     post = np.array([0.02, 0.6, 0.9])[np.minimum(2, (patterns == BAD).sum(axis=1))]
-    pseudo = prior * np.array([[0.6, 0.3, 0.1], [0.1, 0.3, 0.6]])
-    share, table = 0.1, np.zeros((2, k, 3))
+    pseudo = prior * np.array([[0.8, 0.0, 0.2], [0.2, 0.0, 0.8]])
+    share, table = 0.1, np.ones((2, k, 3))
     for _ in range(rounds):
         by = np.stack([counts * (1 - post), counts * post])
         share = float((by[1].sum() + 1) / (counts.sum() + 10))
-        for v in range(3):
+        for v in (GOOD, BAD):
             table[:, :, v] = by @ (patterns == v) + pseudo[:, None, v]
-        table /= table.sum(axis=2, keepdims=True)
+        table[:, :, [GOOD, BAD]] /= table[:, :, [GOOD, BAD]].sum(axis=2, keepdims=True)
         post = posterior(patterns, share, table)
     return share, table
 
@@ -162,12 +165,13 @@ def posterior(patterns: np.ndarray, share: float, table: np.ndarray) -> np.ndarr
 
 
 def features(data: np.ndarray, w: np.ndarray, v: np.ndarray, log2_dims: int) -> tuple[np.ndarray, np.ndarray]:
-    """(buckets, values) of a text: words, runs of three and six bytes, a constant, and each vote cast."""
+    """(buckets, values) of a text: words, runs of three and six bytes, a constant, and for each labeller whether
+    it votes bad; short texts, on which many abstain, thus look like good ones."""
     part, codes = log2_dims - 2, data.astype(np.uint64)
     grams = [hashed_grams(codes, 3, part) + (1 << part), hashed_grams(codes, 6, part + 1) + (2 << part)]
     at, n = counted(np.concatenate([(w >> np.uint64(64 - part)).astype(np.int64), *grams]), 1 << log2_dims)
-    voted = np.flatnonzero(v != NONE)
-    return np.concatenate([at, (1 << log2_dims) + np.append(0, 1 + 3 * voted + v[voted])]), np.concatenate([weighed(at, n, None), [1.0], np.full(len(voted), 0.5)])
+    x, votes_at = 1 + np.log(n), 1 + 2 * np.arange(len(v)) + (v == BAD)
+    return np.concatenate([at, (1 << log2_dims) + np.append(0, votes_at)]), np.concatenate([x / np.sqrt((x * x).sum() + SHRINK), [1.0], np.full(len(v), 0.5)])
 
 
 def fit(docs: DataFrame, labels: DataFrame | None = None, sample: int = SAMPLE, log2_dims: int = LOG2_DIMS) -> np.ndarray:
@@ -192,7 +196,7 @@ def fit(docs: DataFrame, labels: DataFrame | None = None, sample: int = SAMPLE,
     for head, k in HEADS.items():
         mine = [(c, n) for h, c, n in zip(*(t.column(i).to_pylist() for i in range(3)), strict=True) if h == head]
         p = decoded(np.array([c for c, _ in mine], np.int64), k + 1)
-        model[head] = estimate(p, np.array([n for _, n in mine], np.float64)) if mine else (0.1, np.full((2, k + 1, 3), 1 / 3))
+        model[head] = estimate(p, np.array([n for _, n in mine], np.float64)) if mine else (0.1, np.ones((2, k + 1, 3)))
 
     total = sum(n for h, n in zip(t.column(0).to_pylist(), t.column(2).to_pylist(), strict=True) if h == "junk")
     mark = F.pmod(F.xxhash64(F.lit("quality"), "doc_id"), F.lit(1 << 30)) / float(1 << 30)
@@ -217,7 +221,7 @@ def fit(docs: DataFrame, labels: DataFrame | None = None, sample: int = SAMPLE,
     rows = [(np.frombuffer(a, np.int32), np.frombuffer(x, np.float32)) for a, x in zip(some.column("at").to_pylist(), some.column("x").to_pylist(), strict=True)]
     posts = {h: some.column(h).to_numpy() for h in HEADS}
     del some
-    dims = (1 << log2_dims) + 1 + 3 * sum(HEADS.values())
+    dims = (1 << log2_dims) + 1 + 2 * sum(HEADS.values())
     fitted = []
     for head, bad in posts.items():
         fitted.append(Ftrl(dims, 2, l1=0.05).fit(rows, np.stack([1 - bad, bad], axis=1)))
