@@ -49,12 +49,14 @@ class Ftrl:
         z, n = self.z[at], self.n[at]
         return np.where(abs(z) <= self.l1, 0.0, -(z - np.sign(z) * self.l1) / ((self.beta + np.sqrt(n)) / self.alpha + self.l2))
 
-    def fit(self, rows: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, epochs: int = 3, seed: int = 7) -> np.ndarray:
-        """rows: (buckets, values); y: a probability of each class. Gives the weights."""
+    def fit(self, rows: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, epochs: int = 3, seed: int = 7, scale: np.ndarray | None = None) -> np.ndarray:
+        """rows: (buckets, values); y: a probability of each class; scale: of each bucket's values. Gives the weights."""
         rng = np.random.default_rng(seed)
         for _ in range(epochs):
             for i in rng.permutation(len(rows)):
                 at, x = rows[i]
+                if scale is not None:
+                    x = x * scale[at]
                 w = self.weights(at)
                 g = x[:, None] * (softmax(x @ w) - y[i])[None, :]
                 n = self.n[at]

@@ -4,8 +4,10 @@ linear scorer trained on their posterior.
 Two heads share the code: junk (symbols, shouting, repetition, tables) and toxic (insults). Each labeller votes bad, good or
 abstains on every document; a table of labels, where given, is one more labeller that abstains on most. The votes' patterns are
 counted over the whole corpus, and from these counts alone EM estimates how often each labeller votes what for good and bad
-documents. The posteriors of a sample of SAMPLE documents or so, chosen by a hash of doc_id, train the scorer by
-follow-the-regularised-leader; then it scores every whole text.
+documents; where the table of labels speaks, the posterior is SURE of it, since the word lists know English only. The posteriors of
+a sample of SAMPLE documents or so, chosen by a hash of doc_id within each kind of label, train the scorer by
+follow-the-regularised-leader; then it scores every whole text. In the toxic head, stems that tell bad texts in the
+sample weigh more, by the lower bound of their log ratio, so what labels say in languages without a word list reaches the scorer.
 """
 
 from __future__ import annotations
@@ -24,6 +26,11 @@ SAMPLE = 2_500
 THRESHOLD = 0.5
 SHORT = 20  # words below which repetition says nothing
 SHRINK = 400.0  # in the square of a text's length in features, so that the few features of short texts weigh little
+SURE = 0.98  # that a label is right
+STEM = 6  # bytes
+LOG2_STEMS = 18  # stems that share a bucket blur each other
+ENOUGH = 250  # labelled rows that train the scorer alone
+TELL, BOUND = 10.0, 2.0  # weight of a unit of log ratio; standard errors by which it is lowered
 GOOD, NONE, BAD = 0, 1, 2
 
 # Insults, as nouns and as adjectives.
@@ -50,6 +57,8 @@ _STRIP[:] = np.arange(256)
 for _c in range(128):
     if not (65 <= _c <= 90 or 97 <= _c <= 122):
         _STRIP[_c] = 32
+_LOWER = np.arange(256, dtype=np.uint64)
+_LOWER[65:91] += np.uint64(32)
 _LEX = [_lexicon(NOUNS), _lexicon(ADJECTIVES)]
 
 
@@ -111,11 +120,12 @@ def votes(data: np.ndarray, offs: np.ndarray) -> tuple[dict[str, np.ndarray], li
     found = [np.isin(w, lex) for lex in _LEX]
     a, b = (_sums(x, wf) for x in found)
     nw = np.diff(wf)
+    # That the lists find nothing is one piece of evidence, not four: only one labeller votes GOOD on it.
     toxic = np.stack([
-        np.where(has, np.where(a > 0, BAD, GOOD), NONE),
-        np.where(has, np.where(b > 0, BAD, GOOD), NONE),
+        np.where(has & (a > 0), BAD, NONE),
+        np.where(has & (b > 0), BAD, NONE),
         np.where(has, np.where(a + b >= 2, BAD, np.where(a + b == 0, GOOD, NONE)), NONE),
-        _vote((a + b) / np.maximum(1, nw), 0.0, 0.004, has),
+        np.where(has & ((a + b) / np.maximum(1, nw) >= 0.004), BAD, NONE),
     ], axis=1)
     return {"junk": junk, "toxic": toxic}, docs, has
 
@@ -135,13 +145,13 @@ def decoded(code: np.ndarray, k: int) -> np.ndarray:
     return code[:, None] // 3 ** np.arange(k) % 3
 
 
-def estimate(patterns: np.ndarray, counts: np.ndarray, rounds: int = 60, prior: float = 5.0) -> tuple[float, np.ndarray]:
+def estimate(patterns: np.ndarray, counts: np.ndarray, rounds: int = 60, prior: float = 5.0, told: bool = False) -> tuple[float, np.ndarray]:
     """(share of bad documents, P(vote | good or bad, no abstention) by labeller) from counted vote patterns.
 
     Abstentions say nothing: labellers abstain together on short texts, so they are no independent evidence.
 
     Starts from the number of bad votes, since each kind of bad document moves its own labellers only. A few pseudo-counts say that labellers are more often right than wrong, which also keeps
-    the two classes from changing places.
+    the two classes from changing places. If `told`, the last labeller is the table of labels.
     """
     k = patterns.shape[1]
     post = np.array([0.02, 0.6, 0.9])[np.minimum(2, (patterns == BAD).sum(axis=1))]
@@ -153,25 +163,93 @@ def estimate(patterns: np.ndarray, counts: np.ndarray, rounds: int = 60, prior:
         for v in (GOOD, BAD):
             table[:, :, v] = by @ (patterns == v) + pseudo[:, None, v]
         table[:, :, [GOOD, BAD]] /= table[:, :, [GOOD, BAD]].sum(axis=2, keepdims=True)
-        post = posterior(patterns, share, table)
+        post = posterior(patterns, share, table, told)
     return share, table
 
 
-def posterior(patterns: np.ndarray, share: float, table: np.ndarray) -> np.ndarray:
-    """P(bad | votes)."""
+def posterior(patterns: np.ndarray, share: float, table: np.ndarray, told: bool = False) -> np.ndarray:
+    """P(bad | votes); if `told`, as the last labeller says where it votes."""
     at = np.arange(patterns.shape[1])
     odds = np.log(share / (1 - share)) + (np.log(table[1][at, patterns]) - np.log(table[0][at, patterns])).sum(axis=1)
-    return 1 / (1 + np.exp(-np.clip(odds, -50, 50)))
+    p = 1 / (1 + np.exp(-np.clip(odds, -50, 50)))
+    return np.where(patterns[:, -1] == NONE, p, np.where(patterns[:, -1] == BAD, SURE, 1 - SURE)) if told else p
+
+
+def stems(data: np.ndarray) -> np.ndarray:
+    """Buckets of the first STEM bytes of a text's words, in lower case: those that occur, and anew those that occur twice."""
+    solid = ~_text._SPACE[data]
+    begin = solid.copy()
+    begin[1:] &= ~solid[:-1]
+    at = np.flatnonzero(begin)
+    codes, inside = np.append(_LOWER[data], np.zeros(STEM, np.uint64)), np.append(solid, np.zeros(STEM, bool))
+    h, live = np.full(len(at), np.uint64(0x9E3779B97F4A7C15)), np.ones(len(at), bool)
+    for j in range(STEM):
+        live &= inside[at + j]
+        h = np.where(live, (h ^ codes[at + j]) * np.uint64(0x100000001B3), h)
+    found, n = np.unique((_text.mix(h) >> np.uint64(65 - LOG2_STEMS)).astype(np.int64), return_counts=True)
+    return np.concatenate([found, found[n > 1] + (1 << LOG2_STEMS - 1)])
+
+
+def width(log2_dims: int) -> int:
+    """Number of features: words and runs of bytes, a constant, votes, stems."""
+    return (1 << log2_dims) + 1 + 2 * sum(HEADS.values()) + (1 << LOG2_STEMS)
 
 
 def features(data: np.ndarray, w: np.ndarray, v: np.ndarray, log2_dims: int) -> tuple[np.ndarray, np.ndarray]:
-    """(buckets, values) of a text: words, runs of three and six bytes, a constant, and for each labeller whether
+    """(buckets, values) of a text: words, runs of three and six bytes, a constant, stems, and for each labeller whether
     it votes bad; short texts, on which many abstain, thus look like good ones."""
     part, codes = log2_dims - 2, data.astype(np.uint64)
     grams = [hashed_grams(codes, 3, part) + (1 << part), hashed_grams(codes, 6, part + 1) + (2 << part)]
     at, n = counted(np.concatenate([(w >> np.uint64(64 - part)).astype(np.int64), *grams]), 1 << log2_dims)
     x, votes_at = 1 + np.log(n), 1 + 2 * np.arange(len(v)) + (v == BAD)
-    return np.concatenate([at, (1 << log2_dims) + np.append(0, votes_at)]), np.concatenate([x / np.sqrt((x * x).sum() + SHRINK), [1.0], np.full(len(v), 0.5)])
+    s = stems(data)
+    return (
+        np.concatenate([at, (1 << log2_dims) + np.append(0, votes_at), s + (1 << log2_dims) + 1 + 2 * len(v)]),
+        np.concatenate([x / np.sqrt((x * x).sum() + SHRINK), [1.0], np.full(len(v), 0.5), np.full(len(s), 1 / np.sqrt(len(w) + SHORT))]),
+    )
+
+
+def scales(head: str, rows: list[tuple[np.ndarray, np.ndarray]], bad: np.ndarray, log2_dims: int) -> np.ndarray:
+    """The scale of each feature. The junk head takes all but stems as they are. In the toxic head a stem has TELL times the log ratio
+    between bad and good rows, less BOUND standard errors, if above zero; votes count only if bad, as finding no insult says nothing
+    in a language without a list."""
+    dims, votes_at = width(log2_dims), (1 << log2_dims) + 1
+    stems_at = votes_at + 2 * sum(HEADS.values())
+    out = np.ones(dims)
+    out[stems_at:] = 0
+    if head == "toxic":
+        n = np.zeros((2, dims))
+        for (at, _), p in zip(rows, bad.tolist(), strict=True):
+            n[0, at] += 1 - p
+            n[1, at] += p
+        ratio = np.log((n[1] + 0.5) / (bad.sum() + 1)) - np.log((n[0] + 0.5) / ((1 - bad).sum() + 1))
+        out[stems_at:] = (TELL * np.maximum(0, ratio - BOUND * np.sqrt((1 / (n + 0.5)).sum(axis=0))))[stems_at:]
+        out[votes_at:stems_at:2] = 0
+    return out
+
+
+def quotas(counts: list[int], sample: int) -> list[int]:
+    """How many of each stratum to take: equal shares, where small strata leave theirs to the others."""
+    out, left = [0] * len(counts), sample
+    for done, i in enumerate(sorted(range(len(counts)), key=counts.__getitem__)):
+        out[i] = min(counts[i], left // (len(counts) - done))
+        left -= out[i]
+    return out
+
+
+def planned(strata: list[tuple[int, int, int]], sample: int) -> list[int]:
+    """How many of each (junk label, toxic label, count) to take: labelled rows alone, where there are ENOUGH and both heads have labels
+    of both classes, as the posteriors of others lean to good in languages without a list."""
+    counts = [n for *_, n in strata]
+    told = [0 if s[:2] == (NONE, NONE) else n for s, n in zip(strata, counts, strict=True)]
+    enough = sum(told) >= ENOUGH and all({GOOD, BAD} <= {s[i] for s in strata} for i in (0, 1))
+    return quotas(told if enough else counts, sample)
+
+
+def _logit(p: float) -> float:
+    return float(np.log(p / (1 - p)))
+
+
 
 
 def fit(docs: DataFrame, labels: DataFrame | None = None, sample: int = SAMPLE, log2_dims: int = LOG2_DIMS) -> np.ndarray:
@@ -196,9 +274,13 @@ def fit(docs: DataFrame, labels: DataFrame | None = None, sample: int = SAMPLE,
     for head, k in HEADS.items():
         mine = [(c, n) for h, c, n in zip(*(t.column(i).to_pylist() for i in range(3)), strict=True) if h == head]
         p = decoded(np.array([c for c, _ in mine], np.int64), k + 1)
-        model[head] = estimate(p, np.array([n for _, n in mine], np.float64)) if mine else (0.1, np.ones((2, k + 1, 3)))
+        model[head] = estimate(p, np.array([n for _, n in mine], np.float64), told=True) if mine else (0.1, np.ones((2, k + 1, 3)))
 
-    total = sum(n for h, n in zip(t.column(0).to_pylist(), t.column(2).to_pylist(), strict=True) if h == "junk")
+    said = [F.coalesce(f"p_{h}", F.lit(NONE)).cast("long").alias(f"p_{h}") for h in HEADS]
+    ids = d.where("doc_id is not null")
+    strata = ids.select("doc_id").join(people, "doc_id", "left").select(*said).groupBy(*(f"p_{h}" for h in HEADS)).agg(F.count("*").alias("n")).orderBy(*(f"p_{h}" for h in HEADS)).collect()  # 9 rows at most
+    takes = planned([(r["p_junk"], r["p_toxic"], r["n"]) for r in strata], sample)
+    part = F.coalesce(*(F.when((F.col("p_junk") == r["p_junk"]) & (F.col("p_toxic") == r["p_toxic"]), F.lit(q / r["n"])) for r, q in zip(strata, takes, strict=True)), F.lit(0.0))
     mark = F.pmod(F.xxhash64(F.lit("quality"), "doc_id"), F.lit(1 << 30)) / float(1 << 30)
 
     def vectors(batches):
@@ -206,25 +288,30 @@ def fit(docs: DataFrame, labels: DataFrame | None = None, sample: int = SAMPLE,
             for b in _text.blocks(batch):
                 data, offs = _text.bytes_of(b.column(1))
                 v, ws, has = votes(data, offs)
-                out = [[], [], [], [], []]
+                out = [[] for _ in range(6)]
                 for i in np.flatnonzero(has).tolist():
                     all_votes = np.concatenate([v[h][i] for h in HEADS])
                     at, x = features(data[offs[i] : offs[i + 1]], ws[i], all_votes, log2_dims)
-                    post = [float(posterior(np.append(v[h][i], b.column(2 + j)[i].as_py())[None, :], *model[h])[0]) for j, h in enumerate(HEADS)]
-                    for o, y in zip(out, [b.column(0)[i].as_py(), at.astype(np.int32).tobytes(), x.astype(np.float32).tobytes(), *post], strict=True):
+                    post = [float(posterior(np.append(v[h][i], b.column(2 + j)[i].as_py())[None, :], *model[h], told=True)[0]) for j, h in enumerate(HEADS)]
+                    for o, y in zip(out, [3 * b.column(2)[i].as_py() + b.column(3)[i].as_py(), b.column(0)[i].as_py(), at.astype(np.int32).tobytes(), x.astype(np.float32).tobytes(), *post], strict=True):
                         o.append(y)
-                yield pa.RecordBatch.from_arrays([pa.array(o, k) for o, k in zip(out, [pa.int64(), pa.binary(), pa.binary(), pa.float64(), pa.float64()], strict=True)], names=["doc_id", "at", "x", "junk", "toxic"])
+                yield pa.RecordBatch.from_arrays([pa.array(o, k) for o, k in zip(out, [pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.float64(), pa.float64()], strict=True)], names=["stratum", "doc_id", "at", "x", "junk", "toxic"])
 
-    picked = d.where("doc_id is not null").where(mark * total < sample).join(people, "doc_id", "left")
-    picked = picked.select("doc_id", "text", *(F.coalesce(f"p_{h}", F.lit(NONE)).cast("long").alias(f"p_{h}") for h in HEADS))
-    some = picked.mapInArrow(vectors, "doc_id bigint, at binary, x binary, junk double, toxic double").limit(2 * sample).toArrow().sort_by([("doc_id", "ascending")])
+    picked = ids.join(people, "doc_id", "left").select("doc_id", "text", *said).where(mark < part)
+    some = picked.mapInArrow(vectors, "stratum bigint, doc_id bigint, at binary, x binary, junk double, toxic double").limit(2 * sample).toArrow().sort_by([("doc_id", "ascending")])
     rows = [(np.frombuffer(a, np.int32), np.frombuffer(x, np.float32)) for a, x in zip(some.column("at").to_pylist(), some.column("x").to_pylist(), strict=True)]
     posts = {h: some.column(h).to_numpy() for h in HEADS}
+    weigh = {3 * r["p_junk"] + r["p_toxic"]: r["n"] / q for r, q in zip(strata, takes, strict=True) if q}
+    weigh = np.array([weigh[x] for x in some.column("stratum").to_pylist()])
     del some
-    dims = (1 << log2_dims) + 1 + 2 * sum(HEADS.values())
     fitted = []
     for head, bad in posts.items():
-        fitted.append(Ftrl(dims, 2, l1=0.05).fit(rows, np.stack([1 - bad, bad], axis=1)))
+        u = scales(head, rows, bad, log2_dims)
+        w = Ftrl(width(log2_dims), 2, l1=0.05).fit(rows, np.stack([1 - bad, bad], axis=1), scale=u) * u[:, None]
+        if len(rows):  # strata aren't taken in proportion; the constant makes up for it
+            share = np.clip([bad.mean(), np.average(bad, weights=weigh)], 1e-6, 1 - 1e-6)
+            w[1 << log2_dims, 1] += _logit(share[1]) - _logit(share[0])
+        fitted.append(w)
     return np.concatenate(fitted, axis=1).astype(np.float32)
 
 

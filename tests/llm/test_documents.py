@@ -278,3 +278,31 @@ def test_quality_classifier(spark, empty):
     assert not got[1000].keep and not got[1001].keep and got[1002].keep
     assert sorted(r.doc_id for r in quality.accepted(d).collect()) == sorted(i for i, r in got.items() if r.keep)
     assert quality.classify(empty.select("doc_id", "text")).count() == 0
+
+
+def test_quality_classifier_learns_from_labels_in_other_languages(spark):
+    rng = random.Random(8)
+    vocab = ["".join(rng.choice("etaoinshrdlu") for _ in range(rng.randint(2, 8))) for _ in range(500)]
+    rows, labels, toxic = [], [], set()
+    for i in range(600):
+        w = [rng.choice(vocab) for _ in range(rng.randint(40, 120))]
+        kind = rng.choice(["good"] * 5 + ["junk", "english", "other"])
+        for _ in range(3):
+            w.insert(rng.randrange(len(w)), {"english": "idiot", "other": "réeux" + rng.choice(vocab)}.get(kind, "plain"))
+        if kind == "junk":
+            w = [x + "***" for x in w]
+        if kind in ("english", "other"):
+            toxic.add(i)
+        rows.append((i, " ".join(w)))
+        if i % 2:
+            labels.append((i, int(kind != "junk"), int(i in toxic)))
+    d = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = {r.doc_id: r for r in quality.classify(d, spark.createDataFrame(labels, "doc_id bigint, quality int, toxic int")).collect()}
+    assert sum((got[i].toxic_score >= 0.5) == (i in toxic) for i in range(0, 600, 2)) > 0.95 * 300
+
+
+def test_quality_sample_takes_all_rare_labels():
+    assert quality.quotas([5, 1000, 20, 4000], 500) == [5, 237, 20, 238]
+    strata = [(quality.GOOD, quality.GOOD, 900), (quality.GOOD, quality.BAD, 30), (quality.BAD, quality.GOOD, 40), (quality.NONE, quality.NONE, 5000)]
+    assert quality.planned(strata, 500) == [430, 30, 40, 0] and quality.planned(strata, 1500) == [900, 30, 40, 0]
+    assert quality.planned(strata[1:], 500) == [30, 40, 430]
