@@ -39,15 +39,20 @@ def weighed(at: np.ndarray, n: np.ndarray, idf: np.ndarray | None) -> np.ndarray
 
 
 class Ftrl:
-    """Softmax weights over hashed features."""
+    """Softmax weights over hashed features. Of two classes only the second's weights are kept: the first's are their negatives."""
 
     def __init__(self, dims: int, classes: int, alpha: float = 0.5, beta: float = 1.0, l1: float = 0.02, l2: float = 0.05):
-        self.z, self.n = np.zeros((dims, classes)), np.zeros((dims, classes))
+        self.two = classes == 2
+        shape = (dims,) if self.two else (dims, classes)
+        self.z, self.n = np.zeros(shape), np.zeros(shape)
         self.alpha, self.beta, self.l1, self.l2 = alpha, beta, l1, l2
 
-    def weights(self, at=slice(None)) -> np.ndarray:
-        z, n = self.z[at], self.n[at]
-        return np.where(abs(z) <= self.l1, 0.0, -(z - np.sign(z) * self.l1) / ((self.beta + np.sqrt(n)) / self.alpha + self.l2))
+    def _weights(self, z: np.ndarray, root: np.ndarray) -> np.ndarray:
+        return (np.clip(z, -self.l1, self.l1) - z) / ((self.beta + root) / self.alpha + self.l2)
+
+    def weights(self) -> np.ndarray:
+        w = self._weights(self.z, np.sqrt(self.n))
+        return np.stack([-w, w], axis=1) if self.two else w
 
     def fit(self, rows: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, epochs: int = 3, seed: int = 7, scale: np.ndarray | None = None) -> np.ndarray:
         """rows: (buckets, values); y: a probability of each class; scale: of each bucket's values. Gives the weights."""
@@ -57,11 +62,18 @@ class Ftrl:
                 at, x = rows[i]
                 if scale is not None:
                     x = x * scale[at]
-                w = self.weights(at)
-                g = x[:, None] * (softmax(x @ w) - y[i])[None, :]
-                n = self.n[at]
-                self.z[at] += g - (np.sqrt(n + g * g) - np.sqrt(n)) / self.alpha * w
-                self.n[at] = n + g * g
+                    on = np.flatnonzero(x)
+                    at, x = at[on], x[on]
+                z, n = self.z[at], self.n[at]
+                root = np.sqrt(n)
+                w = self._weights(z, root)
+                if self.two:
+                    g = x * (1 / (1 + np.exp(-2 * np.clip(x @ w, -300, 300))) - y[i, 1])
+                else:
+                    g = x[:, None] * (softmax(x @ w) - y[i])[None, :]
+                n += g * g
+                self.z[at] = z + g - (np.sqrt(n) - root) / self.alpha * w
+                self.n[at] = n
         return self.weights()
 
 

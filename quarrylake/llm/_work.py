@@ -5,12 +5,14 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Callable
 from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 ROOT = str(Path(__file__).resolve().parents[2])
 
@@ -43,6 +45,24 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df over as many partitions as there are cores at least: a file of one row group would be one task. Larger inputs stay as read."""
+    n = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(n) if df.rdd.getNumPartitions() < n else df
+
+
+def in_one_task(df: DataFrame, body: Callable[[pa.Table], pa.RecordBatch], schema: str) -> DataFrame:
+    """body(all rows of df), in one executor task; for stored tables of a bounded size. No rows: an empty table."""
+    ship(df.sparkSession)
+    kinds = to_arrow_schema(df.schema)
+
+    def run(batches):
+        held = list(batches)
+        yield body(pa.Table.from_batches(held) if held else kinds.empty_table())
+
+    return df.coalesce(1).mapInArrow(run, schema)
+
+
 def bitmap(df: DataFrame, column: str, log2_bits: int) -> np.ndarray:
     """Bits set at the top log2_bits bits of a long hash column, as uint64 words.
 

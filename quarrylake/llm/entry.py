@@ -7,10 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from quarrylake.llm import decontaminate, jaccard, langid, licenses, mixing, pii, quality, substrings, tokens, topk
+from quarrylake.llm._work import spread
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,25 +4,30 @@ linear scorer trained on their posterior.
 Two heads share the code: junk (symbols, shouting, repetition, tables) and toxic (insults). Each labeller votes bad, good or
 abstains on every document; a table of labels, where given, is one more labeller that abstains on most. The votes' patterns are
 counted over the whole corpus, and from these counts alone EM estimates how often each labeller votes what for good and bad
-documents; where the table of labels speaks, the posterior is SURE of it, since the word lists know English only. The posteriors of
-a sample of SAMPLE documents or so, chosen by a hash of doc_id within each kind of label, train the scorer by
-follow-the-regularised-leader; then it scores every whole text. In the toxic head, stems that tell bad texts in the
-sample weigh more, by the lower bound of their log ratio, so what labels say in languages without a word list reaches the scorer.
+documents; where the table of labels speaks, the posterior is SURE of it, since the word lists know four languages only. The
+posteriors of SAMPLE documents at most, those of the smallest hash of doc_id within each kind of label, train the scorer by
+follow-the-regularised-leader; then it scores every whole text. The scorer sees the text alone, never a vote: hashed words and runs
+of bytes, shares of word shapes, bins of repetition, and stems. In the toxic head, stems that tell bad texts in the sample weigh
+more, by the lower bound of their log ratio, so what labels say in languages without a word list reaches the scorer.
+
+The fit is one executor task over the stored sample, whose size SAMPLE bounds; only weights reach the driver.
 """
 
 from __future__ import annotations
 
+from functools import partial, reduce
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarrylake.llm import _text
 from quarrylake.llm._linear import Ftrl, counted, hashed_grams, softmax
-from quarrylake.llm._work import ship
+from quarrylake.llm._work import in_one_task, ship, stored
 
 LOG2_DIMS = 14
-SAMPLE = 2_500
+SAMPLE = 12_000
 THRESHOLD = 0.5
 SHORT = 20  # words below which repetition says nothing
 SHRINK = 400.0  # in the square of a text's length in features, so that the few features of short texts weigh little
@@ -30,12 +35,21 @@ SURE = 0.98  # that a label is right
 STEM = 6  # bytes
 LOG2_STEMS = 18  # stems that share a bucket blur each other
 ENOUGH = 250  # labelled rows that train the scorer alone
+SHAPE_WEIGHT = 3.0
 TELL, BOUND = 10.0, 2.0  # weight of a unit of log ratio; standard errors by which it is lowered
 GOOD, NONE, BAD = 0, 1, 2
 
-# Insults, as nouns and as adjectives.
-NOUNS = "idiot idiots moron morons loser losers clown clowns scum trash imbecile imbeciles jerk jerks bastard bastards scumbag dumbass cretin vermin".split()
-ADJECTIVES = "stupid worthless pathetic disgusting despicable brainless contemptible repulsive loathsome idiotic moronic".split()
+# Insults, as nouns and as adjectives, in English, German, French and Spanish.
+NOUNS = (
+    "idiot idiots moron morons loser losers clown clowns scum trash imbecile imbeciles jerk jerks bastard bastards scumbag dumbass cretin vermin "
+    "idioten trottel dummkopf dummköpfe arschloch arschlöcher abschaum schwachkopf vollidiot mistkerl "
+    "connard connards abruti abrutis crétin crétins salaud salauds ordure imbécile imbéciles "
+    "idiota idiotas imbécil imbéciles cabrón cabrones gilipollas escoria basura"
+).split()
+ADJECTIVES = (
+    "stupid worthless pathetic disgusting despicable brainless contemptible repulsive loathsome idiotic moronic "
+    "erbärmlich widerlich wertlos hirnlos minable pitoyable répugnant méprisable estúpido estúpida patético repugnante despreciable"
+).split()
 
 _CLASS = np.zeros(256, np.uint8)  # 0 other bytes (letters beyond ASCII too), 1 upper, 2 lower, 3 digit, 4 space, 5 plain marks, 6 odd marks
 _CLASS[65:91], _CLASS[97:123], _CLASS[48:58] = 1, 2, 3
@@ -52,8 +66,7 @@ def _lexicon(ws: list[str]) -> np.ndarray:
     return np.sort(h)
 
 
-_STRIP = np.zeros(256, np.uint8)
-_STRIP[:] = np.arange(256)
+_STRIP = np.arange(256, dtype=np.uint8)  # ASCII marks and digits are white space here
 for _c in range(128):
     if not (65 <= _c <= 90 or 97 <= _c <= 122):
         _STRIP[_c] = 32
@@ -190,31 +203,50 @@ def stems(data: np.ndarray) -> np.ndarray:
     return np.concatenate([found, found[n > 1] + (1 << LOG2_STEMS - 1)])
 
 
+SHAPES = 7 * 7 * 2 + 22  # word shapes, then two rows of bins
+
+
 def width(log2_dims: int) -> int:
-    """Number of features: words and runs of bytes, a constant, votes, stems."""
-    return (1 << log2_dims) + 1 + 2 * sum(HEADS.values()) + (1 << LOG2_STEMS)
+    """Number of features: words and runs of bytes, a constant, shapes and bins, stems."""
+    return (1 << log2_dims) + 1 + SHAPES + (1 << LOG2_STEMS)
 
 
-def features(data: np.ndarray, w: np.ndarray, v: np.ndarray, log2_dims: int) -> tuple[np.ndarray, np.ndarray]:
-    """(buckets, values) of a text: words, runs of three and six bytes, a constant, stems, and for each labeller whether
-    it votes bad; short texts, on which many abstain, thus look like good ones."""
+def shapes(data: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """Shares of word shapes (class of the first and of the last byte, whether a lower-case letter is there) and, as ones in two
+    rows of eleven bins, the share of repeated three-word runs and of words that repeat the one before; all less in short texts."""
+    out = np.zeros(SHAPES)
+    n = len(w)
+    cls = _CLASS[data]
+    solid = np.concatenate([[False], cls != 4, [False]])
+    first, end = np.flatnonzero(solid[1:-1] & ~solid[:-2]), np.flatnonzero(solid[1:-1] & ~solid[2:])
+    low = np.concatenate([[0], np.cumsum((cls == 2) | (cls == 0))])
+    has_low = low[end + 1] > low[first]
+    out[: 7 * 7 * 2] = np.bincount((cls[first].astype(np.int64) * 7 + cls[end]) * 2 + has_low, minlength=7 * 7 * 2) / n
+    g = _text.grams(w, 3)
+    stale = 1 - len(np.unique(g)) / len(g) if len(g) else 0.0
+    echo = float((w[1:] == w[:-1]).mean()) if n > 1 else 0.0
+    out[98 + int(10 * stale)] = out[109 + int(10 * echo)] = 1
+    return out * (n / (n + SHORT))
+
+
+def features(data: np.ndarray, w: np.ndarray, log2_dims: int) -> tuple[np.ndarray, np.ndarray]:
+    """(buckets, values) of a text: words, runs of three and six bytes, a constant, shapes and bins, stems."""
     part, codes = log2_dims - 2, data.astype(np.uint64)
     grams = [hashed_grams(codes, 3, part) + (1 << part), hashed_grams(codes, 6, part + 1) + (2 << part)]
     at, n = counted(np.concatenate([(w >> np.uint64(64 - part)).astype(np.int64), *grams]), 1 << log2_dims)
-    x, votes_at = 1 + np.log(n), 1 + 2 * np.arange(len(v)) + (v == BAD)
-    s = stems(data)
+    x, shape, s, base = 1 + np.log(n), shapes(data, w), stems(data), 1 << log2_dims
+    on = np.flatnonzero(shape)
     return (
-        np.concatenate([at, (1 << log2_dims) + np.append(0, votes_at), s + (1 << log2_dims) + 1 + 2 * len(v)]),
-        np.concatenate([x / np.sqrt((x * x).sum() + SHRINK), [1.0], np.full(len(v), 0.5), np.full(len(s), 1 / np.sqrt(len(w) + SHORT))]),
+        np.concatenate([at, [base], base + 1 + on, base + 1 + SHAPES + s]),
+        np.concatenate([x / np.sqrt((x * x).sum() + SHRINK), [1.0], SHAPE_WEIGHT * shape[on], np.full(len(s), 1 / np.sqrt(len(w) + SHORT))]),
     )
 
 
 def scales(head: str, rows: list[tuple[np.ndarray, np.ndarray]], bad: np.ndarray, log2_dims: int) -> np.ndarray:
     """The scale of each feature. The junk head takes all but stems as they are. In the toxic head a stem has TELL times the log ratio
-    between bad and good rows, less BOUND standard errors, if above zero; votes count only if bad, as finding no insult says nothing
-    in a language without a list."""
-    dims, votes_at = width(log2_dims), (1 << log2_dims) + 1
-    stems_at = votes_at + 2 * sum(HEADS.values())
+    between bad and good rows, less BOUND standard errors, if above zero; shapes say nothing there."""
+    dims, shapes_at = width(log2_dims), (1 << log2_dims) + 1
+    stems_at = shapes_at + SHAPES
     out = np.ones(dims)
     out[stems_at:] = 0
     if head == "toxic":
@@ -224,7 +256,7 @@ def scales(head: str, rows: list[tuple[np.ndarray, np.ndarray]], bad: np.ndarray
             n[1, at] += p
         ratio = np.log((n[1] + 0.5) / (bad.sum() + 1)) - np.log((n[0] + 0.5) / ((1 - bad).sum() + 1))
         out[stems_at:] = (TELL * np.maximum(0, ratio - BOUND * np.sqrt((1 / (n + 0.5)).sum(axis=0))))[stems_at:]
-        out[votes_at:stems_at:2] = 0
+        out[shapes_at:stems_at] = 0
     return out
 
 
@@ -252,76 +284,98 @@ def _logit(p: float) -> float:
 
 
 
-def fit(docs: DataFrame, labels: DataFrame | None = None, sample: int = SAMPLE, log2_dims: int = LOG2_DIMS) -> np.ndarray:
-    """The scorer's weights: two columns, good and bad, for each head."""
-    spark = ship(docs.sparkSession)
-    d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+def _voted(docs: DataFrame, labels: DataFrame | None) -> DataFrame:
+    """doc_id, h (a hash of the text), and for each head the code of its labellers' votes and the vote of the table of labels."""
 
-    def patterns(batches):
+    def run(batches):
         for batch in batches:
             for b in _text.blocks(batch):
                 v, _, _ = votes(*_text.bytes_of(b.column(1)))
-                yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(coded(v[h])) for h in HEADS)], names=["doc_id", *HEADS])
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), *(pa.array(coded(v[h])) for h in HEADS)], names=["doc_id", "h", *HEADS])
 
+    spark = docs.sparkSession
     if labels is None:
         labels = spark.createDataFrame([], "doc_id bigint, quality int, toxic int")
     people = labels.where("doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").alias("quality"), F.max("toxic").alias("toxic"))
     people = people.select("doc_id", _people("quality", 0).alias("p_junk"), _people("toxic", 1).alias("p_toxic"))
-    voted = d.mapInArrow(patterns, "doc_id bigint, junk bigint, toxic bigint").join(people, "doc_id", "left")
-    codes = [F.struct(F.lit(h).alias("head"), (F.col(h) + F.lit(3**k) * F.coalesce(f"p_{h}", F.lit(NONE))).alias("code")) for h, k in HEADS.items()]
-    t = voted.select(F.explode(F.array(*codes)).alias("c")).groupBy("c.head", "c.code").agg(F.count("*").alias("n")).orderBy("head", "code").toArrow()  # 3**9 + 3**5 rows at most
+    voted = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("h")).mapInArrow(run, "doc_id bigint, h bigint, junk bigint, toxic bigint")
+    voted = voted.join(people, "doc_id", "left").select("doc_id", "h", "junk", "toxic", *(F.coalesce(f"p_{h}", F.lit(NONE)).cast("long").alias(f"p_{h}") for h in HEADS))
+    return stored(voted, "quality-votes")
+
+
+def fit(docs: DataFrame, labels: DataFrame | None = None, sample: int = SAMPLE, log2_dims: int = LOG2_DIMS) -> np.ndarray:
+    """The scorer's weights: two columns, good and bad, for each head."""
+    ship(docs.sparkSession)
+    voted = _voted(docs, labels)
+    codes = [F.struct(F.lit(h).alias("head"), (F.col(h) + F.lit(3**k) * F.col(f"p_{h}")).alias("code")) for h, k in HEADS.items()]
+    t = voted.select(F.explode(F.array(*codes)).alias("c")).groupBy("c.head", "c.code").agg(F.count("*").alias("n")).toArrow()  # 3**9 + 3**5 rows at most
+    t = t.sort_by([("head", "ascending"), ("code", "ascending")])
     model = {}
     for head, k in HEADS.items():
         mine = [(c, n) for h, c, n in zip(*(t.column(i).to_pylist() for i in range(3)), strict=True) if h == head]
         p = decoded(np.array([c for c, _ in mine], np.int64), k + 1)
         model[head] = estimate(p, np.array([n for _, n in mine], np.float64), told=True) if mine else (0.1, np.ones((2, k + 1, 3)))
 
-    said = [F.coalesce(f"p_{h}", F.lit(NONE)).cast("long").alias(f"p_{h}") for h in HEADS]
-    ids = d.where("doc_id is not null")
-    strata = ids.select("doc_id").join(people, "doc_id", "left").select(*said).groupBy(*(f"p_{h}" for h in HEADS)).agg(F.count("*").alias("n")).orderBy(*(f"p_{h}" for h in HEADS)).collect()  # 9 rows at most
-    takes = planned([(r["p_junk"], r["p_toxic"], r["n"]) for r in strata], sample)
-    part = F.coalesce(*(F.when((F.col("p_junk") == r["p_junk"]) & (F.col("p_toxic") == r["p_toxic"]), F.lit(q / r["n"])) for r, q in zip(strata, takes, strict=True)), F.lit(0.0))
+    # One row of each doc_id, so that repeats can't crowd the sample.
+    told = [f"p_{h}" for h in HEADS]
+    ids = voted.where("doc_id is not null").groupBy("doc_id").agg(F.min(F.struct("h", *HEADS, *told)).alias("v")).select("doc_id", "v.*")
+    strata = sorted((r["p_junk"], r["p_toxic"], r["n"]) for r in ids.groupBy(*told).agg(F.count("*").alias("n")).collect())  # 9 rows at most
+    takes = planned(strata, sample)
+    part, most = F.lit(0.0), F.lit(0)
+    for (junk, toxic, n), q in zip(strata, takes, strict=True):
+        here = (F.col("p_junk") == junk) & (F.col("p_toxic") == toxic)
+        part, most = F.when(here, F.lit((1.2 * q + 50) / n)).otherwise(part), F.when(here, F.lit(q)).otherwise(most)
     mark = F.pmod(F.xxhash64(F.lit("quality"), "doc_id"), F.lit(1 << 30)) / float(1 << 30)
+    rank = F.row_number().over(Window.partitionBy(*told).orderBy("mark", "doc_id"))
+    chosen = ids.withColumn("mark", mark).where(F.col("mark") < part).withColumn("r", rank).where(F.col("r") <= sample).where(F.col("r") <= most)
+    chosen = stored(chosen.select("doc_id", "h", *HEADS, *told), "quality-chosen")  # at most `sample` rows
 
     def vectors(batches):
         for batch in batches:
             for b in _text.blocks(batch):
                 data, offs = _text.bytes_of(b.column(1))
-                v, ws, has = votes(data, offs)
-                out = [[] for _ in range(6)]
-                for i in np.flatnonzero(has).tolist():
-                    all_votes = np.concatenate([v[h][i] for h in HEADS])
-                    at, x = features(data[offs[i] : offs[i + 1]], ws[i], all_votes, log2_dims)
-                    post = [float(posterior(np.append(v[h][i], b.column(2 + j)[i].as_py())[None, :], *model[h], told=True)[0]) for j, h in enumerate(HEADS)]
-                    for o, y in zip(out, [3 * b.column(2)[i].as_py() + b.column(3)[i].as_py(), b.column(0)[i].as_py(), at.astype(np.int32).tobytes(), x.astype(np.float32).tobytes(), *post], strict=True):
-                        o.append(y)
-                yield pa.RecordBatch.from_arrays([pa.array(o, k) for o, k in zip(out, [pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.float64(), pa.float64()], strict=True)], names=["stratum", "doc_id", "at", "x", "junk", "toxic"])
-
-    picked = ids.join(people, "doc_id", "left").select("doc_id", "text", *said).where(mark < part)
-    some = picked.mapInArrow(vectors, "stratum bigint, doc_id bigint, at binary, x binary, junk double, toxic double").limit(2 * sample).toArrow().sort_by([("doc_id", "ascending")])
-    rows = [(np.frombuffer(a, np.int32), np.frombuffer(x, np.float32)) for a, x in zip(some.column("at").to_pylist(), some.column("x").to_pylist(), strict=True)]
-    posts = {h: some.column(h).to_numpy() for h in HEADS}
-    weigh = {3 * r["p_junk"] + r["p_toxic"]: r["n"] / q for r, q in zip(strata, takes, strict=True) if q}
-    weigh = np.array([weigh[x] for x in some.column("stratum").to_pylist()])
-    del some
-    fitted = []
-    for head, bad in posts.items():
-        u = scales(head, rows, bad, log2_dims)
-        w = Ftrl(width(log2_dims), 2, l1=0.05).fit(rows, np.stack([1 - bad, bad], axis=1), scale=u) * u[:, None]
-        if len(rows):  # strata aren't taken in proportion; the constant makes up for it
-            share = np.clip([bad.mean(), np.average(bad, weights=weigh)], 1e-6, 1 - 1e-6)
-            w[1 << log2_dims, 1] += _logit(share[1]) - _logit(share[0])
-        fitted.append(w)
-    return np.concatenate(fitted, axis=1).astype(np.float32)
+                (w,), first = _text.words(data, offs, lower=False)
+                f = [features(data[offs[i] : offs[i + 1]], w[first[i] : first[i + 1]], log2_dims) for i in range(b.num_rows) if first[i + 1] > first[i]]
+                keep = b.take(pa.array(np.flatnonzero(np.diff(first))))
+                yield pa.RecordBatch.from_arrays([keep.column(0), *keep.columns[2:], pa.array([x[0].astype(np.int32).tobytes() for x in f], pa.binary()), pa.array([x[1].astype(np.float32).tobytes() for x in f], pa.binary())], names=["doc_id", *HEADS, *told, "at", "x"])
+
+    picked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("h", F.xxhash64("text"))
+    picked = picked.join(F.broadcast(chosen), ["doc_id", "h"]).groupBy("doc_id").agg(F.first("text").alias("text"), *(F.first(c).alias(c) for c in (*HEADS, *told)))
+    longs = ", ".join(f"{c} bigint" for c in (*HEADS, *told))
+    rows = stored(picked.mapInArrow(vectors, f"doc_id bigint, {longs}, at binary, x binary"), "quality-sample")
+    weigh = {(junk, toxic): n / q for (junk, toxic, n), q in zip(strata, takes, strict=True) if q}
+    w = np.zeros((width(log2_dims), 2 * len(HEADS)), np.float32)
+    tasks = [in_one_task(rows, partial(_train, head, model[head], weigh, log2_dims), "column int, at binary, w binary") for head in HEADS]
+    got = reduce(DataFrame.union, tasks).toArrow()
+    for c, at, x in zip(*(got.column(i).to_pylist() for i in range(3)), strict=True):
+        w[np.frombuffer(at, np.int32), c] = np.frombuffer(x, np.float32)
+    return w
+
+
+def _train(head: str, model: tuple[float, np.ndarray], weigh: dict, log2_dims: int, t: pa.Table) -> pa.RecordBatch:
+    """Places and values of a head's weights that are not zero, for each of its columns; t: the sample."""
+    t = t.sort_by([("doc_id", "ascending")])
+    rows = [(np.frombuffer(a.as_buffer(), np.int32), np.frombuffer(x.as_buffer(), np.float32)) for a, x in zip(t.column("at"), t.column("x"), strict=True)]
+    votes_of = np.column_stack([decoded(t.column(head).to_numpy(), HEADS[head]), t.column(f"p_{head}").to_numpy()]).astype(np.int64)
+    bad = posterior(votes_of, *model, told=True)
+    u = scales(head, rows, bad, log2_dims)
+    w = Ftrl(width(log2_dims), 2, l1=0.05).fit(rows, np.stack([1 - bad, bad], axis=1), scale=u) * u[:, None]
+    if len(rows):  # strata aren't taken in proportion; the constant makes up for it
+        heft = np.array([weigh[x] for x in zip(t.column("p_junk").to_pylist(), t.column("p_toxic").to_pylist(), strict=True)])
+        share = np.clip([bad.mean(), np.average(bad, weights=heft)], 1e-6, 1 - 1e-6)
+        w[1 << log2_dims, 1] += _logit(share[1]) - _logit(share[0])
+    on = [np.flatnonzero(x) for x in w.T]
+    first = 2 * list(HEADS).index(head)
+    return pa.RecordBatch.from_arrays([pa.array([first, first + 1], pa.int32()), pa.array([i.astype(np.int32).tobytes() for i in on], pa.binary()), pa.array([w[i, c].astype(np.float32).tobytes() for c, i in enumerate(on)], pa.binary())], names=["column", "at", "w"])
 
 
 def scored(texts: pa.Array, w: np.ndarray, threshold: float, log2_dims: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(score, toxic_score, keep) of each text."""
     data, offs = _text.bytes_of(texts)
-    v, ws, has = votes(data, offs)
-    good, toxic = np.zeros(len(texts)), np.zeros(len(texts))
+    (h,), first = _text.words(data, offs, lower=False)
+    good, toxic, has = np.zeros(len(texts)), np.zeros(len(texts)), np.diff(first) > 0
     for i in np.flatnonzero(has).tolist():
-        at, x = features(data[offs[i] : offs[i + 1]], ws[i], np.concatenate([v[h][i] for h in HEADS]), log2_dims)
+        at, x = features(data[offs[i] : offs[i + 1]], h[first[i] : first[i + 1]], log2_dims)
         s = x @ w[at]
         good[i], toxic[i] = softmax(s[:2])[0], softmax(s[2:])[1]
     return good, toxic, has & (good >= 1 - threshold) & (toxic < threshold)
@@ -332,8 +386,9 @@ def classify(docs: DataFrame, labels: DataFrame | None = None, sample: int = SAM
     toxic_score < threshold).
 
     labels(doc_id, quality 0 or 1, toxic 0 or 1), if given, counts as a labeller of both heads; nulls abstain, and of several rows
-    of a doc_id the worst holds. Texts that are null or blank have score 0, toxic_score 0, and are not kept. Repeated rows are scored each, and equal texts
-    equally. Empty table: no rows. Other columns are not read.
+    of a doc_id the worst holds. Texts that are null or blank have score 0, toxic_score 0, and are not kept. Repeated rows are
+    scored each, and equal texts equally; of the rows of a doc_id one takes part in the fit, and rows without doc_id in the counts
+    of votes only. Empty table: no rows. Other columns are not read.
     """
     weights = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, sample, log2_dims))
 
@@ -349,10 +404,11 @@ def classify(docs: DataFrame, labels: DataFrame | None = None, sample: int = SAM
 def accepted(docs: DataFrame, labels: DataFrame | None = None, sample: int = SAMPLE, threshold: float = THRESHOLD, log2_dims: int = LOG2_DIMS) -> DataFrame:
     """The rows of docs that `classify` keeps, with all their columns."""
     weights = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, sample, log2_dims))
+    at = docs.columns.index("text")
 
     def run(batches):
         for batch in batches:
             for b in _text.blocks(batch):
-                yield b.filter(pa.array(scored(b.column(b.schema.get_field_index("text")), weights.value, threshold, log2_dims)[2]))
+                yield b.filter(pa.array(scored(b.column(at), weights.value, threshold, log2_dims)[2]))
 
     return docs.mapInArrow(run, docs.schema)
