@@ -213,20 +213,21 @@ def width(log2_dims: int) -> int:
 
 def shapes(data: np.ndarray, w: np.ndarray) -> np.ndarray:
     """Shares of word shapes (class of the first and of the last byte, whether a lower-case letter is there) and, as ones in two
-    rows of eleven bins, the share of repeated three-word runs and of words that repeat the one before; all less in short texts."""
+    rows of eleven bins, the shares of repeated three-word runs and of words that repeat the one before. All shares are those of the
+    text with SHORT plain lower-case words more, so that short texts look plain."""
     out = np.zeros(SHAPES)
-    n = len(w)
+    total = len(w) + SHORT
     cls = _CLASS[data]
     solid = np.concatenate([[False], cls != 4, [False]])
     first, end = np.flatnonzero(solid[1:-1] & ~solid[:-2]), np.flatnonzero(solid[1:-1] & ~solid[2:])
     low = np.concatenate([[0], np.cumsum((cls == 2) | (cls == 0))])
-    has_low = low[end + 1] > low[first]
-    out[: 7 * 7 * 2] = np.bincount((cls[first].astype(np.int64) * 7 + cls[end]) * 2 + has_low, minlength=7 * 7 * 2) / n
+    out[: 7 * 7 * 2] = np.bincount((cls[first].astype(np.int64) * 7 + cls[end]) * 2 + (low[end + 1] > low[first]), minlength=7 * 7 * 2)
+    out[(2 * 7 + 2) * 2 + 1] += SHORT
+    out /= total
     g = _text.grams(w, 3)
-    stale = 1 - len(np.unique(g)) / len(g) if len(g) else 0.0
-    echo = float((w[1:] == w[:-1]).mean()) if n > 1 else 0.0
+    stale, echo = (len(g) - len(np.unique(g))) / total, float((w[1:] == w[:-1]).sum()) / total
     out[98 + int(10 * stale)] = out[109 + int(10 * echo)] = 1
-    return out * (n / (n + SHORT))
+    return out
 
 
 def features(data: np.ndarray, w: np.ndarray, log2_dims: int) -> tuple[np.ndarray, np.ndarray]:
