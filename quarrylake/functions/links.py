@@ -54,9 +54,13 @@ def is_outside(path: Column | str) -> Column:
 
 
 _MASK = (r"(?ms)^[ ]{0,3}(```+|~~~+)[^\n]*\n.*?(^[ ]{0,3}\1[`~]*[ \t]*$|\z)", r"(?s)(?<!`)(`+)(?!`)(.+?)(?<!`)\1(?!`)")
-_INLINE = r"""(?<![!\\])\[(?:[^\[\]\\]|\\.|\[[^\[\]]*\]|!\[[^\]]*\]\([^)]*\))*\]\(\s*(?:<([^<>\n]*)>|((?:[^\s()\\]|\\.|\([^\s()]*\))*))(?:\s+(?:"[^"]*"|'[^']*'|\([^)]*\)))?\s*\)"""
-_REFERENCE = r"(?<![!\\\]])\[(?:[^\[\]\\]|\\.)+\]\[((?:[^\[\]\\]|\\.)*)\]"
-_DEFINITION = r"""(?m)^[ ]{0,3}\[((?:[^\[\]\\]|\\.)+)\]:[ \t]*<?([^\s<>]+)>?[ \t]*(?:"[^"\n]*"|'[^'\n]*'|\([^)\n]*\))?[ \t]*$"""
+# Loops are possessive: what may follow never starts inside them, and so Java's matcher neither recurses nor goes back.
+_LABEL = r"(?:[^\[\]\\]++|\\.|\[[^\[\]]*+\])*+"
+_PLAIN = r"(?:[^\[\]\\]++|\\.)"
+_INLINE = rf"""(?<![!\\])\[{_LABEL}\]\(\s*+(?:<([^<>\n]*+)>|((?:[^\s()\\]++|\\.|\([^\s()]*+\))*+))(?:\s++(?:"[^"]*+"|'[^']*+'|\([^()]*+\)))?\s*+\)"""
+_REFERENCE = rf"(?<![!\\\]])\[{_PLAIN}++\]\[({_PLAIN}*+)\]"
+_SHORT = rf"(?<![!\\\]])\[({_PLAIN}++)\]\[\]"
+_DEFINITION = rf"""(?m)^[ ]{{0,3}}\[({_PLAIN}++)\]:[ \t]*+<?([^\s<>]++)>?[ \t]*+(?:"[^"\n]*+"|'[^'\n]*+'|\([^)\n]*+\))?[ \t]*+$"""
 
 
 def masked_code(body: Column | str) -> Column:
@@ -73,15 +77,16 @@ def extract_links(body: Column | str) -> Column:
     Code, images and bare addresses are no links. Nested brackets are followed one level deep.
     """
     text = masked_code(body)
+    may = F.contains(filled(body), F.lit("](")) | F.contains(filled(body), F.lit("]["))
     inline = F.transform(F.regexp_extract_all(text, F.lit(_INLINE), F.lit(0)), lambda m: F.concat(F.regexp_extract(m, _INLINE, 1), F.regexp_extract(m, _INLINE, 2)))
     names = F.regexp_extract_all(text, F.lit(_DEFINITION), F.lit(1))
     targets = F.regexp_extract_all(text, F.lit(_DEFINITION), F.lit(2))
     defined = F.zip_with(names, targets, lambda n, t: F.struct(F.lower(n).alias("name"), t.alias("target")))
     used = F.transform(F.regexp_extract_all(text, F.lit(_REFERENCE), F.lit(1)), lambda n: F.lower(n))
-    shown = F.transform(F.regexp_extract_all(text, F.lit(r"(?<![!\\\]])\[((?:[^\[\]\\]|\\.)+)\]\[\]"), F.lit(1)), lambda n: F.lower(n))
+    shown = F.transform(F.regexp_extract_all(text, F.lit(_SHORT), F.lit(1)), lambda n: F.lower(n))
     asked = F.concat(F.filter(used, lambda n: n != ""), shown)
     by_name = F.transform(asked, lambda n: F.get(F.filter(defined, lambda d: d["name"] == n), F.lit(0))["target"])
-    return F.filter(F.concat(inline, by_name), lambda t: t.isNotNull() & (t != ""))
+    return F.when(may, F.filter(F.concat(inline, by_name), lambda t: t.isNotNull() & (t != ""))).otherwise(F.array().cast("array<string>"))
 
 
 def hub_bundle(uri: Column | str) -> Column:

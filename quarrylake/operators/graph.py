@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -118,26 +119,33 @@ def _steps(edges: DataFrame, direction: str) -> DataFrame:
     return {"inbound": back, "bidirectional": out.unionByName(back)}.get(direction, out)
 
 
-def bfs(edges: DataFrame, start: str, depth: int = 2, direction: str = "outbound", strict: bool = False, cost: DataFrame | None = None, budget: int = 0) -> DataFrame:
+SMALL = 10_000  # rows of a frontier that is broadcast
+
+
+def bfs(edges: DataFrame, start: str, depth: int = 2, direction: str = "outbound", strict: bool = False, cost: Callable[[DataFrame], DataFrame] | None = None, budget: int = 0) -> DataFrame:
     """(id, depth, place): nodes within depth of start; ordering by depth and place is the order of a queue.
 
-    place is the path of moves that first found a node, so no level needs a global numbering. With cost(id, cost) and a budget the
-    walk ends with the level on which the sum of costs passes it. strict: unknown directions are an error, else outbound.
+    place is the path of moves that first found a node, so no level needs a global numbering. With a budget the walk ends with the
+    level on which the sum of costs passes it; cost gets nodes(id) and adds their cost. strict: unknown directions are an error, else
+    outbound. Moves are checkpointed once, dealt by their first node, and one action counts each level; a frontier of SMALL rows at
+    most is broadcast to them, a larger one is shuffled.
     """
     if strict and direction not in ("outbound", "inbound", "bidirectional"):
         raise ValueError(f"unknown direction: {direction}")
     spark = edges.sparkSession
     steps = _steps(edges, direction)
+    steps = checkpointed(steps.repartition("u")) if depth > 1 else steps
     seen = spark.createDataFrame([(start, 0)], "id string, depth int").withColumn("place", F.array().cast(STEP))
-    front, spent = seen, 0
+    front, n, spent = seen, 1, 0
     for level in range(1, depth + 1):
         if budget and cost is not None:
-            spent += front.join(cost, "id").agg(F.coalesce(F.sum("cost"), F.lit(0))).first()[0]
+            spent += cost(F.broadcast(front.select("id")) if n <= SMALL else front.select("id")).agg(F.coalesce(F.sum("cost"), F.lit(0))).first()[0]
             if spent > budget:
                 break
-        found = front.join(steps, F.col("id") == F.col("u")).select(F.col("v").alias("id"), F.concat("place", F.array("step")).alias("place"))
+        found = (F.broadcast(front) if n <= SMALL else front).join(steps, F.col("id") == F.col("u")).select(F.col("v").alias("id"), F.concat("place", F.array("step")).alias("place"))
         front = checkpointed(found.groupBy("id").agg(F.min("place").alias("place")).join(seen.select("id"), "id", "left_anti").select("id", F.lit(level).alias("depth"), "place"))
-        if front.isEmpty():
+        n = front.count()
+        if not n:
             break
         seen = seen.unionByName(front)
     return seen
@@ -179,14 +187,19 @@ def within_budget(nodes: DataFrame, max_characters: int, max_tokens: int) -> Dat
 
 def assemble(concepts: DataFrame, edges: DataFrame, start: str, options: Options = Options()) -> DataFrame:  # noqa: B008
     """(id, depth, place, characters, tokens, running sums, text) of the nodes whose texts fit the budget, in order of depth and place."""
-    text = concepts.where(filled("parse_error") == "").select("id", format_concept(options.format).alias("text"))
-    text = text.select("id", "text", F.octet_length("text").cast("long").alias("characters")).withColumn("tokens", F.floor(F.col("characters") / 4).cast("long"))
-    if not text.where(F.col("id") == start).limit(1).count():
+    parsed = concepts.where(filled("parse_error") == "")
+    if parsed.where(F.col("id") == start).isEmpty():
         raise LookupError(f"concept not found: {start}")
-    cost = text.select("id", F.col("characters").alias("cost"))
+
+    def texts(nodes: DataFrame) -> DataFrame:
+        """nodes with the text of each; only the nodes' own texts are made."""
+        made = nodes.join(parsed, "id").select(*nodes.columns, format_concept(options.format).alias("text"))
+        return made.withColumn("characters", F.octet_length("text").cast("long")).withColumn("tokens", F.floor(F.col("characters") / 4).cast("long"))
+
+    cost = lambda nodes: texts(nodes).select("id", F.col("characters").alias("cost"))
     most = min([x for x in (options.max_characters, options.max_tokens * 4 + 3 if options.max_tokens else 0) if x > 0], default=0)
     nodes = bfs(edges, start, options.depth, options.direction, cost=cost, budget=most if options.max_characters > 0 else 0)
-    return within_budget(nodes.join(text, "id"), options.max_characters, options.max_tokens)
+    return within_budget(texts(nodes).select("id", "depth", "place", "text", "characters", "tokens"), options.max_characters, options.max_tokens)
 
 
 def context(assembled: DataFrame, kind: str = "xml") -> DataFrame:

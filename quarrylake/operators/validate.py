@@ -1,7 +1,8 @@
 """Conformance rules as issues(concept_id, path, severity, message).
 
-Rules that look at one row are compiled into one array of issues, so all of them take one scan; rules on links, citations and hub
-links are anti joins.
+All rules of a row, its links and its citations among them, are compiled into one array of issues, so they take one scan. An issue
+about a link inside the bundle names the concept that the link needs; one join against the known ids drops those that are there.
+Messages are fixed values: they are the expected output.
 """
 
 from __future__ import annotations
@@ -9,17 +10,18 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarrylake.functions import filled, hub_bundle, hub_concept, is_external, is_outside, link_path, parse_timestamp, resolve_link, trim_space, without_md
+from quarrylake.functions import extract_links, filled, hub_bundle, hub_concept, is_external, is_outside, link_path, parse_timestamp, trim_space, without_md
 from quarrylake.operators.graph import raw_links
 
 ERROR, WARNING = "ERROR", "WARNING"
 STATUSES = ("draft", "stable", "deprecated")
-_ISSUE = "array<struct<severity:string,message:string>>"
+_ISSUE = "array<struct<severity:string,message:string,needs:string>>"
 _ISSUES = ("concept_id", "path", "severity", "message")
 
 
-def _issue(severity: str, message) -> Column:
-    return F.struct(F.lit(severity).alias("severity"), (F.lit(message) if isinstance(message, str) else message).alias("message"))
+def _issue(severity: str, message, needs: Column | None = None) -> Column:
+    """needs: the concept without which this is an issue."""
+    return F.struct(F.lit(severity).alias("severity"), (F.lit(message) if isinstance(message, str) else message).alias("message"), (F.lit(None).cast("string") if needs is None else needs).alias("needs"))
 
 
 def _text(template: str, *parts) -> Column:
@@ -79,30 +81,44 @@ def attestation_rules() -> list[Column]:
     return [_when(kind.isin("attestation", "attested computation") & none, ERROR, "attestation concept requires an 'attestation' frontmatter block with 'query' or 'executor'")]
 
 
-def row_issues(concepts: DataFrame, rules: list[Column]) -> DataFrame:
-    """Issues of rules on single rows; a row that failed to parse has that one issue."""
+def _references(targets: Column, outside: str, broken: str) -> Column:
+    """Issues of references to paths of the bundle: those that leave it, and the others, which need their concept."""
+    own = F.filter(targets, lambda t: (filled(t) != "") & ~is_external(t) & ~t.startswith("hub://") & ~t.startswith("#"))
+    placed = F.transform(own, lambda t: F.struct(t.alias("target"), link_path(F.col("path"), t).alias("to")))
+
+    def issue(x: Column) -> Column:
+        to = without_md(x["to"])
+        return F.when(is_outside(x["to"]), _issue(WARNING, _text(outside, x["target"]))).otherwise(_issue(WARNING, _text(broken, to, x["target"]), to))
+
+    return F.transform(placed, issue).cast(_ISSUE)
+
+
+def link_rules() -> list[Column]:
+    return [_references(extract_links("body"), "link '{}' references a path outside the bundle", "broken link: target concept '{}' (resolved from '{}') does not exist")]
+
+
+def citation_rules() -> list[Column]:
+    """As link_rules; hub citations are no paths and are left alone."""
+    uris = F.transform(F.coalesce("citations", F.array().cast("array<struct<number:int,title:string,uri:string>>")), lambda c: c["uri"])
+    return [_references(uris, "citation link '{}' references a path outside the bundle", "broken citation link: target concept '{}' (resolved from '{}') does not exist")]
+
+
+def row_issues(concepts: DataFrame, rules: list[Column], known: DataFrame | None = None) -> DataFrame:
+    """Issues of rules; a row that failed to parse has that one issue. Issues about what is needed hold against known(id), by default
+    the concepts themselves."""
     own = F.when(filled("parse_error") != "", F.array(_issue(ERROR, F.col("parse_error"))).cast(_ISSUE)).otherwise(F.concat(*rules))
-    return concepts.select(F.col("id").alias("concept_id"), "path", F.inline(own))
+    issues = concepts.select(F.col("id").alias("concept_id"), "path", F.inline(own))
+    there = (concepts if known is None else known).select(F.col("id").alias("there"))
+    return issues.join(there, F.col("needs") == F.col("there"), "left_anti").select(*_ISSUES)
 
 
 def link_issues(concepts: DataFrame) -> DataFrame:
     """Links that leave the bundle or whose target does not exist, once for each occurrence."""
-    links = raw_links(concepts).where(~is_external("target") & ~F.col("target").startswith("hub://") & ~F.col("target").startswith("#"))
-    links = links.withColumn("to", link_path("path", "target"))
-    outside = links.where(is_outside("to")).select("concept_id", "path", F.lit(WARNING).alias("severity"), _text("link '{}' references a path outside the bundle", "target").alias("message"))
-    inside = links.where(~is_outside("to")).withColumn("resolved", without_md(F.col("to")))
-    broken = inside.join(concepts.select(F.col("id").alias("resolved")), "resolved", "left_anti")
-    return outside.unionByName(broken.select("concept_id", "path", F.lit(WARNING).alias("severity"), _text("broken link: target concept '{}' (resolved from '{}') does not exist", "resolved", "target").alias("message")))
+    return row_issues(concepts.where(filled("parse_error") == ""), link_rules(), concepts)
 
 
 def citation_issues(concepts: DataFrame) -> DataFrame:
-    """As link_issues, for citations; hub citations are no paths and are left alone."""
-    cites = concepts.where(filled("parse_error") == "").select(F.col("id").alias("concept_id"), "path", F.explode("citations").alias("c")).select("concept_id", "path", F.col("c.uri").alias("uri"))
-    cites = cites.where((filled("uri") != "") & ~is_external("uri") & ~F.col("uri").startswith("hub://") & ~F.col("uri").startswith("#")).withColumn("to", link_path("path", "uri"))
-    outside = cites.where(is_outside("to")).select("concept_id", "path", F.lit(WARNING).alias("severity"), _text("citation link '{}' references a path outside the bundle", "uri").alias("message"))
-    inside = cites.where(~is_outside("to")).withColumn("resolved", resolve_link("path", "uri"))
-    broken = inside.join(concepts.select(F.col("id").alias("resolved")), "resolved", "left_anti")
-    return outside.unionByName(broken.select("concept_id", "path", F.lit(WARNING).alias("severity"), _text("broken citation link: target concept '{}' (resolved from '{}') does not exist", "resolved", "uri").alias("message")))
+    return row_issues(concepts.where(filled("parse_error") == ""), citation_rules(), concepts)
 
 
 def remote_issues(links: DataFrame, remote: DataFrame) -> DataFrame:
@@ -116,22 +132,32 @@ def remote_issues(links: DataFrame, remote: DataFrame) -> DataFrame:
     return unknown.unionByName(missing.select("concept_id", "path", F.lit(ERROR).alias("severity"), _text("broken remote link: concept '{}' not found in remote bundle '{}'", "concept", "bundle").alias("message")))
 
 
+def all_rules(as_of: Column) -> list[Column]:
+    return [*field_rules(), *status_rules(), *freshness_rules(as_of), *actor_rules(), *attestation_rules(), *link_rules(), *citation_rules()]
+
+
 def lint(concepts: DataFrame, as_of: Column, remote: DataFrame | None = None) -> DataFrame:
-    """All issues of a bundle by path and message; hub links only against a given remote(bundle, concept)."""
-    rules = [*field_rules(), *status_rules(), *freshness_rules(as_of), *actor_rules(), *attestation_rules()]
-    out = row_issues(concepts, rules).unionByName(link_issues(concepts)).unionByName(citation_issues(concepts))
-    if remote is not None:
-        out = out.unionByName(remote_issues(raw_links(concepts), remote))
-    return out.select(*_ISSUES).orderBy("path", "message")
+    """All issues of a bundle, in no order; hub links only against a given remote(bundle, concept)."""
+    out = row_issues(concepts, all_rules(as_of))
+    return out if remote is None else out.unionByName(remote_issues(raw_links(concepts), remote))
+
+
+def in_order(issues: DataFrame) -> DataFrame:
+    """Issues by path and message, for a report."""
+    return issues.orderBy("path", "message")
 
 
 def lint_changed(concepts: DataFrame, changed: DataFrame, as_of: Column) -> DataFrame:
-    """Issues of changed concepts against the bundle that they replace rows of."""
-    bundle = concepts.join(changed.select("id"), "id", "left_anti").unionByName(changed)
-    return lint(bundle, as_of).join(changed.select(F.col("id").alias("concept_id")), "concept_id", "left_semi").select(*_ISSUES)
+    """Issues of changed concepts against the bundle that they replace rows of; only the changed ones are read whole."""
+    known = concepts.select("id").join(changed.select("id"), "id", "left_anti").unionByName(changed.select("id"))
+    return row_issues(changed, all_rules(as_of), known)
 
 
 def lint_counts(issues: DataFrame) -> DataFrame:
     return issues.agg(F.count_if(F.col("severity") == ERROR).alias("errors"), F.count_if(F.col("severity") == WARNING).alias("warnings"))
 
 
+def report(issues: DataFrame) -> tuple[DataFrame, int]:
+    """(lines `SEVERITY path: message` in order, exit status: 1 if there is an error). One row reaches the driver."""
+    lines = in_order(issues).select(F.concat("severity", F.lit(" "), "path", F.lit(": "), "message").alias("line"))
+    return lines, int((lint_counts(issues).first()["errors"] or 0) > 0)

@@ -6,12 +6,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarrylake.model import as_concepts
+from quarrylake.storage import spread
 
 AS_OF = "2025-01-01 00:00:00"
 
 
+LONG = ("documents", "pages", "conversations")  # tables of texts, where a row costs much
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(df) if name in LONG else df
 
 
 def document_concepts(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -17,6 +17,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from quarrylake.functions import concept_hash, filled
 from quarrylake.model import metadata_json
+from quarrylake.storage import checkpointed
 
 STATE = "concept_id string, connector string, external_id string, content_hash string, last_pushed timestamp"
 PULL_STATE = "concept_id string, hash string"
@@ -67,47 +68,47 @@ def committed(state: DataFrame, pushed: DataFrame, at: Column) -> DataFrame:
 
 
 class StateTable:
-    """Versions of a state table in a folder: each save writes a new one, then moves the pointer to it."""
+    """Versions of a state table in a folder. A version counts once its marker is there, which is made after its files; the newest
+    marked one is the table, so a crash at any moment leaves the table as it was. Each save keeps the version before, for readers
+    that have begun, and removes older ones. One writer at a time."""
 
     def __init__(self, spark: SparkSession, root: str, schema: str):
         self.spark, self.root, self.schema = spark, root.rstrip("/"), schema
-        jvm = spark._jvm
-        self._path = jvm.org.apache.hadoop.fs.Path
+        self._path = spark._jvm.org.apache.hadoop.fs.Path
         self._fs = self._path(self.root).getFileSystem(spark._jsc.hadoopConfiguration())
 
-    def _current(self) -> str | None:
-        p = self._path(f"{self.root}/_current")
-        if not self._fs.exists(p):
-            return None
-        return self.spark.read.text(f"{self.root}/_current").first()[0]
+    def versions(self) -> list[str]:
+        """Names of the complete versions, oldest first."""
+        root = self._path(self.root)
+        names = {f.getPath().getName() for f in self._fs.listStatus(root)} if self._fs.exists(root) else set()
+        return sorted(n.removesuffix(".done") for n in names if n.endswith(".done") and n.removesuffix(".done") in names)
 
     def load(self) -> DataFrame:
-        name = self._current()
-        return self.spark.read.schema(self.schema).parquet(f"{self.root}/{name}") if name else self.spark.createDataFrame([], self.schema)
+        known = self.versions()
+        return self.spark.read.schema(self.schema).parquet(f"{self.root}/{known[-1]}") if known else self.spark.createDataFrame([], self.schema)
 
     def save(self, df: DataFrame) -> None:
-        name = f"v-{uuid.uuid4().hex}"
+        known = self.versions()
+        name = f"v{int(known[-1][1:13]) + 1 if known else 1:012d}-{uuid.uuid4().hex[:8]}"
         df.write.parquet(f"{self.root}/{name}")
-        new, cur = self._path(f"{self.root}/.new-{name}"), self._path(f"{self.root}/_current")
-        out = self._fs.create(new, True)
-        out.write(bytearray(name.encode()))
-        out.close()
-        self._fs.delete(cur, False)
-        self._fs.rename(new, cur)
+        self._fs.create(self._path(f"{self.root}/{name}.done"), False).close()
+        for old in known[:-1]:
+            self._fs.delete(self._path(f"{self.root}/{old}.done"), False)
+            self._fs.delete(self._path(f"{self.root}/{old}"), True)
 
 
 def sync_once(concepts: DataFrame, connectors: list[Connector], states: StateTable, pulls: StateTable, write: Callable[[DataFrame], None], at: Column) -> dict[str, tuple[int, int]]:
     """Push to all active connectors, then pull from all; gives (pushed, pulled) by connector. A pulled row's hash is that before writing."""
     spark, local, out = concepts.sparkSession, hashed(concepts), {}
     for c in (c for c in connectors if c.active):
-        delta = push_delta(local, spark.createDataFrame([(c.name,)], "connector string"), states.load())
+        delta = checkpointed(push_delta(local, spark.createDataFrame([(c.name,)], "connector string"), states.load()))
         n = delta.count()
-        if n:
-            c.push(local.join(delta.select("id", "external_id"), "id"))
+        if n:  # what is pushed and what is committed are the same rows, even if the source moves on meanwhile
+            c.push(local.join(delta.select("id", "content_hash", "external_id"), ["id", "content_hash"]))
             states.save(committed(states.load(), delta, at))
         out[c.name] = (n, 0)
     for c in (c for c in connectors if c.active):
-        delta = pull_delta(hashed(c.pull(spark)), pulls.load())
+        delta = checkpointed(pull_delta(hashed(c.pull(spark)), pulls.load()))
         n = delta.count()
         if n:
             known = pulls.load()
