@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import os
-import tempfile
 import uuid
 from collections.abc import Callable
 from pathlib import Path
@@ -14,6 +13,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from quarrylake.storage import shared_dir, spread
+
+__all__ = ["bitmap", "hits", "in_one_task", "sent", "shared_dir", "ship", "spread", "stored", "without"]
 ROOT = str(Path(__file__).resolve().parents[2])
 
 
@@ -25,18 +27,6 @@ def ship(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir, which driver and executors share; a temporary one only where none is set, as in tests."""
-    sc = spark.sparkContext
-    named = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
-    if not named:
-        named = tempfile.mkdtemp(prefix="quarrylake-")
-        sc.setCheckpointDir(named)
-    elif not sc.getCheckpointDir():
-        sc.setCheckpointDir(named)
-    return named
-
-
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write df once as Parquet in the shared folder and read it again: later steps start from files that outlive executors."""
     spark = df.sparkSession
@@ -45,10 +35,10 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """df over as many partitions as there are cores at least: a file of one row group would be one task. Larger inputs stay as read."""
-    n = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(n) if df.rdd.getNumPartitions() < n else df
+def sent(df: DataFrame, most: int = 8 << 20) -> DataFrame:
+    """A stored table with a broadcast hint if its rows, summed up first, take less than `most` bytes as text; else as it is."""
+    size = df.agg(F.sum(F.length(F.to_json(F.struct("*"))))).first()[0] or 0
+    return F.broadcast(df) if size < most else df
 
 
 def in_one_task(df: DataFrame, body: Callable[[pa.Table], pa.RecordBatch], schema: str) -> DataFrame:
@@ -90,21 +80,21 @@ def hits(bits: np.ndarray, log2_bits: int, hashes: np.ndarray) -> np.ndarray:
 def without(df: DataFrame, key: str, ids: DataFrame, bits: int = 24) -> DataFrame:
     """Rows of df whose key is not in ids: a bitmap of fixed size clears most rows in place, only the others go to an anti join.
 
-    Rows with a null key stay.
+    Rows with a null key stay. df may have any column names.
     """
     spark = ship(df.sparkSession)
-    ids = ids.select(F.col(key).alias("_gone")).where("_gone is not null").distinct()
-    known = spark.sparkContext.broadcast(bitmap(ids.select(F.xxhash64("_gone").alias("h")), "h", bits))
-    schema, names = df.schema, df.columns
+    ids = ids.select(F.col(key).alias("gone")).where("gone is not null").distinct()
+    known = spark.sparkContext.broadcast(bitmap(ids.select(F.xxhash64("gone").alias("h")), "h", bits))
+    rows = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), F.col(key).alias("own"), F.xxhash64(key).alias("h"))
+    schema = rows.schema
 
     def part(inside: bool):
         def run(batches):
             for b in batches:
-                at = np.flatnonzero(hits(known.value, bits, b.column(b.num_columns - 1).to_numpy().view(np.uint64)) == inside)
-                yield b.take(pa.array(at)).select(names)
-
-        return df.withColumn("_h", F.xxhash64(key)).mapInArrow(run, schema)
+                at = np.flatnonzero(hits(known.value, bits, b.column(2).to_numpy().view(np.uint64)) == inside)
+                yield b.take(pa.array(at))
 
-    some = part(True)
-    return part(False).unionByName(some.join(ids, some[key] == ids["_gone"], "left_anti"))
+        return rows.mapInArrow(run, schema)
 
+    out = part(False).unionByName(part(True).join(ids, F.col("own") == F.col("gone"), "left_anti"))
+    return out.select(*[F.col("row").getField(c).alias(c) for c in df.columns])

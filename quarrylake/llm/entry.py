@@ -43,7 +43,7 @@ def op7_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+    return mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "source", "text")).drop("source", "text")
 
 
 def op9_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,30 +1,30 @@
 """Operator 4, language identification: sparse multinomial logistic regression on TF-IDF character n-grams.
 
 Document frequencies count every training document. The regression is fitted by follow-the-regularised-leader with elastic-net
-penalties on a sample of PER_LANGUAGE documents of each language or so (at most SAMPLE in all), chosen by a hash of doc_id; one in
-five of these is kept out of the fit and sets the temperature. Then every whole text is scored.
+penalties on a sample of at most PER_LANGUAGE documents of each language and SAMPLE in all, those of the smallest hash of doc_id; one
+in five of these is kept out of the fit and sets the temperature. The fit is one executor task over the stored sample, and only
+weights reach the driver. Then every whole text is scored.
 """
 
 from __future__ import annotations
 
-import re
 import zlib
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarrylake.llm import _text
 from quarrylake.llm._linear import Ftrl, counted, hashed_grams, softmax, temperature, weighed
-from quarrylake.llm._work import ship
+from quarrylake.llm._work import in_one_task, sent, ship, stored
 
 LOG2_DIMS = 14
 ORDERS = (1, 2, 3)
-PER_LANGUAGE = 1000
-SAMPLE = 8_000
+PER_LANGUAGE = 1_500
+SAMPLE = 12_000
 UNKNOWN = "und"
-_LETTER = re.compile(r"[^\W\d_]")
 
 
 def features(text: str, log2_dims: int = LOG2_DIMS) -> tuple[np.ndarray, np.ndarray]:
@@ -34,6 +34,11 @@ def features(text: str, log2_dims: int = LOG2_DIMS) -> tuple[np.ndarray, np.ndar
     return counted(np.concatenate([hashed_grams(codes, n, log2_dims) for n in ORDERS]), 1 << log2_dims)
 
 
+def has_letter(text: str) -> bool:
+    """Whether a character is a letter (Unicode categories L*); numerals like the superscript two are none."""
+    return any(map(str.isalpha, text))
+
+
 def fold(doc_id: str = "doc_id") -> Column:
     """crc32 of doc_id as text modulo 3; null without doc_id."""
     return F.crc32(F.col(doc_id).cast("string").cast("binary")) % 3
@@ -60,22 +65,33 @@ def fit(train: DataFrame, per_language: int = PER_LANGUAGE, most: int = SAMPLE,
         return None
     idf = np.log((1 + df[dims]) / (1 + df[:dims])) + 1
 
-    langs = train.groupBy("lang").agg(F.count("*").alias("n"))
-    n_langs = langs.count()
-    each = max(1, min(per_language, most // n_langs))
+    # The rate of each language is known before any text moves: rows are chosen in place.
+    langs = stored(train.groupBy("lang").agg(F.count("*").alias("n")), "langid-languages")
+    each = max(1, min(per_language, most // langs.count()))
     mark = F.pmod(F.xxhash64(F.lit("langid"), "doc_id"), F.lit(1 << 30)) / float(1 << 30)
-    chosen = train.join(langs, "lang").where((mark * F.col("n")) < each).select("doc_id", "lang", "text")
+    near = train.withColumn("mark", mark).join(sent(langs), "lang").where(F.col("mark") * F.col("n") < 1.2 * each + 50)
 
     def vectors(batches):
-        for b in batches:
-            f = [features(x, log2_dims) for x in b.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([x[0].astype(np.int32).tobytes() for x in f], pa.binary()), pa.array([x[1].astype(np.int32).tobytes() for x in f], pa.binary())], names=["doc_id", "lang", "at", "n"])
+        for batch in batches:
+            for b in _text.blocks(batch):
+                f = [features(x, log2_dims) for x in b.column(2).to_pylist()]
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(3), pa.array([x[0].astype(np.int32).tobytes() for x in f], pa.binary()), pa.array([x[1].astype(np.int32).tobytes() for x in f], pa.binary())], names=["doc_id", "lang", "mark", "at", "n"])
+
+    drawn = near.select("doc_id", "lang", "text", "mark").mapInArrow(vectors, "doc_id bigint, lang string, mark double, at binary, n binary")
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy("mark", "doc_id", "at", "n"))
+    rows = stored(drawn.withColumn("r", rank).where(F.col("r") <= each).drop("r"), "langid-sample")  # at most `most` rows, if there are as few languages
+    got = in_one_task(rows, partial(_train, idf, dims), "names array<string>, temperature double, w binary").toArrow()
+    names, temp, w = (got.column(i)[0].as_py() for i in range(3))
+    return names, np.frombuffer(w, np.float64).reshape(dims, len(names)), idf, temp
+
 
-    s = chosen.mapInArrow(vectors, "doc_id bigint, lang string, at binary, n binary").limit(2 * most).toArrow().sort_by([("doc_id", "ascending")])
+def _train(idf: np.ndarray, dims: int, s: pa.Table) -> pa.RecordBatch:
+    """The languages, the temperature and the weights; s: the sample."""
+    s = s.sort_by([("doc_id", "ascending"), ("lang", "ascending"), ("at", "ascending"), ("n", "ascending")])
     names = sorted(set(s.column("lang").to_pylist()))
     rows = []
-    for at, n in zip(s.column("at").to_pylist(), s.column("n").to_pylist(), strict=True):
-        a, c = np.frombuffer(at, np.int32), np.frombuffer(n, np.int32)
+    for at, n in zip(s.column("at"), s.column("n"), strict=True):
+        a, c = np.frombuffer(at.as_buffer(), np.int32), np.frombuffer(n.as_buffer(), np.int32)
         rows.append((a, weighed(a, c, idf).astype(np.float32)))
     y = np.array([names.index(x) for x in s.column("lang").to_pylist()], np.int64)
     held = np.array([zlib.crc32(f"calibrate:{i}".encode()) % 5 == 0 for i in s.column("doc_id").to_pylist()], bool)
@@ -83,7 +99,7 @@ def fit(train: DataFrame, per_language: int = PER_LANGUAGE, most: int = SAMPLE,
         held[:] = False
     w = Ftrl(dims, len(names)).fit([r for r, h in zip(rows, held, strict=True) if not h], np.eye(len(names))[y[~held]])
     logits = np.array([x @ w[a] for (a, x), h in zip(rows, held, strict=True) if h]).reshape(-1, len(names))
-    return names, w, idf, temperature(logits, y[held])
+    return pa.RecordBatch.from_arrays([pa.array([names], pa.list_(pa.string())), pa.array([temperature(logits, y[held])]), pa.array([np.ascontiguousarray(w, np.float64).tobytes()], pa.binary())], names=["names", "temperature", "w"])
 
 
 def identify(docs: DataFrame, per_language: int = PER_LANGUAGE, most: int = SAMPLE, log2_dims: int = LOG2_DIMS) -> DataFrame:
@@ -103,7 +119,7 @@ def identify(docs: DataFrame, per_language: int = PER_LANGUAGE, most: int = SAMP
             for b in _text.blocks(batch):
                 pred, score = [], []
                 for t in b.column(2).to_pylist():
-                    if m is None or not t or not _LETTER.search(t):
+                    if m is None or not t or not has_letter(t):
                         pred.append(UNKNOWN), score.append(0.0)
                         continue
                     names, w, idf, temp = m

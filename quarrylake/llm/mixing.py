@@ -5,6 +5,9 @@ virtual finish time is the words of its source up to the offer's middle, divided
 global order of finish times and cut where the words taken reach the total budget, so every source stands within about half a
 document of its target. Running sums, within sources and over all, are made in two steps, by range and inside each range, so a
 source that holds most rows is no single task's work.
+
+What a source gives in an epoch is a prefix of its shuffled documents, so all sums run over a narrow stored table of keys and sizes,
+and the outcome is one bound for each source and epoch; the documents themselves are only held against these bounds, in place.
 """
 
 from __future__ import annotations
@@ -12,6 +15,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quarrylake.llm._work import sent, shared_dir, stored
+
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (3, 1, 2)
 SHARE = 1.5
@@ -45,59 +50,86 @@ def targets(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float
     return s.select("source", "source_size", t.cast("double").alias("target"))
 
 
-def scheduled(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, epochs: int = EPOCHS, seed: str = SEED) -> DataFrame:
-    """docs with size, source_size, target, _key (the digest) and _start, the words of the source before the document."""
-    d = docs.withColumn("size", word_count())
-    key = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))).cast("binary"))
-    d = d.withColumn("_key", key).withColumn("_range", F.substring("_key", 1, 3)).withColumn("_tie", F.xxhash64("text"))
-    parts = d.groupBy("source", "_range").agg(F.sum("size").alias("part"))
-    parts = parts.withColumn("_before", F.coalesce(F.sum("part").over(Window.partitionBy("source").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+def keyed(docs: DataFrame, seed: str = SEED) -> DataFrame:
+    """docs(row, doc_id, source, text) as row, source, at: the place in the shuffled source (digest k, hash of the text, size)."""
+    k = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))).cast("binary"))
+    return docs.select("row", "source", F.struct(k.alias("k"), F.xxhash64("text").alias("tie"), word_count().alias("size")).alias("at"))
+
+
+def scheduled(places: DataFrame, weights=WEIGHTS, share: float = SHARE, epochs: int = EPOCHS) -> DataFrame:
+    """From places(source, at), one row a document: source, at, c (rows in this place), j (the row's number among them), size,
+    start (words of the source before the row), source_size, target."""
+    d = stored(places.groupBy("source", "at").agg(F.count("*").alias("c")), "mixing-places")
+    d = d.select("source", "at", "c", F.substring("at.k", 1, 3).alias("range"), (F.col("c") * F.col("at.size")).alias("words"))
+    parts = d.groupBy("source", "range").agg(F.sum("words").alias("part"))
+    parts = parts.withColumn("before", F.coalesce(F.sum("part").over(Window.partitionBy("source").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     goal = targets(parts.groupBy("source").agg(F.sum("part").alias("source_size")), weights, share, epochs)
-    goal = goal.withColumnRenamed("source", "_goal")
-    parts = parts.withColumnsRenamed({"source": "_source", "_range": "_r"}).join(goal, F.col("_source").eqNullSafe(F.col("_goal"))).select("_source", "_r", "_before", "source_size", "target")
-    inside = Window.partitionBy("source", "_range").orderBy("_key", "_tie", "size").rowsBetween(Window.unboundedPreceding, -1)
-    d = d.withColumn("_inside", F.coalesce(F.sum("size").over(inside), F.lit(0)))
-    d = d.join(parts, F.col("source").eqNullSafe(F.col("_source")) & (F.col("_range") == F.col("_r")))
-    return d.withColumn("_start", F.col("_before") + F.col("_inside")).drop("_source", "_r", "_before", "_inside", "_range", "_tie")
+    parts = parts.withColumnsRenamed({"source": "s", "range": "r"}).join(goal, F.col("s").eqNullSafe(F.col("source"))).select("s", "r", "before", "source_size", "target")
+    inside = Window.partitionBy("source", "range").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
+    d = d.withColumn("inside", F.coalesce(F.sum("words").over(inside), F.lit(0)))
+    d = d.join(parts, F.col("source").eqNullSafe(F.col("s")) & (F.col("range") == F.col("r"))).withColumn("j", F.explode(F.sequence(F.lit(1).cast("long"), "c")))
+    size = F.col("at.size")
+    return d.select("source", "at", "c", "j", size.alias("size"), (F.col("before") + F.col("inside") + (F.col("j") - 1) * size).alias("start"), "source_size", "target")
 
 
 def finish(epoch: int) -> Column:
     """Virtual finish time, at the document's middle, of its offer in an epoch."""
-    return (F.lit(epoch) * F.col("source_size") + F.col("_start") + F.col("size") / 2) / F.col("target")
+    return (F.lit(epoch) * F.col("source_size") + F.col("start") + F.col("size") / 2) / F.col("target")
 
 
 def cut(plan: DataFrame, epochs: int, share: float) -> tuple[float, str, int] | None:
-    """The first offer, as (finish, _key, epoch), that no longer fits the budget; None if all fit. One row reaches the driver."""
-    offers = plan.where("size > 0").select("size", "_key", F.explode(F.array(*[F.struct(finish(e).alias("f"), F.lit(e).alias("e")) for e in range(epochs)])).alias("o")).select("size", "_key", "o.f", "o.e")
-    offers = offers.withColumn("range", F.least(F.floor(F.col("f") * (RANGES / 2)), F.lit(RANGES)).cast("int"))
+    """The first offer, as (finish, k, epoch), that no longer fits the budget; None if all fit. One row reaches the driver."""
+    offers = plan.where("size > 0").select("size", "at.k", F.explode(F.array(*[F.struct(finish(e).alias("f"), F.lit(e).alias("e")) for e in range(epochs)])).alias("o")).select("size", "k", "o.f", "o.e")
+    offers = offers.withColumn("range", F.least(F.floor(F.col("f") * (RANGES / epochs)), F.lit(RANGES)).cast("int"))
     sums = offers.groupBy("range").agg(F.sum("size").alias("part"))
     up = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)  # RANGES + 1 rows at most
     sums = sums.withColumn("before", F.coalesce(F.sum("part").over(up), F.lit(0))).withColumn("budget", F.lit(float(share)) * F.sum("part").over(Window.partitionBy()) / epochs)
     at = sums.where("before + part >= budget").orderBy("range").first()
     if at is None:
         return None
-    run = Window.orderBy("f", "_key", "e").rowsBetween(Window.unboundedPreceding, -1)  # of one range
+    run = Window.orderBy("f", "k", "e").rowsBetween(Window.unboundedPreceding, -1)  # of one range
     one = offers.where(F.col("range") == at["range"]).withColumn("before", F.lit(at["before"]) + F.coalesce(F.sum("size").over(run), F.lit(0)))
-    first = one.where(F.col("before") + F.col("size") / 2 > F.lit(at["budget"])).orderBy("f", "_key", "e").first()
-    return (first["f"], first["_key"], first["e"]) if first else (2 * (at["range"] + 1) / RANGES, "", 0)
+    first = one.where(F.col("before") + F.col("size") / 2 > F.lit(at["budget"])).orderBy("f", "k", "e").first()
+    return (first["f"], first["k"], first["e"]) if first else (epochs * (at["range"] + 1) / RANGES, "", 0)
+
+
+def bounds(plan: DataFrame, last: tuple[float, str, int] | None, epochs: int) -> DataFrame:
+    """For each source: own, source_size, target, and for each epoch e to_e, the last place (at, j, c) that the mix takes, or null."""
+    out = []
+    for e in range(epochs):
+        before = F.lit(True) if last is None else F.struct(finish(e), F.col("at.k"), F.lit(e)) < F.struct(F.lit(last[0]), F.lit(last[1]), F.lit(last[2]))
+        out.append(F.max(F.when((F.col("size") > 0) & before, F.struct("at", "j", "c"))).alias(f"to_{e}"))
+    return plan.groupBy(F.col("source").alias("own"), "source_size", "target").agg(*out)
 
 
 def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, epochs: int = EPOCHS, seed: str = SEED) -> DataFrame:
     """For each row of docs: its columns and size, source_size, target (of its source), taken (words the mix takes, repeats counted).
 
     taken is 0 to epochs times size, in whole documents. Null and blank texts have size 0 and are never taken. A null source is a
-    source of its own, after all others. Reruns agree: rows of equal doc_id follow by a hash of their text, and equal rows share
-    what is taken in any order. Empty table, or no words at all: nothing is taken. Columns named as the added ones are replaced.
+    source of its own, after all others. Reruns agree: rows of equal doc_id follow by a hash of their text, and of equal rows as many
+    are taken as fit. Empty table, or no words at all: nothing is taken. docs keeps all its columns; where it has one of an added
+    name, in any case of letters, the added one is called mix_<name>.
     """
-    added = ["size", "source_size", "target", "taken"]
-    kept = [c for c in docs.columns if c.lower() not in added]
-    plan = scheduled(docs.select(*kept), weights, share, epochs, seed)
-    last = cut(scheduled(docs.select("doc_id", "source", "text"), weights, share, epochs, seed), epochs, share)
+    shared_dir(docs.sparkSession)
+    rows = keyed(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "doc_id", "source", "text"), seed)
+    plan = stored(scheduled(keyed(docs.select(F.lit(0).alias("row"), "doc_id", "source", "text"), seed).drop("row"), weights, share, epochs), "mixing-plan")
+    to = stored(bounds(plan, cut(plan, epochs, share), epochs), "mixing-bounds")
+    shared = to.agg(F.max(F.greatest(*(F.col(f"to_{e}.c") for e in range(epochs)))) if epochs > 1 else F.max("to_0.c")).first()[0] or 0
+    rows = rows.join(sent(to), F.col("source").eqNullSafe(F.col("own")), "left")
+    at, ends = F.col("at"), [F.col(f"to_{e}") for e in range(epochs)]
+    rows = rows.withColumn("j", F.lit(1).cast("long"))
+    if shared > 1:  # equal rows at a bound, of which only some are taken
+        split = F.lit(False)
+        for x in ends:
+            split = split | F.coalesce((at == x["at"]) & (x["c"] > 1), F.lit(False))
+        number = F.row_number().over(Window.partitionBy("source", "at").orderBy(F.xxhash64("row"))).cast("long")
+        rows = rows.where(~split).unionByName(rows.where(split).withColumn("j", number))
     taken = F.lit(0)
-    for e in range(epochs):
-        before = F.lit(True) if last is None else F.struct(finish(e), F.col("_key"), F.lit(e)) < F.struct(F.lit(last[0]), F.lit(last[1]), F.lit(last[2]))
-        taken = taken + F.when((F.col("size") > 0) & before, F.col("size")).otherwise(0)
-    return plan.withColumn("taken", taken.cast("long")).select(*kept, *added)
+    for x in ends:
+        taken = taken + F.when((at["size"] > 0) & ((at < x["at"]) | ((at == x["at"]) & (F.col("j") <= x["j"]))), at["size"]).otherwise(0)
+    have = {c.lower() for c in docs.columns}
+    added = {"size": at["size"], "source_size": F.col("source_size"), "target": F.col("target"), "taken": taken.cast("long")}
+    return rows.select(*[F.col("row").getField(c).alias(c) for c in docs.columns], *[v.alias(f"mix_{n}" if n in have else n) for n, v in added.items()])
 
 
 def oracle(weights=WEIGHTS, share: float = SHARE, epochs: int = EPOCHS, seed: str = SEED, docs: str = "documents") -> str:

@@ -1,11 +1,16 @@
 """Operator 6, information-theoretic sanitisation of personal data, in DataFrame functions only.
 
-Base spans are found by patterns: e-mail and IP addresses, card and phone numbers. Their values are the protected entities. Words
-near an entity are candidate terms. A term's disclosure is the share of the entity's information that the term gives away, by
-co-occurrence over the whole corpus: log(N n(t, e) / (n(t) n(e))) / log(N / n(e)), where n counts documents; it is 1 if the term
-never occurs without the entity. Only terms seen near an entity in SUPPORT different contexts count, so that copies of one text
-don't make all its rare words telling. In documents that name the entity, terms near it are generalised from GENERALISE on and
-removed from REMOVE on.
+Base spans are found by patterns: e-mail and IP addresses, card and phone numbers. The protected entities are what they stand for, at
+four levels, since most values occur once: any personal data, its kind, a group (mail domain, first half of an address, issuer of a
+card, first digits of a number) and the value itself. Terms are the other words of a text; those with digits, which hardly ever
+recur, count by their length and whether they have letters.
+
+All counts are of distinct texts over the whole corpus, wherever in a text term t and entity e stand. P(e | t) is the lower bound, by
+Wilson's interval, of n(t, e) / n(t); the term's disclosure is log(P(e | t) / P(e)) / log(1 / P(e)), the share of the entity's
+information that it gives away: 1 if the term always means the entity, 0 if it says nothing. A pair counts if it can't be chance: the
+Chernoff bound of n(t, e) or more texts by chance, times the number of pairs, stays below CHANCE, and it is seen in two texts at
+least, as in a single text any word stands beside any other. A term's disclosure is the largest over entities. From GENERALISE on it
+is generalised and from REMOVE on removed, in every place of every document.
 
 Patterns are written so that Java's matcher takes time in proportion to the text: no attempt starts inside a run that an earlier
 attempt has gone through. They match what the plain patterns match.
@@ -16,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarrylake.llm._work import shared_dir, stored
+from quarrylake.llm._work import sent, shared_dir, stored
 
 # Kinds in order, patterns, and a cheap test that every text with a match passes.
 EMAIL = r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"
@@ -26,12 +31,11 @@ PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 KINDS = ("email", "ip", "card", "phone", "term")
 TAGS = {"email": "[EMAIL]", "ip": "[IP]", "card": "[CARD]", "phone": "[PHONE]"}
 TERM_TAG = "[TERM]"
-WORD = r"\p{L}{4,}+"
-NEAR = 60
-BESIDE = 32  # base spans on each side that may reach into NEAR characters: the shortest has five
-SUPPORT = 3
+WORD = r"[\p{L}\p{N}]{2,}+"
 GENERALISE = 0.6
 REMOVE = 0.9
+CHANCE = 0.05
+Z = 1.96
 BLOCK = 256
 
 
@@ -101,76 +105,114 @@ def named(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda x: F.concat_ws(":", F.get(kinds, x["rank"]), x["start"], x["end"])), ",")
 
 
-def _near_terms(docs: DataFrame) -> DataFrame:
-    """doc_id, text_hash, entity, context (a hash), term, start, end: words within NEAR characters of each base span, none in a span."""
+def term_of(word: Column) -> Column:
+    """What a word counts as: itself in lower case; with digits, its length and whether there are letters."""
+    size = F.length(word).cast("string")
+    return F.when(word.rlike(r"\p{N}"), F.concat(F.when(word.rlike(r"\p{L}"), F.lit("#a")).otherwise(F.lit("#9")), size)).otherwise(F.lower(word))
 
-    def around(e: Column, i: Column) -> Column:
-        lo, hi = F.greatest(F.lit(0), e["start"] - NEAR), F.least(F.length("text"), e["end"] + NEAR)
-        close = F.slice("spans", F.greatest(F.lit(1), i + 1 - BESIDE), F.lit(2 * BESIDE + 1))
-        return F.struct(
-            e["start"].alias("start"), e["end"].alias("end"), e["rank"].alias("rank"), e["value"].alias("value"), lo.alias("lo"), hi.alias("hi"), (hi == F.length("text")).alias("last"),
-            F.substring(F.col("text"), lo + 1, e["start"] - lo).alias("before"), F.substring(F.col("text"), e["end"] + 1, hi - e["end"]).alias("after"),
-            F.transform(close, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"))).alias("close"),
-        )
 
-    each = docs.where(F.size("spans") > 0).select("doc_id", "text_hash", F.explode(F.transform("spans", around)).alias("e")).select("doc_id", "text_hash", "e.*")
+def replaced(text: Column, spans: Column, tag) -> Column:
+    """text with its spans, structs with start and end in order of start, replaced by tag(span, first place not yet replaced).
 
-    def words(part: Column, lo: Column, first: Column, last: Column) -> Column:
-        """The words of a part of the text from lo on; one at a cut edge is left out."""
-        found = F.when(part.rlike(WORD), matches(part, WORD)).otherwise(F.array().cast("array<struct<start:int,end:int,value:string>>"))
-        whole = F.filter(found, lambda x: ((x["start"] > 0) | first) & ((x["end"] < F.length(part)) | last))
-        return F.transform(whole, lambda x: F.struct((x["start"] + lo).alias("start"), (x["end"] + lo).alias("end"), F.lower(x["value"]).alias("term")))
+    Of a span that overlaps one before only what is left is replaced, by tag as well.
+    """
+    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
-    near = F.concat(words(F.col("before"), F.col("lo"), F.col("lo") == 0, F.lit(True)), words(F.col("after"), F.col("end"), F.lit(True), F.col("last")))
-    free = F.filter(near, lambda w: ~F.exists("close", lambda s: (s["start"] < w["end"]) & (w["start"] < s["end"])))
-    entity = F.concat_ws(":", "rank", F.when(F.col("rank") == 0, F.lower("value")).when(F.col("rank") == 1, F.col("value")).otherwise(_digits(F.col("value"))))
-    return each.select("doc_id", "text_hash", entity.alias("entity"), F.xxhash64("before", "after").alias("context"), F.explode(free).alias("w")).select("doc_id", "text_hash", "entity", "context", "w.term", "w.start", "w.end")
+    def step(state: Column, x: Column) -> Column:
+        new = F.struct(x["end"].alias("at"), F.concat(state["out"], F.substring(text, state["at"] + 1, x["start"] - state["at"]), tag(x, F.greatest(x["start"], state["at"]))).alias("out"))
+        return F.when(x["end"] <= state["at"], state).otherwise(new)
 
+    return F.aggregate(spans, start, step, lambda s: F.concat(s["out"], F.substring(text, s["at"] + 1, F.length(text))))
+
+
+def masked(text: Column, spans: Column) -> Column:
+    """text with spaces in place of its base spans: no word of them is left, and all others stand where they stood."""
+    blank = replaced(text, spans, lambda x, at: F.repeat(F.lit(" "), x["end"] - at))
+    return F.when(F.size(spans) > 0, blank).otherwise(text)
 
-def with_spans(docs: DataFrame) -> DataFrame:
-    """docs with text_hash and spans, each computed once for a row."""
-    return docs.withColumn("text_hash", F.xxhash64("text")).select("*", F.explode(F.array(base_spans(F.col("text")))).alias("spans"))
-
-
-def telling_terms(docs: DataFrame, support: int = SUPPORT, least: float = GENERALISE) -> DataFrame:
-    """doc_id, text_hash, start, end, disclosure of the terms in docs(doc_id, text) that give an entity near them away."""
-    near = stored(_near_terms(with_spans(docs.select("doc_id", "text"))), "pii-near")
-    told = near.groupBy("entity", "term", "context").agg(F.min("doc_id").alias("one")).groupBy("entity", "term").agg(F.count("*").alias("contexts")).where(F.col("contexts") >= support)
-    told = told.select("entity", "term")
-    n_te = near.join(told, ["entity", "term"], "left_semi").select("entity", "term", "doc_id").distinct().groupBy("entity", "term").agg(F.count("*").alias("n_te"))
-    n_e = near.join(told.select("entity").distinct(), "entity", "left_semi").select("entity", "doc_id").distinct().groupBy("entity").agg(F.count("*").alias("n_e"))
-    vocabulary = docs.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(WORD), F.lit(0)))).alias("term")).groupBy("term").agg(F.count("*").alias("n_t"))
-    total = docs.agg(F.count("*").alias("n_all"))
-    stats = n_te.join(n_e, "entity").join(vocabulary.join(told.select("term").distinct(), "term", "left_semi"), "term").join(F.broadcast(total))
-    share = F.log(F.col("n_all") * F.col("n_te") / (F.greatest("n_t", "n_te") * F.col("n_e"))) / F.log(F.col("n_all") / F.col("n_e"))
-    stats = stats.select("entity", "term", F.when(F.col("n_all") > F.col("n_e"), share).otherwise(F.lit(0.0)).alias("disclosure")).where(F.col("disclosure") >= least)
-    return near.join(stats, ["entity", "term"]).groupBy("doc_id", "text_hash", "start", "end").agg(F.max("disclosure").alias("disclosure"))
-
-
-def found(docs: DataFrame, support: int = SUPPORT, least: float = GENERALISE) -> tuple[DataFrame, DataFrame]:
-    """(rows without any base span, rows with some and `terms`, an array of struct(start, rank, end, disclosure))."""
-    shared_dir(docs.sparkSession)
-    terms = telling_terms(docs, support, least)
-    # At most one term span for each place of a text: as many as its words.
-    terms = terms.groupBy("doc_id", "text_hash").agg(F.array_sort(F.collect_list(F.struct("start", F.lit(4).alias("rank"), "end", "disclosure"))).alias("terms"))
-    terms = terms.withColumnsRenamed({"doc_id": "_doc", "text_hash": "_hash"})
-    marked = with_spans(docs)
-    some = marked.where(F.size("spans") > 0).join(terms, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("text_hash") == F.col("_hash")), "left").drop("_doc", "_hash")
-    none = F.array().cast("array<struct<start:int,rank:int,end:int,disclosure:double>>")
-    return marked.where(F.size("spans") == 0).withColumn("terms", none), some.withColumn("terms", F.coalesce("terms", none))
 
+def entities(spans: Column) -> Column:
+    """The distinct entities of base spans: any, and kind, group and value of each."""
+    kinds = F.array(*[F.lit(k) for k in KINDS])
+
+    def of(x: Column) -> Column:
+        kind, digits = F.get(kinds, x["rank"]), _digits(x["value"])
+        value = F.when(x["rank"] == 0, F.lower(x["value"])).when(x["rank"] == 1, x["value"]).otherwise(digits)
+        group = F.when(x["rank"] == 0, F.substring_index(F.lower(x["value"]), "@", -1)).when(x["rank"] == 1, F.substring_index(x["value"], ".", 2)).when(x["rank"] == 2, F.substring(digits, 1, 6)).otherwise(F.substring(digits, 1, 4))
+        return F.array(kind, F.concat(kind, F.lit(":"), group), F.concat(kind, F.lit("="), value))
 
-def scan(docs: DataFrame, support: int = SUPPORT, least: float = GENERALISE) -> DataFrame:
-    """For each row of docs: doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans (base and term spans), n_term.
+    return F.array_distinct(F.concat(F.array(F.lit("any")), F.flatten(F.transform(spans, of))))
 
-    Null and empty texts have no spans. Repeated rows are returned each. Rows without doc_id count as documents of one unknown
-    id. Empty table: no rows. Other columns are not read.
+
+def with_spans(docs: DataFrame) -> DataFrame:
+    """docs with spans, computed once for a row."""
+    return docs.select("*", F.explode(F.array(base_spans(F.col("text")))).alias("spans"))
+
+
+def _vocabulary(docs: DataFrame) -> DataFrame:
+    """(h, term): the distinct terms of each text, once for each row and spelling."""
+    spelled = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(WORD), F.lit(0)))
+    return docs.where("text is not null").select(F.xxhash64("text").alias("h"), F.explode(spelled).alias("w")).select("h", term_of(F.col("w")).alias("term"))
+
+
+def telling_terms(docs: DataFrame, least: float = GENERALISE, chance: float = CHANCE) -> DataFrame:
+    """term, disclosure of the terms of docs(text) that disclose an entity by `least` or more, stored."""
+    found = with_spans(docs.select("text")).where(F.size("spans") > 0)
+    words = F.array_distinct(F.transform(F.regexp_extract_all(masked(F.col("text"), F.col("spans")), F.lit(WORD), F.lit(0)), term_of))
+    found = found.select(F.xxhash64("text").alias("h"), entities(F.col("spans")).alias("e"), words.alias("terms")).dropDuplicates(["h"])
+    found = stored(found, "pii-found")
+    each = found.select("terms", F.explode("e").alias("e"))
+    n_e = stored(each.groupBy("e").agg(F.count("*").alias("n_e")).where("n_e > 1"), "pii-entities")
+    # Any and the kinds need no join; of groups and values only those that recur go on.
+    few = F.col("e").isin("any", *KINDS)
+    each = each.where(few).unionByName(each.where(~few).join(n_e.where(~few).select("e"), "e", "left_semi").select("terms", "e"))
+    pairs = each.select("e", F.explode("terms").alias("term")).groupBy("e", "term").agg(F.count("*").alias("k")).where("k > 1")
+    pairs = stored(pairs, "pii-pairs")
+    if pairs.isEmpty():
+        return docs.sparkSession.createDataFrame([], "term string, disclosure double")
+    asked = pairs.select("term").distinct()
+    n_t = _vocabulary(docs).groupBy("term").agg(F.count_distinct("h").alias("n_t")).join(asked, "term", "left_semi")
+    texts = docs.where("text is not null").select(F.xxhash64("text").alias("h")).agg(F.count_distinct("h")).first()[0]
+    tests = pairs.count()
+    k, n, share = F.col("k"), F.col("n_t"), F.col("k") / F.col("n_t")
+    low = (share + Z * Z / (2 * n) - Z * F.sqrt(share * (1 - share) / n + Z * Z / (4 * n * n))) / (1 + Z * Z / n)
+    bits, by_chance = F.log(F.lit(float(texts)) / F.col("n_e")), n * F.col("n_e") / F.lit(float(texts))
+    surprise = k * F.log(k / by_chance) - k + by_chance
+    stats = pairs.join(n_e, "e").join(n_t, "term").where((k > by_chance) & (surprise > F.log(F.lit(tests / chance))) & (bits > 0))
+    stats = stats.select("term", (1 + F.log(low) / bits).alias("disclosure")).where(F.col("disclosure") >= least)
+    return stored(stats.groupBy("term").agg(F.max("disclosure").alias("disclosure")), "pii-terms")
+
+
+_TERMS = "array<struct<start:int,rank:int,end:int,disclosure:double>>"
+
+
+def marked(docs: DataFrame, least: float = GENERALISE) -> DataFrame:
+    """docs(row, text) with spans and terms, an array of struct(start, rank, end, disclosure) in order."""
+    shared_dir(docs.sparkSession)
+    none = F.array().cast(_TERMS)
+    telling = telling_terms(docs.select("text"), least)
+    if telling.isEmpty():
+        return with_spans(docs).withColumn("terms", none)
+    held = _vocabulary(docs).join(sent(telling), "term").select("h", "term", "disclosure").distinct()
+    held = held.groupBy("h").agg(F.map_from_entries(F.collect_list(F.struct("term", "disclosure"))).alias("told"))  # at most as many as a text's words
+    held = stored(held, "pii-held")
+    rows = with_spans(docs).withColumn("h", F.xxhash64("text")).join(sent(held), "h", "left")
+    places = F.transform(matches(masked(F.col("text"), F.col("spans")), WORD), lambda x: F.struct(x["start"].alias("start"), F.lit(4).alias("rank"), x["end"].alias("end"), F.col("told")[term_of(x["value"])].alias("disclosure")))
+    terms = F.when(F.col("told").isNotNull() & masked(F.col("text"), F.col("spans")).rlike(WORD), F.filter(places, lambda x: x["disclosure"].isNotNull())).otherwise(none)
+    return rows.select("row", "text", "spans", terms.alias("terms"))
+
+
+def scan(docs: DataFrame, least: float = GENERALISE) -> DataFrame:
+    """For each row of docs: doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans (base and term spans), n_term, n_spans.
+
+    Null and empty texts have no spans. Repeated rows are returned each, but count as one text. doc_id may be null. Empty table: no
+    rows. Other columns are not read.
     """
-    plain, some = found(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), support, least)
-    rows = plain.unionByName(some)
+    rows = marked(docs.select(F.struct(F.col("doc_id").cast("long").alias("doc_id")).alias("row"), "text"), least)
     count = [F.size(F.filter("spans", _rank_is(i))).cast("long").alias(f"n_{KINDS[i]}") for i in range(4)]
     all_spans = F.array_sort(F.concat(F.transform("spans", _short), F.transform("terms", _short)))
-    return rows.select("doc_id", *count, F.sha2(named(F.col("spans")), 256).alias("base_sha256"), named(all_spans).alias("spans"), F.size("terms").cast("long").alias("n_term"))
+    n_spans = (F.size("spans") + F.size("terms")).cast("long")
+    return rows.select("row.doc_id", *count, F.sha2(named(F.col("spans")), 256).alias("base_sha256"), named(all_spans).alias("spans"), F.size("terms").cast("long").alias("n_term"), n_spans.alias("n_spans"))
 
 
 def _rank_is(i: int):
@@ -181,24 +223,25 @@ def _short(x: Column) -> Column:
     return F.struct(x["start"].alias("start"), x["rank"].alias("rank"), x["end"].alias("end"))
 
 
-def redact(docs: DataFrame, support: int = SUPPORT, least: float = GENERALISE, remove: float = REMOVE) -> DataFrame:
+def redact(docs: DataFrame, least: float = GENERALISE, remove: float = REMOVE) -> DataFrame:
     """docs with spans of `text` replaced by tags, telling terms generalised or removed, and n_chars, if there, counted anew.
 
-    Of overlapping spans the first in order of start and kind holds. Columns and rows stay as they are otherwise.
+    What is left of a span that overlaps one before gets a tag of its own. Columns, whatever their names, and rows stay as they are
+    otherwise.
     """
-    names = docs.columns
-    plain, some = found(docs, support, least)
+    rows = marked(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "text"), least)
     tags = F.array(*[F.lit(TAGS[k]) for k in KINDS[:4]])
     base = F.transform("spans", lambda x: F.struct(x["start"].alias("start"), x["rank"].alias("rank"), x["end"].alias("end"), F.get(tags, x["rank"]).alias("tag")))
     terms = F.transform("terms", lambda x: F.struct(x["start"].alias("start"), x["rank"].alias("rank"), x["end"].alias("end"), F.when(x["disclosure"] >= remove, F.lit("")).otherwise(F.lit(TERM_TAG)).alias("tag")))
     order = F.array_sort(F.concat(base, terms))
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+    text = F.when(F.size("spans") + F.size("terms") > 0, replaced(F.col("text"), order, lambda x, _: x["tag"])).otherwise(F.col("text"))
+    changed = F.size("spans") + F.size("terms") > 0
+    rows = rows.select("row", text.alias("text"), changed.alias("changed"))
 
-    def step(state: Column, x: Column) -> Column:
-        return F.when(x["start"] < state["at"], F.struct(F.greatest(state["at"], x["end"]).alias("at"), state["out"].alias("out"))).otherwise(F.struct(x["end"].alias("at"), F.concat(state["out"], F.substring(F.col("text"), state["at"] + 1, x["start"] - state["at"]), x["tag"]).alias("out")))
+    def value(c: str) -> Column:
+        if c == "text":
+            return F.col("text").alias(c)
+        own = F.col("row").getField(c)
+        return (F.when(F.col("changed"), F.length("text").cast(docs.schema[c].dataType)).otherwise(own) if c == "n_chars" else own).alias(c)
 
-    cut = F.aggregate(order, start, step, lambda s: F.concat(s["out"], F.substring(F.col("text"), s["at"] + 1, F.length("text"))))
-    some = some.select(*[cut.alias("text") if c == "text" else F.col(c) for c in names])
-    if "n_chars" in names:
-        some = some.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return plain.select(*names).unionByName(some.select(*names))
+    return rows.select(*[value(c) for c in docs.columns])
