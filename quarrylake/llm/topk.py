@@ -24,7 +24,7 @@ from quarrylake.llm._work import shared_dir, ship, stored
 SCALE = 64
 EVERY = 20
 TOP = 20
-LEAF = 512
+LEAF = 256
 FANOUT = 64
 BASE = 1.3
 BLOCK = 8192  # rows of a block
@@ -233,7 +233,7 @@ _GROUP = "g bigint, ids binary, width int, kind int, x binary, least binary"
 def _groups(queries: DataFrame, n: int, sent, k: int) -> DataFrame:
     """queries(vec_id, embedding) dealt into n groups, one row each, with a kth score that each query reaches in the sample."""
 
-    def run(key, t: pa.Table) -> pa.Table:
+    def run(key, t):
         ok, x = scaled(t.column("embedding"))
         qid = t.column("vec_id").to_numpy()[ok].astype(np.int64)
         sid, sx = sent.value
@@ -272,11 +272,11 @@ def nearest(vectors: DataFrame, every: int = EVERY, k: int = TOP) -> DataFrame:
     blocks = stored(_blocks(v), "topk-rows")
     n_blocks, held = blocks.agg(F.count("*"), F.coalesce(F.sum(F.length("x") + F.length("ids")), F.lit(0))).first()
     n_parts = min(max(1, n_blocks), max(spark.sparkContext.defaultParallelism, -(-held // PART_BYTES)))
-    numbers = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    rows = blocks.withColumn("part", F.pmod(F.xxhash64("b"), F.lit(n_parts)).cast("int")).withColumn("g", numbers(n_groups).cast("long"))
+    numbers = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
+    rows = blocks.withColumn("part", F.pmod(F.xxhash64("b"), F.lit(n_parts)).cast("long")).withColumn("g", numbers(n_groups))
     asking = groups.withColumn("part", numbers(n_parts))
 
-    def run(key, left: pa.Table, right: pa.Table) -> pa.Table:
+    def run(key, left, right):
         qid, x = unpacked(left)
         did, y = unpacked(right)
         least = np.frombuffer(left.column("least")[0].as_buffer(), np.int64) if left.num_rows else np.zeros(0, np.int64)

@@ -4,11 +4,14 @@ from __future__ import annotations
 
 import collections
 import hashlib
+import math
 import random
 import re
 import zlib
+from collections import Counter
 
 import pytest
+import regex
 from pyspark.sql import functions as F
 
 from quarrylake.llm import decontaminate, jaccard, langid, licenses, mixing, pii, quality, substrings, tokens
@@ -229,18 +232,84 @@ def test_pii_base_spans(docs, texts, empty, spark):
     assert pii.scan(empty).count() == 0
 
 
-def test_pii_terms_and_redaction(spark):
+def disclosures(rows, least=0.6, chance=0.05, z=1.96):
+    """Terms and their disclosure, from all pairs of distinct texts' entities and terms."""
+
+    def term(w):
+        return ("#a" if any(c.isalpha() for c in w) else "#9") + str(len(w)) if any(c.isnumeric() for c in w) else w.lower()
+
+    def words_of(t):
+        return {term(w) for w in regex.findall(r"[\p{L}\p{N}]{2,}+", t)}
+
+    n_t, n_e, k, total = Counter(), Counter(), Counter(), 0
+    for t in {t for t in rows if t is not None}:
+        total += 1
+        n_t.update(words_of(t))
+        spans, rest, own = base_spans(t), list(t), {"any"}
+        for a, _, kind, b in spans:
+            v = t[a:b]
+            d = "".join(c for c in v if c.isdigit())
+            group = {"email": v.lower().rsplit("@")[-1], "ip": ".".join(v.split(".")[:2]), "card": d[:6], "phone": d[:4]}[kind]
+            own |= {kind, f"{kind}:{group}", f"{kind}={v.lower() if kind == 'email' else v if kind == 'ip' else d}"}
+            rest[a:b] = " " * (b - a)
+        if spans:
+            n_e.update(own)
+            k.update((e, w) for e in own for w in words_of("".join(rest)))
+    tests, out = sum(n > 1 for n in k.values()), {}
+    for (e, w), n in k.items():
+        by_chance, bits, p = n_t[w] * n_e[e] / total, math.log(total / n_e[e]), n / n_t[w]
+        if n < 2 or n <= by_chance or not bits or n * math.log(n / by_chance) - n + by_chance <= math.log(tests / chance):
+            continue
+        low = (p + z * z / 2 / n_t[w] - z * math.sqrt(p * (1 - p) / n_t[w] + z * z / 4 / n_t[w] ** 2)) / (1 + z * z / n_t[w])
+        share = 1 + math.log(low) / bits
+        if share >= least:
+            out[w] = max(share, out.get(w, 0))
+    return out
+
+
+@pytest.fixture(scope="module")
+def private(spark):
     rng = random.Random(4)
-    filler = lambda: " ".join(rng.choice(["plain", "common", "words", "everywhere", "again"]) for _ in range(20))
-    rows = [(i, f"{filler()} zanzibar{'' if i % 2 else ''} boss@corp.example {filler()}") for i in range(6)] + [(100 + i, filler()) for i in range(60)]
-    d = spark.createDataFrame([(i, t, len(t)) for i, t in rows], "doc_id bigint, text string, n_chars bigint")
-    got = {r.doc_id: r for r in pii.scan(d).collect()}
-    assert all("term:" in got[i].spans and got[i].n_term == 1 for i in range(6))
-    assert all(got[i].spans == "" for i in got if i >= 100)
-    clean = {r.doc_id: r for r in pii.redact(d).collect()}
-    assert len(clean) == len(rows)
-    assert all("zanzibar" not in r.text and "boss@" not in r.text and r.n_chars == len(r.text) for r in clean.values())
-    assert all(clean[i].text == t for i, t in rows if i >= 100) and "[EMAIL]" in clean[0].text
+    filler = lambda: " ".join(rng.choice(["plain", "common", "words", "everywhere", "again", "Ann", "é9"]) for _ in range(20))
+    rows = [f"{filler()} zanzibar {' far away' * 30} boss@corp.example {filler()} {rng.randrange(16**12):012x}f0a" for _ in range(9)]  # far from the entity
+    rows += [f"{filler()} call Kim +1 (499) 555-{6000 + i} 10.0.{i}.7 {filler()}" for i in range(7)]
+    rows += [filler() for _ in range(150)] + [filler() + " zanzibar", "Zanzibar", rows[0], rows[0], rows[10], None, "", "x" * 200_000]
+    return [*rows, rows[-2]]
+
+
+def test_pii_terms_and_redaction(spark, private):
+    names = "doc_id bigint, text string, n_chars bigint, spans string, terms string, text_hash string, _hash int, _doc int, h int, row int, told int, term string"
+    d = spark.createDataFrame([(i if i % 5 else None, t, len(t or ""), "own", "own", "own", 1, 2, 3, i, 5, "own") for i, t in enumerate(private)], names).repartition(3)
+    want = disclosures(private)
+    got = {r.term: r.disclosure for r in pii.telling_terms(d).collect()}
+    assert got.keys() == want.keys() and {"zanzibar", "call", "kim", "#a15"} <= want.keys() and "common" not in want
+    assert all(abs(got[w] - x) < 1e-9 for w, x in want.items())
+    rows = {r.doc_id: r for r in pii.scan(d.select(F.col("row").cast("long").alias("doc_id"), "text")).collect()}
+    assert pii.scan(d).count() == len(private)
+    for i, t in enumerate(private):
+        marks = [(a, 4, "term", b) for a, b, w in ((m.start(), m.end(), m[0]) for m in regex.finditer(r"[\p{L}\p{N}]{2,}+", blanked(t))) if (("#a" if any(map(str.isalpha, w)) else "#9") + str(len(w)) if any(map(str.isnumeric, w)) else w.lower()) in want]
+        both = sorted([(a, list(KINDS).index(k), k, b) for a, _, k, b in base_spans(t or "")] + marks)
+        assert rows[i].spans == ",".join(f"{k}:{a}:{b}" for a, _, k, b in both) and rows[i].n_term == len(marks) and rows[i].n_spans == len(both)
+    clean = {r["row"]: r for r in pii.redact(d).collect()}
+    assert len(clean) == len(private) and pii.redact(d).columns == d.columns
+    for i, t in enumerate(private):
+        r = clean[i]
+        assert (r.spans, r.terms, r.text_hash, r._hash, r._doc, r.h, r.told, r.term) == ("own", "own", "own", 1, 2, 3, 5, "own")
+        assert r.text == t and r.n_chars == len(t or "") if not rows[i].spans else r.n_chars == len(r.text) and "zanzibar" not in r.text.lower() and "boss@" not in r.text and "Kim" not in r.text
+    assert "[EMAIL]" in clean[0].text and "[IP]" in clean[10].text
+
+
+def blanked(t):
+    out = list(t or "")
+    for a, _, _, b in base_spans(t or ""):
+        out[a:b] = " " * (b - a)
+    return "".join(out)
+
+
+def test_pii_without_anything_to_tell(spark, empty):
+    one = spark.createDataFrame([(1, "mail me@here.example now")], "doc_id bigint, text string")
+    assert [(r.spans, r.n_term) for r in pii.scan(one).collect()] == [("email:5:20", 0)]
+    assert pii.redact(empty).collect() == []
 
 
 def test_language_identification(spark, empty):
@@ -255,6 +324,7 @@ def test_language_identification(spark, empty):
     assert all(got[i].held_out == (zlib.crc32(str(i).encode()) % 3 == 1) and 0 <= got[i].score <= 1 for i in range(600))
     assert got[900].lang_pred == got[901].lang_pred == langid.UNKNOWN and got[902].lang_pred == "aa" and not got[None].held_out
     assert langid.identify(empty).count() == 0
+    assert [langid.has_letter(t) for t in ("² ½", "1²3", "a", "é", "中", "_ -")] == [False, False, True, True, True, False]
     nothing = langid.identify(d.withColumn("lang", F.lit(None).cast("string"))).collect()
     assert {r.lang_pred for r in nothing} == {langid.UNKNOWN}
 

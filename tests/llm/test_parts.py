@@ -80,21 +80,56 @@ def test_exact_top_k(spark):
     assert topk.nearest(df.limit(0)).count() == 0
 
 
-def test_cover_tree_prunes_and_is_exact():
+def ranked(best, n):
+    best.rank()
+    return [[(-int(s), int(i)) for q, s, i in zip(best.q, best.score, best.id, strict=True) if q == x] for x in range(n)]
+
+
+def share(x, q, k=5):
+    """What share of all pairs the trees multiply; the result is held against all products."""
+    sample = topk.dots(q, x[::10]).astype(np.int64)
+    best = topk.Best(len(q), k, np.partition(sample, -k - 1, axis=1)[:, -k - 1])
+    looked = topk.search(topk.CoverTree(q), np.arange(len(q)), topk.CoverTree(x), np.arange(len(x)), best)
+    scores = (q @ x.T).astype(np.int64)
+    got = ranked(best, len(q))
+    for i in range(0, len(q), 7):
+        assert got[i] == sorted((-int(s), j) for j, s in enumerate(scores[i]) if j != i)[:k]
+    return looked / len(q) / len(x)
+
+
+def test_cover_trees_prune_what_can_be_pruned():
     rng = np.random.default_rng(4)
     centers = rng.integers(-400, 400, (12, 6))
-    x = (centers[rng.integers(0, 12, 3000)] + rng.integers(-3, 4, (3000, 6))).astype(float)
-    q, ids = x[:1200], np.arange(3000)
-    best = topk.Best(1200, 5, np.full(1200, topk.LOW))
-    trees = topk.CoverTree(q), topk.CoverTree(x)
-    looked = topk.search(trees[0], ids[:1200], trees[1], ids, best)
-    leaves = [sum(p is not None for p in t.points) for t in trees]
-    assert looked < leaves[0] * leaves[1] / 2
-    scores = (q @ x.T).astype(np.int64)
-    for i in range(1200):
-        scores[i, i] = topk.LOW
-        want = sorted((-int(s), j) for j, s in enumerate(scores[i]))[:5]
-        assert [(-int(a), int(b)) for a, b in zip(best.score[i], best.id[i], strict=True)] == want
+    clustered = (centers[rng.integers(0, 12, 6000)] + rng.integers(-3, 4, (6000, 6))).astype(float)
+    assert share(clustered, clustered[:900]) < 0.3
+    even = rng.normal(size=(4000, 64))
+    even = np.floor(64 * even / np.linalg.norm(even, axis=1)[:, None])
+    assert share(even, even[:300]) > 0.9  # evenly spread in 64 dimensions: nothing can be pruned, and nothing is lost
+
+
+def test_top_k_in_many_groups_and_parts(spark, monkeypatch):
+    monkeypatch.setattr(topk, "GROUP_BYTES", 2000)
+    monkeypatch.setattr(topk, "PART_BYTES", 1000)
+    monkeypatch.setattr(topk, "SAMPLE", 30)
+    rng = np.random.default_rng(6)
+    rows = [(i, rng.normal(size=6).tolist()) for i in range(400)] + [(3, rng.normal(size=6).tolist()), (20, [9.0] * 6)]
+    rows += [(1001, [float("inf")] + [0.0] * 5), (1020, [float("-inf")] + [0.0] * 5), (1040, []), (None, [1.0] * 6)]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>").repartition(6)
+    got = {(r.query_id, r["rank"], r.vec_id, r.score) for r in topk.nearest(df, k=4).collect()}
+    ids = [(i, np.floor(64 * np.array(v)).astype(np.int64)) for i, v in rows if i is not None and np.isfinite(v).all()]
+    want = set()
+    for q in sorted({i for i, _ in ids if i % 20 == 0}):
+        x = min(list(v) for i, v in rows if i == q)  # of a repeated query the smallest vector
+        x = np.floor(64 * np.array(x)).astype(np.int64)
+        best = sorted((-int(x @ y) if len(x) and len(y) else 0, i) for i, y in ids if i != q)[:4]
+        want |= {(q, r + 1, i, -s) for r, (s, i) in enumerate(best)}
+    assert got == want
+
+
+def test_top_k_scores_of_any_size():
+    a = np.array([[2.0**30, -(2.0**30)], [3.0, 4.0], [2.0**20, 1.0]])
+    for x in (a, a[1:], a[1:2]):
+        assert topk.dots(x, x).astype(np.int64).tolist() == [[int(sum(int(p) * int(q) for p, q in zip(u, v, strict=True))) for v in x] for u in x]
 
 
 def test_pipeline_stages(spark, tmp_path):
