@@ -1,8 +1,10 @@
 """Operator 2, benchmark decontamination: size-partitioned MinHash containment search, verified by exact shingle containment.
 
-Items are put into partitions by the size of their shingle sets, powers of two. A document is first reduced to the sequence of its
-shingles that may belong to any item, by a bitmap of fixed size that misses none. For a partition of up to L shingles, windows of
-that sequence of L + L / 4 shingles start every L / 4, so an item's passage lies whole in one window however long the document is.
+Items are put into partitions by shingle length (items of fewer than K words are one shingle) and by the size of their sets, powers
+of two. A document is first reduced, for each shingle length, to the sequence of its shingles that may belong to any item, by a bitmap
+of fixed size that misses none. For a partition of up to L shingles, windows of SPAN * L of that sequence start every L. As words that
+no item has are not in the sequence, an item is found however long the document is and however far its words are scattered over it,
+as long as no more than (SPAN - 2) * L shingles of other items stand between them; a passage in one piece lies whole in one window.
 Each window gets one MinHash value a band; each partition's number of bands follows from the smallest Jaccard similarity that an
 item of the needed containment can have with such a window. Items and windows meet on equal values; then the item's share of
 shingles in the whole document is counted exactly.
@@ -23,6 +25,7 @@ from quarrylake.llm._work import bitmap, hits, ship, stored
 K = 5
 CONTAINMENT = 0.8
 MISS = 1e-6
+SPAN = 4
 GATE_BITS = 26
 ITEMS = "item_id bigint, k int, n int, s array<bigint>"
 
@@ -34,12 +37,13 @@ def _level(n: int) -> int:
 def bands(level: int, containment: float = CONTAINMENT, miss: float = MISS) -> int:
     """How many bands of one value make a match in a partition collide but for a chance of `miss`."""
     top = 1 << level
-    window, low = top + max(1, top // 4), (top // 2 + 1 if level else 1)
+    window, low = SPAN * top, (top // 2 + 1 if level else 1)
     least = min((need := math.ceil(containment * n - 1e-9)) / (window + n - need) for n in {low, top})
     return 1 if least >= 1 else max(1, math.ceil(math.log(miss) / math.log(1 - least)))
 
 
-_SEEDS = _text.mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+MOST_BANDS = 1024
+_SEEDS = _text.mix(np.arange(1, MOST_BANDS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
 
 def signature(s: np.ndarray, n_bands: int) -> np.ndarray:
@@ -82,9 +86,11 @@ def contaminated(docs: DataFrame, items: DataFrame, containment: float = CONTAIN
     spark = ship(docs.sparkSession)
     sets = stored(item_sets(items, k).where("item_id is not null"), "decontaminate-items")
     shape = sets.groupBy("k", "n").agg(F.count("*")).select("k", F.expr("cast(greatest(0, ceil(log2(n))) as int)").alias("level")).distinct().toArrow()  # a row for each partition
-    lengths, levels = sorted({*shape.column("k").to_pylist()}), sorted({*shape.column("level").to_pylist()})
+    partitions = sorted(zip(shape.column("k").to_pylist(), shape.column("level").to_pylist(), strict=True))
+    lengths, n_bands = sorted({x for x, _ in partitions}), {lv: bands(lv, containment, miss) for _, lv in partitions}
+    if max(n_bands.values(), default=0) > MOST_BANDS:
+        raise ValueError(f"a containment of {containment} and a miss of {miss} need more than {MOST_BANDS} bands")
     gate = spark.sparkContext.broadcast(bitmap(sets.select(F.explode("s").alias("h")), "h", GATE_BITS))
-    plan = [(lv, (1 << lv) + max(1, (1 << lv) // 4), max(1, (1 << lv) // 4), min(256, bands(lv, containment, miss))) for lv in levels]
 
     def item_bands(batches):
         for b in batches:
@@ -93,7 +99,7 @@ def contaminated(docs: DataFrame, items: DataFrame, containment: float = CONTAIN
             for i, s in zip(b.column(0).to_pylist(), lists, strict=True):
                 v = s.values.to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
                 lv = _level(len(v))
-                q = keyed(signature(v, dict((x[0], x[3]) for x in plan)[lv]), lv)
+                q = keyed(signature(v, n_bands[lv]), lv)
                 keys.append(q)
                 ids += [i] * len(q)
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), _text.longs(np.concatenate(keys) if keys else np.zeros(0, np.uint64))], names=["item_id", "key"])
@@ -106,32 +112,25 @@ def contaminated(docs: DataFrame, items: DataFrame, containment: float = CONTAIN
             for b in _text.blocks(batch):
                 data, offs = _text.bytes_of(b.column(1))
                 (h,), first = _text.words(data, offs, lower=True)
-                at, val = [], []
+                ids, held, keys = [], [], []
+                found: dict[int, list[tuple[int, np.ndarray]]] = {}
                 for n in lengths:
                     g = _text.grams(h, n)
-                    where = np.flatnonzero(hits(gate.value, GATE_BITS, g))
-                    doc = np.searchsorted(first, where, side="right") - 1
-                    inside = where + n <= first[doc + 1]
-                    at.append(where[inside])
-                    val.append(g[where[inside]])
-                at, val = np.concatenate(at) if at else np.zeros(0, np.int64), np.concatenate(val) if val else np.zeros(0, np.uint64)
-                order = np.argsort(at, kind="stable")
-                at, val = at[order], val[order]
-                doc = np.searchsorted(first, at, side="right") - 1
-                ids, held, keys = [], [], []
-                cuts = np.flatnonzero(np.diff(doc)) + 1
-                for s, d in zip(np.split(val, cuts), np.split(doc, cuts), strict=True):
-                    if not len(s):
-                        continue
-                    made = []
-                    for lv, window, stride, n_bands in plan:
-                        for a in range(0, max(1, len(s) - window + stride), stride):
-                            made.append(keyed(signature(s[a : a + window], n_bands), lv))
+                    at = np.flatnonzero(hits(gate.value, GATE_BITS, g))
+                    doc = np.searchsorted(first, at, side="right") - 1
+                    inside = at + n <= first[doc + 1]
+                    at, doc = at[inside], doc[inside]
+                    cuts = np.flatnonzero(np.diff(doc)) + 1
+                    for s, d in zip(np.split(g[at], cuts), np.split(doc, cuts), strict=True):
+                        if len(s):
+                            found.setdefault(int(d[0]), []).append((n, s))
+                for d, parts in found.items():
+                    made = [keyed(signature(s[a : a + (SPAN << lv)], n_bands[lv]), lv) for n, s in parts for k_, lv in partitions if k_ == n for a in range(0, max(1, len(s) - (SPAN - 1 << lv)), 1 << lv)]
                     got = np.unique(np.concatenate(made))
                     got = got[hits(asked.value, GATE_BITS, got)]
                     if len(got):
-                        ids.append(int(d[0]))
-                        held.append(np.unique(s))
+                        ids.append(d)
+                        held.append(np.unique(np.concatenate([s for _, s in parts])))
                         keys.append(got)
                 if ids:
                     yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(ids)), _lists(held), _lists(keys)], names=["doc_id", "have", "keys"])
