@@ -1,6 +1,6 @@
 """Operator 3, token counts: chunks of huge documents are encoded with offsets and spliced where both sides provably agree.
 
-The splitting pattern of byte-level BPE vocabularies never makes a piece that runs from a non-space into a following white space,
+The splitting pattern of byte-level BPE vocabularies (files that name a byte-level splitter and no normaliser) never makes a piece that runs from a non-space into a following white space,
 or from a letter into a following ASCII mark or digit, and looks at nothing to the left of a piece. So such places are boundaries
 of pieces whatever surrounds them. Added special tokens hold no white space and start with a mark, and a run that starts with a
 mark goes on to the next white space, so no run ends inside one. A chunk is encoded as runs between such places, each with its
@@ -13,6 +13,7 @@ are encoded each time.
 
 from __future__ import annotations
 
+import json
 import re
 from functools import lru_cache
 
@@ -36,6 +37,15 @@ _WHITE, _OTHER, _LETTER, _MARK = r"[^\S\x1c-\x1f]", r"[\S\x1c-\x1f]", "[A-Za-z\u
 _RUN = re.compile(rf"{_WHITE}*(?:{_LETTER}+(?={_MARK})|{_OTHER}+)|{_WHITE}+")
 
 
+def provable(path: str) -> bool:
+    """Whether a tokenizer's file has the byte-level splitter, without normaliser, whose boundaries are proven above. Texts of others are
+    encoded whole."""
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    split = spec.get("pre_tokenizer") or {}
+    return spec.get("normalizer") is None and split.get("type") == "ByteLevel" and split.get("use_regex", True) and not split.get("add_prefix_space", False)
+
+
 class RunEncoder:
     """Counts tokens of runs with a library tokenizer."""
 
@@ -50,7 +60,8 @@ class RunEncoder:
             t = Tokenizer.from_file(path)
             t.no_truncation()
             t.no_padding()
-            self.split = True
+            self.library = t
+            self.split = provable(path)
             self.encode = lambda texts: [len(e.ids) for e in t.encode_batch_fast(texts, add_special_tokens=False)]
         elif path.endswith(".model"):
             import sentencepiece
@@ -81,12 +92,14 @@ class RunEncoder:
             return sum(have[r] if r in have else got[r] if r in got else self.encode([r])[0] for r in runs)
 
     def offsets(self, text: str) -> tuple[np.ndarray, np.ndarray]:
-        """(start, tokens) of each run of a chunk."""
+        """(start, tokens) of each run of a chunk: the library encodes the chunk and says where its tokens start."""
         runs = _RUN.findall(text)
-        got = self.learn(set(runs))
-        have = self.known
-        n = [have[r] if r in have else got[r] if r in got else self.encode([r])[0] for r in runs]
-        return np.concatenate([[0], np.cumsum([len(r) for r in runs])[:-1]]).astype(np.int64), np.array(n, np.int64)
+        starts = np.concatenate([[0], np.cumsum([len(r) for r in runs])[:-1]]).astype(np.int64)
+        at = np.array([a for a, _ in self.library.encode(text, add_special_tokens=False).offsets], np.int64)
+        at = np.maximum.accumulate(at)  # white space is trimmed off offsets, which never takes a token's start out of its run
+        first = np.searchsorted(at, starts)
+        first[0] = 0
+        return starts, np.diff(np.append(first, len(at)))
 
     def count_long(self, text: str, chunk: int = CHUNK, overlap: int = OVERLAP) -> int:
         """Tokens of a text of any length, by overlapping chunks."""
