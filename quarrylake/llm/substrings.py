@@ -127,6 +127,7 @@ def dedup_substrings(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, wi
     maps = spark.sparkContext.broadcast(_sketch.merged(first.where("row >= 0").select("row", "segment", "cells"), bits))
     seen = first.where(f"row = -1 and n >= {window} and doc_id is not null").select("doc_id", "f1", "f2")
     copies = seen.groupBy("f1", "f2").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("f1", "f2", "low")
+    copies = stored(copies, "substrings-groups")  # a join of two stored tables can be split where a key is hot
     copies = stored(seen.join(copies, ["f1", "f2"]).distinct(), "substrings-copies")
     of_copy = spark.sparkContext.broadcast(bitmap(copies.select(F.xxhash64("doc_id").alias("h")), "h", DOC_BITS))
 
@@ -151,6 +152,7 @@ def dedup_substrings(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, wi
     wins = _windows(rows, maps, bits, window, gram, skip=of_copy).unionByName(_windows(firsts, maps, bits, window, gram))
     wins = stored(wins, "substrings-windows")
     low = wins.groupBy("k1", "k2").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("k1", "k2", "low")
+    low = stored(low, "substrings-repeated")
     gone = wins.join(low, ["k1", "k2"]).where("doc_id > low").groupBy("doc_id", "f1").agg(F.collect_set("pos").alias("starts"))
     gone = gone.withColumn("all", F.lit(False)).unionByName(whole.select("doc_id", "f1", F.lit(None).cast("array<int>").alias("starts"), F.lit(True).alias("all")))
     gone = stored(gone, "substrings-gone")
