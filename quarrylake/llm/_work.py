@@ -19,8 +19,15 @@ __all__ = ["bitmap", "hits", "in_one_task", "sent", "shared_dir", "ship", "sprea
 ROOT = str(Path(__file__).resolve().parents[2])
 
 
+BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+ROWS = 2000  # whole texts in an Arrow batch
+
+
 def ship(spark: SparkSession) -> SparkSession:
-    """Let Python workers import this package even where the caller's folder is another one."""
+    """Let Python workers import this package where they see the driver's folder; on a cluster where they don't, it has to be given to
+    them (--py-files). Arrow batches get at most ROWS rows, as these are whole texts, unless the session sets a number of its own."""
+    if spark.conf.get(BATCH) == "10000":
+        spark.conf.set(BATCH, ROWS)
     env = spark.sparkContext.environment
     if ROOT not in env.get("PYTHONPATH", "").split(os.pathsep):
         env["PYTHONPATH"] = os.pathsep.join(x for x in (env.get("PYTHONPATH", ""), ROOT) if x)

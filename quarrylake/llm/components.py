@@ -1,15 +1,11 @@
-"""Connected components: union-find in one task for graphs of a checked size, alternating large and small stars beyond it."""
+"""Connected components by alternating large and small stars, whatever the graph's size."""
 
 from __future__ import annotations
 
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarrylake.llm._work import shared_dir, ship
-
-ONE_TASK = 500_000  # edges, of 16 to 32 bytes
+from quarrylake.llm._work import shared_dir
 
 
 def _large(e: DataFrame) -> DataFrame:
@@ -25,55 +21,14 @@ def _small(e: DataFrame) -> DataFrame:
     return near.union(low.select("u", F.col("m").alias("v"))).where("u != v").distinct()
 
 
-def roots(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
-    """The smallest number reachable from each of n numbers over edges a - b."""
-    parent = np.arange(n)
-    while True:
-        x, y = parent[a], parent[b]
-        low = np.minimum(x, y)
-        before = parent.copy()
-        np.minimum.at(parent, x, low)
-        np.minimum.at(parent, y, low)
-        while True:
-            up = parent[parent]
-            if (up == parent).all():
-                break
-            parent = up
-        if (parent == before).all():
-            return parent
-
-
-def _in_one_task(edges: DataFrame) -> DataFrame:
-    """Edges between structs (a, b) of longs."""
-
-    def run(batches):
-        held = [b for b in batches if b.num_rows]
-        if not held:
-            return
-        t = pa.Table.from_batches(held)
-        u, v = (np.stack([t.column(i).to_numpy() for i in at], axis=1) for at in ((0, 1), (2, 3)))
-        nodes, at = np.unique(np.concatenate([u, v]), axis=0, return_inverse=True)  # in order of a, then b, as structs are
-        at = at.reshape(-1)
-        r = nodes[roots(at[: len(u)], at[len(u) :], len(nodes))]
-        yield pa.RecordBatch.from_arrays([pa.array(x) for x in (nodes[:, 0], nodes[:, 1], r[:, 0], r[:, 1])], names=["a", "b", "ra", "rb"])
-
-    flat = edges.select(F.col("u.a").alias("ua"), F.col("u.b").alias("ub"), F.col("v.a").alias("va"), F.col("v.b").alias("vb")).repartition(1)
-    got = flat.mapInArrow(run, "a bigint, b bigint, ra bigint, rb bigint")
-    return got.select(F.struct("a", "b").alias("node"), F.struct(F.col("ra").alias("a"), F.col("rb").alias("b")).alias("component"))
-
-
-def components(edges: DataFrame, rounds: int = 60, one_task: int = ONE_TASK) -> DataFrame:
+def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """(node, component) for every node of edges(u, v), structs (a, b) of longs: component is the smallest node reachable.
 
-    Loops and repeated edges don't matter. No edges: an empty result. Nulls in u or v take no part. Up to one_task edges, counted
-    first, are settled in one task; more by rounds of stars, each cut by a checkpoint.
+    Loops and repeated edges don't matter. No edges: an empty result. Nulls in u or v take no part. Each round is cut by a checkpoint,
+    and rounds end when one changes nothing.
     """
-    ship(edges.sparkSession)
     shared_dir(edges.sparkSession)
-    e = edges.select("u", "v").where("u != v").distinct().checkpoint()
-    if e.count() <= one_task:
-        return _in_one_task(e)
-    before = None
+    e, before = edges.select("u", "v").where("u != v").distinct(), None
     for _ in range(rounds):
         e = _small(_large(e)).checkpoint()
         now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()

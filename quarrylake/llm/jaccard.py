@@ -183,6 +183,7 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, k: int = K) -> Data
     # Stars: each bucket's groups, and each group's classes, against a leader. The leader has the fewest rarer shingles before the
     # bucket's, so of near copies it is the one with the fewest changes of its own.
     lead = buckets.groupBy("token").agg(F.min(F.struct("pos", "gid", "n")).alias("m"), F.count("*").alias("size")).where("size > 1").select("token", "m.gid", "m.n")
+    lead = stored(lead, "jaccard-leaders")  # a join of two stored tables can be split where a token is hot
     star = buckets.alias("l").join(lead.alias("r"), "token").where("l.gid != r.gid").where(_near_sizes(percent))
     star = star.groupBy(F.col("l.gid").alias("g1"), F.col("r.gid").alias("g2"), F.col("l.n").alias("n1"), F.col("r.n").alias("n2")).agg(F.count("*").alias("shared"))
     star = star.where(F.col("shared") >= _least_shared(percent)).select("g1", "g2")
