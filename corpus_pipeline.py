@@ -31,8 +31,9 @@ def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the mix takes, with size, source_size, target and taken."""
-    return mixing.mix(docs).where("taken > 0")
+    """Documents that the mix takes, with size, source_size, target and taken (mix_<name> where documents have such a column)."""
+    out = mixing.mix(docs)
+    return out.where(f"{'mix_taken' if 'mix_taken' in out.columns else 'taken'} > 0")
 
 
 STAGES = [

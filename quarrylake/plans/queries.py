@@ -11,6 +11,8 @@ from quarrylake import functions as fn
 from quarrylake.model import as_concepts, metadata_json
 from quarrylake.operators import catalog, delta, export, graph, validate
 from quarrylake.plans.adapters import AS_OF, DOCS_SQL, KEYS_SQL, PARTS_SQL, document_concepts, event_commits, key_concepts, key_links, part_snapshots, table
+from quarrylake.plans.computed import COMPUTED
+from quarrylake.plans.cycles import CYCLES
 from quarrylake.sources import bundle, harvest
 from quarrylake.streaming import sync
 
@@ -153,10 +155,10 @@ def escape_xml(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", fn.escape_xml("text").alias("escaped"))
 
 
-@registered("SELECT b.item_id AS query_id, count(*) AS hits FROM (SELECT item_id, regexp_extract_all(lower(text), '[a-z0-9]+') AS w FROM benchmark) b JOIN documents d ON contains(lower('docs/' || source || '/' || doc_id || ' Document ' || doc_id || ' ' || coalesce(CASE WHEN n_chars > 100 THEN left(text, 40) END, '') || ' ' || text || ' ' || lang || ' ' || source), b.w[1]) AND contains(lower(text), b.w[2]) AND contains(lower(text), b.w[3]) GROUP BY 1")
+@registered("SELECT b.item_id AS query_id, count(*) AS hits FROM (SELECT item_id, regexp_extract_all(lower(text), '[a-z0-9]+') AS w FROM benchmark) b JOIN (SELECT lower('docs/' || source || '/' || doc_id || ' Document ' || doc_id || ' ' || coalesce(CASE WHEN n_chars > 100 THEN left(text, 40) END, '') || ' ' || text || ' ' || lang || ' ' || source) AS hay FROM documents) d ON len(list_filter(b.w, lambda x: NOT contains(d.hay, x))) = 0 GROUP BY 1")
 def search_each(spark: SparkSession, sf_dir: str) -> DataFrame:
-    b = table(spark, sf_dir, "benchmark")
-    asked = b.select(F.col("item_id").alias("query_id"), F.array_join(F.slice(fn.tokenize("text"), 1, 3), " ").alias("query"))
+    """Concepts that hold all tokens of a benchmark item."""
+    asked = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
     return catalog.search_each(document_concepts(spark, sf_dir), asked).groupBy("query_id").agg(F.count("*").alias("hits"))
 
 
@@ -256,118 +258,6 @@ def _literals(rows: list[tuple], names: str) -> str:
     return f"SELECT * FROM (VALUES {', '.join('(' + ', '.join(one(x) for x in r) + ')' for r in rows)}) AS t({names})"
 
 
-_LINKS = [("tables/a.md", "b.md", "tables/b"), ("tables/a.md", "../x/./y.md", "x/y"), ("tables/a.md", "../../z.md", "../z"), ("a.md", "/docs/b.md#top", "docs/b"), ("a/b/c.md", "/r.md", "r"), ("a.md", "..x/y.md", "..x/y")]
-
-
-@registered(_literals(_LINKS, "path, target, resolved"))
-def resolve_link(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _values(spark, [x[:2] for x in _LINKS], "path string, target string").withColumn("resolved", fn.resolve_link("path", "target"))
-
-
-_BODIES = [("[a](x.md) and `[b](y.md)` ![i](p.png)", "x.md"), ("```\n[a](x.md)\n```\n[c](</z w.md> \"t\")", "/z w.md"), ("see [d][ref] and [e][]\n\n[ref]: one.md\n[e]: two.md 'T'", "one.md,two.md"), ("[n [m]](q.md) [p](r(1).md)", "q.md,r(1).md"), ("plain", "")]
-
-
-@registered(_literals(_BODIES, "body, targets"))
-def extract_links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _values(spark, [x[:1] for x in _BODIES], "body string").withColumn("targets", F.array_join(fn.extract_links("body"), ","))
-
-
-_TIMES = [("2024-02-29", "2024-02-29 00:00:00"), ("2024-02-30", None), ("2027", None), ("2024-01-02T03:04:05Z", "2024-01-02 03:04:05"), ("2024-01-02T03:04:05.25+02:00", "2024-01-02 01:04:05.25"), ("2024-01-02 03:04:05", None), (" 2024-01-02 ", "2024-01-02 00:00:00"), ("", None)]
-
-
-@registered(f"SELECT text, moment::TIMESTAMP AS moment FROM ({_literals(_TIMES, 'text, moment')})")
-def parse_timestamp(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _values(spark, [x[:1] for x in _TIMES], "text string").withColumn("moment", fn.parse_timestamp("text").cast("timestamp_ntz"))
-
-
-_URLS = [("https://github.com/a/b", True), ("GIT@host:x", True), ("ssh://h/x", True), ("repo.GIT", True), ("./local", False), ("", False)]
-
-
-@registered(_literals(_URLS, "url, is_git"))
-def is_git_url(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _values(spark, [x[:1] for x in _URLS], "url string").withColumn("is_git", fn.is_git_url("url"))
-
-
-_HUBS = [("hub://stripe/api/charge", "stripe/api", "charge"), ("hub://acme/core", "acme/core", None), ("hub://acme", None, None)]
-
-
-@registered(_literals(_HUBS, "uri, bundle, concept"))
-def hub_uri(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _values(spark, [x[:1] for x in _HUBS], "uri string").select("uri", fn.hub_bundle("uri").alias("bundle"), fn.hub_concept("uri").alias("concept"))
-
-
-_ENDPOINTS = [("GET", "/users", "get-users"), ("POST", "/users/{id}/", "post-users-id"), ("DELETE", "/", "delete-")]
-
-
-@registered(_literals(_ENDPOINTS, "method, path, id"))
-def endpoint_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _values(spark, [x[:2] for x in _ENDPOINTS], "method string, path string").withColumn("id", fn.endpoint_id("method", "path"))
-
-
-_HEADINGS = [("intro\n# One \n## Two\n# Three", "One"), ("## Only two", ""), ("", "")]
-
-
-@registered(_literals(_HEADINGS, "body, heading"))
-def first_heading(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _values(spark, [x[:1] for x in _HEADINGS], "body string").withColumn("heading", fn.first_heading("body"))
-
-
-_TABLE = "| Column | Type | Nullable | Default | Description |\n| --- | --- | --- | --- | --- |\n| id | bigint | NO | NULL | key |\n | name | text | YES | NULL | - |\n| short | x |\n"
-
-
-@registered(_literals([("id", "bigint", "key"), ("name", "text", "-")], "name, type, description"))
-def parse_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _values(spark, [(_TABLE,)], "body string").select(F.inline(export.parse_columns("body")))
-
-
-_FRONT = "---\ntype: Table\ntitle: 'Users'\ntags: [a, b]\ntimestamp: 2024-01-02T03:04:05Z\nowner: team\n---\n\n\n# Users\n\n## Citations\n[1] [Doc](docs/a.md)\n[2] https://e.org\n# Next\n[3] no\n"
-
-
-def _parsed(spark: SparkSession) -> DataFrame:
-    return bundle.parse_files(_values(spark, [("tables/users.md", bytearray(_FRONT.encode()), None), ("x.md", bytearray(b"---\ntype: [\n---\nbody"), None), ("y.md", bytearray(b"no front matter"), None)], "path string, content binary, parse_error string"))
-
-
-@registered(_literals([("tables/users", "Table", "Users", "a,b", "2024-01-02T03:04:05Z", '"team"', False), ("x", None, None, None, None, None, True), ("y", None, None, None, None, None, False)], "id, type, title, tags, timestamp, owner, failed"))
-def parse_frontmatter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _parsed(spark).select("id", "type", "title", F.array_join("tags", ",").alias("tags"), "timestamp", F.col("extra")["owner"].alias("owner"), F.col("parse_error").isNotNull().alias("failed"))
-
-
-@registered(_literals([(1, "Doc", "docs/a.md"), (2, "https://e.org", "https://e.org")], "number, title, uri"))
-def citations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _parsed(spark).select(F.inline("citations"))
-
-
-@registered(_literals([("tables/users", "broken citation link: target concept 'tables/docs/a' (resolved from 'docs/a.md') does not exist")], "concept_id, message"))
-def broken_citations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return validate.citation_issues(_parsed(spark)).select("concept_id", "message")
-
-
-@registered(_literals([("a", "link '../../b.md' references a path outside the bundle")], "concept_id, message"))
-def outside_links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = as_concepts(_values(spark, [("a", "d/a.md", "[x](../../b.md) [y](#here) [z](https://e.org)")], "id string, path string, body string"))
-    return validate.link_issues(c).select("concept_id", "message")
-
-
-@registered(_literals([("a", "ERROR", "broken remote link: concept 'gone' not found in remote bundle 'stripe/api'"), ("a", "WARNING", "remote bundle 'no/such' could not be resolved or is empty")], "concept_id, severity, message"))
-def broken_remote_links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    links = _values(spark, [("a", "a.md", t) for t in ("hub://stripe/api/charge", "hub://stripe/api/gone", "hub://no/such", "hub://x")], "concept_id string, path string, target string")
-    return validate.remote_issues(links, _values(spark, [("stripe/api", "charge")], "bundle string, concept string")).select("concept_id", "severity", "message")
-
-
-@registered(_literals([("a/b", "sub/c.md", "x/sub/c"), ("a/b", "d", "a/d"), ("a/b", "a/b.md", "a/b"), ("a/b", "none", None)], "source, target, id"))
-def portal_link_resolve(spark: SparkSession, sf_dir: str) -> DataFrame:
-    links = _values(spark, [("a/b", t) for t in ("sub/c.md", "d", "a/b.md", "none")], "source string, target string")
-    return graph.resolve_loosely(links, _values(spark, [("x/sub/c",), ("a/d",), ("a/b",)], "id string"))
-
-
-_PULL = ['{"concepts": [{"id": "a", "title": "A", "description": "first"}]}', '[{"id": "b", "title": "B"}]']
-
-
-@registered(_literals([("a", "# A\n\nfirst"), ("b", "# B\n\n")], "id, body"))
-def pull_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return harvest.parse_pull(_values(spark, [(x,) for x in _PULL], "json string")).select("id", "body")
-
-
 _SPEC = """
 openapi: 3.0.0
 paths:
@@ -594,14 +484,6 @@ def merge_union(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _merged(spark, sf_dir, "union")
 
 
-@registered(_literals([("a,b,c", "1:one2:x,2:two:y")], "tags, citations"))
-def merge_citations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    kind = "array<struct<number:int,title:string,uri:string>>"
-    rows = _values(spark, [(["b", "", "a"], ["c", "a"], [(1, "one", "x"), (2, "two", "y")], [(1, "one2", "x")])], f"ta array<string>, tb array<string>, ca {kind}, cb {kind}")
-    shown = F.array_join(F.transform(delta.merged_citations(F.col("ca"), F.col("cb")), lambda c: F.concat(c["number"].cast("string"), F.lit(":"), c["title"], F.lit(":"), c["uri"])), ",")
-    return rows.select(F.array_join(delta.merged_tags(F.col("ta"), F.col("tb")), ",").alias("tags"), shown.alias("citations"))
-
-
 # Schemas and histories
 
 _TABLES = {"region": [], "nation": [("n_regionkey", "region", "r_regionkey")], "customer": [("c_nationkey", "nation", "n_nationkey")], "supplier": [("s_nationkey", "nation", "n_nationkey")], "orders": [("o_custkey", "customer", "c_custkey")], "lineitem": [("l_orderkey", "orders", "o_orderkey"), ("l_partkey", "part", "p_partkey"), ("l_suppkey", "supplier", "s_suppkey")], "part": []}
@@ -624,13 +506,6 @@ def fk_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("name", F.array_join(F.transform("outgoing", lambda x: x["column_name"]), ",").alias("columns"))
 
 
-@registered(_literals([("orders", "cust", "customer", "id"), ("orders", "shop", "customer", "shop")], "table_name, column_name, foreign_table, foreign_column"))
-def harvest_fk_selfjoin(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cons = _values(spark, [("fk", "pk")], "constraint_name string, unique_constraint_name string")
-    use = _values(spark, [("fk", "orders", "cust", 1, 1), ("fk", "orders", "shop", 2, 2), ("pk", "customer", "id", 1, None), ("pk", "customer", "shop", 2, None)], "constraint_name string, table_name string, column_name string, ordinal_position int, position_in_unique_constraint int")
-    return harvest.fk_pairs(cons, use)
-
-
 @registered("SELECT 'user.' || user_id || '@example.com' AS email, count(*) AS commits, min(ts) AS first_at, max(ts) AS last_at, 'User ' || user_id AS name, 'user-' || user_id || '-at-example-com' AS slug FROM events GROUP BY user_id")
 def contributor_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return harvest.contributor_stats(event_commits(spark, sf_dir))
@@ -711,15 +586,6 @@ def sync_external_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _local(spark, sf_dir).select("id", sync.external_id(F.lit("jira"), "id").alias("external_id"))
 
 
-@registered("SELECT user_id, event_type, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS rn FROM events) WHERE rn = 1 AND event_type <> 'refund'")
-def stream_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The last event of each user, as one micro-batch of a change stream merged into an empty table."""
-    e = table(spark, sf_dir, "events").withColumn("op", F.when(F.col("event_type") == "refund", F.lit("delete")).otherwise(F.lit("write")))
-    last = sync.latest(e, "user_id", [F.desc("ts"), F.desc("event_id")])
-    empty = spark.createDataFrame([], "user_id bigint, event_type string, value double")
-    return sync.upsert(empty, last, "user_id")
-
-
 @registered("SELECT conv_id, turn, tokens, running FROM (SELECT conv_id, turn, (strlen(text) // 4)::BIGINT AS tokens, (sum(strlen(text) // 4) OVER (PARTITION BY conv_id ORDER BY turn))::BIGINT AS running FROM conversations) WHERE running <= 300")
 def conversation_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The turns of each conversation that fit a budget of tokens."""
@@ -728,3 +594,7 @@ def conversation_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = table(spark, sf_dir, "conversations").withColumn("tokens", fn.token_estimate("text"))
     run = F.sum("tokens").over(Window.partitionBy("conv_id").orderBy("turn"))
     return c.withColumn("running", run).where("running <= 300").select("conv_id", "turn", "tokens", "running")
+
+
+for _name, (_query, _oracle) in {**COMPUTED, **CYCLES}.items():
+    QUERIES[_name], ORACLE[_name] = _query, _oracle

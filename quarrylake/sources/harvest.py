@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-
 import re
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -16,12 +15,6 @@ COLUMNS = "table_name string, name string, data_type string, is_nullable boolean
 FOREIGN_KEYS = "table_name string, column_name string, foreign_table string, foreign_column string"
 
 
-def _lines(items: str, order: str, line: Column) -> Column:
-    """Lines of an array of structs, which is sorted by its leading field."""
-    del order
-    return F.array_join(F.transform(items, lambda x: line(x)), "")
-
-
 def fk_groups(fks: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Foreign keys by the table they start from, and by the one they point to."""
     out = fks.groupBy(F.col("table_name").alias("name")).agg(F.array_sort(F.collect_list(F.struct("column_name", "foreign_table", "foreign_column"))).alias("outgoing"))

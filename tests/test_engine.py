@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from quarrylake import functions as fn
 from quarrylake.model import as_concepts
 from quarrylake.operators import catalog, delta, export, graph, validate
-from quarrylake.sources import bundle, harvest
+from quarrylake.sources import bundle, harvest, history
 from quarrylake.streaming import sync
 
 def now():
@@ -208,3 +208,44 @@ def test_streaming_upsert(spark, tmp_path):
     assert {(r.id, r.v) for r in table.load().collect()} == {("a", 2), ("c", 5)}
     before, after = (spark.createDataFrame(x, "path string, modified int") for x in ([("a", 1), ("b", 1)], [("b", 2), ("c", 1)]))
     assert {(r.path, r.op) for r in sync.snapshot_changes(before, after).collect()} == {("a", "remove"), ("b", "write"), ("c", "create")}
+
+
+def test_links_of_long_bodies(spark):
+    n = 1_000_000
+    bodies = ["[" + "a" * n + "](x.md) [b](y.md)", "[" + "\\\\*" * (n // 2) + "](x.md)", "[" * 20_000 + "a](x.md)", "[" + "[b]" * 100_000 + "](x.md)", "[a](" + "u" * n + ")", "[a](x.md 't) " * 2_000, "[a][" + "r" * n + "]\n\n[" + "r" * n + "]: x.md"]
+    got = spark.createDataFrame(list(enumerate(bodies)), "i int, body string").select("i", fn.extract_links("body").alias("t")).collect()
+    got = {r.i: r.t for r in got}
+    assert got[0] == ["x.md", "y.md"] and got[1] == ["x.md"] and got[2] == ["x.md"] and got[3] == ["x.md"] and got[4] == ["u" * n] and got[6] == ["x.md"]
+
+
+def test_state_table_survives_a_crash(spark, tmp_path):
+    table = sync.StateTable(spark, str(tmp_path / "state"), "k string, v int")
+    assert table.load().count() == 0
+    for v in range(4):
+        table.save(spark.createDataFrame([("a", v)], "k string, v int"))
+    assert len(table.versions()) == 2
+    half = spark.createDataFrame([("a", 99)], "k string, v int")  # written, but without its marker
+    half.write.parquet(str(tmp_path / "state" / "v000000000009-dead"))
+    assert [r.v for r in table.load().collect()] == [3]
+    table.save(table.load().withColumn("v", F.col("v") + 1))
+    assert [r.v for r in table.load().collect()] == [4]
+
+
+def test_history(spark, tmp_path):
+    record = lambda *f: "\x1f".join(f) + "\x1e"
+    log = record("b" * 40, "a" * 40, "Ann", " Ann@E.org", "2024-02-01T00:00:00+01:00", "second\n\nmore") + "\n" + record("a" * 40, "", "Ann", "ann@e.org", "2024-01-01T00:00:00Z", "first")
+    (tmp_path / "log.txt").write_text(log)
+    commits = history.read_log(spark, str(tmp_path / "log.txt"))
+    assert [(r.hash[0], r.parents, r.message) for r in commits.orderBy("ord").collect()] == [("b", ["a" * 40], "second\n\nmore"), ("a", [], "first")]
+    changes = spark.createDataFrame([("b" * 40, f"f{i:02}", "Insert") for i in range(32)], "commit string, path string, change string")
+    got = {r.id: r for r in history.history_concepts(commits, changes, "main").collect()}
+    assert set(got) == {"git/repository", "git/commits/" + "b" * 8, "git/commits/" + "a" * 8, "git/contributors/ann-at-e-org"}
+    assert "* **Total Contributors**: 1\n" in got["git/repository"].body and "Remote" not in got["git/repository"].body
+    assert got["git/commits/" + "b" * 8].body.endswith("- **Insert**: `f29`\n\n... and 2 more files.") and "## Parents" not in got["git/commits/" + "a" * 8].body
+
+
+def test_walk_beyond_the_broadcast_frontier(spark, monkeypatch):
+    e = edges(spark, [("a", "b"), ("a", "c"), ("b", "d"), ("c", "d"), ("d", "a")])
+    small = [(r.id, r.depth) for r in graph.bfs(e, "a", 3).orderBy("depth", "place").collect()]
+    monkeypatch.setattr(graph, "SMALL", 0)
+    assert [(r.id, r.depth) for r in graph.bfs(e, "a", 3).orderBy("depth", "place").collect()] == small == [("a", 0), ("b", 1), ("c", 1), ("d", 2)]
