@@ -15,7 +15,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from quarrylake.storage import shared_dir, spread
 
-__all__ = ["bitmap", "hits", "in_one_task", "sent", "shared_dir", "ship", "spread", "stored", "without"]
+__all__ = ["MADE", "tidy", "bitmap", "hits", "in_one_task", "sent", "shared_dir", "ship", "spread", "stored", "without"]
 ROOT = str(Path(__file__).resolve().parents[2])
 
 
@@ -34,14 +34,28 @@ def ship(spark: SparkSession) -> SparkSession:
     return spark
 
 
+MADE: list[str] = []  # folders written by `stored` in this process, oldest first
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write df once as Parquet in the shared folder and read it again: later steps start from files that outlive executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/quarrylake/{name}-{uuid.uuid4().hex}"
+    MADE.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def tidy(spark: SparkSession, since: int = 0, keep: tuple[str, ...] = ()) -> None:
+    """Delete the folders that `stored` has written since MADE had `since` entries, but for those to keep; only for results that are
+    written elsewhere by now, as what was stored is read until then."""
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    for p in MADE[since:]:
+        if p not in keep:
+            path(p).getFileSystem(spark._jsc.hadoopConfiguration()).delete(path(p), True)
+    MADE[since:] = [p for p in MADE[since:] if p in keep]
+
+
 def sent(df: DataFrame, most: int = 8 << 20) -> DataFrame:
     """A stored table with a broadcast hint if its rows, summed up first, take less than `most` bytes as text; else as it is."""
     size = df.agg(F.sum(F.length(F.to_json(F.struct("*"))))).first()[0] or 0
