@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from quarrylake.llm import decontaminate, jaccard, mixing, pii, quality
-from quarrylake.llm._work import stored, without
+from quarrylake.llm._work import MADE, stored, tidy, without
 from quarrylake.llm.entry import table
 
 
@@ -50,5 +50,7 @@ ORACLE_SQL = None  # neither the classifier nor the near-duplicate components ca
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
+        before = len(MADE)
         docs = stored(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        tidy(spark, before, keep=(MADE[-1],))
     return STAGES[-1][1](spark, docs, sf_dir)
