@@ -9,8 +9,9 @@ All counts are of distinct texts over the whole corpus, wherever in a text term
 Wilson's interval, of n(t, e) / n(t); the term's disclosure is log(P(e | t) / P(e)) / log(1 / P(e)), the share of the entity's
 information that it gives away: 1 if the term always means the entity, 0 if it says nothing. A pair counts if it can't be chance: the
 Chernoff bound of n(t, e) or more texts by chance, times the number of pairs, stays below CHANCE, and it is seen in two texts at
-least, as in a single text any word stands beside any other. A term's disclosure is the largest over entities. From GENERALISE on it
-is generalised and from REMOVE on removed, in every place of every document.
+least, as in a single text any word stands beside any other; and only if the entity is more likely there than not, P(e | t) >= CERTAIN,
+as against a very rare entity almost any rare word gives much information, however seldom it is right. A term's disclosure is the
+largest over entities. From GENERALISE on it is generalised and from REMOVE on removed, in every place of every document.
 
 Patterns are written so that Java's matcher takes time in proportion to the text: no attempt starts inside a run that an earlier
 attempt has gone through. They match what the plain patterns match.
@@ -34,6 +35,7 @@ TERM_TAG = "[TERM]"
 WORD = r"[\p{L}\p{N}]{2,}+"
 GENERALISE = 0.6
 REMOVE = 0.9
+CERTAIN = 0.5
 CHANCE = 0.05
 Z = 1.96
 
@@ -155,7 +157,7 @@ def _vocabulary(docs: DataFrame) -> DataFrame:
     return docs.where("text is not null").select(F.xxhash64("text").alias("h"), F.explode(spelled).alias("w")).select("h", term_of(F.col("w")).alias("term"))
 
 
-def telling_terms(docs: DataFrame, least: float = GENERALISE, chance: float = CHANCE) -> DataFrame:
+def telling_terms(docs: DataFrame, least: float = GENERALISE, chance: float = CHANCE, certain: float = CERTAIN) -> DataFrame:
     """term, disclosure of the terms of docs(text) that disclose an entity by `least` or more, stored."""
     found = with_spans(docs.select("text")).where(F.size("spans") > 0)
     words = F.array_distinct(F.transform(F.regexp_extract_all(masked(F.col("text"), F.col("spans")), F.lit(WORD), F.lit(0)), term_of))
@@ -178,7 +180,7 @@ def telling_terms(docs: DataFrame, least: float = GENERALISE, chance: float = CH
     low = (share + Z * Z / (2 * n) - Z * F.sqrt(share * (1 - share) / n + Z * Z / (4 * n * n))) / (1 + Z * Z / n)
     bits, by_chance = F.log(F.lit(float(texts)) / F.col("n_e")), n * F.col("n_e") / F.lit(float(texts))
     surprise = k * F.log(k / by_chance) - k + by_chance
-    stats = pairs.join(n_e, "e").join(n_t, "term").where((k > by_chance) & (surprise > F.log(F.lit(tests / chance))) & (bits > 0))
+    stats = pairs.join(n_e, "e").join(n_t, "term").where((k > by_chance) & (surprise > F.log(F.lit(tests / chance))) & (bits > 0) & (low >= certain))
     stats = stats.select("term", (1 + F.log(low) / bits).alias("disclosure")).where(F.col("disclosure") >= least)
     return stored(stats.groupBy("term").agg(F.max("disclosure").alias("disclosure")), "pii-terms")
 

@@ -264,7 +264,7 @@ def disclosures(rows, least=0.6, chance=0.05, z=1.96):
             continue
         low = (p + z * z / 2 / n_t[w] - z * math.sqrt(p * (1 - p) / n_t[w] + z * z / 4 / n_t[w] ** 2)) / (1 + z * z / n_t[w])
         share = 1 + math.log(low) / bits
-        if share >= least:
+        if share >= least and low >= 0.5:
             out[w] = max(share, out.get(w, 0))
     return out
 
