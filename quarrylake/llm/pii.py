@@ -5,7 +5,8 @@ four levels, since most values occur once: any personal data, its kind, a group
 card, first digits of a number) and the value itself. Terms are the other words of a text; those with digits, which hardly ever
 recur, count by their length and whether they have letters.
 
-All counts are of distinct texts over the whole corpus, wherever in a text term t and entity e stand. P(e | t) is the lower bound, by
+All counts are over the whole corpus, wherever in a text term t and entity e stand. Copies of a text with entities count once, as
+they would make each of its rare words telling; other documents count each. P(e | t) is the lower bound, by
 Wilson's interval, of n(t, e) / n(t); the term's disclosure is log(P(e | t) / P(e)) / log(1 / P(e)), the share of the entity's
 information that it gives away: 1 if the term always means the entity, 0 if it says nothing. A pair counts if it can't be chance: the
 Chernoff bound of n(t, e) or more texts by chance, times the number of pairs, stays below CHANCE, and it is seen in two texts at
@@ -33,6 +34,8 @@ KINDS = ("email", "ip", "card", "phone", "term")
 TAGS = {"email": "[EMAIL]", "ip": "[IP]", "card": "[CARD]", "phone": "[PHONE]"}
 TERM_TAG = "[TERM]"
 WORD = r"[\p{L}\p{N}]{2,}+"
+PLAIN = r"(?<![\p{L}\p{N}])\p{L}{2,}+(?!\p{N})"
+CODED = r"(?<![\p{L}\p{N}])(?:\p{L}++\p{N}|\p{N}[\p{L}\p{N}])[\p{L}\p{N}]*+"
 GENERALISE = 0.6
 REMOVE = 0.9
 CERTAIN = 0.5
@@ -152,29 +155,32 @@ def with_spans(docs: DataFrame) -> DataFrame:
 
 
 def _vocabulary(docs: DataFrame) -> DataFrame:
-    """(h, term): the distinct terms of each text, once for each row and spelling."""
-    spelled = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(WORD), F.lit(0)))
-    return docs.where("text is not null").select(F.xxhash64("text").alias("h"), F.explode(spelled).alias("w")).select("h", term_of(F.col("w")).alias("term"))
+    """(h, term): the distinct terms of each row's text; plain words need no look at each, as they are terms in lower case."""
+    plain = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(PLAIN), F.lit(0)))
+    coded = F.array_distinct(F.transform(F.regexp_extract_all("text", F.lit(CODED), F.lit(0)), term_of))
+    return docs.where("text is not null").select(F.xxhash64("text").alias("h"), F.explode(F.concat(plain, coded)).alias("term"))
 
 
 def telling_terms(docs: DataFrame, least: float = GENERALISE, chance: float = CHANCE, certain: float = CERTAIN) -> DataFrame:
     """term, disclosure of the terms of docs(text) that disclose an entity by `least` or more, stored."""
     found = with_spans(docs.select("text")).where(F.size("spans") > 0)
     words = F.array_distinct(F.transform(F.regexp_extract_all(masked(F.col("text"), F.col("spans")), F.lit(WORD), F.lit(0)), term_of))
-    found = found.select(F.xxhash64("text").alias("h"), entities(F.col("spans")).alias("e"), words.alias("terms")).dropDuplicates(["h"])
-    found = stored(found, "pii-found")
-    each = found.select("terms", F.explode("e").alias("e"))
-    n_e = stored(each.groupBy("e").agg(F.count("*").alias("n_e")).where("n_e > 1"), "pii-entities")
+    found = found.select(F.xxhash64("text").alias("h"), entities(F.col("spans")).alias("e"), words.alias("terms"))
+    found = stored(found.groupBy("h").agg(F.first("e").alias("e"), F.first("terms").alias("terms"), F.count("*").alias("c")), "pii-found")
     # Any and the kinds need no join; of groups and values only those that recur go on.
-    few = F.col("e").isin("any", *KINDS)
-    each = each.where(few).unionByName(each.where(~few).join(n_e.where(~few).select("e"), "e", "left_semi").select("terms", "e"))
+    each = found.select("terms", F.explode("e").alias("e")).select("terms", F.col("e").isin("any", *KINDS).alias("few"), F.xxhash64("e").alias("e"))
+    n_e = stored(each.groupBy("e").agg(F.count("*").alias("n_e")).where("n_e > 1"), "pii-entities")
+    each = each.where("few").unionByName(each.where("not few").join(n_e, "e", "left_semi").select("terms", "few", "e"))
     pairs = each.select("e", F.explode("terms").alias("term")).groupBy("e", "term").agg(F.count("*").alias("k")).where("k > 1")
     pairs = stored(pairs, "pii-pairs")
     if pairs.isEmpty():
         return docs.sparkSession.createDataFrame([], "term string, disclosure double")
-    asked = pairs.select("term").distinct()
-    n_t = _vocabulary(docs).groupBy("term").agg(F.count_distinct("h").alias("n_t")).join(asked, "term", "left_semi")
-    texts = docs.where("text is not null").select(F.xxhash64("text").alias("h")).agg(F.count_distinct("h")).first()[0]
+    asked = sent(stored(pairs.select("term").distinct(), "pii-asked"))
+    # Documents with a term, counted in one pass of partial sums, less the further copies of texts with entities.
+    rows = _vocabulary(docs).join(asked, "term", "left_semi").groupBy("term").agg(F.count("*").alias("n"))
+    again = found.where("c > 1").select(F.explode("terms").alias("term"), (F.col("c") - 1).alias("more")).groupBy("term").agg(F.sum("more").alias("more"))
+    n_t = rows.join(again, "term", "left").select("term", (F.col("n") - F.coalesce("more", F.lit(0))).alias("n_t"))
+    texts = docs.where("text is not null").count() - (found.agg(F.sum(F.col("c") - 1)).first()[0] or 0)
     tests = pairs.count()
     k, n, share = F.col("k"), F.col("n_t"), F.col("k") / F.col("n_t")
     low = (share + Z * Z / (2 * n) - Z * F.sqrt(share * (1 - share) / n + Z * Z / (4 * n * n))) / (1 + Z * Z / n)

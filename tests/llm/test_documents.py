@@ -235,7 +235,7 @@ def test_pii_base_spans(docs, texts, empty, spark):
 
 
 def disclosures(rows, least=0.6, chance=0.05, z=1.96):
-    """Terms and their disclosure, from all pairs of distinct texts' entities and terms."""
+    """Terms and their disclosure, from all pairs of texts' entities and terms; copies of a text with entities count once."""
 
     def term(w):
         return ("#a" if any(c.isalpha() for c in w) else "#9") + str(len(w)) if any(c.isnumeric() for c in w) else w.lower()
@@ -244,7 +244,8 @@ def disclosures(rows, least=0.6, chance=0.05, z=1.96):
         return {term(w) for w in regex.findall(r"[\p{L}\p{N}]{2,}+", t)}
 
     n_t, n_e, k, total = Counter(), Counter(), Counter(), 0
-    for t in {t for t in rows if t is not None}:
+    known = {t: base_spans(t) for t in set(rows) - {None}}
+    for t in [t for t, x in known.items() if x] + [t for t in rows if t is not None and not known[t]]:
         total += 1
         n_t.update(words_of(t))
         spans, rest, own = base_spans(t), list(t), {"any"}
