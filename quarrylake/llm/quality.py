@@ -10,12 +10,12 @@ follow-the-regularised-leader; then it scores every whole text. The scorer sees
 of bytes, shares of word shapes, bins of repetition, and stems. In the toxic head, stems that tell bad texts in the sample weigh
 more, by the lower bound of their log ratio, so what labels say in languages without a word list reaches the scorer.
 
-The fit is one executor task over the stored sample, whose size SAMPLE bounds; only weights reach the driver.
+The fit is one executor task over the stored sample, whose size SAMPLE bounds; both heads share it, and only weights reach the driver.
 """
 
 from __future__ import annotations
 
-from functools import partial, reduce
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -346,28 +346,32 @@ def fit(docs: DataFrame, labels: DataFrame | None = None, sample: int = SAMPLE,
     rows = stored(picked.mapInArrow(vectors, f"doc_id bigint, {longs}, at binary, x binary"), "quality-sample")
     weigh = {(junk, toxic): n / q for (junk, toxic, n), q in zip(strata, takes, strict=True) if q}
     w = np.zeros((width(log2_dims), 2 * len(HEADS)), np.float32)
-    tasks = [in_one_task(rows, partial(_train, head, model[head], weigh, log2_dims), "column int, at binary, w binary") for head in HEADS]
-    got = reduce(DataFrame.union, tasks).toArrow()
+    got = in_one_task(rows, partial(_train, model, weigh, log2_dims), "column int, at binary, w binary").toArrow()
     for c, at, x in zip(*(got.column(i).to_pylist() for i in range(3)), strict=True):
         w[np.frombuffer(at, np.int32), c] = np.frombuffer(x, np.float32)
     return w
 
 
-def _train(head: str, model: tuple[float, np.ndarray], weigh: dict, log2_dims: int, t: pa.Table) -> pa.RecordBatch:
-    """Places and values of a head's weights that are not zero, for each of its columns; t: the sample."""
-    t = t.sort_by([("doc_id", "ascending")])
-    rows = [(np.frombuffer(a.as_buffer(), np.int32), np.frombuffer(x.as_buffer(), np.float32)) for a, x in zip(t.column("at"), t.column("x"), strict=True)]
-    votes_of = np.column_stack([decoded(t.column(head).to_numpy(), HEADS[head]), t.column(f"p_{head}").to_numpy()]).astype(np.int64)
-    bad = posterior(votes_of, *model, told=True)
-    u = scales(head, rows, bad, log2_dims)
-    w = Ftrl(width(log2_dims), 2, l1=0.05).fit(rows, np.stack([1 - bad, bad], axis=1), scale=u) * u[:, None]
-    if len(rows):  # strata aren't taken in proportion; the constant makes up for it
-        heft = np.array([weigh[x] for x in zip(t.column("p_junk").to_pylist(), t.column("p_toxic").to_pylist(), strict=True)])
-        share = np.clip([bad.mean(), np.average(bad, weights=heft)], 1e-6, 1 - 1e-6)
-        w[1 << log2_dims, 1] += _logit(share[1]) - _logit(share[0])
-    on = [np.flatnonzero(x) for x in w.T]
-    first = 2 * list(HEADS).index(head)
-    return pa.RecordBatch.from_arrays([pa.array([first, first + 1], pa.int32()), pa.array([i.astype(np.int32).tobytes() for i in on], pa.binary()), pa.array([w[i, c].astype(np.float32).tobytes() for c, i in enumerate(on)], pa.binary())], names=["column", "at", "w"])
+def _train(model: dict, weigh: dict, log2_dims: int, t: pa.Table) -> pa.RecordBatch:
+    """Places and values of the weights that are not zero, for each column; t: the sample, which is read in place."""
+    order = np.argsort(t.column("doc_id").to_numpy(), kind="stable")
+    views = [(np.frombuffer(a.as_buffer(), np.int32), np.frombuffer(x.as_buffer(), np.float32)) for a, x in zip(t.column("at"), t.column("x"), strict=True)]
+    rows = [views[i] for i in order.tolist()]
+    told = {c: t.column(c).to_numpy()[order] for c in (*HEADS, *(f"p_{h}" for h in HEADS))}
+    heft = np.array([weigh[x] for x in zip(told["p_junk"].tolist(), told["p_toxic"].tolist(), strict=True)])
+    at, values = [], []
+    for head, k in HEADS.items():
+        bad = posterior(np.column_stack([decoded(told[head], k), told[f"p_{head}"]]).astype(np.int64), *model[head], told=True)
+        u = scales(head, rows, bad, log2_dims)
+        w = Ftrl(width(log2_dims), 2, l1=0.05).fit(rows, np.stack([1 - bad, bad], axis=1), scale=u) * u[:, None]
+        if len(rows):  # strata aren't taken in proportion; the constant makes up for it
+            share = np.clip([bad.mean(), np.average(bad, weights=heft)], 1e-6, 1 - 1e-6)
+            w[1 << log2_dims, 1] += _logit(share[1]) - _logit(share[0])
+        for c in range(2):
+            on = np.flatnonzero(w[:, c])
+            at.append(on.astype(np.int32).tobytes())
+            values.append(w[on, c].astype(np.float32).tobytes())
+    return pa.RecordBatch.from_arrays([pa.array(range(len(at)), pa.int32()), pa.array(at, pa.binary()), pa.array(values, pa.binary())], names=["column", "at", "w"])
 
 
 def scored(texts: pa.Array, w: np.ndarray, threshold: float, log2_dims: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
