@@ -1,6 +1,7 @@
-"""Count-min sketches made by partition, merged by cell range, and reduced to bitmaps of the cells counted at least twice.
+"""Count-min sketches made by partition, merged by cell range, and reduced to bitmaps of the cells counted at least `most` times.
 
-Counters saturate at two, since all users only ask "at most once, or maybe more". Estimates never fall below true counts.
+Counters saturate at `most`, since users only ask whether something may be there that often, twice mostly. Estimates never fall below
+true counts.
 """
 
 from __future__ import annotations
@@ -25,11 +26,16 @@ def cell(hashes: np.ndarray, row: int, log2_cells: int) -> np.ndarray:
     return mix(hashes + np.uint64(0x632BE59BD9B4E019 * (row + 1) & (1 << 64) - 1)) >> np.uint64(64 - log2_cells)
 
 
+def _bits(most: int) -> int:
+    """Bits of a cell's count less one."""
+    return (most - 1).bit_length()
+
+
 class PartSketch:
     """Cells of one partition, kept sparse; `add` gets each thing to count once for each count."""
 
-    def __init__(self, log2_cells: int, rows: int = 2):
-        self.bits, self.rows, self.held, self.n = log2_cells, rows, [], 0
+    def __init__(self, log2_cells: int, rows: int = 2, most: int = 2):
+        self.bits, self.rows, self.held, self.n, self.most = log2_cells, rows, [], 0, most
 
     def add(self, hashes: np.ndarray) -> Iterator[pa.RecordBatch]:
         self.held.append(hashes)
@@ -44,22 +50,22 @@ class PartSketch:
         low = self.bits - SEGMENT_BITS
         for row in range(self.rows):
             cells, counts = np.unique(cell(h, row, self.bits), return_counts=True)
-            coded = (cells << np.uint64(1)) | (counts > 1).astype(np.uint64)
+            coded = (cells << np.uint64(_bits(self.most))) | (np.minimum(counts, self.most) - 1).astype(np.uint64)
             ends = np.searchsorted(cells, np.arange(1, (1 << SEGMENT_BITS) + 1, dtype=np.uint64) << np.uint64(low))
             segs, parts, a = [], [], 0
             for s, b in enumerate(ends.tolist()):
                 if b > a:
                     segs.append(s)
-                    parts.append((coded[a:b] & np.uint64((2 << low) - 1)).astype(np.uint32).tobytes())
+                    parts.append((coded[a:b] & np.uint64((1 << low + _bits(self.most)) - 1)).astype(np.uint32).tobytes())
                 a = b
             yield pa.RecordBatch.from_arrays([pa.array([row] * len(segs), pa.int32()), pa.array(segs, pa.int32()), pa.array(parts, pa.binary())], schema=_SCHEMA)
 
 
-def sketched(df: DataFrame, hashes_of: Callable[[pa.RecordBatch], Iterator[np.ndarray]], log2_cells: int) -> DataFrame:
+def sketched(df: DataFrame, hashes_of: Callable[[pa.RecordBatch], Iterator[np.ndarray]], log2_cells: int, rows: int = 2, most: int = 2) -> DataFrame:
     """Partition sketches of what hashes_of gives for the batches of df."""
 
     def run(batches):
-        s = PartSketch(log2_cells)
+        s = PartSketch(log2_cells, rows, most)
         for b in batches:
             for h in hashes_of(b):
                 yield from s.add(h)
@@ -68,8 +74,8 @@ def sketched(df: DataFrame, hashes_of: Callable[[pa.RecordBatch], Iterator[np.nd
     return df.mapInArrow(run, SKETCH)
 
 
-def merged(sketches: DataFrame, log2_cells: int, rows: int = 2) -> list[np.ndarray]:
-    """For each row of the sketch, a bitmap (uint64 words) of the cells that count at least two. Its size is fixed by log2_cells."""
+def merged(sketches: DataFrame, log2_cells: int, rows: int = 2, most: int = 2) -> list[np.ndarray]:
+    """For each row of the sketch, a bitmap (uint64 words) of the cells that count at least `most`. Its size is fixed by log2_cells."""
     low = log2_cells - SEGMENT_BITS
 
     def run(batches):
@@ -77,11 +83,11 @@ def merged(sketches: DataFrame, log2_cells: int, rows: int = 2) -> list[np.ndarr
         for b in batches:
             for row, seg, cells in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
                 c = np.frombuffer(cells, dtype=np.uint32)
-                at, more = c >> 1, (c & 1).astype(np.uint8) + 1
+                at, more = c >> _bits(most), (c & (1 << _bits(most)) - 1).astype(np.uint8) + 1
                 have = counts.setdefault((row, seg), np.zeros(1 << low, np.uint8))
-                have[at] = np.minimum(2, have[at] + more)  # the cells of one part are distinct
+                have[at] = np.minimum(most, have[at] + more)  # the cells of one part are distinct
         for (row, seg), have in counts.items():
-            bits = np.packbits(have >= 2, bitorder="little").tobytes()
+            bits = np.packbits(have >= most, bitorder="little").tobytes()
             yield pa.RecordBatch.from_arrays([pa.array([row], pa.int32()), pa.array([seg], pa.int32()), pa.array([bits], pa.binary())], schema=_SCHEMA)
 
     n = min(rows << SEGMENT_BITS, max(8, sketches.sparkSession.sparkContext.defaultParallelism * 2))
@@ -94,7 +100,7 @@ def merged(sketches: DataFrame, log2_cells: int, rows: int = 2) -> list[np.ndarr
 
 
 def repeated(maps: list[np.ndarray], log2_cells: int, hashes: np.ndarray) -> np.ndarray:
-    """Which hashes are estimated to count at least two."""
+    """Which hashes are estimated to count often enough for `merged`."""
     ok = np.ones(len(hashes), bool)
     for row, bits in enumerate(maps):
         at = cell(hashes, row, log2_cells)

@@ -72,21 +72,29 @@ def blocks(batch: pa.RecordBatch, text: str = "text", most: int = 4 * PIECE) ->
         at = to
 
 
-def words(data: np.ndarray, offs: np.ndarray, lower: bool, sides: int = 1) -> tuple[list[np.ndarray], np.ndarray]:
-    """(hashes of all words for each side, first): document i has words first[i]:first[i + 1]."""
-    hashes, starts_all, lo, n = [[] for _ in range(sides)], [], 0, len(data)
+def cuts(data: np.ndarray, offs: np.ndarray, gap: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Ranges of about PIECE bytes that end before a byte of the table gap or at the end of a document, never inside a word."""
+    lo, n = 0, len(data)
     while lo < n:
         hi = min(lo + PIECE, n)
-        if hi < n:  # cut at the next white space or end of a document, never inside a word
+        if hi < n:
             end = int(offs[np.searchsorted(offs, hi)])
             step = hi
             while step < end:
-                found = np.flatnonzero(_SPACE[data[step : step + 65536]])
+                found = np.flatnonzero(gap[data[step : step + 65536]])
                 if len(found):
                     end = min(end, step + int(found[0]))
                     break
                 step += 65536
             hi = end
+        yield lo, hi
+        lo = hi
+
+
+def words(data: np.ndarray, offs: np.ndarray, lower: bool, sides: int = 1) -> tuple[list[np.ndarray], np.ndarray]:
+    """(hashes of all words for each side, first): document i has words first[i]:first[i + 1]."""
+    hashes, starts_all = [[] for _ in range(sides)], []
+    for lo, hi in cuts(data, offs, _SPACE):
         part = data[lo:hi]
         space = _SPACE[part]
         begin = ~space
@@ -105,7 +113,6 @@ def words(data: np.ndarray, offs: np.ndarray, lower: bool, sides: int = 1) -> tu
                 p = powers(s, int(lens.max()))
                 hashes[s].append(mix(np.add.reduceat(_TABLES[s, lower][chars] * p[pos], first) + lens.astype(_U)))
             starts_all.append(at + lo)
-        lo = hi
     starts = np.concatenate(starts_all) if starts_all else np.zeros(0, np.int64)
     return [np.concatenate(h) if h else np.zeros(0, _U) for h in hashes], np.searchsorted(starts, offs)
 

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quarrylake.llm import decontaminate, jaccard, langid, licenses, mixing, pii, quality, substrings, tokens, topk, variants
+from quarrylake.llm import decontaminate, jaccard, langid, licenses, mixing, phrases, pii, quality, substrings, tokens, topk, variants
 from quarrylake.llm._work import spread
 
 
@@ -54,6 +54,10 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
 def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return variants.spelling_variants(table(spark, sf_dir, "documents"))
 
@@ -69,7 +73,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_source_mixing": op8_source_mixing,
     "op9_exact_topk": op9_exact_topk,
     "op10_quality_classifier": op10_quality_classifier,
+    "op11_phrase_collocations": op11_phrase_collocations,
     "op12_spelling_variants": op12_spelling_variants,
 }
 
-ORACLE: dict[str, str] = {"op8_source_mixing": mixing.oracle(), "op12_spelling_variants": variants.oracle()}
+ORACLE: dict[str, str] = {
+    "op8_source_mixing": mixing.oracle(),
+    "op11_phrase_collocations": phrases.oracle(),
+    "op12_spelling_variants": variants.oracle(),
+}

@@ -5,11 +5,11 @@ from __future__ import annotations
 import random
 import re
 import zlib
-from collections import Counter
+from collections import Counter, defaultdict
 
 import pytest
 
-from quarrylake.llm import variants
+from quarrylake.llm import phrases, variants
 
 SCHEMA = "doc_id bigint, text string, lang string, n bigint, word string, key string"
 
@@ -83,3 +83,55 @@ def test_runs_longer_than_a_piece():
     text = "a" * (variants.PIECE + 5) + " bcdef " + "é" * 10
     assert "".join(variants._pieces(text)) == text
     assert sorted(w[:5] for w, _ in variants.variants_of(0, text)) == ["aaaaa", "bcdef", "ééééé"]
+
+
+def collocations_of(rows, least, ranks):
+    f, n = defaultdict(Counter), Counter()
+    for _, t, lang, *_ in rows:
+        lang = "und" if lang is None else lang
+        low = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t or "")
+        for piece in re.split("[.,;:!?\x0a-\x0d]", low):
+            w = re.findall("[^\x20\x09]+", piece)
+            n[lang] += len(w)
+            for d in range(1, 5):
+                for i in range(len(w) - d + 1):
+                    f[lang][tuple(w[i : i + d])] += 1
+    out = set()
+    for lang, counts in f.items():
+        cand = {p: a for p, a in counts.items() if len(p) > 1 and a >= least}
+        gone = {p[i : i + s] for p, b in cand.items() for s in range(2, len(p)) for i in range(len(p) - s + 1) if 100 * b >= 80 * cand[p[i : i + s]]}
+        best = []
+        for p, a in cand.items():
+            if p not in gone:
+                score, k = min((2000000 * a // (counts[p[:k]] + counts[p[k:]]), k) for k in range(1, len(p)))
+                best.append((-score, -a, " ".join(p).encode(), counts[p[:k]], counts[p[k:]]))
+        for rank, (s, a, p, x, y) in enumerate(sorted(best)[:ranks]):
+            out.add((lang, rank + 1, p.decode(), -a, x, y, n[lang], -s))
+    return out
+
+
+@pytest.fixture(scope="module")
+def spoken():
+    rng = random.Random(11)
+    vocab = [*"abcdefgh", "Été", "été", "\x01", "a\x01", "你好", "x\xa0y", "A-b", "ÿ"]
+    text = lambda n: "".join(rng.choice(vocab[: rng.choice((3, 8, 15))]) + rng.choice((" ", " ", " ", "  ", "\t", ". ", "\n", "!", "\r\n")) for _ in range(n))
+    rows = [(i, text(rng.randint(0, 120)), ("en", "fr", "", None, "und")[i % 5], i, "x", "y") for i in range(150)]
+    rows += [(900, None, "en", 1, "x", "y"), (901, "", None, 1, "x", "y"), (902, " .\n", "en", 1, "x", "y"), (None, "only the one and only the one", "xx", 1, "x", "y")]
+    return [*rows, rows[3], rows[3], (903, "the same words again " * 70_000, "long", 1, "x", "y"), (904, "z" * 600_000 + " z" * 50, "long", 1, "x", "y")]
+
+
+@pytest.mark.parametrize(("least", "ranks"), [(30, 2000), (3, 2000), (2, 5)])
+def test_collocations(spark, spoken, least, ranks):
+    df = spark.createDataFrame(spoken, SCHEMA).repartition(5)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # so that ranges start inside subtrees
+    try:
+        got = [tuple(r) for r in phrases.collocations(df, least=least, ranks=ranks).collect()]
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(got) == len(set(got)) and set(got) == collocations_of(spoken, least, ranks)
+    assert len(got) > 20
+
+
+def test_no_phrases(spark):
+    assert phrases.collocations(spark.createDataFrame([], SCHEMA)).count() == 0
+    assert phrases.collocations(spark.createDataFrame([(1, None, None, 1, None, None), (2, "a b c", "en", 1, None, None)], SCHEMA)).count() == 0
