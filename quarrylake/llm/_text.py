@@ -6,6 +6,7 @@ on the interpreter's hash seed: equal words have equal hashes in every process.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,27 +25,24 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _U(31))
 
 
-def _table(seed: int, lower: bool) -> np.ndarray:
-    t = mix(np.arange(1, 257, dtype=_U) * _U(0x9E3779B97F4A7C15) + _U(seed))
-    if lower:
-        t[65:91] = t[97:123]
-    return t
+def join(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Hash of a sequence from those of its two parts. It isn't linear in either, so no pattern of words cancels out."""
+    return mix(mix(a) + b)
 
 
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[32, 9, 10, 11, 12, 13]] = True
-_BASE = (_U(0x9FB21C651E98DF25), _U(0xD6E8FEB86659FD93))
-_TABLES = {(side, low): _table(0x51ED27 + side, low) for side in (0, 1) for low in (False, True)}
-_POW: dict[int, np.ndarray] = {}
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
+_SEED = (_U(0x9FB21C651E98DF25), _U(0xD6E8FEB86659FD93))
+_MASK = np.array([(1 << 8 * i) - 1 for i in range(9)], dtype=_U)
+LONG = 4096  # bytes of a word from which it is hashed by itself
 
 
-def powers(side: int, n: int) -> np.ndarray:
-    """_BASE[side] ** 0..n-1 modulo 2**64."""
-    if side not in _POW or len(_POW[side]) < n:
-        p = np.full(max(n, 256), _BASE[side], dtype=_U)
-        p[0] = 1
-        _POW[side] = np.multiply.accumulate(p)
-    return _POW[side][:n]
+def lanes(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place on as one integer, zeros beyond the end."""
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    return np.ndarray(len(data) + 1, np.dtype("<u8"), padded.tobytes(), strides=(1,))[: len(data)]
 
 
 def bytes_of(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -107,39 +105,45 @@ def words(data: np.ndarray, offs: np.ndarray, lower: bool, sides: int = 1) -> tu
             chars = part[kept]
             rank = np.cumsum(kept) - 1
             first = rank[at]
-            lens = np.diff(np.append(first, len(chars)))
-            pos = np.arange(len(chars)) - np.repeat(first, lens)
-            for s in range(sides):
-                p = powers(s, int(lens.max()))
-                hashes[s].append(mix(np.add.reduceat(_TABLES[s, lower][chars] * p[pos], first) + lens.astype(_U)))
+            for s, h in enumerate(_word_hashes(_LOWER[chars] if lower else chars, first, np.diff(np.append(first, len(chars))), sides)):
+                hashes[s].append(h)
             starts_all.append(at + lo)
     starts = np.concatenate(starts_all) if starts_all else np.zeros(0, np.int64)
     return [np.concatenate(h) if h else np.zeros(0, _U) for h in hashes], np.searchsorted(starts, offs)
 
 
-def grams(h: np.ndarray, k: int, side: int = 0) -> np.ndarray:
-    """Hash of each k consecutive words, by the place of the first; those that cross documents are there too."""
-    n = len(h) - k + 1
-    if n <= 0:
-        return np.zeros(0, _U)
-    p = powers(side, k)
-    out = h[:n].copy()
-    for j in range(1, k):
-        out += h[j : j + n] * p[j]
-    return mix(out + _U(k))
+def _word_hashes(chars: np.ndarray, first: np.ndarray, lens: np.ndarray, sides: int) -> list[np.ndarray]:
+    """Hashes of words by eight bytes at a time: words of one length up to eight bytes never collide, others by chance only."""
+    out, view = [mix(lens.astype(_U) + _SEED[s]) for s in range(sides)], lanes(chars)
+    at, lane = np.flatnonzero(lens <= LONG), 0
+    while len(at):
+        v = view[first[at] + lane] & _MASK[np.minimum(lens[at] - lane, 8)]
+        for h in out:
+            h[at] = mix(h[at] ^ v)
+        lane += 8
+        at = at[lens[at] > lane]
+    for i in np.flatnonzero(lens > LONG).tolist():
+        whole = hashlib.blake2b(chars[first[i] : first[i] + lens[i]].tobytes(), digest_size=16).digest()
+        for s, h in enumerate(out):
+            h[i] = np.frombuffer(whole, _U)[s]
+    return out
 
 
-def long_grams(h: np.ndarray, k: int, side: int = 0) -> np.ndarray:
-    """As grams, by running sums: the cost doesn't grow with k."""
+def grams(h: np.ndarray, k: int) -> np.ndarray:
+    """Hash of each k consecutive words, by the place of the first; those that cross documents are there too. Parts of 1, 2, 4, ...
+    words are joined, so the cost grows with the logarithm of k."""
     n = len(h) - k + 1
     if n <= 0:
         return np.zeros(0, _U)
-    m = pow(int(_BASE[side]), -1, 1 << 64)
-    inv = np.full(len(h), _U(m), dtype=_U)
-    inv[0] = 1
-    inv = np.multiply.accumulate(inv)
-    total = np.concatenate([np.zeros(1, _U), np.cumsum(h * powers(side, len(h)), dtype=_U)])
-    return mix((total[k:] - total[:-k]) * inv[:n] + _U(k))
+    out, done, width, g = None, 0, 1, h
+    while width <= k:
+        if k & width:
+            out = g[:n] if out is None else join(out, g[done : done + n])
+            done += width
+        if 2 * width <= k:
+            g = join(g[:-width], g[width:])
+        width *= 2
+    return mix(out + _U(k))
 
 
 def shingle_sets(h: np.ndarray, first: np.ndarray, k: int = 5) -> list[np.ndarray]:
@@ -154,8 +158,8 @@ def shingle_sets(h: np.ndarray, first: np.ndarray, k: int = 5) -> list[np.ndarra
 
 
 def prints(h: np.ndarray) -> int:
-    """Order-dependent 64-bit fingerprint of a sequence of hashes."""
-    return int(mix((mix(h * _U(3) + _U(1)) * powers(0, len(h))).sum(dtype=_U, keepdims=True) + _U(len(h)))[0]) if len(h) else 0
+    """Order-dependent 64-bit fingerprint of a sequence of hashes: the sum of one hash of each with its place."""
+    return int(mix(mix(h ^ mix(np.arange(len(h), dtype=_U))).sum(dtype=_U, keepdims=True) + _U(len(h)))[0]) if len(h) else 0
 
 
 def longs(x) -> pa.Array:

@@ -28,7 +28,7 @@ KEY_SIDES = 2
 
 def _anchors(h: np.ndarray, window: int, gram: int) -> np.ndarray:
     """For each window the smallest hash of its grams."""
-    g, span, step = _text.long_grams(h, gram), window - gram + 1, 1
+    g, span, step = _text.grams(h, gram), window - gram + 1, 1
     while step * 2 <= span:
         g = np.minimum(g[:-step], g[step:])
         step *= 2
@@ -86,7 +86,7 @@ def _windows(rows: DataFrame, maps, log2_cells: int, window: int, gram: int, ski
                         continue
                     at = np.flatnonzero(_sketch.repeated(maps.value, log2_cells, _anchors(hs[0][lo:hi], window, gram)))
                     if len(at):
-                        keys = [_text.long_grams(h[lo:hi], window, side)[at] for side, h in enumerate(hs)]
+                        keys = [_text.grams(h[lo:hi], window)[at] for h in hs]
                         parts.append((keys[0], keys[1], np.full(len(at), i), np.full(len(at), _ids([hs[0][lo:hi]])[0], np.int64), at))
                 if parts:
                     k1, k2, i, f1, at = (np.concatenate(x) for x in zip(*parts, strict=True))

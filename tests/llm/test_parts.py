@@ -23,7 +23,25 @@ def test_words_are_those_of_bytes_split():
         for word, x in zip(w, h[first[i] : first[i + 1]].tolist(), strict=True):
             assert seen.setdefault(word, x) == x
     assert len(set(seen.values())) == len(seen)
-    assert np.array_equal(_text.grams(h[:500], 7), _text.long_grams(h[:500], 7))
+    for k in (1, 5, 7, 25, 50):
+        g = _text.grams(h[:500], k)
+        assert len(g) == 501 - k and [int(_text.grams(h[i : i + k], k)[0]) for i in (0, 3, 500 - k)] == g[[0, 3, 500 - k]].tolist()
+
+
+def thue_morse(n):
+    return [bin(i).count("1") % 2 for i in range(n)]
+
+
+def test_hashes_are_not_linear():
+    word = "".join("ab"[x] for x in thue_morse(1024))
+    other = word.translate({97: 98, 98: 97})
+    data, offs = _text.bytes_of(pa.array([" ".join([word, other, word[:512], other[:512], word * 5, other * 5]), " ".join(word), " ".join(other)]))
+    hs, first = _text.words(data, offs, lower=False, sides=2)
+    for h in hs:
+        assert len(set(h[:6].tolist())) == 6
+        one, two = h[first[1] : first[2]], h[first[2] : first[3]]
+        assert _text.prints(one) != _text.prints(two)
+        assert _text.grams(one, 1024)[0] != _text.grams(two, 1024)[0] and _text.grams(one, 50)[0] != _text.grams(two, 50)[0]
 
 
 def test_sketch_never_misses_a_repeat(spark):
