@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quarrylake.llm import decontaminate, jaccard, langid, licenses, mixing, phrases, pii, quality, substrings, tokens, topk, variants
+from quarrylake.llm import decontaminate, jaccard, langid, licenses, mixing, phrases, pii, quality, substrings, suffixes, tokens, topk, variants
 from quarrylake.llm._work import spread
 
 
@@ -62,6 +62,10 @@ def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return variants.spelling_variants(table(spark, sf_dir, "documents"))
 
 
+def op13_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.dedup_bytes(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_license_scan": op1_license_scan,
     "op2_benchmark_decontamination": op2_benchmark_decontamination,
@@ -75,10 +79,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_quality_classifier": op10_quality_classifier,
     "op11_phrase_collocations": op11_phrase_collocations,
     "op12_spelling_variants": op12_spelling_variants,
+    "op13_suffix_array_dedup": op13_suffix_array_dedup,
 }
 
 ORACLE: dict[str, str] = {
     "op8_source_mixing": mixing.oracle(),
     "op11_phrase_collocations": phrases.oracle(),
     "op12_spelling_variants": variants.oracle(),
+    "op13_suffix_array_dedup": suffixes.oracle(),
 }
