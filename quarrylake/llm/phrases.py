@@ -7,8 +7,9 @@ one walk. On that walk the counts of the ancestors, the left parts of the phrase
 subtree, they come from the stacks that other ranges ended with. A suffix link leads from a path to the one without its first words:
 a join by key, which gives the right parts.
 
-Before that one pass counts words and pairs of neighbours in a sketch. It never falls below a true count, and no phrase is more
-frequent than its pairs, so nodes it rules out can't reach `least` occurrences and are left out of the tries.
+Before that sketches count words and pairs of neighbours, and then the longer runs whose pairs may be frequent. Sketches never fall
+below a true count, and no phrase is more frequent than its parts, so nodes they rule out can't reach `least` occurrences and are left
+out of the tries.
 """
 
 from __future__ import annotations
@@ -101,8 +102,20 @@ def _hashes(words: pa.Array, w: np.ndarray, langs: np.ndarray, names: list[str])
     return _text.mix(of_word[w] ^ _text.mix(of_lang[langs]))
 
 
-def _next_to(h: np.ndarray) -> np.ndarray:
-    return _text.mix(_text.mix(h[:-1]) + h[1:])
+def runs_of(h: np.ndarray, pieces: np.ndarray, depth: int, often) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(d, places, hashes) of the runs of 1 to `depth` words inside pieces whose parts all may be frequent, as often[d](hashes) says; of a
+    length without such a test, all those."""
+    ok, run = np.ones(len(h), bool), h
+    for d in range(1, depth + 1):
+        if d > 1:
+            ok = ok[:-1] & ok[1:] & (pieces[: len(h) - d + 1] == pieces[d - 1 :])
+            run = _text.join(run[:-1], h[d - 1 :])
+        at = np.flatnonzero(ok)
+        if d in often:
+            at = at[often[d](run[at])]
+            ok = np.zeros(len(ok), bool)
+            ok[at] = True
+        yield d, at, run[at]
 
 
 def _key(words: list[pa.Array]) -> pa.Array:
@@ -117,27 +130,23 @@ def _moved(a: pa.Array) -> pa.Array:
 
 
 def trie(shard: Shard, depth: int, often) -> pa.RecordBatch:
-    """key, c of the nodes of a shard's trie, in order; often(hashes) tells the words and pairs that may be frequent."""
+    """key, c of the nodes of a shard's trie, in order; often tells the runs of words that may be frequent."""
     words, w, pieces, langs, names = shard.coded()
-    h = _hashes(words, w, langs, names)
     moved, tongues = _moved(words), _moved(pa.array([x.encode() for x in names], pa.binary()))
     keys, counts = [_key([tongues])], [np.bincount(langs, minlength=len(names))]
-    one = langs * len(words) + w
-    one, n = np.unique(one[often(h)], return_counts=True)
-    keys.append(_key([tongues.take(pa.array(one // len(words))), moved.take(pa.array(one % len(words)))]))
-    counts.append(n)
-    pair = np.append((pieces[1:] == pieces[:-1]) & often(_next_to(h)), False)
-    at = np.flatnonzero(pair)
+    longest = np.zeros(len(w), np.int8)  # of the node that starts at a word
+    for d, at, _ in runs_of(_hashes(words, w, langs, names), pieces, depth, often):
+        longest[at] = d
+    at = np.flatnonzero(longest)
     path = np.full((depth, len(at)), -1, np.int64)
-    path[0], live = w[at], np.ones(len(at), bool)
-    for d in range(1, depth):
-        live &= pair[np.minimum(at + d - 1, len(w) - 1)]
+    for d in range(depth):
+        live = longest[at] > d
         path[d, live] = w[at[live] + d]
     order = np.lexsort((*path[::-1], langs[at]))
     path, lang = path[:, order], langs[at][order]
     new = np.ones(len(order), bool)
-    new[1:] = (lang[1:] != lang[:-1]) | (path[0, 1:] != path[0, :-1])
-    for d in range(1, depth):
+    new[1:] = lang[1:] != lang[:-1]
+    for d in range(depth):
         new[1:] |= path[d, 1:] != path[d, :-1]
         there = np.flatnonzero(new & (path[d] >= 0))  # a node's first path; its others follow, as shorter ones come before
         if len(there):
@@ -221,6 +230,16 @@ def merge(least: int):
     return run
 
 
+class _Often:
+    """Whether runs may be frequent, by a broadcast sketch."""
+
+    def __init__(self, maps, bits: int):
+        self.maps, self.bits = maps, bits
+
+    def __call__(self, hashes: np.ndarray) -> np.ndarray:
+        return _sketch.repeated(self.maps.value, self.bits, hashes)
+
+
 def nodes(docs: DataFrame, depth: int = DEPTH, least: int = LEAST) -> DataFrame:
     """The merged trie, stored: nodes of `least` occurrences, with what their cuts and inner phrases lead to, and rows of open ends."""
     spark = ship(docs.sparkSession)
@@ -228,20 +247,25 @@ def nodes(docs: DataFrame, depth: int = DEPTH, least: int = LEAST) -> DataFrame:
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     bits = _sketch.width(size // 64)  # about two words and pairs for six bytes; some five counts a cell are far below `least`
 
-    def counted(batches):
-        s = _sketch.PartSketch(bits, 1, least)
-        for shard in shards(batches):
-            words, w, pieces, langs, names = shard.coded()
-            h = _hashes(words, w, langs, names)
-            for part in (h, _next_to(h)[pieces[1:] == pieces[:-1]]):
-                yield from s.add(part)
+    often: dict = {}  # by number of words
+    for shortest, longest in ((1, 2), (3, depth)):
+
+        def counted(batches):
+            s = _sketch.PartSketch(bits, 1, least)
+            for shard in shards(batches):
+                words, w, pieces, langs, names = shard.coded()
+                for d, _, h in runs_of(_hashes(words, w, langs, names), pieces, longest, often):
+                    if d >= shortest:
+                        yield from s.add(h)
             yield from s.flush()
 
-    maps = spark.sparkContext.broadcast(_sketch.merged(docs.mapInArrow(counted, _sketch.SKETCH), bits, 1, least))
+        if shortest <= depth:
+            maps = spark.sparkContext.broadcast(_sketch.merged(docs.mapInArrow(counted, _sketch.SKETCH), bits, 1, least))
+            often |= {d: _Often(maps, bits) for d in range(shortest, longest + 1)}
 
     def tries(batches):
         for shard in shards(batches):
-            yield trie(shard, depth, lambda h: _sketch.repeated(maps.value, bits, h))
+            yield trie(shard, depth, often)
 
     made = stored(docs.mapInArrow(tries, "key binary, c bigint"), "phrases-tries")
     ranges = made.repartitionByRange("key").sortWithinPartitions("key")
