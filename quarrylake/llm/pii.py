@@ -52,17 +52,49 @@ def _total(a: Column) -> Column:
     return F.aggregate(a, F.lit(0), lambda x, y: x + y)
 
 
-def running(steps: Column) -> Column:
-    """Running sums of an int array, by blocks of the cube root of twice its size, which keeps the work for n steps near n ** (4 / 3)."""
+def _running(steps: Column, whole, join) -> Column:
+    """whole(first steps up to i) for each i, by blocks of the cube root of twice the number of steps, which keeps the work for n steps
+    near n ** (4 / 3); join puts two results together."""
 
     def of_blocks(z: Column) -> Column:
         s, b = z["s"], z["b"]
-        sums = F.transform(F.sequence(F.lit(0), F.floor((F.size(s) - 1) / b).cast("int")), lambda k: _total(F.slice(s, k * b + 1, b)))
-        return let(sums, lambda t: let(F.transform(t, lambda _, k: _total(F.slice(t, F.lit(1), k))), lambda before: F.transform(s, lambda _, i: F.get(before, F.floor(i / b).cast("int")) + _total(F.slice(s, F.floor(i / b).cast("int") * b + 1, i % b + 1)))))
+        parts = F.transform(F.sequence(F.lit(0), F.floor((F.size(s) - 1) / b).cast("int")), lambda k: whole(F.slice(s, k * b + 1, b)))
+        before = let(parts, lambda t: F.transform(t, lambda _, k: F.when(k > 0, whole(F.slice(t, F.lit(1), k))).otherwise(F.lit(0))))
+        return let(before, lambda y: F.transform(s, lambda _, i: join(F.get(y, F.floor(i / b).cast("int")), whole(F.slice(s, F.floor(i / b).cast("int") * b + 1, i % b + 1)))))
 
     return let(F.struct(steps.alias("s"), F.ceil(F.cbrt(F.size(steps) * F.lit(2.0))).cast("int").alias("b")), of_blocks)
 
 
+def running(steps: Column) -> Column:
+    """Running sums of an int array with at least one step."""
+    return _running(steps, _total, lambda x, y: x + y)
+
+
+def running_max(steps: Column) -> Column:
+    """Running maxima of an array of ints from 0 with at least one step."""
+    return _running(steps, F.array_max, F.greatest)
+
+
+CHUNK = 256
+
+
+def chunks(text: Column) -> Column:
+    """text in chunks of CHUNK code points: a place in a chunk is found in a short walk, one in a text by a walk from its start."""
+    return F.regexp_extract_all(text, F.lit(f"(?s).{{1,{CHUNK}}}+"), F.lit(0))
+
+
+def between(parts: Column, a: Column, b: Column) -> Column:
+    """Code points a .. b - 1 of a text in chunks; nothing if b <= a."""
+    first, last = F.floor(a / CHUNK).cast("int"), F.floor(b / CHUNK).cast("int")
+    near = F.substring(F.get(parts, first), a % CHUNK + 1, b - a)
+    far = F.concat(
+        F.coalesce(F.substring(F.get(parts, first), a % CHUNK + 1, F.lit(CHUNK)), F.lit("")),
+        F.array_join(F.slice(parts, first + 2, F.greatest(last - first - 1, F.lit(0))), ""),
+        F.coalesce(F.substring(F.get(parts, last), F.lit(1), b % CHUNK), F.lit("")),
+    )
+    return F.when(b <= a, F.lit("")).when(first == last, near).otherwise(far)
+
+
 def matches(text: Column, pattern: str) -> Column:
     """array of struct(start, end, value) of all matches, in code points, end exclusive; for texts with at least one match."""
 
@@ -117,23 +149,26 @@ def term_of(word: Column) -> Column:
 
 
 def replaced(text: Column, spans: Column, tag) -> Column:
-    """text with its spans, structs with start and end in order of start, replaced by tag(span, first place not yet replaced).
+    """text with its spans, structs with start and end in order of start, at least one, replaced by tag(span, first place not yet replaced).
 
-    Of a span that overlaps one before only what is left is replaced, by tag as well.
+    Of a span that overlaps one before only what is left is replaced, by tag as well. What stands between is cut out once.
     """
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
-    def step(state: Column, x: Column) -> Column:
-        new = F.struct(x["end"].alias("at"), F.concat(state["out"], F.substring(text, state["at"] + 1, x["start"] - state["at"]), tag(x, F.greatest(x["start"], state["at"]))).alias("out"))
-        return F.when(x["end"] <= state["at"], state).otherwise(new)
+    def piece(z: Column, x: Column, at: Column) -> Column:
+        return F.when(x["end"] <= at, F.lit("")).otherwise(F.concat(between(z["parts"], at, x["start"]), tag(x, F.greatest(x["start"], at))))
+
+    def pieces(z: Column) -> Column:
+        before = F.transform(z["s"], lambda x, i: piece(z, x, F.coalesce(F.get(z["ends"], i - 1), F.lit(0))))
+        rest = between(z["parts"], F.element_at(z["ends"], -1), z["size"])
+        return F.concat(F.array_join(before, ""), rest)
 
-    return F.aggregate(spans, start, step, lambda s: F.concat(s["out"], F.substring(text, s["at"] + 1, F.length(text))))
+    ends = running_max(F.transform(spans, lambda x: x["end"]))
+    return let(F.struct(spans.alias("s"), ends.alias("ends"), chunks(text).alias("parts"), F.length(text).alias("size")), pieces)
 
 
 def masked(text: Column, spans: Column) -> Column:
     """text with spaces in place of its base spans: no word of them is left, and all others stand where they stood."""
-    blank = replaced(text, spans, lambda x, at: F.repeat(F.lit(" "), x["end"] - at))
-    return F.when(F.size(spans) > 0, blank).otherwise(text)
+    return F.when(F.size(spans) > 0, replaced(text, spans, lambda x, at: F.repeat(F.lit(" "), x["end"] - at))).otherwise(text)
 
 
 def entities(spans: Column) -> Column:
@@ -195,20 +230,14 @@ _TERMS = "array<struct<start:int,rank:int,end:int,disclosure:double>>"
 
 
 def told_places(text: Column, told: Column) -> Column:
-    """array of struct(start, rank, end, disclosure) of the words of a text whose terms are in the map told; one walk over the words."""
-
-    def walk(z: Column) -> Column:
-        each = F.transform(z["m"], lambda w, i: F.struct(w.alias("w"), F.get(z["p"], i).alias("before"), told[term_of(w)].alias("d")))
-
-        def step(state: Column, x: Column) -> Column:
-            start = state["at"] + F.length(x["before"])
-            end = start + F.length(x["w"])
-            hit = F.struct(start.alias("start"), F.lit(4).alias("rank"), end.alias("end"), x["d"].alias("disclosure"))
-            return F.struct(end.alias("at"), F.when(x["d"].isNull(), state["hits"]).otherwise(F.array_append(state["hits"], hit)).alias("hits"))
+    """array of struct(start, rank, end, disclosure) of the words of a text, at least one, whose terms are in the map told."""
 
-        return F.aggregate(each, F.struct(F.lit(0).alias("at"), F.array().cast(_TERMS).alias("hits")), step, lambda state: state["hits"])
+    def hits(z: Column) -> Column:
+        ends = running(F.transform(z["m"], lambda w, i: F.length(F.get(z["p"], i)) + F.length(w)))
+        spots = let(ends, lambda e: F.transform(z["m"], lambda w, i: F.struct((F.get(e, i) - F.length(w)).alias("start"), F.lit(4).alias("rank"), F.get(e, i).alias("end"), told[term_of(w)].alias("disclosure"))))
+        return F.filter(spots, lambda x: x["disclosure"].isNotNull())
 
-    return let(F.struct(F.split(text, WORD, -1).alias("p"), F.regexp_extract_all(text, F.lit(WORD), F.lit(0)).alias("m")), walk)
+    return let(F.struct(F.split(text, WORD, -1).alias("p"), F.regexp_extract_all(text, F.lit(WORD), F.lit(0)).alias("m")), hits)
 
 
 def marked(docs: DataFrame, least: float = GENERALISE) -> DataFrame:
@@ -222,7 +251,8 @@ def marked(docs: DataFrame, least: float = GENERALISE) -> DataFrame:
     held = held.groupBy("h").agg(F.map_from_entries(F.collect_list(F.struct("term", "disclosure"))).alias("told"))  # at most as many as a text's words
     held = stored(held, "pii-held")
     rows = with_spans(docs).withColumn("h", F.xxhash64("text")).join(sent(held), "h", "left")
-    terms = F.when(F.col("told").isNotNull(), told_places(masked(F.col("text"), F.col("spans")), F.col("told"))).otherwise(none)
+    plain = masked(F.col("text"), F.col("spans"))
+    terms = F.when(F.col("told").isNotNull() & plain.rlike(WORD), told_places(plain, F.col("told"))).otherwise(none)
     return rows.select("row", "text", "spans", terms.alias("terms"))
 
 

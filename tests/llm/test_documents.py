@@ -7,6 +7,7 @@ import hashlib
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -381,3 +382,16 @@ def test_quality_sample_takes_all_rare_labels():
     strata = [(quality.GOOD, quality.GOOD, 900), (quality.GOOD, quality.BAD, 30), (quality.BAD, quality.GOOD, 40), (quality.NONE, quality.NONE, 5000)]
     assert quality.planned(strata, 500) == [430, 30, 40, 0] and quality.planned(strata, 1500) == [900, 30, 40, 0]
     assert quality.planned(strata[1:], 500) == [30, 40, 430]
+
+
+def test_pii_time_follows_the_spans(spark):
+    n = 100_000
+    text = " ".join(f"u{i}@ex.org" + (" é" if i % 7 == 0 else "") for i in range(n))
+    df = spark.createDataFrame([(1, text), (2, "1.2.3.4." * 3000 + "5@x.y and 1.2.3.4"), (3, None)], "doc_id bigint, text string")
+    start = time.monotonic()
+    by = {r.doc_id: r for r in pii.scan(df).collect()}
+    out = {r.doc_id: r.text for r in pii.redact(df).collect()}
+    assert time.monotonic() - start < 60
+    assert by[1].n_email == n and by[1].spans.endswith(f"email:{text.index(f'u{n - 1}@')}:{text.index(f'u{n - 1}@') + len(f'u{n - 1}@ex.org')}")
+    assert out[1] == re.sub(r"u[0-9]+@ex\.org", "[EMAIL]", text)
+    assert by[2].n_ip > 1000 and out[2] == "[EMAIL] and [IP]" and out[3] is None
