@@ -1,9 +1,9 @@
 """Operator 11, phrase collocation mining: count tries of limited depth, merged by prefix range.
 
-A task reads its shard into tries of DEPTH words below each language, counts in every node, and hands them on serialised: one row a
-node, by path, in order. A path's key is its language and words with a zero byte between, every other byte moved up by one, so a node
-comes right before its subtree in the order of keys. Keys are dealt by range and sorted, so each task merges its range of all tries in
-one walk. On that walk the counts of the ancestors, the left parts of the phrase, stand on a stack; where a range starts inside a
+A task reads its shard into tries of DEPTH words below each language, counts in every node, and hands them on serialised: one row for
+each word and first byte of the word after it, with the tails of the paths below in order. A path's key is its language and words with
+a zero byte between, every other byte moved up by one, so a node comes right before its subtree in the order of keys, and rows are
+cut alike in all shards. Rows are dealt by range and sorted, so each task merges its range of all tries in one walk. On that walk the counts of the ancestors, the left parts of the phrase, stand on a stack; where a range starts inside a
 subtree, they come from the stacks that other ranges ended with. A suffix link leads from a path to the one without its first words:
 a join by key, which gives the right parts.
 
@@ -14,6 +14,7 @@ out of the tries.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -130,10 +131,10 @@ def _moved(a: pa.Array) -> pa.Array:
 
 
 def trie(shard: Shard, depth: int, often) -> pa.RecordBatch:
-    """key, c of the nodes of a shard's trie, in order; often tells the runs of words that may be frequent."""
+    """key, tails, counts: the parts of a shard's trie; often tells the runs of words that may be frequent."""
     words, w, pieces, langs, names = shard.coded()
     moved, tongues = _moved(words), _moved(pa.array([x.encode() for x in names], pa.binary()))
-    keys, counts = [_key([tongues])], [np.bincount(langs, minlength=len(names))]
+    first_byte = np.array([x[0] + 1 for x in words.to_pylist()], np.int64)
     longest = np.zeros(len(w), np.int8)  # of the node that starts at a word
     for d, at, _ in runs_of(_hashes(words, w, langs, names), pieces, depth, often):
         longest[at] = d
@@ -146,16 +147,34 @@ def trie(shard: Shard, depth: int, often) -> pa.RecordBatch:
     path, lang = path[:, order], langs[at][order]
     new = np.ones(len(order), bool)
     new[1:] = lang[1:] != lang[:-1]
+    heads, bytes_, tails, counts = [], [], [], []  # of nodes: place of the first path with their language and first word, next byte, rest
+    word_at = np.zeros(len(order), np.int64)
     for d in range(depth):
         new[1:] |= path[d, 1:] != path[d, :-1]
+        if d == 0:
+            word_at = np.flatnonzero(new)[np.cumsum(new) - 1]
         there = np.flatnonzero(new & (path[d] >= 0))  # a node's first path; its others follow, as shorter ones come before
         if len(there):
             ends = np.append(np.flatnonzero(new), len(order))
             counts.append(ends[np.searchsorted(ends, there, side="right")] - there)
-            keys.append(_key([tongues.take(pa.array(lang[there])), *(moved.take(pa.array(path[j, there])) for j in range(d + 1))]))
-    key, c = pa.concat_arrays(keys), np.concatenate(counts).astype(np.int64)
-    order = pc.array_sort_indices(key)
-    return pa.RecordBatch.from_arrays([key.take(order), pa.array(c[order.to_numpy()])], names=["key", "c"])
+            heads.append(word_at[there])
+            bytes_.append(first_byte[path[1, there]] if d else np.zeros(len(there), np.int64))
+            tails.append(_key([moved.take(pa.array(path[j, there])) for j in range(1, d + 1)]) if d else pa.array([b""] * len(there), pa.binary()))
+    roots = np.bincount(langs, minlength=len(names)).astype(np.int64)
+    top = pa.RecordBatch.from_arrays([tongues, pa.array([b""] * len(names), pa.binary()), pa.array([[c] for c in roots.tolist()], pa.list_(pa.int64()))], names=["key", "tails", "counts"])
+    if not heads:
+        return top
+    head, byte, tail, count = np.concatenate(heads), np.concatenate(bytes_), pa.concat_arrays(tails), np.concatenate(counts).astype(np.int64)
+    order = pc.sort_indices(pa.table({"h": head, "b": byte, "t": tail}), [("h", "ascending"), ("b", "ascending"), ("t", "ascending")]).to_numpy()
+    head, byte, tail, count = head[order], byte[order], tail.take(pa.array(order)), count[order]
+    cut = np.flatnonzero(np.append(True, (head[1:] != head[:-1]) | (byte[1:] != byte[:-1])))
+    edges = pa.array(np.append(cut, len(head)).astype(np.int32))
+    stems = _key([tongues.take(pa.array(lang[head[cut]])), moved.take(pa.array(path[0, head[cut]]))])
+    letters = pa.array([bytes([0, b]) if b else b"" for b in byte[cut].tolist()], pa.binary())
+    keys = pc.binary_join_element_wise(stems, letters, pa.scalar(b"", pa.binary()))
+    joined = pc.binary_join(pa.ListArray.from_arrays(edges, tail), pa.scalar(b"\xff", pa.binary()))
+    rows = pa.RecordBatch.from_arrays([keys, joined, pa.ListArray.from_arrays(edges, pa.array(count))], names=["key", "tails", "counts"])
+    return pa.Table.from_batches([top, rows]).combine_chunks().to_batches()[0]
 
 
 def _text_of(key: bytes) -> str:
@@ -196,36 +215,28 @@ class Walk:
 
 
 def merge(least: int):
-    """Merges a range of sorted nodes: those of `least` occurrences, roots in any case, and the stack it ended with."""
+    """Merges a range of sorted parts of tries: nodes of `least` occurrences, roots in any case, and the stack it ended with."""
 
     def run(batches):
-        walk, key, total = Walk(), None, 0
+        walk, key, held = Walk(), None, Counter()
 
-        def done(found):
-            return [walk.node(k, f) for k, f in found if f >= least or b"\0" not in k]
+        def done():
+            stem = key[: key.rindex(b"\0") + 1] if key.count(b"\0") > 1 else key
+            return [walk.node(stem + tail, f) for tail, f in sorted(held.items()) if f >= least or b"\0" not in key]
 
         for b in batches:
-            if not b.num_rows:
-                continue
-            keys, c = b.column(0), b.column(1).to_numpy()
-            new = np.flatnonzero(np.append(True, pc.not_equal(keys.slice(1), keys.slice(0, len(keys) - 1)).to_numpy(zero_copy_only=False)))
-            sums = np.add.reduceat(c, new)
-            first = keys[0].as_py()
-            found = []
-            if key is not None:
-                if first == key:
-                    sums[0] += total
-                else:
-                    found.append((key, total))
-            keep = new[:-1][(sums[:-1] >= least) | (pc.count_substring(keys.take(pa.array(new[:-1])), "\0").to_numpy(zero_copy_only=False) == 0)] if len(new) > 1 else new[:0]
-            at = np.searchsorted(new, keep)
-            found += list(zip(keys.take(pa.array(keep)).to_pylist(), sums[at].tolist(), strict=True))
-            key, total = keys[int(new[-1])].as_py(), int(sums[-1])
-            rows = done(found)
+            rows = []
+            for k, tails, counts in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
+                if k != key:
+                    if key is not None:
+                        rows += done()
+                    key, held = k, Counter()
+                for tail, c in zip(tails.split(b"\xff"), counts, strict=True):
+                    held[tail] += c
             if rows:
                 yield pa.RecordBatch.from_pylist(rows, schema=_NODE)
         if key is not None:
-            yield pa.RecordBatch.from_pylist([*done([(key, total)]), *walk.ends()], schema=_NODE)
+            yield pa.RecordBatch.from_pylist([*done(), *walk.ends()], schema=_NODE)
 
     return run
 
@@ -267,7 +278,7 @@ def nodes(docs: DataFrame, depth: int = DEPTH, least: int = LEAST) -> DataFrame:
         for shard in shards(batches):
             yield trie(shard, depth, often)
 
-    made = stored(docs.mapInArrow(tries, "key binary, c bigint"), "phrases-tries")
+    made = stored(docs.mapInArrow(tries, "key binary, tails binary, counts array<bigint>"), "phrases-tries")
     ranges = made.repartitionByRange("key").sortWithinPartitions("key")
     return stored(ranges.mapInArrow(merge(least), NODE), "phrases-nodes")
 
