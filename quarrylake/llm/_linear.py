@@ -54,8 +54,9 @@ class Ftrl:
         w = self._weights(self.z, np.sqrt(self.n))
         return np.stack([-w, w], axis=1) if self.two else w
 
-    def fit(self, rows: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, epochs: int = 3, seed: int = 7, scale: np.ndarray | None = None) -> np.ndarray:
-        """rows: (buckets, values); y: a probability of each class; scale: of each bucket's values. Gives the weights."""
+    def fit(self, rows: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, epochs: int = 3, seed: int = 7, scale: np.ndarray | None = None, heft: np.ndarray | None = None) -> np.ndarray:
+        """rows: (buckets, values); y: a probability of each class; scale: of each bucket's values; heft: how much each row counts.
+        Gives the weights."""
         rng = np.random.default_rng(seed)
         for _ in range(epochs):
             for i in rng.permutation(len(rows)):
@@ -71,6 +72,8 @@ class Ftrl:
                     g = x * (1 / (1 + np.exp(-2 * np.clip(x @ w, -300, 300))) - y[i, 1])
                 else:
                     g = x[:, None] * (softmax(x @ w) - y[i])[None, :]
+                if heft is not None:
+                    g = g * heft[i]
                 n += g * g
                 self.z[at] = z + g - (np.sqrt(n) - root) / self.alpha * w
                 self.n[at] = n

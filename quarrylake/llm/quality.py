@@ -3,12 +3,14 @@ linear scorer trained on their posterior.
 
 Two heads share the code: junk (symbols, shouting, repetition, tables) and toxic (insults). Each labeller votes bad, good or
 abstains on every document; a table of labels, where given, is one more labeller that abstains on most. The votes' patterns are
-counted over the whole corpus, and from these counts alone EM estimates how often each labeller votes what for good and bad
-documents; where the table of labels speaks, the posterior is SURE of it, since the word lists know four languages only. The
-posteriors of SAMPLE documents at most, those of the smallest hash of doc_id within each kind of label, train the scorer by
-follow-the-regularised-leader; then it scores every whole text. The scorer sees the text alone, never a vote: hashed words and runs
-of bytes, shares of word shapes, bins of repetition, and stems. In the toxic head, stems that tell bad texts in the sample weigh
-more, by the lower bound of their log ratio, so what labels say in languages without a word list reaches the scorer.
+counted over the whole corpus, and from these counts alone EM estimates how often each labeller, the table of labels among them, votes
+what for good and bad documents. That labels are right is a prior of TRUST times their number; without it EM would take the word lists'
+silence on words they don't know for proof that labels err. The posteriors of SAMPLE documents at most, those of the smallest hash of
+doc_id within each kind of label, train the scorer by follow-the-regularised-leader, each by the information that the votes gave on it:
+a posterior that hardly moved from the share of bad documents counts little. Then the scorer scores every whole text. It sees the text
+alone, never a vote: hashed words and runs of bytes, shares of word shapes, bins of repetition, and stems. In the toxic head, stems that
+tell bad texts in the sample weigh more, by the lower bound of their log ratio, so what labels say in languages without a word list
+reaches the scorer.
 
 The fit is one executor task over the stored sample, whose size SAMPLE bounds; both heads share it, and only weights reach the driver.
 """
@@ -31,10 +33,11 @@ SAMPLE = 12_000
 THRESHOLD = 0.5
 SHORT = 20  # words below which repetition says nothing
 SHRINK = 400.0  # in the square of a text's length in features, so that the few features of short texts weigh little
-SURE = 0.98  # that a label is right
+SURE = 0.999  # that a label is right, before EM
+SHARPNESS = 3  # power of a posterior's information by which its row counts: many rows that votes hardly moved must not outvote few told
+TRUST = 10.0  # how many labels each label stands for in the prior of that
 STEM = 6  # bytes
 LOG2_STEMS = 18  # stems that share a bucket blur each other
-ENOUGH = 250  # labelled rows that train the scorer alone
 SHAPE_WEIGHT = 3.0
 TELL, BOUND = 10.0, 2.0  # weight of a unit of log ratio; standard errors by which it is lowered
 GOOD, NONE, BAD = 0, 1, 2
@@ -158,34 +161,44 @@ def decoded(code: np.ndarray, k: int) -> np.ndarray:
     return code[:, None] // 3 ** np.arange(k) % 3
 
 
-def estimate(patterns: np.ndarray, counts: np.ndarray, rounds: int = 60, prior: float = 5.0, told: bool = False) -> tuple[float, np.ndarray]:
-    """(share of bad documents, P(vote | good or bad, no abstention) by labeller) from counted vote patterns.
+def estimate(patterns: np.ndarray, counts: np.ndarray, rounds: int = 60, prior: float = 5.0) -> tuple[float, np.ndarray]:
+    """(share of bad documents, P(vote | good or bad, no abstention) by labeller) from counted vote patterns; the last labeller is the
+    table of labels.
 
     Abstentions say nothing: labellers abstain together on short texts, so they are no independent evidence.
 
-    Starts from the number of bad votes, since each kind of bad document moves its own labellers only. A few pseudo-counts say that labellers are more often right than wrong, which also keeps
-    the two classes from changing places. If `told`, the last labeller is the table of labels.
+    Starts from labels, and elsewhere from the number of bad votes, since each kind of bad document moves its own labellers only. A few
+    pseudo-counts say that labellers are more often right than wrong, which also keeps the two classes from changing places; for labels
+    there are TRUST times as many as labels, and SURE of them are right.
     """
     k = patterns.shape[1]
     post = np.array([0.02, 0.6, 0.9])[np.minimum(2, (patterns == BAD).sum(axis=1))]
-    pseudo = prior * np.array([[0.8, 0.0, 0.2], [0.2, 0.0, 0.8]])
+    post = np.where(patterns[:, -1] == NONE, post, np.where(patterns[:, -1] == BAD, SURE, 1 - SURE))
+    pseudo = np.repeat(prior * np.array([[0.8, 0.0, 0.2], [0.2, 0.0, 0.8]])[:, None], k, axis=1)
+    pseudo[:, -1] += TRUST * counts[patterns[:, -1] != NONE].sum() * np.array([[SURE, 0, 1 - SURE], [1 - SURE, 0, SURE]])
     share, table = 0.1, np.ones((2, k, 3))
     for _ in range(rounds):
         by = np.stack([counts * (1 - post), counts * post])
         share = float((by[1].sum() + 1) / (counts.sum() + 10))
         for v in (GOOD, BAD):
-            table[:, :, v] = by @ (patterns == v) + pseudo[:, None, v]
+            table[:, :, v] = by @ (patterns == v) + pseudo[:, :, v]
         table[:, :, [GOOD, BAD]] /= table[:, :, [GOOD, BAD]].sum(axis=2, keepdims=True)
-        post = posterior(patterns, share, table, told)
+        post = posterior(patterns, share, table)
     return share, table
 
 
-def posterior(patterns: np.ndarray, share: float, table: np.ndarray, told: bool = False) -> np.ndarray:
-    """P(bad | votes); if `told`, as the last labeller says where it votes."""
+def posterior(patterns: np.ndarray, share: float, table: np.ndarray) -> np.ndarray:
+    """P(bad | votes)."""
     at = np.arange(patterns.shape[1])
     odds = np.log(share / (1 - share)) + (np.log(table[1][at, patterns]) - np.log(table[0][at, patterns])).sum(axis=1)
-    p = 1 / (1 + np.exp(-np.clip(odds, -50, 50)))
-    return np.where(patterns[:, -1] == NONE, p, np.where(patterns[:, -1] == BAD, SURE, 1 - SURE)) if told else p
+    return 1 / (1 + np.exp(-np.clip(odds, -50, 50)))
+
+
+def information(p: np.ndarray, share: float) -> np.ndarray:
+    """How far posteriors moved from the share of bad documents: their divergence from it, of that of certainty on the same side."""
+    p = np.clip(p, 1e-12, 1 - 1e-12)
+    moved = p * np.log(p / share) + (1 - p) * np.log((1 - p) / (1 - share))
+    return np.maximum(0, moved) / np.where(p >= share, -np.log(share), -np.log(1 - share))
 
 
 def stems(data: np.ndarray) -> np.ndarray:
@@ -243,8 +256,8 @@ def features(data: np.ndarray, w: np.ndarray, log2_dims: int) -> tuple[np.ndarra
     )
 
 
-def scales(head: str, rows: list[tuple[np.ndarray, np.ndarray]], bad: np.ndarray, log2_dims: int) -> np.ndarray:
-    """The scale of each feature. The junk head takes all but stems as they are. In the toxic head a stem has TELL times the log ratio
+def scales(head: str, rows: list[tuple[np.ndarray, np.ndarray]], bad: np.ndarray, heft: np.ndarray, log2_dims: int) -> np.ndarray:
+    """The scale of each feature, from rows that count by heft. The junk head takes all but stems as they are. In the toxic head a stem has TELL times the log ratio
     between bad and good rows, less BOUND standard errors, if above zero; shapes say nothing there."""
     dims, shapes_at = width(log2_dims), (1 << log2_dims) + 1
     stems_at = shapes_at + SHAPES
@@ -252,10 +265,10 @@ def scales(head: str, rows: list[tuple[np.ndarray, np.ndarray]], bad: np.ndarray
     out[stems_at:] = 0
     if head == "toxic":
         n = np.zeros((2, dims))
-        for (at, _), p in zip(rows, bad.tolist(), strict=True):
-            n[0, at] += 1 - p
-            n[1, at] += p
-        ratio = np.log((n[1] + 0.5) / (bad.sum() + 1)) - np.log((n[0] + 0.5) / ((1 - bad).sum() + 1))
+        for (at, _), p, h in zip(rows, bad.tolist(), heft.tolist(), strict=True):
+            n[0, at] += h * (1 - p)
+            n[1, at] += h * p
+        ratio = np.log((n[1] + 0.5) / ((heft * bad).sum() + 1)) - np.log((n[0] + 0.5) / ((heft * (1 - bad)).sum() + 1))
         out[stems_at:] = (TELL * np.maximum(0, ratio - BOUND * np.sqrt((1 / (n + 0.5)).sum(axis=0))))[stems_at:]
         out[shapes_at:stems_at] = 0
     return out
@@ -270,15 +283,6 @@ def quotas(counts: list[int], sample: int) -> list[int]:
     return out
 
 
-def planned(strata: list[tuple[int, int, int]], sample: int) -> list[int]:
-    """How many of each (junk label, toxic label, count) to take: labelled rows alone, where there are ENOUGH and both heads have labels
-    of both classes, as the posteriors of others lean to good in languages without a list."""
-    counts = [n for *_, n in strata]
-    told = [0 if s[:2] == (NONE, NONE) else n for s, n in zip(strata, counts, strict=True)]
-    enough = sum(told) >= ENOUGH and all({GOOD, BAD} <= {s[i] for s in strata} for i in (0, 1))
-    return quotas(told if enough else counts, sample)
-
-
 def _logit(p: float) -> float:
     return float(np.log(p / (1 - p)))
 
@@ -315,13 +319,13 @@ def fit(docs: DataFrame, labels: DataFrame | None = None, sample: int = SAMPLE,
     for head, k in HEADS.items():
         mine = [(c, n) for h, c, n in zip(*(t.column(i).to_pylist() for i in range(3)), strict=True) if h == head]
         p = decoded(np.array([c for c, _ in mine], np.int64), k + 1)
-        model[head] = estimate(p, np.array([n for _, n in mine], np.float64), told=True) if mine else (0.1, np.ones((2, k + 1, 3)))
+        model[head] = estimate(p, np.array([n for _, n in mine], np.float64)) if mine else (0.1, np.ones((2, k + 1, 3)))
 
     # One row of each doc_id, so that repeats can't crowd the sample.
     told = [f"p_{h}" for h in HEADS]
     ids = voted.where("doc_id is not null").groupBy("doc_id").agg(F.min(F.struct("h", *HEADS, *told)).alias("v")).select("doc_id", "v.*")
     strata = sorted((r["p_junk"], r["p_toxic"], r["n"]) for r in ids.groupBy(*told).agg(F.count("*").alias("n")).collect())  # 9 rows at most
-    takes = planned(strata, sample)
+    takes = quotas([n for *_, n in strata], sample)
     part, most = F.lit(0.0), F.lit(0)
     for (junk, toxic, n), q in zip(strata, takes, strict=True):
         here = (F.col("p_junk") == junk) & (F.col("p_toxic") == toxic)
@@ -361,9 +365,10 @@ def _train(model: dict, weigh: dict, log2_dims: int, t: pa.Table) -> pa.RecordBa
     heft = np.array([weigh[x] for x in zip(told["p_junk"].tolist(), told["p_toxic"].tolist(), strict=True)])
     at, values = [], []
     for head, k in HEADS.items():
-        bad = posterior(np.column_stack([decoded(told[head], k), told[f"p_{head}"]]).astype(np.int64), *model[head], told=True)
-        u = scales(head, rows, bad, log2_dims)
-        w = Ftrl(width(log2_dims), 2, l1=0.05).fit(rows, np.stack([1 - bad, bad], axis=1), scale=u) * u[:, None]
+        bad = posterior(np.column_stack([decoded(told[head], k), told[f"p_{head}"]]).astype(np.int64), *model[head])
+        known = information(bad, model[head][0]) ** SHARPNESS
+        u = scales(head, rows, bad, known, log2_dims)
+        w = Ftrl(width(log2_dims), 2, l1=0.05).fit(rows, np.stack([1 - bad, bad], axis=1), scale=u, heft=known) * u[:, None]
         if len(rows):  # strata aren't taken in proportion; the constant makes up for it
             share = np.clip([bad.mean(), np.average(bad, weights=heft)], 1e-6, 1 - 1e-6)
             w[1 << log2_dims, 1] += _logit(share[1]) - _logit(share[0])

@@ -20,7 +20,7 @@ def softmax(s):
     return [x / sum(e) for x in e]
 
 
-def ftrl(rows, y, classes, alpha=0.5, beta=1.0, l1=0.02, l2=0.05, epochs=3):
+def ftrl(rows, y, classes, heft=None, alpha=0.5, beta=1.0, l1=0.02, l2=0.05, epochs=3):
     """Follow-the-regularised-leader, one weight at a time; rows are dicts."""
     z, n = defaultdict(float), defaultdict(float)
 
@@ -35,7 +35,7 @@ def ftrl(rows, y, classes, alpha=0.5, beta=1.0, l1=0.02, l2=0.05, epochs=3):
             p = softmax([sum(x * w[f, c] for f, x in rows[i].items()) for c in range(classes)])
             for f, x in rows[i].items():
                 for c in range(classes):
-                    g = x * (p[c] - y[i][c])
+                    g = x * (p[c] - y[i][c]) * (1 if heft is None else heft[i])
                     z[f, c] += g - (math.sqrt(n[f, c] + g * g) - math.sqrt(n[f, c])) / alpha * w[f, c]
                     n[f, c] += g * g
     return {k: weight(*k) for k in z}
@@ -45,13 +45,11 @@ def em(votes, rounds=60, prior=5.0):
     """(share of bad, table) over documents, not over counted patterns; votes are lists of 0 good, 1 none, 2 bad, the last that of labels."""
 
     def post(v, share, table):
-        if v[-1] != 1:
-            return quality.SURE if v[-1] == 2 else 1 - quality.SURE
         odds = math.log(share / (1 - share)) + sum(math.log(table[1][j][x]) - math.log(table[0][j][x]) for j, x in enumerate(v) if x != 1)
         return 1 / (1 + math.exp(-odds))
 
-    k = len(votes[0])
-    p = [(0.02, 0.6, 0.9)[min(2, sum(x == 2 for x in v))] for v in votes]
+    k, told = len(votes[0]), quality.TRUST * sum(v[-1] != 1 for v in votes)
+    p = [(0.02, 0.6, 0.9)[min(2, sum(x == 2 for x in v))] if v[-1] == 1 else quality.SURE if v[-1] == 2 else 1 - quality.SURE for v in votes]
     for _ in range(rounds):
         share = (sum(p) + 1) / (len(votes) + 10)
         table = []
@@ -59,14 +57,24 @@ def em(votes, rounds=60, prior=5.0):
             by = [q if bad else 1 - q for q in p]
             own = []
             for j in range(k):
-                good = sum(b for b, v in zip(by, votes, strict=True) if v[j] == 0) + prior * (0.2 if bad else 0.8)
-                ill = sum(b for b, v in zip(by, votes, strict=True) if v[j] == 2) + prior * (0.8 if bad else 0.2)
+                sure = told * (1 - quality.SURE if bad else quality.SURE) if j == k - 1 else 0
+                unsure = told * (quality.SURE if bad else 1 - quality.SURE) if j == k - 1 else 0
+                good = sum(b for b, v in zip(by, votes, strict=True) if v[j] == 0) + prior * (0.2 if bad else 0.8) + sure
+                ill = sum(b for b, v in zip(by, votes, strict=True) if v[j] == 2) + prior * (0.8 if bad else 0.2) + unsure
                 own.append({0: good / (good + ill), 1: 1.0, 2: ill / (good + ill)})
             table.append(own)
         p = [post(v, share, table) for v in votes]
     return share, table, p
 
 
+def known(p, share):
+    """What a row counts: its posterior's divergence from the share, of the most there is on its side, sharpened."""
+    if p in (0.0, 1.0):
+        return 1.0
+    moved = p * math.log(p / share) + (1 - p) * math.log((1 - p) / (1 - share))
+    return (moved / -math.log(share if p >= share else 1 - share)) ** quality.SHARPNESS
+
+
 @pytest.mark.parametrize("classes", [2, 4])
 def test_regression_agrees_with_one_weight_at_a_time(classes):
     rng = np.random.default_rng(classes)
@@ -110,10 +118,11 @@ def test_quality_scores_agree_with_plain_python(spark, labelled):
     said = {i: (q, t) for i, q, t in labels}
     for j, (head, score) in enumerate((("junk", lambda r: 1 - r.score), ("toxic", lambda r: r.toxic_score))):
         votes = [[*v[head][i].tolist(), 1 if i not in said else 2 if said[i][j] == j else 0] for i in range(len(rows))]
-        _, _, post = em(votes)
-        scale = quality.scales(head, features, np.array(post), quality.LOG2_DIMS)
+        share, _, post = em(votes)
+        heft = [known(p, share) for p in post]
+        scale = quality.scales(head, features, np.array(post), np.array(heft), quality.LOG2_DIMS)
         vectors = [{int(f): float(np.float32(x)) * scale[f] for f, x in zip(*r, strict=True) if scale[f]} for r in features]
-        w = ftrl(vectors, [(1 - p, p) for p in post], 2, l1=0.05)
+        w = ftrl(vectors, [(1 - p, p) for p in post], 2, heft, l1=0.05)
         for i, _, _ in rows:
             p = softmax([sum(x * scale[f] * w.get((int(f), c), 0.0) for f, x in zip(*features[i], strict=True)) for c in range(2)])[1]
             assert abs(p - score(got[i])) < 2e-4
@@ -212,3 +221,32 @@ def test_substrings_with_text(spark):
     rows = [(1, " ".join(w[:60])), (2, "a " + " ".join(w[:60]) + " b"), (3, None)]
     got = {r.doc_id: r for r in substrings.dedup_substrings(spark.createDataFrame(rows, "doc_id bigint, text string"), with_text=True).collect()}
     assert got[1].kept == rows[0][1] and got[2].kept == "a b" and got[2].n_removed == 60 and got[3].kept == ""
+
+
+def test_estimates_of_every_labeller_reach_the_scores(spark, monkeypatch):
+    rows = corpus(700, 5, ["good"] * 5 + ["marks", "toxic"])
+    labels = [(i, int(kind != "marks"), int(kind == "toxic")) for i, _, kind in rows[:400]]  # many labels change nothing of the method
+    d = spark.createDataFrame([r[:2] for r in rows], "doc_id bigint, text string")
+    given = spark.createDataFrame(labels, "doc_id bigint, quality int, toxic int")
+    before = {r.doc_id: r for r in quality.classify(d, given).collect()}
+    plain, rng = quality.estimate, np.random.default_rng(0)
+
+    def scrambled(patterns, counts, **more):
+        share, table = plain(patterns, counts, **more)
+        noise = rng.uniform(0.2, 0.8, table.shape[:2])
+        return share, np.stack([noise, np.ones_like(noise), 1 - noise], axis=2)
+
+    monkeypatch.setattr(quality, "estimate", scrambled)
+    after = {r.doc_id: r for r in quality.classify(d, given).collect()}
+    assert sum(abs(before[i].score - after[i].score) > 0.01 for i in before) > 350
+    assert sum(abs(before[i].toxic_score - after[i].toxic_score) > 0.01 for i in before) > 350
+    assert sum(before[i].keep == (kind == "good") for i, _, kind in rows) > 0.97 * len(rows)
+
+
+def test_labels_count_as_one_labeller():
+    patterns = np.array([[0, 0, 1], [2, 2, 1], [0, 1, 2], [0, 0, 0], [2, 2, 0], [2, 2, 2]])
+    counts = np.array([900.0, 60, 30, 300, 1, 20])
+    share, table = quality.estimate(patterns, counts)
+    post = quality.posterior(patterns, share, table)
+    assert 0.5 < post[2] < 1 - 1e-6 and post[5] > post[2] and post[4] > post[3]  # a label may be wrong, and other votes move it
+    assert 0.9 < table[1, -1, 2] < 1 and 0 < table[0, -1, 2] < 0.1
