@@ -117,5 +117,5 @@ def without(df: DataFrame, key: str, ids: DataFrame, bits: int = 24) -> DataFram
 
         return rows.mapInArrow(run, schema)
 
-    out = part(False).unionByName(part(True).join(ids, F.col("own") == F.col("gone"), "left_anti"))
+    out = part(False).unionByName(part(True).join(ids, F.col("own").eqNullSafe(F.col("gone")), "left_anti"))
     return out.select(*[F.col("row").getField(c).alias(c) for c in df.columns])

@@ -25,6 +25,7 @@ HOT_IN_BATCH = 2
 DOC_BITS = 24
 PERCENT = 80
 K = 5
+ROW = "_quarrylake_row"
 
 
 def _need(n, percent: int):
@@ -62,7 +63,7 @@ def _set_ids(u: np.ndarray) -> tuple[int, int]:
 
 
 def prefixes(docs: DataFrame, percent: int, k: int) -> DataFrame:
-    """doc_id, n, the class (a, b), the group gid, and prefix, for every document."""
+    """doc_id, h (a hash of the text), n, the class (a, b), the group gid, and prefix, for every document."""
     hot = docs.sparkSession.sparkContext.broadcast(hot_shingles(docs, k))
 
     def run(batches):
@@ -87,9 +88,9 @@ def prefixes(docs: DataFrame, percent: int, k: int) -> DataFrame:
                     gids.append(int(np.uint64(_text.prints(np.append(p, np.uint64(len(u))))).view(np.int64)))
                     heads.append(p)
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(x) for x in heads])]).astype(np.int32)), _text.longs(np.concatenate(heads)))
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ns, pa.int64()), pa.array([x[0] for x in ids], pa.int64()), pa.array([x[1] for x in ids], pa.int64()), pa.array(gids, pa.int64()), lists], names=["doc_id", "n", "a", "b", "gid", "prefix"])
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(ns, pa.int64()), pa.array([x[0] for x in ids], pa.int64()), pa.array([x[1] for x in ids], pa.int64()), pa.array(gids, pa.int64()), lists], names=["doc_id", "h", "n", "a", "b", "gid", "prefix"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id bigint, n bigint, a bigint, b bigint, gid bigint, prefix array<bigint>")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("h")).mapInArrow(run, "doc_id bigint, h bigint, n bigint, a bigint, b bigint, gid bigint, prefix array<bigint>")
 
 
 def _buckets(table: DataFrame) -> DataFrame:
@@ -161,13 +162,10 @@ def _verified(pairs: DataFrame, docs: DataFrame, reps: DataFrame, percent: int,
     return pairs.join(one, "u").join(two, "v").select("u", "v", (100 * both >= percent * (F.size("su") + F.size("sv") - both)).alias("linked"))
 
 
-def near_duplicates(docs: DataFrame, percent: int = PERCENT, k: int = K) -> DataFrame:
-    """For each row of docs: doc_id, n_shingles, component_id, the smallest doc_id reachable by links of Jaccard >= percent / 100.
-
-    Null or blank texts: an empty set, linked with nothing, component_id = doc_id. Texts of fewer than k words: one shingle, the
-    whole sequence. Repeated rows and equal texts: each row is returned, all in one component. Null doc_id: the row is returned
-    with its component's smallest id (null if all are null). Empty table: no rows. Other columns are not read.
-    """
+def members(docs: DataFrame, percent: int = PERCENT, k: int = K) -> DataFrame:
+    """For each row of docs: doc_id, h (a hash of the text), n (shingles), its class a, b, component_id, and first: whether class and doc_id
+    are those that stand for its component, of its smallest doc_id (nulls last) and then smallest class. Rows without shingles have no
+    class, and are first."""
     ship(docs.sparkSession)
     table = stored(prefixes(docs, percent, k), "jaccard-prefixes")
     classes = table.where("n > 0").groupBy("gid", F.struct("a", "b").alias("c")).agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"))
@@ -217,16 +215,36 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, k: int = K) -> Data
     links = links.union(_verified(rest, docs, reps, percent, k).where("linked").select("u", "v"))
     final = components(stored(links, "jaccard-links")).select(F.col("node").alias("c"), F.col("component").alias("label"))
     named = reps.join(final, "c", "left").select("c", "doc_id", F.coalesce("label", "c").alias("label"))
-    low = named.groupBy("label").agg(F.min("doc_id").alias("component_id"))
-    named = named.join(low, "label").select(F.col("c.a").alias("a"), F.col("c.b").alias("b"), "component_id")
+    low = named.groupBy("label").agg(F.min("doc_id").alias("component_id"), F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "c")).alias("m"))
+    named = named.join(low, "label").select(F.col("c.a").alias("a"), F.col("c.b").alias("b"), "component_id", F.when(F.col("c") == F.col("m.c"), F.struct(F.col("m.doc_id").alias("id"))).alias("stands"))
     out = table.join(named, ["a", "b"], "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    first = F.col("stands").isNotNull() & F.col("doc_id").eqNullSafe(F.col("stands.id"))
+    return out.select("doc_id", "h", "n", "a", "b", F.coalesce("component_id", "doc_id").alias("component_id"), ((F.col("n") == 0) | F.coalesce(first, F.lit(False))).alias("first"))
+
+
+def near_duplicates(docs: DataFrame, percent: int = PERCENT, k: int = K) -> DataFrame:
+    """For each row of docs: doc_id, n_shingles, component_id, the smallest doc_id reachable by links of Jaccard >= percent / 100.
+
+    Null or blank texts: an empty set, linked with nothing, component_id = doc_id. Texts of fewer than k words: one shingle, the
+    whole sequence. Repeated rows and equal texts: each row is returned, all in one component. Null doc_id: the row is returned
+    with its component's smallest id (null if all are null). Empty table: no rows. Other columns are not read.
+    """
+    return members(docs, percent, k).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
 
 
 def deduplicated(docs: DataFrame, percent: int = PERCENT, k: int = K) -> DataFrame:
-    """docs with one document, that of the smallest doc_id, of each component of near duplicates; rows without doc_id stay."""
-    links = stored(near_duplicates(docs, percent, k), "jaccard-documents")
-    later = links.where("doc_id != component_id").select("doc_id")
-    twice = links.groupBy("doc_id").count().where("count > 1 and doc_id is not null").select("doc_id").join(later.distinct(), "doc_id", "left_anti")
-    rest = without(docs, "doc_id", later.union(twice))
-    return rest.unionByName(docs.join(twice, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(docs.columns))
+    """docs with one row of each component of near duplicates: of its smallest doc_id, nulls last.
+
+    Rows are told apart by doc_id and text, so rows of one id with different texts go or stay each for themselves, and of rows that repeat
+    one another one stays. Rows without words stay.
+    """
+    docs = docs.withColumn(ROW, F.struct(F.col("doc_id").cast("long").alias("id"), F.xxhash64("text").alias("h")))
+    rows = members(docs, percent, k).select(F.struct(F.col("doc_id").alias("id"), "h").alias(ROW), "n", "a", "b", "first")
+    rows = stored(rows.withColumn("id", F.col(f"{ROW}.id")), "jaccard-documents")
+    again = rows.where("first and n > 0").groupBy("id", "a", "b").agg(F.count("*").alias("c"), F.min(f"{ROW}.h").alias("h")).where("c > 1")
+    again = stored(again, "jaccard-again")  # rows that stand for one component together
+    crowd = rows.where("first and n > 0").join(again.select(F.col("id").alias("i"), "a", "b"), ["a", "b"]).where(F.col("id").eqNullSafe(F.col("i"))).select(ROW)
+    one = again.select(F.struct("id", "h").alias("stays"))
+    rest = without(docs, ROW, rows.where("not first").select(ROW).union(crowd))
+    some = docs.join(one, F.col(ROW).eqNullSafe(F.col("stays")), "left_semi").dropDuplicates([ROW])
+    return rest.unionByName(some).drop(ROW)

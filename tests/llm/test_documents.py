@@ -379,9 +379,19 @@ def test_quality_classifier_learns_from_labels_in_other_languages(spark):
 
 def test_quality_sample_takes_all_rare_labels():
     assert quality.quotas([5, 1000, 20, 4000], 500) == [5, 237, 20, 238]
-    strata = [(quality.GOOD, quality.GOOD, 900), (quality.GOOD, quality.BAD, 30), (quality.BAD, quality.GOOD, 40), (quality.NONE, quality.NONE, 5000)]
-    assert quality.planned(strata, 500) == [430, 30, 40, 0] and quality.planned(strata, 1500) == [900, 30, 40, 0]
-    assert quality.planned(strata[1:], 500) == [30, 40, 430]
+    assert quality.quotas([900, 30, 40, 5000], 500) == [215, 30, 40, 215] and quality.quotas([900, 30, 40, 5000], 9000) == [900, 30, 40, 5000]
+
+
+def test_one_row_of_each_group_of_near_duplicates_stays(spark):
+    rng = random.Random(2)
+    one, two, three = (" ".join(rng.choice("abcdefghijklmnop") * 3 for _ in range(80)) for _ in range(3))
+    rows = [(1, one), (1, two), (2, one + " x"), (3, two), (3, three), (None, three), (None, three.upper()), (None, "alone and only once here"), (None, "alone and only once here")]
+    rows += [(4, None), (4, ""), (None, None), (5, "short"), (5, "short"), (5, "SHORT"), (6, "short")]
+    df = spark.createDataFrame([(*r, "z") for r in rows], "doc_id bigint, text string, n string").repartition(3)
+    kept = sorted(((r.doc_id, r.text) for r in jaccard.deduplicated(df).collect()), key=repr)
+    exact = [x for x in kept if x[1] is None or x[1].lower() != "short"]
+    assert exact == sorted([(1, one), (1, two), (3, three), (None, "alone and only once here"), (4, None), (4, ""), (None, None)], key=repr)
+    assert len(kept) == len(exact) + 1 and {i for i, t in kept if t and t.lower() == "short"} == {5}
 
 
 def test_pii_time_follows_the_spans(spark):
