@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarrylake.functions import excerpt, filled, is_stale, is_verified, search_text, tokenize, trust_tier
+from quarrylake.functions import excerpt, filled, is_stale, is_verified, search_text, trust_tier
 
 SUMMARY = ("id", "type", "title", "description", "tags")
 
@@ -65,26 +65,6 @@ def search(concepts: DataFrame, query: str = "", kind: str = "", tag: str = "")
     return concepts.where(matches(query, kind, tag)).orderBy("id")
 
 
-QUERY_BLOCK = 10_000
-
-
-def search_each(concepts: DataFrame, queries: DataFrame) -> DataFrame:
-    """(query_id, id) for each of queries(query_id, query) and concept whose text holds all its tokens.
-
-    Substrings need every text held against every query. The queries are a stated set: it goes to all concepts in blocks of
-    QUERY_BLOCK or so, by a hash of query_id.
-    """
-    asked = queries.select("query_id", tokenize("query").alias("tokens"))
-    texts = concepts.select("id", search_text().alias("text"))
-    blocks = max(1, -(-asked.count() // QUERY_BLOCK))
-    out = None
-    for i in range(blocks):
-        block = asked.where(F.pmod(F.hash("query_id"), F.lit(blocks)) == i) if blocks > 1 else asked
-        got = texts.join(F.broadcast(block), F.forall("tokens", lambda t: F.contains(F.col("text"), t))).select("query_id", "id")
-        out = got if out is None else out.unionByName(got)
-    return out
-
-
 def portal_search(concepts: DataFrame, text: str = "", kind: str = "") -> DataFrame:
     """One trimmed, lower-cased piece of text in title, id, description or tags; not in bodies."""
     q = text.strip().lower()

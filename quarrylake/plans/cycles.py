@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarrylake.model import as_concepts
-from quarrylake.operators import export, validate
-from quarrylake.plans.adapters import AS_OF, part_snapshots, table
+from quarrylake.operators import export, index, validate
+from quarrylake.plans.adapters import AS_OF, DOCS_SQL, document_concepts, part_snapshots, table
 from quarrylake.sources import bundle
 from quarrylake.storage import shared_dir
 from quarrylake.streaming import sync
@@ -66,6 +66,22 @@ def bundle_version(spark: SparkSession, sf_dir: str) -> DataFrame:
 BUNDLE_VERSION = "SELECT '0.2' AS version"
 
 
+def search_indexed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A substring index written and read again; one search by it, inside words and with short tokens, and one for each language and source."""
+    c = document_concepts(spark, sf_dir)
+    found = index.SubstringIndex.build(c, _folder(spark, "index"))
+    one = found.search(c, "The, ON! 2", "EN").select(F.lit("one").alias("query_id"), "id")
+    asked = table(spark, sf_dir, "documents").select(F.concat_ws("/", "lang", "source").alias("query_id")).distinct().withColumn("query", F.col("query_id"))
+    return one.unionByName(found.search_each(c, asked))
+
+
+_HAY = "lower(id || ' ' || title || ' ' || coalesce(description, '') || ' ' || body || ' ' || lang || ' ' || source)"
+SEARCH_INDEXED = f"""WITH {DOCS_SQL}, h AS (SELECT id, type, {_HAY} AS hay FROM c),
+b AS (SELECT DISTINCT lang, source FROM documents)
+SELECT 'one' AS query_id, id FROM h WHERE lower(type) = 'en' AND contains(hay, 'the') AND contains(hay, 'on') AND contains(hay, '2')
+UNION ALL SELECT lang || '/' || source, id FROM b JOIN h ON contains(hay, lang) AND contains(hay, source)"""
+
+
 def _linked(c: DataFrame) -> DataFrame:
     """Parts whose bodies link to the part of the same number without the end of its id."""
     return c.withColumn("body", F.concat(F.lit("[p](/"), F.regexp_extract("id", "^(part/[0-9]+)", 1), F.lit(".md)")))
@@ -125,4 +141,4 @@ def stream_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 STREAM_UPSERT = "SELECT user_id, event_type, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS rn FROM events) WHERE rn = 1 AND event_type <> 'refund'"
 
-CYCLES = {n: (globals()[n], globals()[n.upper()]) for n in "scan_bundle scan_files scan_size_guard bundle_version lint_one sync_cycles stream_upsert".split()}
+CYCLES = {n: (globals()[n], globals()[n.upper()]) for n in "scan_bundle scan_files scan_size_guard bundle_version search_indexed lint_one sync_cycles stream_upsert".split()}

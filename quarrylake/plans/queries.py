@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from quarrylake import functions as fn
 from quarrylake.model import as_concepts, metadata_json
-from quarrylake.operators import catalog, delta, export, graph, validate
+from quarrylake.operators import catalog, delta, export, graph, index, validate
 from quarrylake.plans.adapters import AS_OF, DOCS_SQL, KEYS_SQL, PARTS_SQL, document_concepts, event_commits, key_concepts, key_links, part_snapshots, table
 from quarrylake.plans.computed import COMPUTED
 from quarrylake.plans.cycles import CYCLES
@@ -159,7 +159,7 @@ def escape_xml(spark: SparkSession, sf_dir: str) -> DataFrame:
 def search_each(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Concepts that hold all tokens of a benchmark item."""
     asked = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
-    return catalog.search_each(document_concepts(spark, sf_dir), asked).groupBy("query_id").agg(F.count("*").alias("hits"))
+    return index.search_each(document_concepts(spark, sf_dir), asked).groupBy("query_id").agg(F.count("*").alias("hits"))
 
 
 # Validation
