@@ -103,15 +103,24 @@ def citation_rules() -> list[Column]:
     return [_references(uris, "citation link '{}' references a path outside the bundle", "broken citation link: target concept '{}' (resolved from '{}') does not exist")]
 
 
-def row_issues(concepts: DataFrame, rules: list[Column], known: DataFrame | None = None) -> DataFrame:
-    """Issues of rules; a row that failed to parse has that one issue. Issues about what is needed hold against known(id), by default
-    the concepts themselves."""
+def raw_issues(concepts: DataFrame, rules: list[Column]) -> DataFrame:
+    """(concept_id, path, severity, message, needs): issues of rules, of which those with needs hold only where that concept isn't there.
+    A row that failed to parse has that one issue."""
     own = F.when(filled("parse_error") != "", F.array(_issue(ERROR, F.col("parse_error"))).cast(_ISSUE)).otherwise(F.concat(*rules))
-    issues = concepts.select(F.col("id").alias("concept_id"), "path", F.inline(own))
-    there = (concepts if known is None else known).select(F.col("id").alias("there"))
+    return concepts.select(F.col("id").alias("concept_id"), "path", F.inline(own))
+
+
+def holding(issues: DataFrame, known: DataFrame) -> DataFrame:
+    """Raw issues that hold against known(id)."""
+    there = known.select(F.col("id").alias("there"))
     return issues.join(there, F.col("needs") == F.col("there"), "left_anti").select(*_ISSUES)
 
 
+def row_issues(concepts: DataFrame, rules: list[Column], known: DataFrame | None = None) -> DataFrame:
+    """Issues of rules that hold against known(id), by default the concepts themselves."""
+    return holding(raw_issues(concepts, rules), concepts if known is None else known)
+
+
 def link_issues(concepts: DataFrame) -> DataFrame:
     """Links that leave the bundle or whose target does not exist, once for each occurrence."""
     return row_issues(concepts.where(filled("parse_error") == ""), link_rules(), concepts)
@@ -132,8 +141,13 @@ def remote_issues(links: DataFrame, remote: DataFrame) -> DataFrame:
     return unknown.unionByName(missing.select("concept_id", "path", F.lit(ERROR).alias("severity"), _text("broken remote link: concept '{}' not found in remote bundle '{}'", "concept", "bundle").alias("message")))
 
 
+def timeless_rules() -> list[Column]:
+    """All rules whose issues only change with the concept, or with which others there are."""
+    return [*field_rules(), *status_rules(), *actor_rules(), *attestation_rules(), *link_rules(), *citation_rules()]
+
+
 def all_rules(as_of: Column) -> list[Column]:
-    return [*field_rules(), *status_rules(), *freshness_rules(as_of), *actor_rules(), *attestation_rules(), *link_rules(), *citation_rules()]
+    return [*freshness_rules(as_of), *timeless_rules()]
 
 
 def lint(concepts: DataFrame, as_of: Column, remote: DataFrame | None = None) -> DataFrame:

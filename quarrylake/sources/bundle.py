@@ -139,6 +139,10 @@ def parse_concept(path: str, text: str) -> dict:
         return base | {"parse_error": f"failed to parse frontmatter: {' '.join(str(e).split())}"}
 
 
+def is_concept_file(name: str) -> bool:
+    return name.endswith(".md") and name not in RESERVED
+
+
 def list_files(root: str) -> list[tuple[str, int]]:
     """(relative path, bytes) of the files below root that end in .md and are not reserved, hidden folders included."""
     if not os.path.isdir(root):
@@ -147,7 +151,7 @@ def list_files(root: str) -> list[tuple[str, int]]:
     for folder, _, names in os.walk(root):
         for n in names:
             full = os.path.join(folder, n)
-            if n.endswith(".md") and n not in RESERVED and os.path.isfile(full):
+            if is_concept_file(n) and os.path.isfile(full):
                 out.append((os.path.relpath(full, root).replace(os.sep, "/"), os.path.getsize(full)))
     return sorted(out)
 

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -20,6 +22,17 @@ def shared_dir(spark: SparkSession) -> str:
     return named
 
 
+ROOT = str(Path(__file__).resolve().parents[1])
+
+
+def ship(spark: SparkSession) -> SparkSession:
+    """Let Python workers import this package where they see the driver's folder; elsewhere it has to be given to them (--py-files)."""
+    env = spark.sparkContext.environment
+    if ROOT not in env.get("PYTHONPATH", "").split(os.pathsep):
+        env["PYTHONPATH"] = os.pathsep.join(x for x in (env.get("PYTHONPATH", ""), ROOT) if x)
+    return spark
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     shared_dir(df.sparkSession)
     return df.checkpoint()
