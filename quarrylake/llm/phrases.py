@@ -278,7 +278,7 @@ def nodes(docs: DataFrame, depth: int = DEPTH, least: int = LEAST) -> DataFrame:
         for shard in shards(batches):
             yield trie(shard, depth, often)
 
-    made = stored(docs.mapInArrow(tries, "key binary, tails binary, counts array<bigint>"), "phrases-tries")
+    made = docs.mapInArrow(tries, "key binary, tails binary, counts array<bigint>")  # made twice, as ranges are sampled first, and not stored
     ranges = made.repartitionByRange("key").sortWithinPartitions("key")
     return stored(ranges.mapInArrow(merge(least), NODE), "phrases-nodes")
 
