@@ -114,3 +114,41 @@ def proto_link(name: Column | str) -> Column:
 def uri_path(uri: Column | str) -> Column:
     """The path of a file URI, else the text itself."""
     return F.when(filled(uri).startswith("file://"), F.url_decode(F.regexp_replace(col(uri), "^file://", ""))).otherwise(col(uri))
+
+
+def resolve_url(base: Column | str, href: Column | str) -> Column:
+    """The absolute URL that a link on a page at base leads to, without its fragment: whole URLs, //host, /path, ?query, and paths from
+    the page's folder, with `.` and `..` taken away. Null if either is null."""
+    base, href = (F.col(c) if isinstance(c, str) else c for c in (base, href))
+    plain = F.regexp_replace(F.regexp_replace(href, r"^[\x00-\x20]+|[\x00-\x20]+$", ""), "#.*$", "")
+    page = F.regexp_replace(base, "#.*$", "")
+    scheme, site = F.regexp_extract(page, "^([A-Za-z][A-Za-z0-9+.-]*:)", 1), F.regexp_extract(page, "^([A-Za-z][A-Za-z0-9+.-]*://[^/?]*)", 1)
+    own = F.regexp_extract(page, r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?]*([^?]*)", 1)
+    folder = F.coalesce(F.nullif(F.regexp_replace(own, "[^/]*$", ""), F.lit("")), F.lit("/"))
+    path, query = F.regexp_extract(plain, r"^([^?]*)", 1), F.regexp_extract(plain, r"(\?.*)$", 1)
+    whole = F.when(path.startswith("/"), path).otherwise(F.concat(folder, path))
+    relative = F.concat(site, without_dots(whole), query)
+    return (
+        F.when(plain.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:"), plain)
+        .when(plain.startswith("//"), F.concat(scheme, plain))
+        .when(plain == "", page)
+        .when(path == "", F.concat(site, own, query))
+        .otherwise(relative)
+    )
+
+
+def without_dots(path: Column) -> Column:
+    """An absolute path without `.` and `..`; what would go above the root stays at it."""
+    parts = F.split(F.substring(path, F.lit(2), F.length(path)), "/", -1)
+    last = F.element_at(parts, -1)
+
+    def step(done: Column, part: Column) -> Column:
+        return F.when(part == ".", done).when(part == "..", F.slice(done, F.lit(1), F.greatest(F.size(done) - 1, F.lit(0)))).otherwise(F.concat(done, F.array(part)))
+
+    kept = F.aggregate(parts, F.array().cast("array<string>"), step)
+    return F.concat(F.lit("/"), F.array_join(kept, "/"), F.when(last.isin(".", "..") & (F.size(kept) > 0), F.lit("/")).otherwise(F.lit("")))
+
+
+def host_of(url: Column | str) -> Column:
+    """A URL's host with its port, in lower case."""
+    return F.lower(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#]*)", 1))

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from quarrylake.functions import excerpt, filled, trim_space, trust_tier
 from quarrylake.model import metadata_json
+from quarrylake.operators.catalog import portal_index
+from quarrylake.sources.files import write_tree
 
 SCHEME = "bundle://"
 
@@ -68,6 +70,40 @@ def portal_documents(concepts: DataFrame) -> DataFrame:
     return parsed.select("id", F.to_json(F.struct("id", "type", "title", "description", "resource", "tags", "timestamp", "status", trust_tier("verified").alias("trustTier"), F.col("stale_after").alias("staleAfter"), excerpt("body").alias("excerpt"), "body", "citations")).alias("document"))
 
 
+SHARD = 1000  # entries of a portal's index in a file, about
+
+
+def portal_files(concepts: DataFrame, edges: DataFrame) -> DataFrame:
+    """(path, content) of a portal's data: concepts/<id>.json for each concept that parsed; its entries and the edges between them in
+    shards of about SHARD, index/<n>.json and edges/<n>.json; and manifest.json with the numbers of both. No file grows with the bundle
+    but the manifest, by nothing."""
+    documents = portal_documents(concepts).select(F.concat(F.lit("concepts/"), "id", F.lit(".json")).alias("path"), F.col("document").alias("content"))
+    entries = portal_index(concepts)
+    edges = edges.join(entries.select(F.col("id").alias("src")), "src", "left_semi").join(entries.select(F.col("id").alias("dst")), "dst", "left_semi")
+
+    def sharded(rows: DataFrame, key: Column, name: str) -> tuple[DataFrame, int]:
+        n = max(1, -(-rows.count() // SHARD))
+        by = rows.select(F.pmod(F.xxhash64(key), F.lit(n)).alias("shard"), F.struct(key.alias("key"), F.to_json(F.struct("*")).alias("json")).alias("e"))
+        lists = by.groupBy("shard").agg(F.array_sort(F.collect_list("e")).alias("es"))
+        content = F.concat(F.lit("["), F.array_join(F.transform("es", lambda e: e["json"]), ",\n"), F.lit("]"))
+        return lists.select(F.format_string(f"{name}/%d.json", "shard").alias("path"), content.alias("content")), n
+
+    index, n_index = sharded(entries, F.struct("id"), "index")
+    links, n_edges = sharded(edges.select("src", "dst"), F.struct("src", "dst"), "edges")
+    manifest = concepts.sparkSession.range(1).select(F.lit("manifest.json").alias("path"), F.to_json(F.struct(F.lit(n_index).alias("index"), F.lit(n_edges).alias("edges"))).alias("content"))
+    return documents.unionByName(index).unionByName(links).unionByName(manifest)
+
+
+def write_portal(concepts: DataFrame, edges: DataFrame, root: str, overwrite: bool = False) -> None:
+    """Write portal_files as a folder that driver and executors share, all of them or none."""
+    write_tree(portal_files(concepts, edges), root, overwrite)
+
+
+def publish_edges(edges: DataFrame) -> DataFrame:
+    """(src, payload): what is published of the links of each concept, a list of targets; a concept's own links bound it."""
+    return edges.groupBy("src").agg(F.array_sort(F.collect_set("dst")).alias("targets")).select("src", F.to_json(F.struct(F.col("src").alias("source"), "targets")).alias("payload"))
+
+
 def rendered(concepts: DataFrame, by: str = "quarrylake", at: str | None = None) -> DataFrame:
     """(path, content): each concept as a Markdown file with JSON front matter, which YAML readers read too.
 

@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+import os
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from quarrylake.functions.links import host_of
 from quarrylake.model import as_concepts
 from quarrylake.operators import export, index, validate
+from quarrylake.operators.crawl import crawl
 from quarrylake.plans.adapters import AS_OF, DOCS_SQL, document_concepts, part_snapshots, table
-from quarrylake.sources import bundle
+from quarrylake.sources import bundle, watch
 from quarrylake.storage import shared_dir
 from quarrylake.streaming import sync
 from quarrylake.streaming.state import ChangeLog
@@ -159,4 +162,81 @@ def stream_ordered(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 STREAM_ORDERED = STREAM_UPSERT
 
-CYCLES = {n: (globals()[n], globals()[n.upper()]) for n in "scan_bundle scan_files scan_size_guard bundle_version search_indexed lint_one sync_cycles stream_upsert stream_ordered".split()}
+def portal_written(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A portal of the documents, each with an edge to the one before it of its source, written twice over and read back from its files."""
+    c = document_concepts(spark, sf_dir)
+    by_source = Window.partitionBy(F.element_at("tags", 2)).orderBy(F.substring_index("id", "/", -1).cast("bigint"))
+    edges = c.select(F.col("id").alias("src"), F.lag("id").over(by_source).alias("dst")).where("dst is not null")
+    root = _folder(spark, "portal").removeprefix("file://")
+    export.write_portal(c.where("type = 'de'"), edges, root)
+    export.write_portal(c, edges, root, overwrite=True)
+    read = spark.read.option("multiLine", True).option("recursiveFileLookup", True)
+    one = read.schema("id string, type string, title string, trustTier string, body string").json(f"{root}/concepts")
+    listed = read.schema("id string, excerpt string").json(f"{root}/index")
+    out = read.schema("src string, dst string").json(f"{root}/edges").select(F.col("src").alias("id"), "dst")
+    return one.join(listed, "id", "left").join(out, "id", "left").select("id", "type", "title", "trustTier", F.md5(F.col("body").cast("binary")).alias("digest"), "excerpt", "dst")
+
+
+PORTAL_WRITTEN = f"""WITH {DOCS_SQL} SELECT id, type, title, trust_tier AS trustTier, md5(body) AS digest, CASE WHEN length(body) > 300 THEN left(body, 297) || '...' ELSE body END AS excerpt,
+lag(id) OVER (PARTITION BY source ORDER BY doc_id) AS dst FROM c"""
+
+
+def web_crawl(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pages of each host from its first one on, where each page links in one of four forms to the next of its host and to the third."""
+    p = table(spark, sf_dir, "pages").select("page_id", "url", "html", host_of("url").alias("host"))
+    w = Window.partitionBy("host").orderBy("page_id")
+
+    def link(ahead: int):
+        to = F.regexp_replace(F.lead("url", ahead).over(w), "#.*$", "")
+        rest = F.regexp_replace(to, "^[a-z]+:", "")
+        path = F.regexp_replace(rest, "^//[^/]*/", "")
+        form = F.pmod(F.col("page_id"), F.lit(4))
+        href = F.when(form == 0, to).when(form == 1, rest).when(form == 2, F.concat(F.lit("/"), path)).otherwise(F.concat(F.lit("../.././../../"), path))
+        return F.coalesce(F.concat(F.lit('<p><a class="n" href="'), href, F.lit('">next</a>')), F.lit(""))
+
+    site = p.select("page_id", "host", "url", F.concat("html", link(1), link(3)).alias("html"))
+    seeds = site.groupBy("host").agg(F.min_by("url", "page_id").alias("url"))
+    return crawl(site.select("url", "html"), seeds, 3)
+
+
+WEB_CRAWL = r"""WITH RECURSIVE p AS (SELECT page_id, regexp_replace(url, '#.*$', '') AS url, lower(regexp_extract(url, '^[a-z]+://([^/?#]*)', 1)) AS host FROM pages),
+n AS (SELECT page_id, url, unnest([lead(url, 1) OVER w, lead(url, 3) OVER w]) AS nxt FROM p WINDOW w AS (PARTITION BY host ORDER BY page_id)),
+e AS (SELECT DISTINCT url, CASE WHEN page_id % 4 = 0 THEN nxt ELSE regexp_extract(url, '^([a-z]+:)', 1) || regexp_replace(nxt, '^[a-z]+:', '') END AS target FROM n WHERE nxt IS NOT NULL),
+l AS (SELECT * FROM e WHERE target IN (SELECT url FROM p)),
+walk AS (SELECT DISTINCT arg_min(url, page_id) AS url, 0 AS depth FROM p GROUP BY host UNION SELECT l.target, depth + 1 FROM walk JOIN l ON l.url = walk.url WHERE depth < 3)
+SELECT url, min(depth) AS depth FROM walk GROUP BY url"""
+
+
+def watched_bundle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A bundle of suppliers that link to the next one, watched while a seventh of the files is edited and another removed: the edges and
+    the issues of links that stand in the end, from three micro-batches of changes."""
+    s = table(spark, sf_dir, "supplier")
+    key, following = F.col("s_suppkey").cast("string"), (F.col("s_suppkey") + 1).cast("string")
+
+    def written(rows: DataFrame, body) -> None:
+        c = as_concepts(rows, id=F.concat(F.lit("suppliers/"), key), path=F.concat(F.lit("suppliers/"), key, F.lit(".md")), type=F.lit("Supplier"), title=F.col("s_name"), description=F.lit("d"), body=body)
+        export.write_bundle(c, f"{root}/bundle")
+
+    def remove(batches):
+        for b in batches:
+            for k in b.column(0).to_pylist():
+                os.remove(f"{root}/bundle/suppliers/{k}.md")
+            yield b
+
+    root = _folder(spark, "watched").removeprefix("file://")
+    w = watch.WatchedBundle(spark, f"{root}/bundle", f"{root}/known")
+    written(s, F.concat(F.lit("[next]("), following, F.lit(".md)")))
+    w.follow().awaitTermination()
+    written(s.where("s_suppkey % 7 = 1"), F.concat(F.lit("[self](/suppliers/"), key, F.lit(".md) and [next]("), following, F.lit(".md)")))
+    w.follow().awaitTermination()
+    s.where("s_suppkey % 7 = 0").select(F.col("s_suppkey").cast("bigint").alias("k")).mapInArrow(remove, "k bigint").count()
+    w.follow().awaitTermination()
+    issues = w.issues(F.lit(AS_OF).cast("timestamp")).select(F.col("concept_id").alias("src"), F.col("message").alias("what"))
+    return w.edges().select("src", F.col("dst").alias("what")).unionByName(issues)
+
+
+WATCHED_BUNDLE = """WITH s AS (SELECT s_suppkey AS k FROM supplier WHERE s_suppkey % 7 <> 0), l AS (SELECT k, k + 1 AS t FROM s UNION ALL SELECT k, k FROM s WHERE k % 7 = 1)
+SELECT 'suppliers/' || k AS src, 'suppliers/' || t AS what FROM l WHERE t IN (SELECT k FROM s)
+UNION ALL SELECT 'suppliers/' || k, 'broken link: target concept ''suppliers/' || t || ''' (resolved from ''' || t || '.md'') does not exist' FROM l WHERE t NOT IN (SELECT k FROM s)"""
+
+CYCLES = {n: (globals()[n], globals()[n.upper()]) for n in "scan_bundle scan_files scan_size_guard bundle_version search_indexed lint_one sync_cycles stream_upsert stream_ordered portal_written web_crawl watched_bundle".split()}
