@@ -127,14 +127,15 @@ def bfs(edges: DataFrame, start: str, depth: int = 2, direction: str = "outbound
 
     place is the path of moves that first found a node, so no level needs a global numbering. With a budget the walk ends with the
     level on which the sum of costs passes it; cost gets nodes(id) and adds their cost. strict: unknown directions are an error, else
-    outbound. Moves are checkpointed once, dealt by their first node, and one action counts each level; a frontier of SMALL rows at
-    most is broadcast to them, a larger one is shuffled.
+    outbound. Moves are checkpointed once, dealt by both of their nodes, so those of a hub are in all tasks, and one action counts each
+    level; a frontier of SMALL rows at most is broadcast to them, a larger one is shuffled, and the moves of a node that is hot there are
+    split, as the frontier has each node once.
     """
     if strict and direction not in ("outbound", "inbound", "bidirectional"):
         raise ValueError(f"unknown direction: {direction}")
     spark = edges.sparkSession
     steps = _steps(edges, direction)
-    steps = checkpointed(steps.repartition("u")) if depth > 1 else steps
+    steps = checkpointed(steps.repartition("u", "v")) if depth > 1 else steps
     seen = spark.createDataFrame([(start, 0)], "id string, depth int").withColumn("place", F.array().cast(STEP))
     front, n, spent = seen, 1, 0
     for level in range(1, depth + 1):
@@ -169,14 +170,16 @@ def format_concept(kind: str = "xml") -> Column:
 def within_budget(nodes: DataFrame, max_characters: int, max_tokens: int) -> DataFrame:
     """The longest prefix of nodes(depth, place, characters, tokens) whose sums stay within both budgets, with running sums.
 
-    Sums run inside each level; the few sums of whole levels are added to them.
+    Nodes are dealt into ranges of their order; sums run inside each range, and those of whole ranges before it, a row each, are added.
+    So no level of a walk is one task.
     """
-    level = nodes.groupBy("depth").agg(F.sum("characters").alias("c"), F.sum("tokens").alias("t"))
-    up = Window.orderBy("depth").rowsBetween(Window.unboundedPreceding, -1)  # a row for each level
-    level = level.select(F.col("depth").alias("_d"), F.coalesce(F.sum("c").over(up), F.lit(0)).alias("_c"), F.coalesce(F.sum("t").over(up), F.lit(0)).alias("_t"))
-    inside = Window.partitionBy("depth").orderBy("place").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    run = nodes.join(F.broadcast(level), F.col("depth") == F.col("_d"))
-    run = run.withColumn("running_characters", F.sum("characters").over(inside) + F.col("_c")).withColumn("running_tokens", F.sum("tokens").over(inside) + F.col("_t")).drop("_d", "_c", "_t")
+    rows = checkpointed(nodes.repartitionByRange("depth", "place").withColumn("_part", F.spark_partition_id()))
+    up = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each range
+    before = rows.groupBy("_part").agg(F.sum("characters").alias("c"), F.sum("tokens").alias("t"))
+    before = before.select("_part", F.coalesce(F.sum("c").over(up), F.lit(0)).alias("_c"), F.coalesce(F.sum("t").over(up), F.lit(0)).alias("_t"))
+    inside = Window.partitionBy("_part").orderBy("depth", "place").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    run = rows.join(F.broadcast(before), "_part")
+    run = run.withColumn("running_characters", F.sum("characters").over(inside) + F.col("_c")).withColumn("running_tokens", F.sum("tokens").over(inside) + F.col("_t")).drop("_part", "_c", "_t")
     ok = F.lit(True)
     if max_characters > 0:
         ok &= F.col("running_characters") <= max_characters

@@ -13,7 +13,7 @@ from quarrylake.model import as_concepts
 from quarrylake.operators import export, index, validate
 from quarrylake.operators.crawl import crawl
 from quarrylake.plans.adapters import AS_OF, DOCS_SQL, document_concepts, part_snapshots, table
-from quarrylake.sources import bundle, watch
+from quarrylake.sources import bundle, scan, watch
 from quarrylake.storage import shared_dir
 from quarrylake.streaming import sync
 from quarrylake.streaming.state import ChangeLog
@@ -35,7 +35,7 @@ def _written(spark: SparkSession, sf_dir: str) -> str:
 
 
 def scan_bundle(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bundle.read_bundle(spark, _written(spark, sf_dir)).select("id", "type", "title", "status", F.length("body").alias("length"))
+    return scan.read_bundle(spark, _written(spark, sf_dir)).select("id", "type", "title", "status", F.length("body").alias("length"))
 
 
 SCAN_BUNDLE = "SELECT 'suppliers/' || s_suppkey AS id, 'Supplier' AS type, s_name AS title, 'stable' AS status, (length(s_name) + 2 + CASE WHEN s_suppkey % 3 = 0 THEN 1000 ELSE 0 END)::INTEGER AS length FROM supplier"
@@ -49,9 +49,22 @@ def scan_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 SCAN_FILES = SCAN_BUNDLE
 
 
+def scan_pushed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Front matter of some folders of a bundle, by a data source that enters no others and reads no bodies."""
+    p = table(spark, sf_dir, "part")
+    folder = F.concat(F.lit("parts/"), (F.col("p_partkey") % 13).cast("string"))
+    path = F.concat(folder, F.lit("/"), F.col("p_partkey").cast("string"))
+    root = _folder(spark, "parts").removeprefix("file://")
+    export.write_bundle(as_concepts(p, id=path, path=F.concat(path, F.lit(".md")), type=F.col("p_type"), title=F.col("p_name"), body=F.col("p_brand")), root)
+    return scan.read_bundle(spark, root, columns=["id", "type", "title"], under=["parts/1/", "parts/12", "parts/7/"])
+
+
+SCAN_PUSHED = "SELECT 'parts/' || (p_partkey % 13) || '/' || p_partkey AS id, p_type AS type, p_name AS title FROM part WHERE p_partkey % 13 IN (1, 7, 12)"
+
+
 def scan_size_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Files over 800 bytes are rows with an error, not read."""
-    c = bundle.read_bundle(spark, _written(spark, sf_dir), 800)
+    c = scan.read_bundle(spark, _written(spark, sf_dir), 800)
     return c.select("id", F.col("parse_error").endswith("exceeds the limit of 800 bytes").alias("too_large"), "title")
 
 
@@ -239,4 +252,4 @@ WATCHED_BUNDLE = """WITH s AS (SELECT s_suppkey AS k FROM supplier WHERE s_suppk
 SELECT 'suppliers/' || k AS src, 'suppliers/' || t AS what FROM l WHERE t IN (SELECT k FROM s)
 UNION ALL SELECT 'suppliers/' || k, 'broken link: target concept ''suppliers/' || t || ''' (resolved from ''' || t || '.md'') does not exist' FROM l WHERE t NOT IN (SELECT k FROM s)"""
 
-CYCLES = {n: (globals()[n], globals()[n.upper()]) for n in "scan_bundle scan_files scan_size_guard bundle_version search_indexed lint_one sync_cycles stream_upsert stream_ordered portal_written web_crawl watched_bundle".split()}
+CYCLES = {n: (globals()[n], globals()[n.upper()]) for n in "scan_bundle scan_files scan_pushed scan_size_guard bundle_version search_indexed lint_one sync_cycles stream_upsert stream_ordered portal_written web_crawl watched_bundle".split()}

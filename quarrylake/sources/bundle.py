@@ -143,6 +143,10 @@ def is_concept_file(name: str) -> bool:
     return name.endswith(".md") and name not in RESERVED
 
 
+def too_large(size: int, most: int) -> str:
+    return f"file size {size} exceeds the limit of {most} bytes"
+
+
 def list_files(root: str) -> list[tuple[str, int]]:
     """(relative path, bytes) of the files below root that end in .md and are not reserved, hidden folders included."""
     if not os.path.isdir(root):
@@ -197,7 +201,7 @@ def read_bundle(spark: SparkSession, root: str, max_bytes: int = MAX_BYTES) -> D
             content, errors = [], []
             for p, s in zip(paths, sizes, strict=True):
                 if s > most:
-                    content.append(None), errors.append(f"file size {s} exceeds the limit of {most} bytes")
+                    content.append(None), errors.append(too_large(s, most))
                 else:
                     with open(os.path.join(root, p), "rb") as f:
                         content.append(f.read())

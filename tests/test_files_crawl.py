@@ -12,8 +12,9 @@ from pyspark.sql import functions as F
 
 from quarrylake.functions.links import host_of, resolve_url
 from quarrylake.model import as_concepts
-from quarrylake.operators import export
+from quarrylake.operators import export, graph
 from quarrylake.operators.crawl import crawl
+from quarrylake.sources import bundle, scan
 from quarrylake.sources.files import write_tree
 
 
@@ -98,3 +99,54 @@ def test_crawl(spark):
         df = spark.createDataFrame(pages, "url string, html string").repartition(3)
         got = [tuple(r) for r in crawl(df, spark.createDataFrame([(s,) for s in seeds], "url string"), depth).collect()]
         assert len(got) == len(dict(got)) and dict(got) == want
+
+
+def test_bundle_source_prunes_folders_and_columns(spark, tmp_path):
+    root = str(tmp_path / "b")
+    for path, text in {"a/b/c/1.md": "---\ntype: T\n---\n\nbody [1] é", "a/b/2.md": "no front", "a/3.md": "---\ntype: [x]\n---\n", "ab/4.md": "---\ntitle: open\nx: 1", "index.md": "x", "a/log.md": "x", "c.txt": "x", ".h/_5.md": "---\n---\nb", "6.md": "", "big.md": "y" * 300}.items():
+        os.makedirs(os.path.dirname(os.path.join(root, path)), exist_ok=True)
+        with open(os.path.join(root, path), "w", encoding="utf-8") as f:
+            f.write(text)
+    with open(f"{root}/a/bad.md", "wb") as f:
+        f.write(b"---\ntype: B\n---\n\xff")
+    key = lambda df: sorted((tuple(r) for r in df.collect()), key=repr)
+    full = scan.read_bundle(spark, root, 200)
+    assert key(full.drop("extra")) == key(bundle.read_bundle(spark, root, 200).drop("extra"))
+    assert {r.id for r in full.where("id like 'a/%'").collect()} == {"a/b/c/1", "a/b/2", "a/3", "a/bad"} and full.count() == 8
+    some = scan.read_bundle(spark, root, columns=["title", "id", "type"], under=["a/b/", "ab/4", "6"])
+    assert key(some) == key(bundle.read_bundle(spark, root).where("path like 'a/b/%' or path in ('ab/4.md', '6.md')").select("title", "id", "type"))
+    os.chmod(f"{root}/ab", 0)
+    opened = []
+    reader = scan.BundleReader(root, 200, ["a/b/"], some.select("id", "type").schema)
+    reader._concept = lambda path, whole, named: opened.append((path, whole, named)) or dict.fromkeys(("extra", "id", "type"))
+    assert [p.path for p in reader.partitions()] == ["", "a/", "a/b/", "a/b/c/"]
+    for p in reader.partitions():
+        list(reader.read(p))
+    os.chmod(f"{root}/ab", 0o755)
+    assert sorted(opened) == [("a/b/2.md", False, False), ("a/b/c/1.md", False, False)]
+    assert scan.front_lines([b"---\n", b"a: 1\n", b"---\n", b"body"]) == b"---\na: 1\n---\n" and scan.front_lines([b"x\n", b"---\n"]) == b""
+
+
+def test_a_hub_is_in_all_tasks_of_a_walk(spark):
+    edges = spark.range(4000).select(F.concat(F.lit("n"), "id").alias("src"), F.lit("hub").alias("dst"), F.lit(0).alias("ordinal"))
+    assert graph.bfs(edges, "n1", 2, "bidirectional").groupBy("depth").count().orderBy("depth").collect() == [(0, 1), (1, 1), (2, 3999)]
+    moves = graph._steps(edges, "inbound").repartition(4, "u", "v")
+    sizes = sorted(r["count"] for r in moves.groupBy(F.spark_partition_id()).count().collect())
+    assert len(sizes) == 4 and sizes[-1] < 2 * sizes[1]
+
+
+def test_budgets_over_ranges(spark):
+    rng = random.Random(1)
+    rows = [(f"n{i}", i % 3, [(0, i, "")], rng.randint(0, 9), rng.randint(0, 3)) for i in range(500)]
+    df = spark.createDataFrame(rows, f"id string, depth int, place {graph.STEP}, characters bigint, tokens bigint").repartition(5)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = {r.id: (r.running_characters, r.running_tokens) for r in graph.within_budget(df, 900, 600).collect()}
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    want, c, t = {}, 0, 0
+    for i, *_, x, y in sorted(rows, key=lambda r: (r[1], r[2])):
+        c, t = c + x, t + y
+        if c <= 900 and t <= 600:
+            want[i] = (c, t)
+    assert got == want and 100 < len(want) < 500
