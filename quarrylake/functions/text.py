@@ -84,3 +84,30 @@ def bar(share: Column, width: int = 20) -> Column:
     """A bar of filled and empty blocks."""
     n = F.least(F.lit(width), F.greatest(F.lit(0), F.floor(share * width).cast("int")))
     return F.concat(F.repeat(F.lit("█"), n), F.repeat(F.lit("░"), F.lit(width) - n))
+
+
+# Kinds of alerts in quotes.
+ALERTS = ("NOTE", "TIP", "IMPORTANT", "WARNING", "CAUTION")
+
+
+def alert_kind(quote: Column | str) -> Column:
+    """The kind of alert that a quote is marked as, [!NOTE] and the like in any case, in lower case; null for a plain quote."""
+    return F.nullif(F.lower(F.regexp_extract(filled(quote), rf"(?i)\[!({'|'.join(ALERTS)})\]", 1)), F.lit(""))
+
+
+def alert_block(quote: Column | str) -> Column:
+    """A quote's HTML as a block, of the alert's class and without its first mark if it is one."""
+    mark = rf"(?i)\[!(?:{'|'.join(ALERTS)})\]\s*<br\s*/?>?"
+    text = filled(quote)
+    place = F.regexp_instr(text, F.lit(mark))
+    cut = F.when(place > 0, F.concat(F.substring(text, F.lit(1), place - 1), F.substring(text, place + F.length(F.regexp_extract(text, mark, 0)), F.length(text)))).otherwise(text)
+    kind = alert_kind(quote)
+    return F.when(kind.isNotNull(), F.concat(F.lit('<blockquote class="alert alert-'), kind, F.lit('">'), cut, F.lit("</blockquote>"))).otherwise(F.concat(F.lit("<blockquote>"), text, F.lit("</blockquote>")))
+
+
+def warehouse_target(connection: Column | str, dataset: Column | str) -> Column:
+    """struct(project, dataset) of a connection text: projects/<project>/datasets/<dataset>, or else the project itself with the given
+    dataset, which is null where none is known."""
+    text, parts = filled(connection), F.split(filled(connection), "/", -1)
+    full = (F.size(parts) == 4) & (F.get(parts, F.lit(0)) == "projects") & (F.get(parts, F.lit(2)) == "datasets")
+    return F.struct(F.when(full, F.get(parts, F.lit(1))).otherwise(text).alias("project"), F.nullif(F.when(full, F.get(parts, F.lit(3))).otherwise(filled(dataset)), F.lit("")).alias("dataset"))

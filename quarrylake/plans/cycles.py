@@ -8,12 +8,14 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from quarrylake import functions as fn
 from quarrylake.functions.links import host_of
 from quarrylake.model import as_concepts
-from quarrylake.operators import export, index, validate
+from quarrylake.operators import export, index, trees, validate
 from quarrylake.operators.crawl import crawl
 from quarrylake.plans.adapters import AS_OF, DOCS_SQL, document_concepts, part_snapshots, table
 from quarrylake.sources import bundle, scan, watch
+from quarrylake.sources.files import write_tree
 from quarrylake.storage import shared_dir
 from quarrylake.streaming import sync
 from quarrylake.streaming.state import ChangeLog
@@ -252,4 +254,64 @@ WATCHED_BUNDLE = """WITH s AS (SELECT s_suppkey AS k FROM supplier WHERE s_suppk
 SELECT 'suppliers/' || k AS src, 'suppliers/' || t AS what FROM l WHERE t IN (SELECT k FROM s)
 UNION ALL SELECT 'suppliers/' || k, 'broken link: target concept ''suppliers/' || t || ''' (resolved from ''' || t || '.md'') does not exist' FROM l WHERE t NOT IN (SELECT k FROM s)"""
 
-CYCLES = {n: (globals()[n], globals()[n.upper()]) for n in "scan_bundle scan_files scan_pushed scan_size_guard bundle_version search_indexed lint_one sync_cycles stream_upsert stream_ordered portal_written web_crawl watched_bundle".split()}
+def git_pull(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Concepts of one folder of a clone that parsed: nations, beside regions in another folder; every fifth file is broken."""
+    n, r = table(spark, sf_dir, "nation"), table(spark, sf_dir, "region")
+    root = _folder(spark, "clone").removeprefix("file://")
+    key = F.col("n_nationkey").cast("string")
+    write = F.when(F.col("n_nationkey") % 5 == 0, F.lit("---\ntype: a\ntype: b\n---\n")).otherwise(F.concat(F.lit("---\ntype: Nation\ntitle: "), "n_name", F.lit("\n---\n"), "n_comment" if "n_comment" in n.columns else "n_name"))
+    files = n.select(F.concat(F.lit("concepts/n/"), key, F.lit(".md")).alias("path"), write.alias("content"))
+    other = r.select(F.concat(F.lit("other/"), F.col("r_regionkey").cast("string"), F.lit(".md")).alias("path"), F.col("r_name").alias("content"))
+    write_tree(files.unionByName(other), root)
+    return scan.read_repository(spark, root).select("id", "type", "title")
+
+
+GIT_PULL = "SELECT 'n/' || n_nationkey AS id, 'Nation' AS type, n_name AS title FROM nation WHERE n_nationkey % 5 <> 0"
+
+
+def alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The turns of conversations as quotes, some of which are marked as alerts."""
+    c = table(spark, sf_dir, "conversations")
+    mark = F.get(F.array(*[F.lit(x) for x in ("[!NOTE]<br>", "[!tip] <br/>", "[!Caution]", "", "[!OTHER]<br>")]), F.col("turn") % 5)
+    quote = F.concat(mark, "text")
+    return c.select("conv_id", "turn", fn.alert_kind(quote).alias("kind"), F.md5(fn.alert_block(quote).cast("binary")).alias("block"))
+
+
+ALERTS = """SELECT conv_id, turn, kind, md5(CASE WHEN kind IS NULL THEN '<blockquote>' || mark || text ELSE '<blockquote class="alert alert-' || kind || '">' || CASE WHEN kind = 'caution' THEN mark ELSE '' END || text END || '</blockquote>') AS block FROM (
+SELECT *, CASE turn % 5 WHEN 0 THEN 'note' WHEN 1 THEN 'tip' WHEN 2 THEN 'caution' END AS kind, ['[!NOTE]<br>', '[!tip] <br/>', '[!Caution]', '', '[!OTHER]<br>'][1 + turn % 5] AS mark FROM conversations)"""
+
+
+def warehouse_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Connection texts made of customers: some name project and dataset, some a project alone."""
+    c = table(spark, sf_dir, "customer")
+    key = F.col("c_custkey").cast("string")
+    text = F.when(F.col("c_custkey") % 3 == 0, F.concat(F.lit("projects/p"), key, F.lit("/datasets/d"), F.col("c_nationkey").cast("string"))).when(F.col("c_custkey") % 3 == 1, F.concat(F.lit("projects/"), key)).otherwise(F.col("c_name"))
+    t = fn.warehouse_target(text, F.when(F.col("c_custkey") % 2 == 0, F.col("c_mktsegment")))
+    return c.select("c_custkey", t["project"].alias("project"), t["dataset"].alias("dataset"))
+
+
+WAREHOUSE_TARGETS = """SELECT c_custkey, CASE c_custkey % 3 WHEN 0 THEN 'p' || c_custkey WHEN 1 THEN 'projects/' || c_custkey ELSE c_name END AS project,
+CASE WHEN c_custkey % 3 = 0 THEN 'd' || c_nationkey WHEN c_custkey % 2 = 0 THEN c_mktsegment END AS dataset FROM customer"""
+
+
+def _order_trees(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    o = table(spark, sf_dir, "orders")
+    path = F.concat_ws("/", F.date_format("o_orderdate", "yyyy"), F.date_format("o_orderdate", "MM"), F.concat(F.lit("f"), F.col("o_orderkey").cast("string")))
+    base = o.select((F.col("o_custkey") % 10).cast("string").alias("commit"), path.alias("path"), "o_orderkey", F.month("o_orderdate").alias("month"), "o_orderstatus")
+    changed = (F.col("month") == 3) & (F.col("o_orderkey") % 3 == 0)
+    after = base.withColumn("blob", F.when(~changed, F.col("o_orderstatus")).when(F.col("o_orderkey") % 2 == 0, F.lit("x"))).unionByName(base.where("month = 4").select("commit", F.concat("path", F.lit("-copy")).alias("path"), "o_orderkey", "month", "o_orderstatus").withColumn("blob", F.col("o_orderstatus")))
+    return base.select("commit", "path", F.col("o_orderstatus").alias("blob")), after.where("blob is not null").select("commit", "path", "blob")
+
+
+def object_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as files by year and month under ten commits; what changes in March and April, found without opening other months."""
+    before, after = _order_trees(spark, sf_dir)
+    (rb, eb), (ra, ea) = trees.tree_objects(before), trees.tree_objects(after)
+    return trees.object_diff(rb, ra, eb.unionByName(ea).distinct())
+
+
+OBJECT_DIFF = """WITH o AS (SELECT (o_custkey % 10)::VARCHAR AS commit, strftime(o_orderdate, '%Y/%m/f') || o_orderkey AS path, o_orderkey AS k, month(o_orderdate) AS m FROM orders)
+SELECT commit, path, CASE WHEN k % 2 = 0 THEN 'Modify' ELSE 'Delete' END AS change FROM o WHERE m = 3 AND k % 3 = 0 UNION ALL SELECT commit, path || '-copy', 'Insert' FROM o WHERE m = 4"""
+
+
+CYCLES = {n: (globals()[n], globals()[n.upper()]) for n in "scan_bundle scan_files scan_pushed scan_size_guard bundle_version search_indexed lint_one sync_cycles stream_upsert stream_ordered portal_written web_crawl watched_bundle git_pull alerts warehouse_targets object_diff".split()}

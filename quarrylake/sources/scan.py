@@ -148,3 +148,11 @@ def read_bundle(spark: SparkSession, root: str, max_bytes: int = MAX_BYTES, colu
     if columns:
         reader = reader.schema(", ".join(f"{c} {fields()[c]}" for c in columns))
     return reader.load(root)
+
+
+def read_repository(spark: SparkSession, clone: str, path: str = "concepts") -> DataFrame:
+    """Concepts below a folder of a cloned repository that parsed, with ids from that folder on; none if the folder isn't there."""
+    root = os.path.join(clone, path or "concepts")
+    if not os.path.isdir(root):
+        return spark.createDataFrame([], CONCEPTS)
+    return read_bundle(spark, root).where("coalesce(parse_error, '') = ''")
