@@ -14,7 +14,7 @@ from quarrylake.model import as_concepts
 from quarrylake.operators import export, index, trees, validate
 from quarrylake.operators.crawl import crawl
 from quarrylake.plans.adapters import AS_OF, DOCS_SQL, document_concepts, part_snapshots, table
-from quarrylake.sources import bundle, scan, watch
+from quarrylake.sources import bundle, harvest, scan, specs, watch
 from quarrylake.sources.files import write_tree
 from quarrylake.storage import shared_dir
 from quarrylake.streaming import sync
@@ -74,15 +74,14 @@ SCAN_SIZE_GUARD = "SELECT 'suppliers/' || s_suppkey AS id, CASE WHEN s_suppkey %
 
 
 def bundle_version(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The version in the front matter of the root's index.md."""
-    root = _folder(spark, "bundle").removeprefix("file://")
-    export.write_bundle(as_concepts(spark.range(1), id=F.lit("a"), path=F.lit("a.md")), root)
-    with open(f"{root}/index.md", "w", encoding="utf-8") as f:
-        f.write("---\nx_version: '0.2'\n---\n# Index\n")
-    return spark.createDataFrame([(bundle.bundle_version(root),)], "version string")
+    """The versions in the front matter of the index files of many bundles, one for each supplier; some have none."""
+    k = F.col("s_suppkey").cast("string")
+    front = F.when(F.col("s_suppkey") % 4 == 0, F.lit("")).otherwise(F.concat(F.lit("---\nx_version: '0."), k, F.lit("'\ntitle: x\n---\n")))
+    files = table(spark, sf_dir, "supplier").select(F.concat(F.lit("b"), k, F.lit("/index.md")).alias("path"), F.concat(front, F.lit("# Index\n")).alias("content"))
+    return bundle.versions(files)
 
 
-BUNDLE_VERSION = "SELECT '0.2' AS version"
+BUNDLE_VERSION = "SELECT 'b' || s_suppkey || '/index.md' AS path, CASE WHEN s_suppkey % 4 <> 0 THEN '0.' || s_suppkey END AS version FROM supplier"
 
 
 def search_indexed(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -314,4 +313,67 @@ OBJECT_DIFF = """WITH o AS (SELECT (o_custkey % 10)::VARCHAR AS commit, strftime
 SELECT commit, path, CASE WHEN k % 2 = 0 THEN 'Modify' ELSE 'Delete' END AS change FROM o WHERE m = 3 AND k % 3 = 0 UNION ALL SELECT commit, path || '-copy', 'Insert' FROM o WHERE m = 4"""
 
 
-CYCLES = {n: (globals()[n], globals()[n.upper()]) for n in "scan_bundle scan_files scan_pushed scan_size_guard bundle_version search_indexed lint_one sync_cycles stream_upsert stream_ordered portal_written web_crawl watched_bundle git_pull alerts warehouse_targets object_diff".split()}
+def _api_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A specification for each supplier; those of every seventh can't be read."""
+    k = F.col("s_suppkey").cast("string")
+    text = F.concat(
+        F.lit("openapi: 3.0.0\npaths:\n  /s"), k, F.lit("/items:\n    get:\n      summary: List of "), k,
+        F.lit('\n      parameters: [{name: limit, in: query, schema: {type: integer}, description: "most\\nrows"}]\n      responses: {\'200\': {description: ok, content: {application/json: {schema: {type: array, items: {$ref: \'#/components/schemas/Item'), k,
+        F.lit("'}}}}}}\n  /s"), k, F.lit("/items/{id}:\n    post:\n      requestBody: {content: {application/json: {schema: {$ref: '#/components/schemas/Item"), k, F.lit("'}}}}\n      responses: {'201': {description: ''}}\n"),
+    )
+    return table(spark, sf_dir, "supplier").select(k.alias("file"), F.when(F.col("s_suppkey") % 7 == 0, F.lit("paths: [")).otherwise(text).alias("text"))
+
+
+def harvest_openapi(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The endpoints of suppliers' specifications, with their bodies."""
+    ops = specs.operations(_api_files(spark, sf_dir)).where("error is null")
+    return harvest.endpoint_concepts(ops).select("id", "title", "description", "body")
+
+
+HARVEST_OPENAPI = """WITH s AS (SELECT s_suppkey AS k FROM supplier WHERE s_suppkey % 7 <> 0), n AS (SELECT chr(10) AS n)
+SELECT 'endpoints/get-s' || k || '-items' AS id, 'GET /s' || k || '/items' AS title, 'List of ' || k AS description, '# GET /s' || k || '/items' || n || n || '**Summary**: List of ' || k || n || n || '## Parameters' || n || '| Name | In | Type | Required | Description |' || n || '| ---- | -- | ---- | -------- | ----------- |' || n || '| limit | query | integer | No | most rows |' || n || n || '## Responses' || n || '| Status Code | Description | Schema Type |' || n || '| ----------- | ----------- | ----------- |' || n || '| 200 | ok | []Item' || k || ' |' || n || n AS body FROM s, n
+UNION ALL SELECT 'endpoints/post-s' || k || '-items-id', 'POST /s' || k || '/items/{id}', '', '# POST /s' || k || '/items/{id}' || n || n || '## Request Body' || n || '- **Type**: `Item' || k || '` (application/json)' || n || n || '## Responses' || n || '| Status Code | Description | Schema Type |' || n || '| ----------- | ----------- | ----------- |' || n || '| 201 | - | - |' || n || n FROM s, n"""
+
+
+def _proto_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A file with a message for each customer, in the package of its nation, and one with a service for each nation, which takes its
+    messages from those."""
+    c = table(spark, sf_dir, "customer")
+    k, n = F.col("c_custkey").cast("string"), F.col("c_nationkey").cast("string")
+    own = c.select(F.concat(F.lit("c"), k).alias("file"), F.concat(F.lit('syntax = "proto3";\npackage shop.n'), n, F.lit(";\n// A customer.\nmessage C"), k, F.lit(" {\n  // own\n  string name = 1; // not this\n  repeated shop.Order orders = 2;\n}\n")).alias("text"))
+    methods = F.array_join(F.array_sort(F.collect_list(F.concat(F.lit("  rpc Get"), k, F.lit("(Key"), n, F.lit(") returns (stream n"), n, F.lit(".C"), k, F.lit(");\n")))), "")
+    service = c.groupBy("c_nationkey").agg(methods.alias("ms")).select(F.concat(F.lit("n"), n).alias("file"), F.concat(F.lit("package shop;\nmessage Key"), n, F.lit(" { int32 id = 1; }\nservice Nation"), n, F.lit(" {\n"), "ms", F.lit("}\n")).alias("text"))
+    return own.unionByName(service)
+
+
+def harvest_proto(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The messages of customers' files and the services of nations' files, with the bodies of messages."""
+    c = harvest.proto_concepts(specs.resolved(specs.definitions(_proto_files(spark, sf_dir)).where("error is null")))
+    return c.select("id", "type", F.when(F.col("id").rlike(r"\.c[0-9]+$"), F.col("body")).alias("body"))
+
+
+HARVEST_PROTO = """WITH n AS (SELECT chr(10) AS n)
+SELECT 'protobuf/shop.n' || c_nationkey || '.c' || c_custkey AS id, 'Protobuf Message' AS type, '# Protobuf Message shop.n' || c_nationkey || '.C' || c_custkey || n || n || 'A customer.' || n || n || '## Fields' || n || '| Name | Type | Tag | Description |' || n || '| ---- | ---- | --- | ----------- |' || n || '| name | string | 1 | own |' || n || '| orders | repeated shop.Order | 2 | - |' || n || n AS body FROM customer, n
+UNION ALL SELECT DISTINCT 'protobuf/shop.key' || c_nationkey, 'Protobuf Message', NULL FROM customer UNION ALL SELECT DISTINCT 'protobuf/shop.nation' || c_nationkey, 'Protobuf Service', NULL FROM customer"""
+
+
+def proto_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The messages that the services of nations take and give, found in other files."""
+    return harvest.proto_links(specs.resolved(specs.definitions(_proto_files(spark, sf_dir)).where("error is null")))
+
+
+PROTO_LINKS = """SELECT 'shop.Nation' || c_nationkey AS service, 'Get' || c_custkey AS method, role, 'protobuf/shop.' || CASE role WHEN 'request' THEN 'key' || c_nationkey ELSE 'n' || c_nationkey || '.c' || c_custkey END AS message_id FROM customer, (VALUES ('request'), ('response')) v(role)"""
+
+
+def fk_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers as tables whose columns, their orders, point to tables of priorities: columns by table."""
+    o = table(spark, sf_dir, "orders")
+    fks = o.select(F.concat(F.lit("c"), F.col("o_custkey").cast("string")).alias("table_name"), F.concat(F.lit("o"), F.col("o_orderkey").cast("string")).alias("column_name"), F.col("o_orderpriority").alias("foreign_table"), F.lit("key").alias("foreign_column"))
+    out, _ = harvest.fk_groups(fks)
+    return out.select("name", F.array_join(F.transform("outgoing", lambda x: F.concat(x["column_name"], F.lit(">"), x["foreign_table"])), ",").alias("columns"))
+
+
+FK_GROUPS = "SELECT 'c' || o_custkey AS name, string_agg('o' || o_orderkey || '>' || o_orderpriority, ',' ORDER BY 'o' || o_orderkey) AS columns FROM orders GROUP BY o_custkey"
+
+
+CYCLES = {n: (globals()[n], globals()[n.upper()]) for n in "scan_bundle scan_files scan_pushed scan_size_guard bundle_version search_indexed lint_one sync_cycles stream_upsert stream_ordered portal_written web_crawl watched_bundle git_pull alerts warehouse_targets object_diff harvest_openapi harvest_proto proto_links fk_groups".split()}

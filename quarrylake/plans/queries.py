@@ -247,10 +247,6 @@ def is_external(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Literal cases of single functions
 
 
-def _values(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
-    return spark.createDataFrame(rows, schema)
-
-
 def _literals(rows: list[tuple], names: str) -> str:
     def one(x) -> str:
         return "NULL" if x is None else str(x) if isinstance(x, (int, bool)) else "'" + x.replace("'", "''") + "'"
@@ -258,39 +254,6 @@ def _literals(rows: list[tuple], names: str) -> str:
     return f"SELECT * FROM (VALUES {', '.join('(' + ', '.join(one(x) for x in r) + ')' for r in rows)}) AS t({names})"
 
 
-_SPEC = """
-openapi: 3.0.0
-paths:
-  /users:
-    get:
-      summary: List users
-      parameters: [{name: limit, in: query, schema: {type: integer}, description: "most\\nrows"}]
-      responses: {'200': {description: ok, content: {application/json: {schema: {type: array, items: {$ref: '#/components/schemas/User'}}}}}}
-  /users/{id}:
-    post:
-      requestBody: {content: {application/json: {schema: {$ref: '#/components/schemas/User'}}}}
-      responses: {'201': {description: ''}}
-"""
-
-
-@registered(_literals([("endpoints/get-users", "GET /users", "List users"), ("endpoints/post-users-id", "POST /users/{id}", "")], "id, title, description"))
-def harvest_openapi(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return harvest.endpoint_concepts(harvest.openapi_operations(spark, _SPEC)).select("id", "title", "description")
-
-
-_PROTO = 'syntax = "proto3";\npackage shop;\n// An order.\nmessage Order {\n  string id = 1; // own\n  repeated Item items = 2;\n  map<string, Item> by_key = 3;\n  message Item { int32 n = 1; }\n  oneof pay { string card = 4; bool cash = 5; }\n}\nservice Orders { rpc Get(Order) returns (stream Order.Item); }\n'
-
-
-@registered(_literals([("protobuf/shop.order", "Protobuf Message"), ("protobuf/shop.order.item", "Protobuf Message"), ("protobuf/shop.orders", "Protobuf Service")], "id, type"))
-def harvest_proto(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return harvest.proto_concepts(harvest.proto_definitions(spark, [_PROTO])).select("id", "type")
-
-
-@registered(_literals([("shop.Orders", "Get", "request", "protobuf/shop.order"), ("shop.Orders", "Get", "response", "protobuf/shop.order.item")], "service, method, role, message_id"))
-def proto_links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return harvest.proto_links(harvest.proto_definitions(spark, [_PROTO]))
-
-
 # Export
 
 _EXCERPT = "CASE WHEN length(body) > 300 THEN left(body, 297) || '...' ELSE body END"
@@ -500,12 +463,6 @@ def harvest_schema(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.select("id", "title", F.regexp_count("body", F.lit("references \\[")).alias("n_out"), F.regexp_count("body", F.lit("Referenced by")).alias("n_in"))
 
 
-@registered(_literals([(t, ",".join(sorted(c for c, _, _ in refs))) for t, refs in _TABLES.items() if refs], "name, columns"))
-def fk_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out, _ = harvest.fk_groups(_fks(spark))
-    return out.select("name", F.array_join(F.transform("outgoing", lambda x: x["column_name"]), ",").alias("columns"))
-
-
 @registered("SELECT 'user.' || user_id || '@example.com' AS email, count(*) AS commits, min(ts) AS first_at, max(ts) AS last_at, 'User ' || user_id AS name, 'user-' || user_id || '-at-example-com' AS slug FROM events GROUP BY user_id")
 def contributor_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return harvest.contributor_stats(event_commits(spark, sf_dir))

@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarrylake.model import CONCEPTS, fields
+from quarrylake.storage import ship
 
 MAX_BYTES = 10 * 1024 * 1024
 RESERVED = ("index.md", "log.md")
@@ -220,11 +221,31 @@ def read_files(spark: SparkSession, root: str, max_bytes: int = MAX_BYTES) -> Da
     return parse_files(f.where(~F.regexp_extract("path", "([^/]*)$", 1).isin(*RESERVED)))
 
 
+def version_of(text: str) -> str | None:
+    """The format's version in the front matter of an index file; nothing if it has none or can't be read."""
+    front, _ = split_front_matter(text)
+    try:
+        return parse_metadata(front)["format_version"] if front else None
+    except (yaml.YAMLError, ValueError):
+        return None
+
+
+def versions(files: DataFrame) -> DataFrame:
+    """(path, version) of files(path, content), the index files of bundles."""
+    ship(files.sparkSession)
+
+    def run(batches):
+        for b in batches:
+            found = [None if x is None else version_of(x) for x in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, pa.string())], names=["path", "version"])
+
+    return files.select("path", "content").mapInArrow(run, "path string, version string")
+
+
 def bundle_version(root: str) -> str | None:
     """The format's version in the front matter of the root's index.md."""
     path = os.path.join(root, "index.md")
     if not os.path.isfile(path):
         return None
     with open(path, encoding="utf-8") as f:
-        front, _ = split_front_matter(f.read())
-    return parse_metadata(front)["format_version"] if front else None
+        return version_of(f.read())

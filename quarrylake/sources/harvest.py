@@ -133,11 +133,11 @@ def _deref(spec: dict, x: dict | None) -> dict:
     return x or {}
 
 
-_OP = "path string, method string, rank int, summary string, description string, params array<struct<name:string,place:string,type:string,required:boolean,description:string>>, has_body boolean, body_type string, body_media string, body_description string, responses array<struct<code:string,description:string,type:string>>"
+OPERATION = "path string, method string, rank int, summary string, description string, params array<struct<name:string,place:string,type:string,required:boolean,description:string>>, has_body boolean, body_type string, body_media string, body_description string, responses array<struct<code:string,description:string,type:string>>"
 
 
-def openapi_operations(spark: SparkSession, text: str) -> DataFrame:
-    """Operations of a specification in YAML or JSON, version 2 or 3."""
+def spec_operations(text: str) -> list[tuple]:
+    """Operations of a specification in YAML or JSON, version 2 or 3, by path and method."""
     import yaml
 
     spec = upgraded(yaml.safe_load(text))
@@ -155,7 +155,12 @@ def openapi_operations(spark: SparkSession, text: str) -> DataFrame:
                 schema = next((c["schema"] for c in (r.get("content") or {}).values() if c and c.get("schema")), None)
                 answers.append((code, r.get("description") or "", type_name(schema) if schema else "-"))
             rows.append((path, method.upper(), rank, op.get("summary") or "", op.get("description") or "", [(p.get("name"), p.get("in"), type_name(p.get("schema")), bool(p.get("required")), p.get("description") or "") for p in params], body is not None, type_name(content["schema"]) if content else None, media, (body or {}).get("description") or "", answers))
-    return spark.createDataFrame(rows, _OP)
+    return rows
+
+
+def openapi_operations(spark: SparkSession, text: str) -> DataFrame:
+    """Operations of one specification that is at hand; specs.operations reads many."""
+    return spark.createDataFrame(spec_operations(text), OPERATION)
 
 
 def _flat(x: Column) -> Column:
@@ -186,7 +191,7 @@ def endpoint_concepts(ops: DataFrame, timestamp: str | None = None) -> DataFrame
 
 _TOKEN = re.compile(r'//[^\n]*|/\*.*?\*/|"(?:[^"\\]|\\.)*"|[A-Za-z_][\w.]*|\.[A-Za-z_][\w.]*|-?\d\w*|[{}()\[\];=,<>]', re.S)
 _SCALARS = set("double float int32 int64 uint32 uint64 sint32 sint64 fixed32 fixed64 sfixed32 sfixed64 bool string bytes".split())
-_DEF = "kind string, package string, name string, fqn string, comment string, fields array<struct<name:string,type:string,tag:int,comment:string>>, methods array<struct<name:string,request:string,response:string,comment:string>>"
+DEFINITION = "kind string, package string, name string, fqn string, comment string, fields array<struct<name:string,type:string,tag:int,comment:string>>, methods array<struct<name:string,request:string,response:string,comment:string>>"
 
 
 def parse_proto(text: str) -> list[tuple]:
@@ -313,7 +318,7 @@ def _in_oneof(tokens: list[str], i: int) -> bool:
 
 
 def proto_definitions(spark: SparkSession, texts: list[str]) -> DataFrame:
-    return spark.createDataFrame([d for t in texts for d in parse_proto(t)], _DEF)
+    return spark.createDataFrame([d for t in texts for d in parse_proto(t)], DEFINITION)
 
 
 def proto_concepts(defs: DataFrame, timestamp: str | None = None) -> DataFrame:
