@@ -22,6 +22,7 @@ from quarrylake.llm.components import components
 
 HOT_LIST = 1 << 18
 HOT_IN_BATCH = 2
+EVERY = 16  # one of so many texts is counted whole
 DOC_BITS = 24
 PERCENT = 80
 K = 5
@@ -33,20 +34,28 @@ def _need(n, percent: int):
 
 
 def hot_shingles(docs: DataFrame, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """(shingles, counts) of at most HOT_LIST shingles that are frequent in batches of rows. Only the order of prefixes depends on it."""
+    """(shingles, counts) of at most HOT_LIST shingles that are frequent in a batch of rows, or in one of EVERY texts over all partitions.
+    Only the order of prefixes depends on it, and so how many candidates there are, never which links are found."""
+
+    def sets_of(texts: pa.RecordBatch) -> np.ndarray:
+        sets = [np.zeros(0, np.uint64)]
+        for b in _text.blocks(texts):
+            data, offs = _text.bytes_of(b.column(0))
+            (h,), first = _text.words(data, offs, lower=True)
+            sets += _text.shingle_sets(h, first, k)
+        return np.concatenate(sets)
 
     def run(batches):
         for batch in batches:
-            sets = []
-            for b in _text.blocks(batch):
-                data, offs = _text.bytes_of(b.column(0))
-                (h,), first = _text.words(data, offs, lower=True)
-                sets += _text.shingle_sets(h, first, k)
-            u, n = np.unique(np.concatenate(sets), return_counts=True) if sets else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+            u, n = np.unique(sets_of(batch), return_counts=True)
             u, n = u[n >= HOT_IN_BATCH], n[n >= HOT_IN_BATCH]
-            yield pa.RecordBatch.from_arrays([_text.longs(u), pa.array(n.astype(np.int64))], names=["s", "n"])
+            part, m = np.unique(sets_of(batch.filter(batch.column(1))), return_counts=True)
+            yield pa.RecordBatch.from_arrays([_text.longs(np.concatenate([u, part])), pa.array(np.concatenate([n, 0 * m]).astype(np.int64)), pa.array(np.concatenate([0 * n, m]).astype(np.int64))], names=["s", "n", "m"])
 
-    t = docs.select("text").mapInArrow(run, "s bigint, n bigint").groupBy("s").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "s").limit(HOT_LIST).toArrow()
+    some = F.coalesce(F.pmod(F.xxhash64("text"), F.lit(EVERY)) == 0, F.lit(False)).alias("some")
+    counts = docs.select("text", some).mapInArrow(run, "s bigint, n bigint, m bigint").groupBy("s").agg(F.sum("n").alias("n"), F.sum("m").alias("m"))
+    counts = counts.where("n > 0 or m > 1").select("s", F.greatest("n", F.col("m") * EVERY).alias("n"))
+    t = counts.orderBy(F.desc("n"), "s").limit(HOT_LIST).toArrow()
     s, n = t.column("s").to_numpy().view(np.uint64), t.column("n").to_numpy()
     o = np.argsort(s)
     return s[o], n[o]
