@@ -126,8 +126,9 @@ def link_issues(concepts: DataFrame) -> DataFrame:
     return row_issues(concepts.where(filled("parse_error") == ""), link_rules(), concepts)
 
 
-def citation_issues(concepts: DataFrame) -> DataFrame:
-    return row_issues(concepts.where(filled("parse_error") == ""), citation_rules(), concepts)
+def citation_issues(concepts: DataFrame, known: DataFrame | None = None) -> DataFrame:
+    """As link_issues, of citations. Ids that are had without parsing may be given as known(id), so that files are parsed once."""
+    return row_issues(concepts.where(filled("parse_error") == ""), citation_rules(), concepts if known is None else known)
 
 
 def remote_issues(links: DataFrame, remote: DataFrame) -> DataFrame:

@@ -126,18 +126,18 @@ def _files(spark: SparkSession, sf_dir: str) -> DataFrame:
     whole = "---\ntype: {t}\ntitle: 'Part {k}'\ntags: [a, t{k}]\ntimestamp: 2024-01-02T03:04:05Z\nowner: {name}\n---\n\n\n# {name}\n\n## Citations\n[1] [Doc](docs/{k}.md)\n[2] https://e.org/{k}\n# Next\n[3] no\n"
     p = _parts(spark, sf_dir)
     content = F.when(F.col("key") % 7 == 0, _text("---\ntype: [{k}\n---\nbody")).when(F.col("key") % 7 == 1, _text("no front matter {k}")).otherwise(_text(whole))
-    return bundle.parse_files(p.select(_text("tables/{k}.md").alias("path"), content.cast("binary").alias("content"), F.lit(None).cast("string").alias("parse_error")))
+    return p.select(_text("tables/{k}.md").alias("path"), content.cast("binary").alias("content"), F.lit(None).cast("string").alias("parse_error"))
 
 
 def parse_frontmatter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _files(spark, sf_dir).select("id", "type", "title", F.array_join("tags", ",").alias("tags"), "timestamp", F.col("extra")["owner"].alias("owner"), F.col("parse_error").isNotNull().alias("failed"))
+    return bundle.parse_files(_files(spark, sf_dir)).select("id", "type", "title", F.array_join("tags", ",").alias("tags"), "timestamp", F.col("extra")["owner"].alias("owner"), F.col("parse_error").isNotNull().alias("failed"))
 
 
 PARSE_FRONTMATTER = _sql("SELECT 'tables/' || key AS id, CASE WHEN w THEN t END AS type, CASE WHEN w THEN 'Part ' || key END AS title, CASE WHEN w THEN 'a,t' || key END AS tags, CASE WHEN w THEN '2024-01-02T03:04:05Z' END AS timestamp, CASE WHEN w THEN '\"' || name || '\"' END AS owner, key % 7 = 0 AS failed FROM (SELECT *, key % 7 > 1 AS w FROM p)")
 
 
 def citations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _files(spark, sf_dir).select("id", F.inline("citations"))
+    return bundle.parse_files(_files(spark, sf_dir)).select("id", F.inline("citations"))
 
 
 CITATIONS = _sql("SELECT 'tables/' || key AS id, 1 AS number, 'Doc' AS title, 'docs/' || key || '.md' AS uri FROM p WHERE key % 7 > 1 UNION ALL SELECT 'tables/' || key, 2, 'https://e.org/' || key, 'https://e.org/' || key FROM p WHERE key % 7 > 1")
@@ -145,9 +145,10 @@ CITATIONS = _sql("SELECT 'tables/' || key AS id, 1 AS number, 'Doc' AS title, 'd
 
 def broken_citations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A third of the cited documents exist."""
-    c = _files(spark, sf_dir)
+    files = _files(spark, sf_dir)
     there = as_concepts(_parts(spark, sf_dir).where("key % 3 = 0"), id=_text("tables/docs/{k}"), path=_text("tables/docs/{k}.md"))
-    return validate.citation_issues(c.unionByName(there)).select("concept_id", "message")
+    known = bundle.file_ids(files).unionByName(there.select("id"))
+    return validate.citation_issues(bundle.parse_files(files).unionByName(there), known).select("concept_id", "message")
 
 
 BROKEN_CITATIONS = _sql("SELECT 'tables/' || key AS concept_id, 'broken citation link: target concept ''tables/docs/' || key || ''' (resolved from ''docs/' || key || '.md'') does not exist' AS message FROM p WHERE key % 7 > 1 AND key % 3 <> 0")
