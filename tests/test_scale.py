@@ -26,3 +26,26 @@ def test_broken_citations_parse_files_once(spark):
     assert plan_of(computed.broken_citations(spark, SF)).count("MapInArrow") == 1
     files = spark.createDataFrame([("a/b.md",), ("c.md.md",), ("d",), ("e.md\n",)], "path string")
     assert [r.id for r in bundle.file_ids(files).collect()] == [p.removesuffix(".md") for p in ("a/b.md", "c.md.md", "d", "e.md\n")]
+
+
+@pytest.mark.parametrize(
+    "text",
+    ["a: 1\nb: [x, 2.5, true, yes]\nd: 2024-01-02\nt: 2024-01-02T03:04:05Z\n", '{"title":"a \\"q\\" \\u00e9 / b","tags":["x","é"],"n":null}', "a: |\n  x\n  y\nb: >-\n  u\n  v\nc: 'it''s'\n", "a: &x {k: v}\nb: *x\n", "", "- a\n- b\n", "k: ~\n1: 2\n"],
+)
+def test_libyaml_reads_the_same(text):
+    import yaml
+
+    fast, slow = bundle._loaded(text), yaml.load(text, Loader=bundle._Loader)  # noqa: S506
+    assert fast == slow and repr(fast) == repr(slow)
+    assert not getattr(yaml, "__with_libyaml__", False) or issubclass(bundle._FastLoader, yaml.CSafeLoader)
+
+
+@pytest.mark.parametrize("text", ["a: 1\na: 2\n", "a: [1\n", "a: b: c\n", "\tx: 1\n"])
+def test_errors_keep_their_messages(text):
+    import yaml
+
+    with pytest.raises(yaml.YAMLError) as fast:
+        bundle._loaded(text)
+    with pytest.raises(yaml.YAMLError) as slow:
+        yaml.load(text, Loader=bundle._Loader)  # noqa: S506
+    assert str(fast.value) == str(slow.value)
