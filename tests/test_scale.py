@@ -49,3 +49,9 @@ def test_errors_keep_their_messages(text):
     with pytest.raises(yaml.YAMLError) as slow:
         yaml.load(text, Loader=bundle._Loader)  # noqa: S506
     assert str(fast.value) == str(slow.value)
+
+
+def test_citations_are_read_by_many_tasks(spark):
+    found = computed.citations(spark, SF)
+    assert found.select(F.spark_partition_id().alias("p")).distinct().count() > 1
+    assert found.count() == 2 * spark.read.parquet(f"{SF}/part.parquet").where("p_partkey % 7 > 1").count()
