@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from quarrylake.functions import bar, escape_xml, extract_links, filled, is_external, is_outside, resolve_link
 from quarrylake.model import metadata_json
-from quarrylake.storage import checkpointed
+from quarrylake.storage import checkpointed, shuffled
 
 STEP = "array<struct<side:int,ordinal:int,via:string>>"
 
@@ -29,7 +29,7 @@ def internal_links(concepts: DataFrame) -> DataFrame:
 def edges_of(links: DataFrame, concepts: DataFrame) -> DataFrame:
     """(src, dst, ordinal): links(concept_id, pos, resolved) to concepts that exist, the first of each pair; loops stay."""
     known = concepts.select(F.col("id").alias("resolved"))
-    first = links.where(~is_outside("resolved")).join(known, "resolved", "left_semi").groupBy(F.col("concept_id").alias("src"), F.col("resolved").alias("dst")).agg(F.min("pos").alias("ordinal"))
+    first = links.where(~is_outside("resolved")).join(shuffled(known), "resolved", "left_semi").groupBy(F.col("concept_id").alias("src"), F.col("resolved").alias("dst")).agg(F.min("pos").alias("ordinal"))
     return first.select("src", "dst", "ordinal")
 
 
@@ -50,12 +50,12 @@ def inlinks(edges: DataFrame) -> DataFrame:
 def backlinks(edges: DataFrame, concepts: DataFrame) -> DataFrame:
     """(id, source, label): who links to each node, under the source's title or else its id."""
     names = concepts.select(F.col("id").alias("source"), F.coalesce(F.nullif(filled("title"), F.lit("")), F.col("id")).alias("label"))
-    return edges.select(F.col("dst").alias("id"), F.col("src").alias("source")).join(names, "source").select("id", "source", "label")
+    return edges.select(F.col("dst").alias("id"), F.col("src").alias("source")).join(shuffled(names), "source").select("id", "source", "label")
 
 
 def visible_edges(edges: DataFrame, visible: DataFrame) -> DataFrame:
     """Edges whose ends are both in visible(id)."""
-    return edges.join(visible.select(F.col("id").alias("src")), "src", "left_semi").join(visible.select(F.col("id").alias("dst")), "dst", "left_semi")
+    return edges.join(shuffled(visible.select(F.col("id").alias("src"))), "src", "left_semi").join(shuffled(visible.select(F.col("id").alias("dst"))), "dst", "left_semi")
 
 
 # Colours of node types, looked for in this order as parts of the type.
@@ -80,7 +80,7 @@ def graph_nodes(concepts: DataFrame, edges: DataFrame) -> DataFrame:
     for part, c in COLOURS:
         colour = colour.when(F.contains(kind, F.lit(part)), F.lit(c))
     deg = F.coalesce("degree", F.lit(0))
-    out = concepts.join(node_degree(edges), "id", "left")
+    out = concepts.join(shuffled(node_degree(edges)), "id", "left")
     return out.select("id", F.coalesce(F.nullif(filled("title"), F.lit("")), F.col("id")).alias("label"), filled("type").alias("type"), colour.otherwise(F.lit(NO_COLOUR)).alias("colour"), (20 + F.least(deg * 4, F.lit(40))).cast("long").alias("size"))
 
 
@@ -96,7 +96,8 @@ def resolve_loosely(links: DataFrame, concepts: DataFrame) -> DataFrame:
     suffixes = F.transform(F.sequence(F.lit(2), F.size(parts)), lambda i: F.array_join(F.slice(parts, i, F.size(parts)), "/"))
     ends = concepts.where(F.contains("id", F.lit("/"))).select("id", F.explode(suffixes).alias("suffix"))
     ends = ends.groupBy("suffix").agg(F.min("id").alias("by_suffix"))
-    got = base.join(ids.withColumnRenamed("id", "by_id"), F.col("bare") == F.col("by_id"), "left").join(ids.withColumnRenamed("id", "by_relative"), F.col("relative") == F.col("by_relative"), "left").join(ends, F.col("bare") == F.col("suffix"), "left")
+    got = base.join(shuffled(ids.withColumnRenamed("id", "by_id")), F.col("bare") == F.col("by_id"), "left").join(shuffled(ends), F.col("bare") == F.col("suffix"), "left")
+    got = got.join(shuffled(ids.withColumnRenamed("id", "by_relative")), F.col("relative") == F.col("by_relative"), "left")
     return got.select("source", "target", F.coalesce("by_id", "by_relative", "by_suffix").alias("id"))
 
 

