@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from quarrylake.functions import extract_links, filled, hub_bundle, hub_concept, is_external, is_outside, link_path, parse_timestamp, trim_space, without_md
 from quarrylake.operators.graph import raw_links
+from quarrylake.storage import shuffled
 
 ERROR, WARNING = "ERROR", "WARNING"
 STATUSES = ("draft", "stable", "deprecated")
@@ -113,7 +114,7 @@ def raw_issues(concepts: DataFrame, rules: list[Column]) -> DataFrame:
 def holding(issues: DataFrame, known: DataFrame) -> DataFrame:
     """Raw issues that hold against known(id)."""
     there = known.select(F.col("id").alias("there"))
-    return issues.join(there, F.col("needs") == F.col("there"), "left_anti").select(*_ISSUES)
+    return issues.join(shuffled(there), F.col("needs") == F.col("there"), "left_anti").select(*_ISSUES)
 
 
 def row_issues(concepts: DataFrame, rules: list[Column], known: DataFrame | None = None) -> DataFrame:
@@ -136,9 +137,9 @@ def remote_issues(links: DataFrame, remote: DataFrame) -> DataFrame:
     bundle without any concept a warning."""
     hub = links.where(F.lower(F.left(filled("target"), F.lit(6))) == "hub://").select("concept_id", "path", hub_bundle("target").alias("bundle"), hub_concept("target").alias("concept")).where("bundle is not null")
     known = remote.select("bundle").distinct()
-    unknown = hub.join(known, "bundle", "left_anti").select("concept_id", "path", F.lit(WARNING).alias("severity"), _text("remote bundle '{}' could not be resolved or is empty", "bundle").alias("message"))
-    asked = hub.where("concept is not null").join(known, "bundle", "left_semi")
-    missing = asked.join(remote.select("bundle", "concept").distinct(), ["bundle", "concept"], "left_anti")
+    unknown = hub.join(shuffled(known), "bundle", "left_anti").select("concept_id", "path", F.lit(WARNING).alias("severity"), _text("remote bundle '{}' could not be resolved or is empty", "bundle").alias("message"))
+    asked = hub.where("concept is not null").join(shuffled(known), "bundle", "left_semi")
+    missing = asked.join(shuffled(remote.select("bundle", "concept").distinct()), ["bundle", "concept"], "left_anti")
     return unknown.unionByName(missing.select("concept_id", "path", F.lit(ERROR).alias("severity"), _text("broken remote link: concept '{}' not found in remote bundle '{}'", "concept", "bundle").alias("message")))
 
 
@@ -164,7 +165,7 @@ def in_order(issues: DataFrame) -> DataFrame:
 
 def lint_changed(concepts: DataFrame, changed: DataFrame, as_of: Column) -> DataFrame:
     """Issues of changed concepts against the bundle that they replace rows of; only the changed ones are read whole."""
-    known = concepts.select("id").join(changed.select("id"), "id", "left_anti").unionByName(changed.select("id"))
+    known = concepts.select("id").join(shuffled(changed.select("id")), "id", "left_anti").unionByName(changed.select("id"))
     return row_issues(changed, all_rules(as_of), known)
 
 

@@ -60,3 +60,8 @@ def test_citations_are_read_by_many_tasks(spark):
 
 def test_portal_links_are_not_resolved_by_broadcast(spark):
     assert "Broadcast" not in plan_of(computed.portal_link_resolve(spark, SF))
+
+
+@pytest.mark.parametrize("name", ["visible_edges", "link_edges", "backlinks", "broken_remote_links", "outside_links", "broken_citations"])
+def test_edges_and_issues_are_not_held_by_broadcast(spark, name):
+    assert "Broadcast" not in plan_of(queries.QUERIES[name](spark, SF))
