@@ -17,7 +17,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from quarrylake.functions import concept_hash, filled
 from quarrylake.model import metadata_json
-from quarrylake.storage import checkpointed
+from quarrylake.storage import checkpointed, shuffled
 
 STATE = "concept_id string, connector string, external_id string, content_hash string, last_pushed timestamp"
 PULL_STATE = "concept_id string, hash string"
@@ -52,19 +52,19 @@ def push_delta(local: DataFrame, connectors: DataFrame, state: DataFrame) -> Dat
     """
     s = state.select(F.col("concept_id").alias("id"), "connector", F.col("content_hash").alias("_known"), F.col("external_id").alias("_ext"))
     each = local.select("id", "content_hash").crossJoin(F.broadcast(connectors.select("connector")))
-    return each.join(s, ["id", "connector"], "left").where(~F.col("_known").eqNullSafe(F.col("content_hash"))).select("connector", "id", "content_hash", external_id("connector", "id", F.col("_ext")).alias("external_id"))
+    return each.join(shuffled(s), ["id", "connector"], "left").where(~F.col("_known").eqNullSafe(F.col("content_hash"))).select("connector", "id", "content_hash", external_id("connector", "id", F.col("_ext")).alias("external_id"))
 
 
 def pull_delta(pulled: DataFrame, pull_state: DataFrame) -> DataFrame:
     """Rows of pulled(id, content_hash, ...) that are new or changed since the last pull."""
     s = pull_state.select(F.col("concept_id").alias("id"), F.col("hash").alias("_known"))
-    return pulled.join(s, "id", "left").where(~F.col("_known").eqNullSafe(F.col("content_hash"))).drop("_known")
+    return pulled.join(shuffled(s), "id", "left").where(~F.col("_known").eqNullSafe(F.col("content_hash"))).drop("_known")
 
 
 def committed(state: DataFrame, pushed: DataFrame, at: Column) -> DataFrame:
     """State after pushed(connector, id, content_hash, external_id) has been taken."""
     new = pushed.select(F.col("id").alias("concept_id"), "connector", "external_id", "content_hash", at.cast("timestamp").alias("last_pushed"))
-    return state.join(new.select("concept_id", "connector"), ["concept_id", "connector"], "left_anti").select(new.columns).unionByName(new)
+    return state.join(shuffled(new.select("concept_id", "connector")), ["concept_id", "connector"], "left_anti").select(new.columns).unionByName(new)
 
 
 class StateTable:
@@ -104,7 +104,7 @@ def sync_once(concepts: DataFrame, connectors: list[Connector], states: StateTab
         delta = checkpointed(push_delta(local, spark.createDataFrame([(c.name,)], "connector string"), states.load()))
         n = delta.count()
         if n:  # what is pushed and what is committed are the same rows, even if the source moves on meanwhile
-            c.push(local.join(delta.select("id", "content_hash", "external_id"), ["id", "content_hash"]))
+            c.push(local.join(shuffled(delta.select("id", "content_hash", "external_id")), ["id", "content_hash"]))
             states.save(committed(states.load(), delta, at))
         out[c.name] = (n, 0)
     for c in (c for c in connectors if c.active):
@@ -113,7 +113,7 @@ def sync_once(concepts: DataFrame, connectors: list[Connector], states: StateTab
         if n:
             known = pulls.load()
             new = delta.select(F.col("id").alias("concept_id"), F.col("content_hash").alias("hash"))
-            keep = known.join(new.select("concept_id"), "concept_id", "left_anti").select("concept_id", "hash").unionByName(new)
+            keep = known.join(shuffled(new.select("concept_id")), "concept_id", "left_anti").select("concept_id", "hash").unionByName(new)
             write(delta.drop("content_hash"))
             pulls.save(keep)
         out[c.name] = (out[c.name][0], n)
@@ -127,7 +127,7 @@ def latest(changes: DataFrame, key: str, order: list[Column]) -> DataFrame:
 
 def upsert(current: DataFrame, changes: DataFrame, key: str = "id", op: str = "op") -> DataFrame:
     """current after changes, of which those with op = 'delete' remove their key."""
-    kept = current.join(changes.select(key), key, "left_anti")
+    kept = current.join(shuffled(changes.select(key)), key, "left_anti")
     return kept.unionByName(changes.where(F.col(op) != "delete").select(current.columns))
 
 

@@ -65,3 +65,13 @@ def test_portal_links_are_not_resolved_by_broadcast(spark):
 @pytest.mark.parametrize("name", ["visible_edges", "link_edges", "backlinks", "broken_remote_links", "outside_links", "broken_citations"])
 def test_edges_and_issues_are_not_held_by_broadcast(spark, name):
     assert "Broadcast" not in plan_of(queries.QUERIES[name](spark, SF))
+
+
+def test_states_are_not_joined_by_broadcast(spark):
+    old, _ = adapters.part_snapshots(spark, SF)
+    local, names = sync.hashed(old), spark.createDataFrame([("jira",)], "connector string")
+    state, known = spark.createDataFrame([("part/1/old", "jira", "x", "y", None)], sync.STATE), spark.createDataFrame([("part/1/old", "z")], sync.PULL_STATE)
+    pushed = sync.push_delta(local, names, state)
+    assert plan_of(pushed).count("BroadcastHashJoin") == 0 and "SortMergeJoin" in plan_of(pushed)
+    assert "Broadcast" not in plan_of(sync.pull_delta(local, known))
+    assert "BroadcastHashJoin" not in plan_of(sync.committed(state, pushed, F.lit(adapters.AS_OF)))
