@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import json
 import os
+import zlib
 from collections.abc import Iterable, Iterator, Sequence
 
 import pyarrow as pa
@@ -27,13 +28,17 @@ from quarrylake.storage import ship
 
 ENOUGH = 256  # folders to deal out
 FILES = 64  # parsed at once
+SHARE, SHARES = 2_000, 64  # files of one folder in a task, about; tasks of one folder, each of which lists it, at most
 
 
 class Folder(InputPartition):
-    """A folder below the root, '' for the root: with all below it, or the files in it alone."""
+    """A folder below the root, '' for the root: with all below it, or the files in it alone, or one of `of` shares of these by name."""
 
-    def __init__(self, path: str, deep: bool):
-        self.path, self.deep = path, deep
+    def __init__(self, path: str, deep: bool, share: int = 0, of: int = 1):
+        self.path, self.deep, self.share, self.of = path, deep, share, of
+
+    def holds(self, path: str) -> bool:
+        return self.of == 1 or zlib.crc32(path.encode(errors="surrogateescape")) % self.of == self.share
 
 
 class BundleReader(DataSourceReader):
@@ -63,16 +68,21 @@ class BundleReader(DataSourceReader):
         if not os.path.isdir(self.root):
             raise FileNotFoundError(self.root)
         shallow, level = [], [""]
-        while level and len(level) < ENOUGH and len(shallow) < ENOUGH:
-            shallow += level
-            level = [f for folder in level for f in self._below(folder)[1]]
-        return [*(Folder(f, False) for f in shallow), *(Folder(f, True) for f in level)]
+        while level and len(level) < ENOUGH and len({f.path for f in shallow}) < ENOUGH:
+            below = []
+            for folder in level:
+                files, folders = self._below(folder)
+                of = max(1, min(SHARES, -(-len(files) // SHARE)))
+                shallow += [Folder(folder, False, i, of) for i in range(of)]
+                below += folders
+            level = below
+        return [*shallow, *(Folder(f, True) for f in level)]
 
     def _paths(self, part: Folder) -> Iterator[str]:
         left = [part.path]
         while left:
             files, folders = self._below(left.pop())
-            yield from files
+            yield from filter(part.holds, files)
             if part.deep:
                 left += folders[::-1]
 

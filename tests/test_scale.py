@@ -75,3 +75,17 @@ def test_states_are_not_joined_by_broadcast(spark):
     assert plan_of(pushed).count("BroadcastHashJoin") == 0 and "SortMergeJoin" in plan_of(pushed)
     assert "Broadcast" not in plan_of(sync.pull_delta(local, known))
     assert "BroadcastHashJoin" not in plan_of(sync.committed(state, pushed, F.lit(adapters.AS_OF)))
+
+
+def test_a_large_folder_is_read_in_shares(spark, tmp_path, monkeypatch):
+    from quarrylake.sources import scan
+
+    for n in range(30):
+        (tmp_path / "a").mkdir(exist_ok=True)
+        (tmp_path / "a" / f"{n}.md").write_text(f"---\ntype: T{n}\n---\n")
+    monkeypatch.setattr(scan, "SHARE", 5)
+    reader = scan.BundleReader(str(tmp_path), 200, (), spark.createDataFrame([], "id string, type string").schema)
+    parts = reader.partitions()
+    assert [p.path for p in parts] == ["", *["a/"] * 6]
+    read = [[r["id"] for b in reader.read(p) for r in b.to_pylist()] for p in parts]
+    assert sum(bool(x) for x in read) > 1 and sorted(x for r in read for x in r) == sorted(f"a/{n}" for n in range(30))
