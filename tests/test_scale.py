@@ -89,3 +89,11 @@ def test_a_large_folder_is_read_in_shares(spark, tmp_path, monkeypatch):
     assert [p.path for p in parts] == ["", *["a/"] * 6]
     read = [[r["id"] for b in reader.read(p) for r in b.to_pylist()] for p in parts]
     assert sum(bool(x) for x in read) > 1 and sorted(x for r in read for x in r) == sorted(f"a/{n}" for n in range(30))
+
+
+def test_proto_files_are_parsed_once(spark):
+    from quarrylake.plans import cycles
+
+    for q in (cycles.harvest_proto, cycles.proto_links):
+        plan = plan_of(q(spark, SF))
+        assert "PythonUDTF" not in plan and "Broadcast" not in plan
