@@ -97,3 +97,12 @@ def test_proto_files_are_parsed_once(spark):
     for q in (cycles.harvest_proto, cycles.proto_links):
         plan = plan_of(q(spark, SF))
         assert "PythonUDTF" not in plan and "Broadcast" not in plan
+
+
+def test_methods_are_kept_with_their_service(spark):
+    from quarrylake.sources import specs
+
+    files = spark.createDataFrame([("a", "package p.q;\nmessage M {}\nservice S { rpc A(M) returns (N); rpc B(X) returns (p.N); }\nservice E {}"), ("b", "package p;\nmessage N {}"), ("c", "message {")], "file string, text string")
+    defs = specs.definitions(files)
+    got = {r.fqn: [(m.name, m.request, m.response) for m in r.methods or []] for r in specs.resolved(defs).collect()}
+    assert got == {"p.q.M": [], "p.q.S": [("A", "p.q.M", "p.N"), ("B", "X", "p.N")], "p.q.E": [], "p.N": [], None: []}
