@@ -106,3 +106,12 @@ def test_methods_are_kept_with_their_service(spark):
     defs = specs.definitions(files)
     got = {r.fqn: [(m.name, m.request, m.response) for m in r.methods or []] for r in specs.resolved(defs).collect()}
     assert got == {"p.q.M": [], "p.q.S": [("A", "p.q.M", "p.N"), ("B", "X", "p.N")], "p.q.E": [], "p.N": [], None: []}
+
+
+def test_files_are_parsed_a_few_at_a_time():
+    import pyarrow as pa
+
+    whole = [pa.RecordBatch.from_pydict({"n": list(range(n))}) for n in (3 * bundle.FILES + 1, 0, 5)]
+    parts = list(bundle.sliced(whole))
+    assert max(p.num_rows for p in parts) == bundle.FILES
+    assert [x for p in parts for x in p.column(0).to_pylist()] == [x for b in whole for x in b.column(0).to_pylist()]
