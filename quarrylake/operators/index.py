@@ -17,6 +17,7 @@ from quarrylake.storage import checkpointed
 
 SIZE = 3
 RAREST = 4
+SPLIT = 16  # parts of a gram's list, so that none of a frequent one is a task's alone
 SMALL = 100_000  # rows of asked grams that are broadcast
 
 
@@ -91,7 +92,8 @@ class SubstringIndex:
     def build(cls, concepts: DataFrame, root: str) -> SubstringIndex:
         """Writes the index of all concepts. A folder with an index in it is an error."""
         spark, root = concepts.sparkSession, root.rstrip("/")
-        postings(concepts).repartitionByRange("gram", "id").sortWithinPartitions("gram", "id").write.parquet(f"{root}/postings")
+        spread = F.pmod(F.xxhash64("id"), F.lit(SPLIT))  # by hash, as ranges would make all grams once more for their sample
+        postings(concepts).repartition("gram", spread).sortWithinPartitions("gram", "id").write.parquet(f"{root}/postings")
         lists = spark.read.schema("gram string, id string").parquet(f"{root}/postings")
         frequencies(lists).repartitionByRange("gram").sortWithinPartitions("gram").write.parquet(f"{root}/grams")
         return cls(spark, root)

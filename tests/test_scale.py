@@ -115,3 +115,15 @@ def test_files_are_parsed_a_few_at_a_time():
     parts = list(bundle.sliced(whole))
     assert max(p.num_rows for p in parts) == bundle.FILES
     assert [x for p in parts for x in p.column(0).to_pylist()] == [x for b in whole for x in b.column(0).to_pylist()]
+
+
+def test_an_index_makes_its_grams_once(spark, tmp_path, monkeypatch):
+    from quarrylake.operators import index
+
+    frame, asked = type(spark.range(1)), []
+    by_range = frame.repartitionByRange
+    monkeypatch.setattr(frame, "repartitionByRange", lambda self, *by: asked.append(self.columns) or by_range(self, *by))
+    c = adapters.key_concepts(spark, SF).where("type = 'Reference'")
+    found = index.SubstringIndex.build(c, str(tmp_path / "index"))
+    assert asked == [["gram", "n"]]  # counts alone are sampled for ranges, not postings
+    assert found.search(c, "region/0").count() == 1
