@@ -17,7 +17,6 @@ from __future__ import annotations
 
 import math
 import re
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -123,7 +122,7 @@ def bands_by_class(shingles: Column, sizes) -> Column:
     return out
 
 
-def windows(top: int, window: int, stride: int, k: int) -> Column:
+def windows(top: int, window: int, stride: int, k: int, hits: str = "hits") -> Column:
     """The windows of a class, as shingle ranges of w, that hold one of hits; window number x starts at x * stride."""
 
     def over(h: Column) -> Column:
@@ -132,7 +131,7 @@ def windows(top: int, window: int, stride: int, k: int) -> Column:
     def span(x: Column) -> Column:
         return F.struct(F.lit(top).alias("top"), (x * stride).alias("start"), F.least(x * stride + window, F.size("w") - (k - 1)).alias("end"))
 
-    return F.transform(F.array_distinct(F.flatten(F.transform("hits", over))), span)
+    return F.transform(F.array_distinct(F.flatten(F.transform(hits, over))), span)
 
 
 def scan(docs: DataFrame, templates=TEMPLATES, containment: float = CONTAINMENT, miss: float = MISS, k: int = K) -> DataFrame:
@@ -163,23 +162,24 @@ def scan(docs: DataFrame, templates=TEMPLATES, containment: float = CONTAINMENT,
         rare = sorted({max(w, key=len) for _, _, x in templates for w in [_words(x)] if len(w) == m})
         return F.when(F.exists("w", lambda x: x.isin(rare)), at).otherwise(F.array().cast("array<int>"))
 
+    # Short templates are classes of their own, of windows of one shingle, so all templates are looked for in one scan.
     lengths = sorted({m for m, _, _ in known})
+    kinds = [(m, (-m, 1, 1, 1)) for m in lengths if m < k] + [(k, x) for x in sizes]
     found = chunk.select("*", *[hits(m).alias(f"hits_{m}") for m in lengths]).where(" or ".join(f"size(hits_{m}) > 0" for m in lengths))
-    parts = []
+    wins = found.select("doc_id", "at", "w", F.explode(F.flatten(F.array(*[windows(*x[:3], m, f"hits_{m}") for m, x in kinds]))).alias("s"))
+
+    def inside(m: int) -> Column:
+        return F.array_distinct(F.transform(F.sequence("s.start", F.col("s.end") - 1), lambda i: shingle(F.col("w"), i, m)))
+
+    made = F.when(F.lit(False), F.array().cast("array<bigint>"))
     for m in lengths:
-        if m < k:
-            at = found.select("doc_id", "at", "w", F.explode(f"hits_{m}").alias("i")).select("doc_id", (F.col("at") + F.col("i")).alias("word_start"), shingle(F.col("w"), F.col("i"), m).alias("s"))
-            own = t.where(F.col("k") == m).select("license", "template", F.get("shingles", F.lit(0)).alias("s"))
-            parts.append(at.join(F.broadcast(own), "s").select("doc_id", "license", "template", "word_start", F.lit(1.0).alias("share")))
-    if sizes:
-        wins_of = [windows(*x[:3], k) for x in sizes]
-        wins = found.withColumnRenamed(f"hits_{k}", "hits").select("doc_id", "at", "w", F.explode(F.flatten(F.array(*wins_of))).alias("s"))
-        wins = wins.select("doc_id", "s.top", (F.col("at") + F.col("s.start")).alias("word_start"), F.array_distinct(F.transform(F.sequence("s.start", F.col("s.end") - 1), lambda i: shingle(F.col("w"), i, k))).alias("set"))
-        wins = wins.select("doc_id", "top", "word_start", "set", F.explode(bands_by_class(F.col("set"), sizes)).alias("b")).select("doc_id", "top", "word_start", "set", "b.*")
-        own = t.where(F.col("k") == k).withColumn("top", F.pow(F.lit(2), F.ceil(F.log2("n"))).cast("int"))
-        own = own.select("license", "template", "n", "shingles", "top", F.explode(bands_by_class(F.col("shingles"), sizes)).alias("b")).select("license", "template", "n", "shingles", "top", "b.*")
-        pairs = wins.join(F.broadcast(own.select("top", "band", "value", "license", "template", "n", "shingles")), ["top", "band", "value"])
-        pairs = pairs.withColumn("share", F.size(F.array_intersect("set", "shingles")) / F.col("n")).where(F.col("share") >= containment - 1e-12)
-        parts.append(pairs.select("doc_id", "license", "template", "word_start", "share"))
-    one = reduce(DataFrame.unionByName, parts).groupBy("doc_id", "license", "template", "word_start").agg(F.max("share").alias("share"))
+        made = made.when(F.col("s.top") == -m if m < k else F.col("s.top") > 0, inside(m))
+    wins = wins.select("doc_id", "s.top", (F.col("at") + F.col("s.start")).alias("word_start"), made.alias("set"))
+    bands = [x for _, x in kinds]
+    wins = wins.select("doc_id", "top", "word_start", "set", F.explode(bands_by_class(F.col("set"), bands)).alias("b")).select("doc_id", "top", "word_start", "set", "b.*")
+    own = t.withColumn("top", F.when(F.col("k") < k, -F.col("k")).otherwise(F.pow(F.lit(2), F.ceil(F.log2("n"))).cast("int")))
+    own = own.select("license", "template", "n", "shingles", "top", F.explode(bands_by_class(F.col("shingles"), bands)).alias("b")).select("license", "template", "n", "shingles", "top", "b.*")
+    pairs = wins.join(F.broadcast(own), ["top", "band", "value"])
+    pairs = pairs.withColumn("share", F.size(F.array_intersect("set", "shingles")) / F.col("n")).where(F.col("share") >= containment - 1e-12)
+    one = pairs.groupBy("doc_id", "license", "template", "word_start").agg(F.max("share").alias("share"))
     return one.groupBy("doc_id", "license", "template").agg(F.max("share").alias("containment"), F.count("*").alias("n_windows"), F.min("word_start").cast("long").alias("word_start"))

@@ -172,6 +172,11 @@ def test_license_scan(docs, texts, empty, spark):
     assert licenses.scan(empty).count() == 0
 
 
+def test_licenses_are_looked_for_in_one_scan(docs):
+    plan = licenses.scan(docs)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("LogicalRDD") + plan.count("LocalRelation") + plan.count("Relation [") <= 2 and "Union" not in plan  # texts and templates
+
+
 def test_license_bands_hold_their_chance():
     sizes = [1, 2, 5, 9, 40, 100]
     for top, window, stride, bands in licenses.classes(sizes):
