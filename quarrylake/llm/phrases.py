@@ -3,8 +3,9 @@
 A task reads its shard into tries of DEPTH words below each language, counts in every node, and hands them on serialised: one row for
 each word and first byte of the word after it, with the tails of the paths below in order. A path's key is its language and words with
 a zero byte between, every other byte moved up by one, so a node comes right before its subtree in the order of keys, and rows are
-cut alike in all shards. Rows are dealt by range and sorted, so each task merges its range of all tries in one walk. On that walk the counts of the ancestors, the left parts of the phrase, stand on a stack; where a range starts inside a
-subtree, they come from the stacks that other ranges ended with. A suffix link leads from a path to the one without its first words:
+cut alike in all shards. Rows are dealt by ranges, whose bounds come from the tries of a small sample, so that the tries are made once,
+and sorted, so each range of all tries is merged in one walk. On that walk the counts of the ancestors, the left parts of the phrase,
+stand on a stack; where a range starts inside a subtree, they come from the stacks that other ranges ended with. A suffix link leads from a path to the one without its first words:
 a join by key, which gives the right parts.
 
 Before that sketches count words and pairs of neighbours, and then the longer runs whose pairs may be frequent. Sketches never fall
@@ -14,6 +15,7 @@ out of the tries.
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
 
@@ -34,6 +36,7 @@ PERCENT = 80
 SCALE = 2_000_000
 SHARD = 2_000_000  # words in a trie
 SALTS = 64
+SAMPLE = 8 << 20  # bytes of the texts that tell where ranges are cut; counts are of all texts
 NO_LANG = "und"
 
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -215,10 +218,11 @@ class Walk:
 
 
 def merge(least: int):
-    """Merges a range of sorted parts of tries: nodes of `least` occurrences, roots in any case, and the stack it ended with."""
+    """Merges ranges of sorted parts of tries, the fourth column being the range: nodes of `least` occurrences, roots in any case, and the
+    stack that each range ended with."""
 
     def run(batches):
-        walk, key, held = Walk(), None, Counter()
+        walk, now, key, held = Walk(), None, None, Counter()
 
         def done():
             stem = key[: key.rindex(b"\0") + 1] if key.count(b"\0") > 1 else key
@@ -226,11 +230,14 @@ def merge(least: int):
 
         for b in batches:
             rows = []
-            for k, tails, counts in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
-                if k != key:
+            for k, tails, counts, part in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
+                if (part, k) != (now, key):
                     if key is not None:
                         rows += done()
-                    key, held = k, Counter()
+                        if part != now:
+                            rows += walk.ends()
+                            walk = Walk()
+                    now, key, held = part, k, Counter()
                 for tail, c in zip(tails.split(b"\xff"), counts, strict=True):
                     held[tail] += c
             if rows:
@@ -241,6 +248,32 @@ def merge(least: int):
     return run
 
 
+def quantiles(keys: pa.Array, n: np.ndarray, parts: int) -> tuple[pa.Array, np.ndarray]:
+    """(some of the keys in order, the weight up to each since the one before) at equal steps of the weights n, `parts` keys at most."""
+    order = pc.array_sort_indices(keys).to_numpy()
+    upto = np.cumsum(n[order])
+    at = np.unique(np.searchsorted(upto, np.arange(1, parts + 1) * (upto[-1] / parts)).clip(max=len(upto) - 1)) if len(upto) else order
+    return keys.take(pa.array(order[at])), np.diff(np.append(0, upto[at]))
+
+
+def bounds(docs: DataFrame, size: int, depth: int, often, parts: int) -> list[bytes]:
+    """Ascending keys, `parts` at most, that cut the rows of tries into ranges of about equal size. They are those of about SAMPLE bytes of
+    the `size` bytes of text; only how work is dealt depends on them."""
+
+    def run(batches):
+        for shard in shards(batches):
+            t = trie(shard, depth, often)
+            keys, n = quantiles(t.column("key"), pc.list_value_length(t.column("counts")).to_numpy().astype(np.int64), parts)
+            yield pa.RecordBatch.from_arrays([keys, pa.array(n)], names=["key", "n"])
+
+    some = docs if size <= SAMPLE else docs.where(F.rand(11) < SAMPLE / size)
+    t = some.repartition(2).mapInArrow(run, "key binary, n bigint").toArrow().combine_chunks()
+    if not t.num_rows:
+        return []
+    keys, _ = quantiles(t.column("key").combine_chunks(), t.column("n").to_numpy(), parts)
+    return sorted(set(keys.to_pylist()))
+
+
 class _Often:
     """Whether runs may be frequent, by a broadcast sketch."""
 
@@ -274,12 +307,17 @@ def nodes(docs: DataFrame, depth: int = DEPTH, least: int = LEAST) -> DataFrame:
             maps = spark.sparkContext.broadcast(_sketch.merged(docs.mapInArrow(counted, _sketch.SKETCH), bits, 1, least))
             often |= {d: _Often(maps, bits) for d in range(shortest, longest + 1)}
 
+    parts = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    edges = spark.sparkContext.broadcast(bounds(docs, size, depth, often, parts))
+
     def tries(batches):
         for shard in shards(batches):
-            yield trie(shard, depth, often)
+            t = trie(shard, depth, often)
+            part = [bisect_right(edges.value, x) for x in t.column("key").to_pylist()]
+            yield pa.RecordBatch.from_arrays([*t.columns, pa.array(part, pa.int32())], names=["key", "tails", "counts", "part"])
 
-    made = docs.mapInArrow(tries, "key binary, tails binary, counts array<bigint>")  # made twice, as ranges are sampled first, and not stored
-    ranges = made.repartitionByRange("key").sortWithinPartitions("key")
+    made = docs.mapInArrow(tries, "key binary, tails binary, counts array<bigint>, part int")
+    ranges = made.repartition("part").sortWithinPartitions("part", "key")
     return stored(ranges.mapInArrow(merge(least), NODE), "phrases-nodes")
 
 

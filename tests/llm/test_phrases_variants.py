@@ -132,6 +132,16 @@ def test_collocations(spark, spoken, least, ranks):
     assert len(got) > 20
 
 
+def test_tries_are_made_once(spark, spoken, monkeypatch):
+    frame, asked = type(spark.range(1)), []
+    by_range = frame.repartitionByRange
+    monkeypatch.setattr(frame, "repartitionByRange", lambda self, *by: asked.append(self.columns) or by_range(self, *by))
+    df = spark.createDataFrame(spoken, SCHEMA).repartition(5)
+    monkeypatch.setattr(phrases, "SAMPLE", 1000)  # ranges by a part of the texts give the same
+    got = [tuple(r) for r in phrases.collocations(df, least=3, ranks=2000).collect()]
+    assert not asked and set(got) == collocations_of(spoken, 3, 2000)  # ranges are not sampled from the tries themselves
+
+
 def test_no_phrases(spark):
     assert phrases.collocations(spark.createDataFrame([], SCHEMA)).count() == 0
     assert phrases.collocations(spark.createDataFrame([(1, None, None, 1, None, None), (2, "a b c", "en", 1, None, None)], SCHEMA)).count() == 0
