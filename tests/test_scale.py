@@ -108,6 +108,12 @@ def test_methods_are_kept_with_their_service(spark):
     assert got == {"p.q.M": [], "p.q.S": [("A", "p.q.M", "p.N"), ("B", "X", "p.N")], "p.q.E": [], "p.N": [], None: []}
 
 
+def test_fields_are_read_once_a_process():
+    from quarrylake import model
+
+    assert model.fields() is model.fields() and list(model.fields())[0] == "id"
+
+
 def test_files_are_parsed_a_few_at_a_time():
     import pyarrow as pa
 
