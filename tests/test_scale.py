@@ -108,6 +108,17 @@ def test_methods_are_kept_with_their_service(spark):
     assert got == {"p.q.M": [], "p.q.S": [("A", "p.q.M", "p.N"), ("B", "X", "p.N")], "p.q.E": [], "p.N": [], None: []}
 
 
+def test_methods_of_a_service_need_not_come_together(spark):
+    from quarrylake.plans import cycles
+    from quarrylake.sources import specs
+
+    assert "collect_list" not in plan_of(cycles.proto_links(spark, SF))
+    files = spark.createDataFrame([("a", "package p; service S { rpc A(M) returns (Z); }"), ("b", "package p; message M {}"), ("c", "message {"), ("d", None)], "file string, text string")
+    defs = specs.definitions(files)
+    assert "MapInArrow" in plan_of(defs) and [r.file for r in defs.where("error is not null").collect()] == ["c"]
+    assert [(r.file, r.fqn, r.pos, r.method.request, r.method.response) for r in specs.methods(defs).collect()] == [("a", "p.S", 0, "p.M", "Z")]
+
+
 def test_fields_are_read_once_a_process():
     from quarrylake import model
 
