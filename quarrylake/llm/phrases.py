@@ -34,7 +34,7 @@ LEAST = 30
 MOST_RANKS = 2000
 PERCENT = 80
 SCALE = 2_000_000
-SHARD = 2_000_000  # words in a trie
+SHARD = 500_000  # words in a trie; a task holds one shard at a time, so this bounds a Python worker's memory
 SALTS = 64
 SAMPLE = 8 << 20  # bytes of the texts that tell where ranges are cut; counts are of all texts
 NO_LANG = "und"

@@ -4,9 +4,12 @@ from __future__ import annotations
 
 import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from quarrylake.llm import phrases, variants
@@ -142,6 +145,22 @@ def test_tries_are_made_once(spark, spoken, monkeypatch):
     assert not asked and set(got) == collocations_of(spoken, 3, 2000)  # ranges are not sampled from the tries themselves
 
 
+def test_shards_bound_a_workers_memory():
+    rng = np.random.default_rng(5)
+    batch = pa.RecordBatch.from_pydict({"text": [" ".join(f"w{x}" for x in rng.integers(0, 5000, 2000).tolist()) for _ in range(150)], "lang": ["en"] * 150})
+    often = {d: lambda h: h % np.uint64(8) == 0 for d in range(1, phrases.DEPTH + 1)}
+    tracemalloc.start()
+    try:
+        words = 0
+        for shard in phrases.shards([batch] * 7):
+            words += shard.n
+            phrases.trie(shard, phrases.DEPTH, often)
+        peak = tracemalloc.get_traced_memory()[1] / 1e6
+    finally:
+        tracemalloc.stop()
+    assert words == 7 * 150 * 2000 and peak < 90  # 176 MB with shards of two million words
+
+
 def test_no_phrases(spark):
     assert phrases.collocations(spark.createDataFrame([], SCHEMA)).count() == 0
     assert phrases.collocations(spark.createDataFrame([(1, None, None, 1, None, None), (2, "a b c", "en", 1, None, None)], SCHEMA)).count() == 0
