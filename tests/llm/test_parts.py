@@ -6,8 +6,10 @@ import random
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import functions as F
 
 from quarrylake.llm import _sketch, _text, topk
+from quarrylake.llm._work import in_one_task, ship
 from quarrylake.llm.components import components
 
 
@@ -172,3 +174,26 @@ def test_pipeline_stages(spark, tmp_path):
     assert {i for i in seen["source_mixing"]} <= set(seen["pii"])
     whole = {(r.doc_id, r.taken) for r in corpus_pipeline.run(spark, str(tmp_path)).collect()}
     assert whole == {(i, r.taken) for i, r in seen["source_mixing"].items()}
+
+
+def test_rows_of_one_task_are_not_held_in_memory(spark):
+    df = spark.range(4000).select("id", F.expr("repeat(cast(id % 10 as string), 5000)").alias("text")).repartition(3)
+
+    def body(t):
+        at = t.column("text").chunk(0).buffers()[2].address
+        maps = [line.split(maxsplit=5) for line in open("/proc/self/maps")]
+        held = next(m[5:] for m in maps if int(m[0].split("-")[0], 16) <= at < int(m[0].split("-")[1], 16))
+        return pa.RecordBatch.from_arrays([pa.array([t.num_rows]), pa.array([sum(t.column("id").to_pylist())]), pa.array([" ".join(held)])], names=["n", "total", "held"])
+
+    (r,) = in_one_task(df, body, "n bigint, total bigint, held string").collect()
+    assert (r.n, r.total) == (4000, 4000 * 3999 // 2) and "quarrylake-" in r.held  # mapped from a file
+
+
+def test_batches_are_bounded_in_bytes(spark):
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.num_rows]), pa.array([b.nbytes])], names=["n", "size"])
+
+    ship(spark)
+    rows = spark.range(0, 3000, 1, 1).select(F.expr("repeat('x', 20000)").alias("text")).mapInArrow(sizes, "n bigint, size bigint").collect()
+    assert sum(r.n for r in rows) == 3000 and max(r.size for r in rows) < 9 << 20
