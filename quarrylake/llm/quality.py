@@ -359,7 +359,7 @@ def fit(docs: DataFrame, labels: DataFrame | None = None, sample: int = SAMPLE,
 def _train(model: dict, weigh: dict, log2_dims: int, t: pa.Table) -> pa.RecordBatch:
     """Places and values of the weights that are not zero, for each column; t: the sample, which is read in place."""
     order = np.argsort(t.column("doc_id").to_numpy(), kind="stable")
-    views = [(np.frombuffer(a.as_buffer(), np.int32), np.frombuffer(x.as_buffer(), np.float32)) for a, x in zip(t.column("at"), t.column("x"), strict=True)]
+    views = list(zip(_text.views(t.column("at"), np.int32), _text.views(t.column("x"), np.float32), strict=True))
     rows = [views[i] for i in order.tolist()]
     told = {c: t.column(c).to_numpy()[order] for c in (*HEADS, *(f"p_{h}" for h in HEADS))}
     heft = np.array([weigh[x] for x in zip(told["p_junk"].tolist(), told["p_toxic"].tolist(), strict=True)])

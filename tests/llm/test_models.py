@@ -8,6 +8,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from quarrylake.llm import decontaminate, langid, mixing, quality, substrings
@@ -250,3 +251,17 @@ def test_labels_count_as_one_labeller():
     post = quality.posterior(patterns, share, table)
     assert 0.5 < post[2] < 1 - 1e-6 and post[5] > post[2] and post[4] > post[3]  # a label may be wrong, and other votes move it
     assert 0.9 < table[1, -1, 2] < 1 and 0 < table[0, -1, 2] < 0.1
+
+
+def test_training_reads_its_rows_in_place(monkeypatch):
+    rng, seen = np.random.default_rng(3), []
+    ats = [np.sort(rng.integers(0, quality.width(14), 50)).astype(np.int32) for _ in range(40)]
+    told = {c: pa.array(rng.integers(0, 3, 40)) for c in ("junk", "toxic", "p_junk", "p_toxic")}
+    t = pa.table({"doc_id": pa.array(range(40))} | told | {"at": pa.array([a.tobytes() for a in ats], pa.binary()), "x": pa.array([np.full(50, i, np.float32).tobytes() for i in range(40)], pa.binary())})
+    monkeypatch.setattr(quality.Ftrl, "fit", lambda self, rows, *a, **k: seen.append(rows) or self.weights())
+    model = {h: (0.1, np.ones((2, k + 1, 3))) for h, k in quality.HEADS.items()}
+    quality._train(model, {(a, b): 1.0 for a in range(3) for b in range(3)}, 14, t)
+    whole = {c: np.frombuffer(t.column(c).chunk(0).buffers()[2], np.uint8) for c in ("at", "x")}
+    for i, (at, x) in enumerate(seen[0]):
+        assert at.tolist() == ats[i].tolist() and x.tolist() == [i] * 50
+        assert np.shares_memory(at, whole["at"]) and np.shares_memory(x, whole["x"])
