@@ -185,8 +185,9 @@ def test_rows_of_one_task_are_not_held_in_memory(spark):
         held = next(m[5:] for m in maps if int(m[0].split("-")[0], 16) <= at < int(m[0].split("-")[1], 16))
         return pa.RecordBatch.from_arrays([pa.array([t.num_rows]), pa.array([sum(t.column("id").to_pylist())]), pa.array([" ".join(held)])], names=["n", "total", "held"])
 
-    (r,) = in_one_task(df, body, "n bigint, total bigint, held string").collect()
-    assert (r.n, r.total) == (4000, 4000 * 3999 // 2) and "quarrylake-" in r.held  # mapped from a file
+    for held in (0, 1, 1 << 30):
+        (r,) = in_one_task(df, body, "n bigint, total bigint, held string", held).collect()
+        assert (r.n, r.total) == (4000, 4000 * 3999 // 2) and ("quarrylake-" in r.held) == (held == 0)  # mapped from a file
 
 
 def test_batches_are_bounded_in_bytes(spark):
