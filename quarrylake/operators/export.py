@@ -33,8 +33,9 @@ def jsonld_type() -> Column:
     return F.when(F.contains(t, F.lit("table")), F.lit("Dataset")).when(F.contains(t, F.lit("api")) | F.contains(t, F.lit("endpoint")), F.lit("WebAPI")).otherwise(F.lit("TechArticle"))
 
 
-def jsonld(concepts: DataFrame, scheme: str = SCHEME) -> DataFrame:
-    """(id, ld_type, node): a schema.org node as JSON for each concept that parsed; empty fields are left out."""
+def jsonld(concepts: DataFrame, scheme: str = SCHEME, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(id, ld_type, node): a schema.org node as JSON for each concept that parsed; empty fields are left out. `keep` names columns of
+    the concepts that go along."""
     kind = jsonld_type()
     tags = F.when(F.size(F.coalesce("tags", F.array().cast("array<string>"))) > 0, F.col("tags"))
     columns = F.transform(parse_columns(), lambda c: F.struct(F.lit("PropertyValue").alias("@type"), c["name"].alias("name"), _some(c["description"]).alias("description"), _some(c["type"]).alias("valueReference")))
@@ -50,7 +51,7 @@ def jsonld(concepts: DataFrame, scheme: str = SCHEME) -> DataFrame:
         tags.alias("keywords"),
         _some(F.col("timestamp")).alias("dateModified"),
     )
-    return concepts.where(filled("parse_error") == "").select("id", kind.alias("ld_type"), F.to_json(node).alias("node"))
+    return concepts.where(filled("parse_error") == "").select("id", kind.alias("ld_type"), F.to_json(node).alias("node"), *keep)
 
 
 def jsonld_document(nodes: DataFrame) -> DataFrame:

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 from quarrylake.plans import adapters, computed, queries
 from quarrylake.sources import bundle
 from quarrylake.streaming import sync
+from tests.oracle import differences
 
 SF = "/root/testdata/sf0.001"
 
@@ -144,3 +146,13 @@ def test_an_index_makes_its_grams_once(spark, tmp_path, monkeypatch):
     found = index.SubstringIndex.build(c, str(tmp_path / "index"))
     assert asked == [["gram", "n"]]  # counts alone are sampled for ranges, not postings
     assert found.search(c, "region/0").count() == 1
+
+
+def test_jsonld_of_empty_missing_and_very_long_texts(spark, tmp_path):
+    rows = [(0, "", "en", "s", 0), (1, None, "en", "s", None), (2, "é" + "b" * 20_000_100, "en", "s", 20_000_101), (3, "", "de", "s", 500), (4, "x" * 200, None, "s", 200)]
+    spark.createDataFrame(rows, spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text", "lang", "source", "n_chars").schema).coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.read.parquet(f"{SF}/labels.parquet").where("doc_id < 3").write.parquet(f"{tmp_path}/labels.parquet")
+    con = duckdb.connect()
+    for t in ("documents", "labels"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet/*.parquet'")
+    assert differences(queries.export_jsonld(spark, str(tmp_path)), queries.ORACLE["export_jsonld"], con) == ""
