@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import json
+import os
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, StructField, StructType
 
 from quarrylake.functions import excerpt, filled, trim_space, trust_tier
 from quarrylake.model import metadata_json
@@ -11,6 +15,7 @@ from quarrylake.operators.catalog import portal_index
 from quarrylake.sources.files import write_tree
 
 SCHEME = "bundle://"
+ANY_LENGTH = {"maxStringLen": str(2**31 - 1)}  # Spark's JSON reader gives up strings of more than 20 million characters otherwise
 
 
 def parse_columns(body: Column | str = "body") -> Column:
@@ -72,12 +77,13 @@ def portal_documents(concepts: DataFrame) -> DataFrame:
 
 
 SHARD = 1000  # entries of a portal's index in a file, about
+SHARDS = 16  # of them in a task of a reader, fewer while that leaves cores idle
 
 
 def portal_files(concepts: DataFrame, edges: DataFrame) -> DataFrame:
     """(path, content) of a portal's data: concepts/<id>.json for each concept that parsed; its entries and the edges between them in
-    shards of about SHARD, index/<n>.json and edges/<n>.json; and manifest.json with the numbers of both. No file grows with the bundle
-    but the manifest, by nothing."""
+    shards of about SHARD, index/<n>.json and edges/<n>.json, empty ones too; and manifest.json with the numbers of both. No file grows
+    with the bundle but the manifest, by nothing."""
     documents = portal_documents(concepts).select(F.concat(F.lit("concepts/"), "id", F.lit(".json")).alias("path"), F.col("document").alias("content"))
     entries = portal_index(concepts)
     edges = edges.join(entries.select(F.col("id").alias("src")), "src", "left_semi").join(entries.select(F.col("id").alias("dst")), "dst", "left_semi")
@@ -85,7 +91,8 @@ def portal_files(concepts: DataFrame, edges: DataFrame) -> DataFrame:
     def sharded(rows: DataFrame, key: Column, name: str) -> tuple[DataFrame, int]:
         n = max(1, -(-rows.count() // SHARD))
         by = rows.select(F.pmod(F.xxhash64(key), F.lit(n)).alias("shard"), F.struct(key.alias("key"), F.to_json(F.struct("*")).alias("json")).alias("e"))
-        lists = by.groupBy("shard").agg(F.array_sort(F.collect_list("e")).alias("es"))
+        every = concepts.sparkSession.range(n).select(F.col("id").alias("shard"), F.lit(None).cast(by.schema["e"].dataType).alias("e"))
+        lists = by.unionByName(every).groupBy("shard").agg(F.array_sort(F.collect_list("e")).alias("es"))
         content = F.concat(F.lit("["), F.array_join(F.transform("es", lambda e: e["json"]), ",\n"), F.lit("]"))
         return lists.select(F.format_string(f"{name}/%d.json", "shard").alias("path"), content.alias("content")), n
 
@@ -100,6 +107,62 @@ def write_portal(concepts: DataFrame, edges: DataFrame, root: str, overwrite: bo
     write_tree(portal_files(concepts, edges), root, overwrite)
 
 
+BATCH_FILES, BATCH_BYTES = 256, 8 << 20  # of the files that a batch holds, a single larger file aside
+
+
+def _with_files(rows: DataFrame, root: str) -> DataFrame:
+    """rows(path, ...) with the content of each path below root, read by the tasks that hold the rows. No folder is listed: Spark's file
+    source keeps every file that it reads on the driver."""
+
+    def read(batches):
+        import os
+
+        import pyarrow as pa
+
+        def joined(b, start, got):
+            return pa.RecordBatch.from_arrays([*b.slice(start, len(got)).columns, pa.array(got, pa.binary())], names=[*b.schema.names, "content"])
+
+        for b in batches:
+            start, got, size = 0, [], 0
+            for path in b.column(b.schema.names.index("path")).to_pylist():
+                with open(os.path.join(root, path), "rb") as f:
+                    data = f.read()
+                if got and (len(got) == BATCH_FILES or size + len(data) > BATCH_BYTES):
+                    yield joined(b, start, got)
+                    start, got, size = start + len(got), [], 0
+                got.append(data)
+                size += len(data)
+            if got:
+                yield joined(b, start, got)
+
+    return rows.mapInArrow(read, StructType([*rows.schema.fields, StructField("content", BinaryType())]))
+
+
+def _parsed(content: Column | str, schema: str) -> Column:
+    return F.from_json(F.col(content).cast("string"), schema, {"mode": "FAILFAST", **ANY_LENGTH})
+
+
+def read_portal(spark: SparkSession, root: str, entry: str, document: str, edge: str) -> tuple[DataFrame, DataFrame]:
+    """What write_portal wrote, as a portal loads it, from the manifest on: (documents, edges), the fields that the schemas name.
+
+    documents has a row for each entry of the index: `entry`, and `document`, the file of its id. The version that is there now is read,
+    whatever is written later; a file that is missing or no JSON is an error. `entry` has to name id. Neither is for Spark to guess the
+    size of and broadcast: join them by `shuffled`.
+    """
+    root = os.path.realpath(root.removeprefix("file://"))
+    with open(f"{root}/manifest.json", encoding="utf-8") as f:
+        shards = json.load(f)
+
+    def listed(name: str, schema: str) -> DataFrame:
+        n = shards[name]
+        tasks = max(1, min(n, max(spark.sparkContext.defaultParallelism, -(-n // SHARDS))))
+        paths = spark.range(0, n, 1, tasks).select(F.format_string(f"{name}/%d.json", "id").alias("path"))
+        return _with_files(paths, root).select(F.explode(_parsed("content", f"array<struct<{schema}>>")).alias("x"))
+
+    entries = listed("index", entry).select(F.col("x").alias("entry"), F.concat(F.lit("concepts/"), F.col("x.id"), F.lit(".json")).alias("path"))
+    return _with_files(entries, root).select("entry", _parsed("content", document).alias("document")), listed("edges", edge).select("x.*")
+
+
 def publish_edges(edges: DataFrame) -> DataFrame:
     """(src, payload): what is published of the links of each concept, a list of targets; a concept's own links bound it."""
     return edges.groupBy("src").agg(F.array_sort(F.collect_set("dst")).alias("targets")).select("src", F.to_json(F.struct(F.col("src").alias("source"), "targets")).alias("payload"))

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import hashlib
+
 import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from quarrylake.plans import adapters, computed, queries
+from quarrylake.model import as_concepts
+from quarrylake.operators import export
+from quarrylake.plans import adapters, computed, cycles, queries
 from quarrylake.sources import bundle
 from quarrylake.streaming import sync
 from tests.oracle import differences
@@ -156,3 +160,22 @@ def test_jsonld_of_empty_missing_and_very_long_texts(spark, tmp_path):
     for t in ("documents", "labels"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet/*.parquet'")
     assert differences(queries.export_jsonld(spark, str(tmp_path)), queries.ORACLE["export_jsonld"], con) == ""
+
+
+def test_portal_is_read_without_listing_its_files(spark, tmp_path):
+    assert len(cycles.portal_written(spark, SF).inputFiles()) < 10
+    texts = {f"a/{i % 7}/é {i}": f"{i}\n" * (i % 40) for i in range(1500)} | {"long": "é" + "b" * 20_000_100, "empty": ""}
+    c = as_concepts(spark.createDataFrame(list(texts.items()), "id string, body string"), title=F.lit("t"))
+    edges = spark.createDataFrame([("long", "empty"), ("empty", "gone"), ("a/1/é 1", "long")], "src string, dst string")
+    root = str(tmp_path / "portal")
+    export.write_portal(c, edges, root)
+    loaded, out = export.read_portal(spark, root, "id string, excerpt string", "id string, title string, body string", "src string, dst string")
+    export.write_portal(c.limit(0), edges, root, overwrite=True)  # the version that was there is read
+    got = loaded.select("entry.id", F.col("document.id").alias("own"), "document.title", F.sha2(F.col("document.body").cast("binary"), 256).alias("body"), "entry.excerpt").collect()
+    assert len(got) == len(texts) and all(r.id == r.own and r.title == "t" and r.excerpt[:200] == texts[r.id][:200] for r in got)
+    assert {r.id: r.body for r in got} == {k: hashlib.sha256(v.encode()).hexdigest() for k, v in texts.items()}
+    assert sorted(tuple(r) for r in out.collect()) == [("a/1/é 1", "long"), ("long", "empty")]
+    assert [df.count() for df in export.read_portal(spark, root, "id string", "id string", "src string")] == [0, 0]
+    (tmp_path / "portal" / "manifest.json").write_text('{"index": 2, "edges": 1}')
+    with pytest.raises(Exception, match="index/1.json"):
+        export.read_portal(spark, root, "id string", "id string", "src string")[0].collect()
